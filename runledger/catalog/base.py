@@ -36,7 +36,7 @@ DERIVED = {
         from lineitem""",
     "edges": """
         select recipe, src, dst from (
-          select recipe, idx as dst, case when scope % 97 = 0 then idx + 1 else 1 + scope % (idx - 1) end as src
+          select recipe, idx as dst, case when scope % 97 = 0 then idx + 1 else 1 + scope % greatest(idx - 1, 1) end as src
           from steps where idx > 1) e""",
     "dag": "select recipe, src, dst from edges where src < dst",
     "step_records": """
@@ -95,6 +95,18 @@ DERIVED = {
                p_partkey % 6 = 1 as write_path,
                case when p_partkey % 6 = 0 then concat('{f', cast(p_partkey % 12 as varchar(10)), '}-x.fits') end as implicit, p_partkey
         from part""",
+    "wiring": """
+        select recipe, step, idx, case scope % 7 when 0 then 'zz' when 1 then 'c' else 'a' end as field, cast(null as integer) as pos,
+               case when idx = 1 or scope % 4 = 0 then 'input' else 'output' end as src_kind,
+               case when idx = 1 or scope % 4 = 0 then null else concat('s', cast((l_linenumber + scope) % 8 as varchar(10))) end as src_step,
+               case when idx = 1 or scope % 4 = 0 then case when scope % 6 = 0 then 'missing' else 'rin' end
+                    when scope % 2 = 0 then 'aux' else 'out' end as src_field
+        from steps""",
+    "input_fields": """
+        select p_partkey as scope, 'a' as field from part union all select p_partkey, 'b' from part
+        union all select p_partkey, 'c' from part where p_partkey % 5 <> 0""",
+    "output_fields": """
+        select p_partkey as scope, 'out' as field from part union all select p_partkey, 'aux' from part where p_partkey % 3 = 0""",
     "sizes": """
         select p_partkey, p_size, p_type,
                concat(case when p_partkey % 17 = 0 then '-' when p_partkey % 19 = 0 then '1.2.' when p_partkey % 3 = 0 then ' 0.' else '' end,

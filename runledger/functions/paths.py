@@ -37,10 +37,10 @@ def relativize_all(paths: Column, base: Column) -> Column:
 def literal_prefix(pattern: Column) -> Column:
     """Directory of a glob up to its first wildcard; null where that is nothing or has `..`."""
     tidy = F.regexp_replace(F.regexp_replace(pattern, r"(^|/)(\./)+", "$1"), "/+", "/")
-    tidy = F.when(F.length(tidy) > 1, F.regexp_replace(tidy, "/$", "")).otherwise(tidy)
-    lead = F.regexp_extract(tidy, r"^(/?(?:[^*?\[/]+/)*)", 1)
-    found = F.when(lead == "/", lead).otherwise(F.regexp_replace(lead, "/$", ""))
-    return F.when((found != "") & ~found.rlike(r"(^|/)\.\.(/|$)"), found)
+    # Whole segments without a wildcard, each followed by one more segment.
+    lead = F.nullif(F.regexp_extract(tidy, r"^(/?[^*?\[/]+(?:/[^*?\[/]+)*)/[^/]", 1), F.lit(""))
+    found = F.coalesce(lead, F.when(pattern.startswith("/"), F.lit("/")))
+    return F.when(~found.rlike(r"(^|/)\.\.(/|$)"), found)
 
 
 def paths_overlap(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ the chunks before (or after) it contribute, and the carry is joined back on
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +51,7 @@ def ordered_scan(
     order: Sequence[str],
     chunk: Sequence[Column],
     outputs: Mapping[str, Spec],
+    coarse: Callable[[list[Column]], list[Column]] | None = None,
 ) -> DataFrame:
     """`df` with one column per entry of `outputs`.
 
@@ -61,9 +62,14 @@ def ordered_scan(
             of a timestamp or `floor(position / 100000)`. They bound how many
             rows of one key meet in one task.
         outputs: Output column name -> what to compute.
+        coarse: Where a key may have very many chunks, a coarser chunk as a
+            function of the chunk columns; the carry is then itself scanned in
+            those.
     """
     by, order = list(by), list(order)
-    chunks = [f"__c{i}" for i in range(len(chunk))]
+    # A nested scan must not reuse the chunk names of the one around it.
+    level = 1 + max((int(c[3 : c.index("_", 3)]) for c in df.columns if c.startswith("__c")), default=-1)
+    chunks = [f"__c{level}_{i}" for i in range(len(chunk))]
     keyed = df.select("*", *[c.alias(n) for c, n in zip(chunk, chunks)], *[_value(s).alias(f"__v_{n}") for n, s in outputs.items() if _value(s) is not None])
 
     forward = Window.partitionBy(*by, *chunks).orderBy(*order)
@@ -72,35 +78,35 @@ def ordered_scan(
     # that starts unbounded once, and re-reads one that ends unbounded per row.
     after = Window.partitionBy(*by, *chunks).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
 
-    local, summary, carry = [], [], []
-    over_chunks = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*chunks)
-    chunks_before = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
-    chunks_after = (
-        Window.partitionBy(*(by or [F.lit(0)])).orderBy(*[F.col(c).desc() for c in chunks]).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    local, summary, carry = [], [], {}
     position = F.struct(*order)
     for name, spec in outputs.items():
-        v = F.col(f"__v_{name}") if _value(spec) is not None else None
+        v, held = F.col(f"__v_{name}"), F.col(f"__s_{name}")
         match spec:
             case RowNumber():
                 local.append(F.row_number().over(forward).cast("bigint").alias(f"__l_{name}"))
                 summary.append(F.count(F.lit(1)).alias(f"__s_{name}"))
-                carry.append(F.coalesce(F.sum(f"__s_{name}").over(chunks_before), F.lit(0)).alias(f"__b_{name}"))
+                carry[f"__b_{name}"] = SumBefore(held)
             case SumBefore():
                 local.append(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"__l_{name}"))
                 summary.append(F.coalesce(F.sum(v), F.lit(0)).alias(f"__s_{name}"))
-                carry.append(F.coalesce(F.sum(f"__s_{name}").over(chunks_before), F.lit(0)).alias(f"__b_{name}"))
+                carry[f"__b_{name}"] = SumBefore(held)
             case LastBefore():
                 local.append(F.last(v, ignorenulls=True).over(before).alias(f"__l_{name}"))
                 summary.append(F.max_by(v, F.when(v.isNotNull(), position)).alias(f"__s_{name}"))
-                carry.append(F.last(f"__s_{name}", ignorenulls=True).over(chunks_before).alias(f"__b_{name}"))
+                carry[f"__b_{name}"] = LastBefore(held)
             case FirstAfter():
                 local.append(F.last(v, ignorenulls=True).over(after).alias(f"__l_{name}"))
                 summary.append(F.min_by(v, F.when(v.isNotNull(), position)).alias(f"__s_{name}"))
-                carry.append(F.last(f"__s_{name}", ignorenulls=True).over(chunks_after).alias(f"__b_{name}"))
+                carry[f"__b_{name}"] = FirstAfter(held)
 
     scanned = keyed.select("*", *local)
-    carried = keyed.groupBy(*by, *chunks).agg(*summary).select(*by, *chunks, *carry)
+    summaries = keyed.groupBy(*by, *chunks).agg(*summary)
+    if coarse is None:
+        carried = _scan_plainly(summaries, by, chunks, carry)
+    else:
+        carried = ordered_scan(summaries, by, chunks, coarse([F.col(c) for c in chunks]), carry)
+    carried = carried.select(*by, *chunks, *carry)
     joined = scanned.join(carried, [*by, *chunks], "left")
     results = []
     for name, spec in outputs.items():
@@ -110,5 +116,22 @@ def ordered_scan(
     return joined.select(*df.columns, *results)
 
 
+def _scan_plainly(df: DataFrame, by: list[str], order: list[str], outputs: Mapping[str, Spec]) -> DataFrame:
+    """The scan over chunk summaries: few rows per key, so plain windows."""
+    keys = by or [F.lit(0)]
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    columns = {}
+    for name, spec in outputs.items():
+        match spec:
+            case SumBefore(v):
+                columns[name] = F.coalesce(F.sum(v).over(before), F.lit(0))
+            case LastBefore(v):
+                columns[name] = F.last(v, ignorenulls=True).over(before)
+            case FirstAfter(v):
+                columns[name] = F.last(v, ignorenulls=True).over(after)
+    return df.withColumns(columns)
+
+
 def _value(spec: Spec) -> Column | None:
     return None if isinstance(spec, RowNumber) else spec.value
