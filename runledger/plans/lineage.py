@@ -3,30 +3,42 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_roots: dict[str, str] = {}
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one only where none is set.
 
-    A machine-local folder is created for local masters alone (tests). Anywhere
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder under the shared one the cluster names.
+
+    A machine-local folder is made for local masters alone (tests). Anywhere
     else a missing setting is an error, because an executor's own disk does not
-    outlive the executor.
+    outlive the executor. The folder is deleted when the application ends.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is not None:
-        return
-    if named:
-        context.setCheckpointDir(named)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    app = context.applicationId
+    if app not in _roots:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+            shared = tempfile.mkdtemp(prefix="spark-")
+        root = f"{shared.rstrip('/')}/runledger-{app}-{uuid.uuid4().hex[:8]}"
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _roots[app] = root
+    return _roots[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` read back from reliable storage: its plan ends here."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` written to the shared folder and read back: its plan ends here.
+
+    A written table, unlike a checkpoint, is columnar and has a known size, so
+    later rounds read only the columns they need and join by what is cheapest.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
