@@ -4,7 +4,7 @@ from importlib import import_module
 
 from runledger.catalog.base import REGISTRY, Tables
 
-for _module in ("scalars", "schema", "slices", "joins", "ledger", "graph", "documents"):
+for _module in ("scalars", "schema", "slices", "joins", "ledger", "graph", "documents", "live"):
     import_module(f"runledger.catalog.{_module}")
 
 __all__ = ["REGISTRY", "Tables"]

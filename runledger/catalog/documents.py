@@ -43,7 +43,7 @@ USES = """
     select p_brand as doc, concat('n', cast(p_partkey as varchar(20)), '.', case when p_size % 3 = 0 then 'a' when p_size % 3 = 1 then 'b.x' else 'b.y' end) as path, p_type as value from part
     union all
     select p_brand, concat('n', cast(p_partkey as varchar(20)), '._use'), concat('n', cast(prev as varchar(20)))
-    from (select p_brand, p_partkey, lag(p_partkey) over (partition by p_brand order by p_partkey) as prev from part) u where prev % 3 <> 0"""
+    from (select p_brand, p_partkey, lag(p_partkey) over (partition by p_brand order by p_partkey) as prev from part) u where prev % 2 = 0"""
 
 
 @query(
@@ -52,7 +52,7 @@ USES = """
     """
     with recursive p as (select p_partkey as k, p_brand as doc, p_type as value, case when p_size % 3 = 0 then 'a' when p_size % 3 = 1 then 'b.x' else 'b.y' end as leaf,
                 lag(p_partkey) over (partition by p_brand order by p_partkey) as prev from part),
-    link as (select k, doc, case when prev % 3 <> 0 then prev end as prev from p),
+    link as (select k, doc, case when prev % 2 = 0 then prev end as prev from p),
     up as (select k, doc, k as at, 0 as hop from link union all select up.k, up.doc, link.prev, hop + 1 from up join link on link.k = up.at where link.prev is not null)
     select up.doc, concat('n', up.k, '.', p.leaf) as path, arg_min(p.value, up.hop) as value from up join p on p.k = up.at group by 1, 2""",
 )

@@ -82,7 +82,9 @@ def resolve_uses(leaves: DataFrame, by: Sequence[str] = ("doc",), max_depth: int
     own = F.struct(F.lit(1 << 20).alias("depth"), F.lit(0).alias("pos"))
     source = cut(leaves.select(*by, "path", "value"))
     # Every node a directive may name, with the leaves under it (and itself).
-    under = source.select(*by, F.explode(F.concat(_prefixes(F.col("path")), F.array("path"))).alias("target"), F.col("path").alias("leaf"), "value")
+    nodes = F.explode(F.concat(_prefixes(F.col("path")), F.array("path"))).alias("target")
+    named = _directives(source, by).select(*by, "target").distinct()
+    under = cut(source.select(*by, nodes, F.col("path").alias("leaf"), "value").join(named, [*by, "target"], "left_semi"))
     rounds = [source.withColumn("trail", F.array().cast("array<struct<depth:int,pos:int>>"))]
     for _ in range(max_depth):
         pending = _directives(rounds[-1], by)
