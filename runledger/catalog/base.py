@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.plans.lineage import cut
 from runledger.plans.scan import RowNumber, ordered_scan
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -152,10 +153,9 @@ class Tables:
     def _build(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        if name == "accesses":
-            return self._accesses()
         if name == "steps":
-            return self._steps()
+            # Stored once per session, as a ledger table would be.
+            return cut(self._steps())
         return self.sql(DERIVED[name])
 
     def sql(self, text: str) -> DataFrame:
@@ -166,16 +166,6 @@ class Tables:
                 getattr(self, name).createOrReplaceTempView(name)
         return self.spark.sql(text)
 
-    def _accesses(self) -> DataFrame:
-        touched = self.events.select(
-            F.col("user_id").alias("path"),
-            F.col("event_id").alias("step"),
-            "ts",
-            "event_type",
-            F.col("event_type").isin("purchase", "signup").alias("mutates"),
-        )
-        return ordered_scan(touched, ["path"], ["ts", "step"], [F.to_date("ts")], {"pos": RowNumber()})
-
     def _steps(self) -> DataFrame:
         chunk = [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 4096)]
         numbered = ordered_scan(self.lineitem, ["l_orderkey"], STEP_ORDER, chunk, {"idx": RowNumber()})
