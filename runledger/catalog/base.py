@@ -9,6 +9,7 @@ instead, so that no key has to fit in one task.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,7 +21,8 @@ from runledger.plans.scan import RowNumber, ordered_scan
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-ACCESS_ORDER = ("ts", "event_id")
+SPREAD_BYTES = 4 << 20
+
 STEP_ORDER = (
     "l_linenumber l_partkey l_suppkey l_shipdate l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus"
 ).split()
@@ -152,12 +154,19 @@ class Tables:
 
     def _build(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            path = f"{self.folder}/{name}.parquet"
+            return self._spread(self.spark.read.parquet(path), path)
         if name == "steps":
             # Stored once per session, as a ledger table would be.
             return cut(self._steps())
         return self.sql(DERIVED[name])
 
+    def _spread(self, df: DataFrame, path: str) -> DataFrame:
+        """A table of one file of some size over all local threads; a cluster's tables have files enough."""
+        context = self.spark.sparkContext
+        lone = context.master.startswith("local") and os.path.isfile(path) and os.path.getsize(path) > SPREAD_BYTES
+        return df.repartition(context.defaultParallelism) if lone else df
+
     def sql(self, text: str) -> DataFrame:
         """Run a statement that names given or derived tables."""
         words = set(text.replace("(", " ").replace(")", " ").replace(",", " ").split())

@@ -117,7 +117,6 @@ def _key_levels() -> str:
 )
 def _(t):
     scope = F.col("scope")
-    levels = G.topo_levels(t.steps, t.dag)
     ms = t.steps.select(
         "recipe",
         "idx",
@@ -138,7 +137,7 @@ def _(t):
     own = G.own_digest(declared, ms.unionByName(n)).join(t.steps.select("recipe", "idx", "scope"), ["recipe", "idx"])
     own = own.select("recipe", "idx", F.when(scope % 50 != 0, F.col("own")).alias("own"))
     wiring = t.dag.select("recipe", F.col("dst").alias("idx"), F.lit("x").alias("field"), F.lit(None).cast("int").alias("pos"), "src")
-    return G.step_keys(own, wiring, levels)
+    return G.step_keys(own, wiring)
 
 
 NEST = """

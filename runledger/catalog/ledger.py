@@ -11,7 +11,7 @@ from runledger.operators import versions as V
 from runledger.operators import windows as W
 
 GROUP_SHA = """sha256(concat_ws(chr(31), count(h), {words}))""".format(
-    words=", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 6 * i}, 6))::bigint), 0)::bigint" for i in range(8))
+    words=", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 6 * i}, 6))::bigint), 0)::bigint" for i in range(6))
 )
 
 
@@ -64,6 +64,16 @@ def _(t):
     return A.tree_fingerprint(files, roots.withColumn("status", status))
 
 
+@query(
+    "inventory_fingerprints",
+    "AG4",
+    f"""with e as (select l_suppkey as root, sha256({enc("l_orderkey", "l_partkey", "l_linenumber")}) as h from lineitem) select root, {GROUP_SHA} as fingerprint from e group by root""",
+)
+def _(t):
+    inventory = t.lineitem.select(F.col("l_suppkey").alias("root"), F.col("l_orderkey").alias("relpath"), F.col("l_partkey").alias("mtime"), F.col("l_linenumber").alias("size"))
+    return A.tree_fingerprint(inventory)
+
+
 @query(
     "combined_keys",
     "AG5",

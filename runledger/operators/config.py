@@ -100,7 +100,7 @@ def resolve_uses(leaves: DataFrame, by: Sequence[str] = ("doc",), max_depth: int
     else:
         raise ValueError(f"`{USE}` directives nest deeper than {max_depth}, or name each other in a ring")
     every = reduce(DataFrame.unionByName, rounds).where((F.col("path") != USE) & ~F.col("path").endswith(f".{USE}"))
-    ranked = every.withColumn("rank", F.concat("trail", F.array(own))).drop("trail")
+    ranked = cut(every.withColumn("rank", F.concat("trail", F.array(own))).drop("trail"))
     return deep_merge(ranked, by).drop("rank")
 
 

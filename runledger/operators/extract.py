@@ -92,11 +92,7 @@ def extract_values(lines: DataFrame, rules: Sequence[Rule], by: Sequence[str], o
     only the latest match per field before anything is shuffled.
     """
     text = F.col(text_col)
-    any_match = None
-    for rule in rules:
-        hit = text.rlike(rule.compiled()[0])
-        any_match = hit if any_match is None else any_match | hit
-    taken = lines.where(any_match).select(*by, *order, F.explode(matches_of(text, rules)).alias("m"))
+    taken = lines.select(*by, *order, F.explode(matches_of(text, rules)).alias("m"))
     latest = taken.groupBy(*by, F.col("m.field").alias("field")).agg(
         F.max_by(F.struct("m.type", "m.raw"), F.struct(*order, F.col("m.rule_no"))).alias("v")
     )

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.plans.digest import encode, group_digest, row_digest
+from runledger.plans.digest import WORDS, digest_of_sums, encode, group_digest, hash_words, row_digest
 from runledger.plans.lineage import cut
 from runledger.plans.pointers import chase
 
@@ -171,33 +171,44 @@ def own_digest(steps: DataFrame, params: DataFrame, by: Sequence[str] = ("recipe
     return steps.join(entries, [*by, node], "left").select(*by, node, row_digest("image", "identity", "venv", "params").alias("own"))
 
 
-def step_keys(own: DataFrame, wiring: DataFrame, levels: DataFrame, by: Sequence[str] = ("recipe",), node: str = "idx") -> DataFrame:
+def step_keys(own: DataFrame, wiring: DataFrame, by: Sequence[str] = ("recipe",), node: str = "idx", max_rounds: int = 10_000) -> DataFrame:
     """A key per step that changes when anything it is computed from does: (by, node, key).
 
-    A step without a level (on or behind a cycle) has no key. Steps whose
-    `own` is null are not cached: they have no key and add none downstream.
+    A step on or behind a cycle has no key. A step whose `own` is null is not
+    cached: it has no key and adds none downstream. The digest of what a step
+    reads is a sum, so each round only adds the keys just found to the sums of
+    the steps that read them.
 
     Args:
         own: see `own_digest`.
         wiring: (by, node, field, pos, src), the inputs produced by other steps.
     """
     by = list(by)
-    ranked = cut(own.join(levels.where("level is not null"), [*by, node]))
-    wired = cut(wiring.select(*by, node, "field", "pos", "src").join(levels.select(*by, node, "level"), [*by, node]))
-    top = ranked.agg(F.max("level")).first()[0]
-    keys = None
-    for level in range(0 if top is None else top + 1):
-        here = ranked.where(F.col("level") == level)
-        if keys is None:
-            keyed = here.withColumn("upstream", F.lit(None).cast("string"))
-        else:
-            reads = wired.where(F.col("level") == level).join(keys.select(*by, F.col(node).alias("src"), F.col("key").alias("src_key")), [*by, "src"])
-            gathered = reads.where("src_key is not null").groupBy(*by, node).agg(group_digest(encode("field", "pos", "src_key")).alias("upstream"))
-            keyed = here.join(gathered, [*by, node], "left")
-        key = F.when(F.col("own").isNotNull(), row_digest("own", "upstream"))
-        found = cut(keyed.select(*by, node, key.alias("key")))
-        keys = found if keys is None else keys.unionByName(found)
-    return keys if keys is not None else own.select(*by, node, F.lit(None).cast("string").alias("key")).limit(0)
+    words = [f"__w{i}" for i in range(WORDS)]
+    place = [*by, node]
+    base = cut(own.select(*place, "own"))
+    arcs = cut(wiring.select(*place, "field", "pos", "src").join(base.select(*by, F.col(node).alias("src")), [*by, "src"], "left_semi"))
+    waits = arcs.groupBy(*place).agg(F.count(F.lit(1)).alias("waits"))
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("__n", *words)]
+    state = cut(base.join(waits, place, "left").select(*place, "own", F.coalesce("waits", F.lit(0)).alias("waits"), *zero))
+    upstream = F.when(F.col("__n") > 0, digest_of_sums(F.col("__n"), [F.col(w) for w in words]))
+    done = []
+    for _ in range(max_rounds):
+        ready, left = state.where("waits = 0"), state.where("waits > 0")
+        if ready.isEmpty():
+            break
+        keyed = ready.select(*place, F.when(F.col("own").isNotNull(), row_digest(F.col("own"), upstream)).alias("key"))
+        done.append(keyed)
+        sources = keyed.select(*by, F.col(node).alias("src"), F.col("key").alias("src_key"))
+        entry = F.when(F.col("src_key").isNotNull(), F.sha2(encode("field", "pos", "src_key"), 256)).alias("__h")
+        read = sources.join(arcs, [*by, "src"]).select(*place, entry)
+        added = read.groupBy(*place).agg(
+            F.count(F.lit(1)).alias("freed"), F.count("__h").alias("__an"), *[F.sum(v).alias(f"__a{w}") for v, w in zip(hash_words(F.col("__h")), words)]
+        )
+        grown = [(F.col(c) + F.coalesce(a, F.lit(0))).alias(c) for c, a in zip(("__n", *words), ("__an", *[f"__a{w}" for w in words]))]
+        state = cut(left.join(added, place, "left").select(*place, "own", (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits"), *grown))
+    stuck = state.select(*place, F.lit(None).cast("string").alias("key"))
+    return reduce(DataFrame.unionByName, [*done, stuck])
 
 
 def output_keys(refs: DataFrame, output_wiring: DataFrame, leaf_keys: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,26 @@ def duplicate_names(steps: DataFrame) -> DataFrame:
     return steps.groupBy(*STEP).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def dangling(refs: DataFrame, known: DataFrame, on: Sequence[str], rule: str, detail: str) -> DataFrame:
-    """References without a target, as (recipe, step, rule, detail)."""
-    return refs.join(known, list(on), "left_anti").select("recipe", "step", F.lit(rule).alias("rule"), F.col(detail).cast("string").alias("detail"))
+def dangling(refs: DataFrame, known: DataFrame, on: Sequence[str]) -> DataFrame:
+    """References (recipe, step, rule, detail) without a target, each once."""
+    return refs.join(known, list(on), "left_anti").select("recipe", "step", "rule", "detail").distinct()
+
+
+def _labelled(refs: DataFrame, rule: str, detail: str) -> DataFrame:
+    return refs.withColumns({"rule": F.lit(rule), "detail": F.col(detail).cast("string")})
+
+
+def _undeclared(refs: DataFrame, steps: DataFrame, fields: DataFrame, holder: str = "step", field: str = "field") -> DataFrame:
+    """References to fields that no step of the named kind declares: (recipe, step, rule, detail).
+
+    The few fields referred to are looked up, not all that a scope declares. A
+    reference to a step that is not there is left to the rule about steps.
+    """
+    scopes = steps.select("recipe", F.col("step").alias(holder), "scope").distinct()
+    declared = fields.select("scope", F.col("field").alias(field), F.lit(True).alias("found")).distinct()
+    looked = refs.join(scopes, ["recipe", holder]).join(declared, ["scope", field], "left")
+    judged = looked.groupBy("recipe", "step", "rule", "detail").agg(F.bool_or(F.coalesce("found", F.lit(False))).alias("found"))
+    return judged.where("not found").select("recipe", "step", "rule", "detail")
 
 
 def validate_graph(
@@ -39,27 +57,29 @@ def validate_graph(
         recipe_inputs: (recipe, field).
         after: (recipe, step, after). params, scattered: (recipe, step, field).
     """
-    names = steps.select(*STEP).distinct()
-    takes = steps.select(*STEP, "scope").join(input_fields, "scope").select(*STEP, "field").distinct()
-    gives = steps.select("recipe", F.col("step").alias("src_step"), "scope").join(output_fields, "scope").select("recipe", "src_step", F.col("field").alias("src_field")).distinct()
-    producers = names.select("recipe", F.col("step").alias("src_step"))
-    wired, from_input, from_output = wiring, wiring.where("src_kind = 'input'"), wiring.where("src_kind = 'output'")
-    reach = from_output.join(producers, ["recipe", "src_step"], "left_semi").withColumn("label", F.concat("src_step", F.lit("."), "src_field"))
+    columns = ["recipe", "step", "rule", "detail"]
+    names = steps.select("recipe", F.col("step").alias("named")).distinct()
+    from_input, from_output = wiring.where("src_kind = 'input'"), wiring.where("src_kind = 'output'")
+    own_fields = reduce(
+        DataFrame.unionByName,
+        [
+            _labelled(refs, rule, "field").select(*columns, "field")
+            for refs, rule in ((scattered, "unknown scatter field"), (params, "unknown constant"), (wiring, "unknown input"))
+        ],
+    )
+    step_names = _labelled(after.where("after <> step"), "unknown after", "after").select(*columns, F.col("after").alias("named")).unionByName(
+        _labelled(from_output, "unknown step", "src_step").select(*columns, F.col("src_step").alias("named"))
+    )
+    read = from_output.withColumn("label", F.concat("src_step", F.lit("."), "src_field"))
     found = [
-        duplicate_names(steps).select(*STEP, F.lit("duplicate name").alias("rule"), F.col("step").alias("detail")),
-        dangling(after.where("after <> step"), names.withColumnRenamed("step", "after"), ["recipe", "after"], "unknown after", "after"),
-        after.where("after = step").select(*STEP, F.lit("after itself").alias("rule"), F.col("after").alias("detail")),
-        dangling(scattered, takes, [*STEP, "field"], "unknown scatter field", "field"),
-        dangling(params, takes, [*STEP, "field"], "unknown constant", "field"),
-        dangling(wired, takes, [*STEP, "field"], "unknown input", "field"),
-        dangling(from_input, recipe_inputs.withColumnRenamed("field", "src_field"), ["recipe", "src_field"], "unknown recipe input", "src_field"),
-        dangling(from_output, producers, ["recipe", "src_step"], "unknown step", "src_step"),
-        dangling(reach, gives, ["recipe", "src_step", "src_field"], "unknown output", "label"),
+        _labelled(duplicate_names(steps), "duplicate name", "step").select(*columns),
+        _labelled(after.where("after = step"), "after itself", "after").select(*columns).distinct(),
+        dangling(step_names, names, ["recipe", "named"]),
+        _undeclared(own_fields, steps, input_fields),
+        dangling(_labelled(from_input, "unknown recipe input", "src_field"), recipe_inputs.withColumnRenamed("field", "src_field"), ["recipe", "src_field"]),
+        _undeclared(_labelled(read, "unknown output", "label"), steps, output_fields, "src_step", "src_field"),
     ]
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    return reduce(DataFrame.unionByName, found)
 
 
 def validate_outputs(output_wiring: DataFrame, steps: DataFrame, output_fields: DataFrame, recipe_outputs: DataFrame) -> DataFrame:
@@ -71,12 +91,10 @@ def validate_outputs(output_wiring: DataFrame, steps: DataFrame, output_fields:
     """
     refs = output_wiring.withColumn("step", F.col("src_step"))
     producers = steps.select("recipe", F.col("step").alias("src_step")).distinct()
-    gives = steps.select("recipe", F.col("step").alias("src_step"), "scope").join(output_fields, "scope").select("recipe", "src_step", F.col("field").alias("src_field")).distinct()
     return (
-        dangling(refs, recipe_outputs, ["recipe", "field"], "unknown recipe output", "field")
-        .unionByName(dangling(refs, producers, ["recipe", "src_step"], "unknown step", "src_step"))
-        .unionByName(dangling(refs.join(producers, ["recipe", "src_step"], "left_semi"), gives, ["recipe", "src_step", "src_field"], "unknown output", "src_field"))
-        .distinct()
+        dangling(_labelled(refs, "unknown recipe output", "field"), recipe_outputs, ["recipe", "field"])
+        .unionByName(dangling(_labelled(refs, "unknown step", "src_step"), producers, ["recipe", "src_step"]))
+        .unionByName(_undeclared(_labelled(refs, "unknown output", "src_field").drop("field"), steps, output_fields, "src_step", "src_field"))
     )
 
 

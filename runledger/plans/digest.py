@@ -1,14 +1,16 @@
 """Digests of rows and of groups of rows.
 
 A group digest never collects its group. Each entry is hashed with SHA-256,
-the first 48 hex digits are read as eight 24-bit numbers, and the group keeps
-the count and the eight sums. Sums are combined map-side, do not depend on row
+the first 36 hex digits are read as six 24-bit numbers, and the group keeps
+the count and the six sums. Sums are combined map-side, do not depend on row
 order, and leave room for 2**39 entries per group before a BIGINT overflows.
 Order matters only if the entry itself carries its position.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 SEPARATOR = "\x1f"
 NULL_TOKEN = "-"
 
-WORDS = 8
-WORD_HEX = 6
+WORDS = 6
+WORD_BITS = 24
 
 
 def encode(*cols: Column | str) -> Column:
@@ -38,13 +40,21 @@ def row_digest(*cols: Column | str) -> Column:
     return F.sha2(encode(*cols), 256)
 
 
-def group_digest(entry: Column, where: Column | None = None) -> Column:
+def hash_words(hashed: Column) -> list[Column]:
+    """The numbers of one SHA-256 that a group digest sums; two are read at a time."""
+    words = []
+    for pair in range(WORDS // 2):
+        both = F.conv(F.substring(hashed, 1 + 12 * pair, 12), 16, 10).cast("bigint")
+        words += [F.shiftright(both, WORD_BITS), both.bitwiseAND((1 << WORD_BITS) - 1)]
+    return words
+
+
+def digest_of_sums(count: Column, sums: Sequence[Column]) -> Column:
+    """The digest of a group whose entries and words have been added up."""
+    return F.sha2(F.concat_ws(SEPARATOR, count.cast("string"), *[F.coalesce(s, F.lit(0)).cast("string") for s in sums]), 256)
+
+
+def group_digest(entry: Column) -> Column:
     """Aggregate: order-free digest of the encoded entries of a group."""
     hashed = F.sha2(entry, 256)
-    if where is not None:
-        hashed = F.when(where, hashed)
-    words = [
-        F.sum(F.conv(F.substring(hashed, 1 + WORD_HEX * i, WORD_HEX), 16, 10).cast("bigint")) for i in range(WORDS)
-    ]
-    counted = F.count(hashed)
-    return F.sha2(F.concat_ws(SEPARATOR, counted.cast("string"), *[F.coalesce(w, F.lit(0)).cast("string") for w in words]), 256)
+    return digest_of_sums(F.count(hashed), [F.sum(w) for w in hash_words(hashed)])

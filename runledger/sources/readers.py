@@ -202,8 +202,9 @@ def parse_yaml(docs: DataFrame, doc: str = "file", text: str = "text") -> DataFr
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         for frame in frames:
-            rows = [row for name, body in zip(frame["doc"], frame["text"]) for row in leaves(name, yaml.safe_load(body), "")]
+            rows = [row for name, body in zip(frame["doc"], frame["text"]) for row in leaves(name, yaml.load(body, loader), "")]
             yield pd.DataFrame(rows, columns=["doc", "path", "value"])
 
     return docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).mapInPandas(batches, LEAF_SCHEMA)

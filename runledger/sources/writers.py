@@ -49,4 +49,5 @@ def write_runs(runs: DataFrame, path: str) -> None:
 
 def write_outputs(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     """Replace the partitions that `df` has rows for, and only those."""
-    df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*keys).parquet(path)
+    # Rebalancing gathers each partition into few files and splits one that is large.
+    df.hint("rebalance", *keys).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*keys).parquet(path)
