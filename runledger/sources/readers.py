@@ -126,7 +126,8 @@ def scan_files(spark: SparkSession, root: str, sample: bool = False) -> DataFram
 
     Only metadata is listed unless `sample` asks for a digest of the first and
     last 4 KiB. Sampling has to read a file whole, so files above 1 GiB are
-    listed without one.
+    listed without one. Empty files hold no rows for Spark to scan and are not
+    listed; where executors mount the storage, `walk_files` sees them too.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     meta = ["path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size")]
