@@ -131,7 +131,7 @@ DERIVED = {
 class Tables:
     """The given tables of one scale folder, and what is derived from them."""
 
-    _cache: dict[tuple[int, str], "Tables"] = {}
+    _cache: dict[tuple[str, str], "Tables"] = {}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -140,7 +140,7 @@ class Tables:
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str) -> "Tables":
-        key = (id(spark), folder)
+        key = (spark.sparkContext.applicationId, folder)
         if key not in cls._cache:
             cls._cache[key] = cls(spark, folder)
         return cls._cache[key]

@@ -107,8 +107,9 @@ def _(t):
     entry = (
         F.when(kind == 0, F.lit("./x.yaml")).when(kind == 1, F.concat(up, F.lit("x.yaml"))).when(kind == 2, F.lit("/etc/./x.yaml")).otherwise(F.concat(up, F.lit("../pkgs/x.yaml")))
     )
-    includes = t.files.select("page_id", F.lit("p").alias("package"), F.concat(F.lit("/pkg/"), "path").alias("base"), entry.alias("entry"))
-    return C.contained(includes, t.files.select(F.lit("p").alias("package"), F.lit("/pkg/").alias("root")).distinct()).select("page_id", "resolved", "contained")
+    package = (F.col("page_id") % 3).alias("package")
+    includes = t.files.select("page_id", package, F.concat(F.lit("/pkg/"), "path").alias("base"), entry.alias("entry"))
+    return C.contained(includes, t.files.select(package, F.lit("/pkg/").alias("root")).distinct()).select("page_id", "resolved", "contained")
 
 
 @query(

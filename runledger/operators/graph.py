@@ -55,10 +55,17 @@ def topo_levels(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ("recipe
         done.append(ready.select(*by, node, F.lit(level).alias("level")))
         freed = ready.withColumnRenamed(node, "src").join(arcs, [*by, "src"]).groupBy(*by, F.col("dst").alias(node)).agg(F.count(F.lit(1)).alias("freed"))
         state = cut(left.join(freed, [*by, node], "left").select(*by, node, (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits")))
+    else:
+        raise RuntimeError(f"paths of more than {max_rounds} steps")
     stuck = state.select(*by, node, F.lit(None).cast("int").alias("level"))
     return reduce(DataFrame.unionByName, [*done, stuck])
 
 
+def in_declaration_order(df: DataFrame, by: Sequence[str] = ("recipe",), index: str = "idx") -> DataFrame:
+    """Rows in the order steps were declared, whatever order they finished in."""
+    return df.orderBy(*by, index)
+
+
 def in_topological_order(levels: DataFrame, by: Sequence[str] = ("recipe",), node: str = "idx") -> DataFrame:
     """Steps sorted so that every step comes after what it depends on."""
     return levels.orderBy(*by, "level", node)
@@ -207,6 +214,8 @@ def step_keys(own: DataFrame, wiring: DataFrame, by: Sequence[str] = ("recipe",)
         )
         grown = [(F.col(c) + F.coalesce(a, F.lit(0))).alias(c) for c, a in zip(("__n", *words), ("__an", *[f"__a{w}" for w in words]))]
         state = cut(left.join(added, place, "left").select(*place, "own", (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits"), *grown))
+    else:
+        raise RuntimeError(f"paths of more than {max_rounds} steps")
     stuck = state.select(*place, F.lit(None).cast("string").alias("key"))
     return reduce(DataFrame.unionByName, [*done, stuck])
 

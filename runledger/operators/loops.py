@@ -1,7 +1,7 @@
 """Bounded loops over pipeline bodies, unrolled as tables.
 
-Tables: loops (loop, max_iter, until, index_input), body (loop, sub) and whether
-the body `is_recipe`, body_inputs (loop, field, default), body_outputs (loop,
+Tables: loops (loop, max_iter, until, index_input), body (loop, sub; empty sub
+where the body is one step), body_inputs (loop, field, default), body_outputs (loop,
 field, sub, sub_field, is_path), body_wiring (loop, sub, field, src_kind,
 src_sub, src_field), carry (loop, out_field, in_field), initial (loop, field,
 value).
@@ -45,14 +45,24 @@ def loop_errors(loops: DataFrame, body_inputs: DataFrame, body_outputs: DataFram
     return out.distinct()
 
 
+def body_errors(body: DataFrame) -> DataFrame:
+    """Body steps a loop cannot hold: (loop, sub, rule).
+
+    Args:
+        body: (loop, sub, scattered, nested).
+    """
+    rules = F.array_compact(F.array(F.when(F.col("scattered"), F.lit("body step is scattered")), F.when(F.col("nested"), F.lit("body step is a nested recipe"))))
+    return body.select("loop", "sub", F.explode(rules).alias("rule"))
+
+
 def clashing_names(unrolled: DataFrame, existing: DataFrame) -> DataFrame:
     """Unrolled step names that a recipe already has: (recipe, step)."""
     return unrolled.select("recipe", "step").join(existing.select("recipe", "step"), ["recipe", "step"], "left_semi")
 
 
 def iteration_step(loop: Column, k: Column, sub: Column) -> Column:
-    """`loop.k.sub`, or `loop.k` where the body is a single step (null sub)."""
-    return F.concat_ws(".", loop, k.cast("string"), sub)
+    """`loop.k.sub`, or `loop.k` where the body is a single step (empty sub)."""
+    return F.concat_ws(".", loop, k.cast("string"), F.nullif(sub, F.lit("")))
 
 
 def unroll_steps(loops: DataFrame, body: DataFrame, body_wiring: DataFrame, body_outputs: DataFrame) -> DataFrame:

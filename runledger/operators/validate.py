@@ -82,6 +82,16 @@ def validate_graph(
     return reduce(DataFrame.unionByName, found)
 
 
+def nested_resources(steps: DataFrame) -> DataFrame:
+    """Nested recipes that declare a footprint, which only the steps doing the work may: (recipe, step).
+
+    Args:
+        steps: (recipe, step, kind, cpus, cpus_all, memory).
+    """
+    declared = F.col("cpus").isNotNull() | F.coalesce("cpus_all", F.lit(False)) | F.col("memory").isNotNull()
+    return steps.where((F.col("kind") == "recipe") & declared).select("recipe", "step")
+
+
 def validate_outputs(output_wiring: DataFrame, steps: DataFrame, output_fields: DataFrame, recipe_outputs: DataFrame) -> DataFrame:
     """The same for a recipe's own outputs: (recipe, step, rule, detail), step being the source.
 

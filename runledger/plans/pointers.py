@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runledger.plans.lineage import cut
 
 
-def chase(pointers: DataFrame, key: Sequence[str], target: Sequence[str], max_rounds: int = 64) -> DataFrame:
+def chase(pointers: DataFrame, key: Sequence[str], target: Sequence[str]) -> DataFrame:
     """Where each key ends up when pointers are followed until there is none.
 
     Every round replaces a pointer by the pointer of what it points at, so a
@@ -24,7 +24,9 @@ def chase(pointers: DataFrame, key: Sequence[str], target: Sequence[str], max_ro
     key, target = list(key), list(target)
     hops = [f"__n{i}" for i in range(len(key))]
     table = cut(pointers.where(F.col(target[0]).isNotNull()).select(*key, *target))
-    for _ in range(max_rounds):
+    # A chain has no more hops than there are pointers; what still moves after
+    # that many doublings goes round in a ring.
+    for _ in range(table.count().bit_length() + 1):
         nxt = table.select(*[F.col(k).alias(t) for k, t in zip(key, target)], *[F.col(t).alias(h) for t, h in zip(target, hops)])
         joined = table.join(nxt, target, "left")
         moved = F.col(hops[0]).isNotNull()

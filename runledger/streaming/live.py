@@ -25,10 +25,11 @@ def extract_values_stream(lines: DataFrame, rules: Sequence[Rule], by: Sequence[
     """The batch extraction over a stream: after each trigger the latest match per (by, field) so far.
 
     Args:
-        watermark: (timestamp column, delay). Lines later than the delay are
-            dropped, and repeats of the `unique` columns within it are
-            removed, so the state of old lines can go. Without one the result
-            is that of the batch over the same lines.
+        watermark: (timestamp column, delay). Repeats of the `unique` columns
+            within the delay are removed, lines later than it are dropped, and
+            what is remembered of older lines goes. What stays is one row per
+            (by, field). Without a watermark the result is that of the batch
+            over the same lines.
     """
     if watermark is not None:
         lines = lines.withWatermark(*watermark)

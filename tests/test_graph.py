@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from runledger.operators import aggregates as A
 from runledger.operators import graph as G
 from runledger.operators import versions as V
+from runledger.operators.loops import body_errors, unroll_steps
+from runledger.operators.validate import nested_resources
 from runledger.plans.pointers import chase
 
 EDGES = "recipe int, src int, dst int"
@@ -76,7 +78,7 @@ def test_combined_key_is_null_only_if_all_are(spark, rows):
 
 def test_pointers_end_at_the_last_and_rings_nowhere(spark, rows):
     data = [(i, i + 1) for i in range(37)] + [(100, 101), (101, 100), (102, 100), (200, 201)]
-    got = dict(rows(chase(spark.createDataFrame(data, "k int, t int"), ["k"], ["t"], max_rounds=8)))
+    got = dict(rows(chase(spark.createDataFrame(data, "k int, t int"), ["k"], ["t"])))
     assert all(got[i] == 37 for i in range(37))
     assert got[100] is None and got[101] is None and got[102] is None and got[200] == 201
 
@@ -162,6 +164,22 @@ def test_tree_fingerprint_ignores_order_but_nothing_else(spark):
     assert digest(base, "missing") is None
 
 
+def test_declarations_that_cannot_stand(spark, rows):
+    steps = spark.createDataFrame([(1, "a", "recipe", 2.0, None, None), (1, "b", "tool", 2.0, None, None), (1, "c", "recipe", None, True, None), (1, "d", "recipe", None, False, None)], "recipe int, step string, kind string, cpus double, cpus_all boolean, memory bigint")
+    assert rows(nested_resources(steps)) == [(1, "a"), (1, "c")]
+    body = spark.createDataFrame([(1, "x", True, True), (1, "y", False, False)], "loop int, sub string, scattered boolean, nested boolean")
+    assert rows(body_errors(body)) == [(1, "x", "body step is a nested recipe"), (1, "x", "body step is scattered")]
+
+
+def test_single_step_loop_bodies_have_no_inner_name(spark, rows):
+    loops = spark.createDataFrame([("cal", 3, "done", "n")], "loop string, max_iter int, until string, index_input string")
+    body = spark.createDataFrame([("cal", "")], "loop string, sub string")
+    outputs = spark.createDataFrame([("cal", "done", "", "done")], "loop string, field string, sub string, sub_field string")
+    wiring = spark.createDataFrame([], "loop string, sub string, src_kind string")
+    got = unroll_steps(loops, body, wiring, outputs)
+    assert rows(got, "step", "prev_step", "after") == [("cal.1", None, None), ("cal.2", "cal.1", "cal.1"), ("cal.3", "cal.2", "cal.2")]
+
+
 def test_step_names_use_no_row_order(spark):
     df = spark.range(3).select(F.lit(1).alias("recipe"), F.col("id").alias("idx"), (2 - F.col("id")).alias("level"))
     assert [r.idx for r in G.in_topological_order(df).collect()] == [2, 1, 0]
