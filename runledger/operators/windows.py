@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runledger.operators.joins import containment_join
 from runledger.operators.schema import latest_by
 from runledger.plans.digest import encode, group_digest
+from runledger.plans.lineage import cut
 from runledger.plans.scan import FirstAfter, LastBefore, SumBefore, ordered_scan
 
 
@@ -55,15 +56,15 @@ def access_order_within(accesses: DataFrame, by: Sequence[str], pos: str, chunk:
     pairs = containment_join(paths, paths, by=by).select(*by, F.col("l.path").alias(path), F.col("r.path").alias("state"))
     since = accesses.groupBy(*by, F.col(path).alias("state")).agg(F.min(pos).alias("since"))
     touched = (
-        accesses.select(*by, path, pos, step, mutates)
+        accesses.select(*dict.fromkeys([*by, path, pos, step, mutates]))
         .join(pairs, [*by, path])
         .join(since, [*by, "state"])
         .where(F.col(pos) >= F.col("since"))
-        .select(*by, "state", pos, step, mutates, (F.col(path) == F.col("state")).alias("own"))
+        .select(*dict.fromkeys([*by, "state", pos, step, mutates]), (F.col(path) == F.col("state")).alias("own"))
     )
     writes, own_read = F.col(mutates), F.col("own") & ~F.col(mutates)
     scanned = ordered_scan(
-        touched,
+        cut(touched),
         [*by, "state"],
         [pos],
         chunk,
@@ -108,9 +109,10 @@ def batches(steps: DataFrame, deps: DataFrame, by: Sequence[str], order: str, ch
     """
     sets = deps.select(*by, order, "dep").distinct().groupBy(*by, order).agg(group_digest(encode("dep")).alias("deps"))
     signed = steps.select(*by, order).join(sets, [*by, order], "left").withColumn("deps", F.coalesce("deps", F.lit("none")))
-    lagged = ordered_scan(signed, by, [order], chunk, {"__prev": LastBefore(F.col("deps"))})
+    # A scan reads its input twice: once for the rows, once for the chunk sums.
+    lagged = ordered_scan(cut(signed), by, [order], chunk, {"__prev": LastBefore(F.col("deps"))})
     opened = F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col("deps")), 1).otherwise(0)
-    counted = ordered_scan(lagged.withColumn("__new", opened), by, [order], chunk, {"__seen": SumBefore(F.col("__new"))})
+    counted = ordered_scan(cut(lagged.select(*by, order, opened.alias("__new"))), by, [order], chunk, {"__seen": SumBefore(F.col("__new"))})
     return counted.select(*by, order, (F.col("__seen") + F.col("__new")).alias("batch"))
 
 

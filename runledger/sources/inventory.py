@@ -8,13 +8,14 @@ import os
 import stat
 from collections.abc import Iterator
 from functools import reduce
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.plans.lineage import cut
-from runledger.sources.readers import SAMPLE_BYTES
+from runledger.sources.readers import BATCH_ROWS, SAMPLE_BYTES
 
 FOUND_SCHEMA = "root string, relpath string, kind string, mtime_ns bigint, size bigint, sample string"
 COLUMNS = [part.split()[0] for part in FOUND_SCHEMA.split(", ")]
@@ -77,8 +78,8 @@ def walk_files(roots: DataFrame, sample: bool = False, max_depth: int = 1000) ->
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for root, rel in zip(frame["root"], frame["relpath"]):
-                rows = list(first(root) if rel is None else listed(root, rel))
-                yield pd.DataFrame(rows, columns=COLUMNS).astype({"mtime_ns": "Int64", "size": "Int64"})
+                for rows in batched(first(root) if rel is None else listed(root, rel), BATCH_ROWS):
+                    yield pd.DataFrame(rows, columns=COLUMNS).astype({"mtime_ns": "Int64", "size": "Int64"})
 
     tasks = roots.sparkSession.sparkContext.defaultParallelism
     level = roots.select("root", F.lit(None).cast("string").alias("relpath")).distinct()

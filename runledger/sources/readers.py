@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,7 @@ JOURNAL_SCHEMA = (
     "marker:struct<step_path:string,field:string,cache_key:string,run_id:string,started_at:double>,consumed:map<string,string>>>"
 )
 SAMPLE_BYTES = 4096
+BATCH_ROWS = 10_000
 SAMPLE_LIMIT = 1 << 30
 
 
@@ -62,8 +64,9 @@ def flatten_records(docs: DataFrame, text: str = "text", run: str = "run_id") ->
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [row for run_id, doc in zip(frame["run_id"], frame["text"]) for row in walk(run_id, json.loads(doc))]
-            yield pd.DataFrame(rows, columns=RECORD_FIELDS).astype({"returncode": "Int32"})
+            steps = (row for run_id, doc in zip(frame["run_id"], frame["text"]) for row in walk(run_id, json.loads(doc)))
+            for rows in batched(steps, BATCH_ROWS):
+                yield pd.DataFrame(list(rows), columns=RECORD_FIELDS).astype({"returncode": "Int32"})
 
     return docs.select(F.col(run).cast("string").alias("run_id"), F.col(text).alias("text")).mapInPandas(batches, RECORD_SCHEMA)
 
@@ -205,8 +208,9 @@ def parse_yaml(docs: DataFrame, doc: str = "file", text: str = "text") -> DataFr
 
         loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         for frame in frames:
-            rows = [row for name, body in zip(frame["doc"], frame["text"]) for row in leaves(name, yaml.load(body, loader), "")]
-            yield pd.DataFrame(rows, columns=["doc", "path", "value"])
+            found = (row for name, body in zip(frame["doc"], frame["text"]) for row in leaves(name, yaml.load(body, loader), ""))
+            for rows in batched(found, BATCH_ROWS):
+                yield pd.DataFrame(rows, columns=["doc", "path", "value"])
 
     return docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).mapInPandas(batches, LEAF_SCHEMA)
 
