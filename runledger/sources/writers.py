@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 def nest_records(records: DataFrame, max_depth: int) -> DataFrame:
     """Flat step records back as one JSON document per run: (run_id, text).
 
+    A document is one value, so a run of very many steps has to be given as
+    several runs, told apart by spans of `idx`.
+
     Args:
         records: run_id, path, depth, idx and any fields, one root (depth 0) per run.
     """

@@ -102,3 +102,16 @@ def test_converge_early_never_and_at_once(spark, rows):
         + [(3, 1, False, "m1"), (3, 2, True, "m1")],
         key=repr,
     )
+
+
+def test_one_hot_key_is_spread_over_tasks(spark):
+    """Two thirds of the rows share a key; no task may hold more than a part of them."""
+    df = spark.range(60_000).select((F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id"))).alias("k"), F.col("id").alias("p"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordered_scan(df, ["k"], ["p"], [F.floor(F.col("p") / 500)], {"n": RowNumber()}).where("k = 0")
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("t")).count().collect()]
+        assert sum(sizes) == 40_000 and max(sizes) < 20_000
+        assert got.agg(F.max("n"), F.count_distinct("n")).first()[:] == (40_000, 40_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
