@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from runledger.llm.exact_dedup import content_groups
 from runledger.llm.sharding import shard_documents
+from runledger.llm.tokens import token_counts
 from runledger.llm.url_filter import judge_urls
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +64,8 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @corpus_query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 16)
+
+
+@corpus_query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)

@@ -21,7 +21,10 @@ from runledger.plans.lineage import cut
 from runledger.plans.scan import RowNumber, ordered_scan
 
 #: Groups a task differences at a time, on average.
-GROUPS_PER_PART = 50_000
+GROUPS_PER_PART = 5_000
+#: Groups above the total over HEAD are differenced together: there are fewer than
+#: HEAD of them, and no other group can unbalance its part by more than that.
+HEAD = 1 << 14
 #: Partial partitions a task differences at a time.
 FAN = 1024
 #: Rows of one shard numbered in one task, on average.
@@ -80,16 +83,18 @@ def difference(partials: Sequence[Sequence[int]], k: int) -> tuple[list[int], li
 def balance_groups(groups: DataFrame, key: str, weight: str, k: int, per_part: int = GROUPS_PER_PART) -> DataFrame:
     """(key, part, shard) of each row of `groups`, whose keys are distinct.
 
-    `part` is the task that differenced the group. An empty table gives none.
+    `part` is the task that differenced the group, 0 that of the largest groups.
+    An empty table gives none.
     """
-    parts = max(1, -(-groups.count() // per_part))
+    count, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
+    parts = max(1, -(-count // per_part)) + 1
 
     def shrink(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["w", "k"], ascending=[False, True])
         sums, places = difference([[int(w)] + [0] * (k - 1) for w in frame["w"]], k)
         return pd.DataFrame({"k": frame["k"].values, "part": frame["part"].values, "slot": [p[0] for p in places], "w": frame["w"].values})
 
-    keyed = groups.select(F.col(key).alias("k"), F.col(weight).alias("w"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"))
+    keyed = groups.select(F.col(key).alias("k"), F.col(weight).alias("w"), F.when(F.col(weight) * HEAD > total, 0).otherwise(1 + F.pmod(F.xxhash64(key), F.lit(parts - 1))).alias("part"))
     placed = cut(keyed.groupBy("part").applyInPandas(shrink, f"k {dict(groups.dtypes)[key]}, part long, slot int, w long"))
     # Partial partitions of k sums, FAN of them differenced in a task, until one is left.
     state = placed.groupBy("part", "slot").agg(F.sum("w").alias("w"))
