@@ -70,6 +70,18 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _least_of_most(counts: DataFrame, most: int) -> int:
+    """A count that no more than `most` rows reach, by a histogram of a few hundred classes of n."""
+    level = F.floor(F.log2("n") * 8)
+    reached, least = 0, None
+    for row in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n")).orderBy(F.desc("level")).collect():
+        reached += row["rows"]
+        if reached > most:
+            break
+        least = row["n"]
+    return (1 << 62) if least is None else least
+
+
 def token_counts(docs: DataFrame, model: str, limit: int = 4096, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """One row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit.
 
@@ -93,7 +105,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, key: str = "doc
 
     distinct = rows.select("text").mapInArrow(_frequencies, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     pieces = cut(distinct.mapInArrow(counted, "token string, n long, pieces int"))
-    frequent = pieces.orderBy(F.desc("n"), "token").limit(head).select("token", "pieces").toPandas()
+    frequent = pieces.where(F.col("n") >= _least_of_most(pieces, head)).select("token", "pieces").toPandas()
     shared = spark.sparkContext.broadcast(dict(zip(frequent["token"], frequent["pieces"].tolist())))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
