@@ -7,10 +7,14 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from runledger.llm.exact_dedup import content_groups
+from runledger.llm.html_text import extract_main_text
+from runledger.llm.labelled import fold, labelled_sample
 from runledger.llm.sharding import shard_documents
 from runledger.llm.tokens import token_counts
+from runledger.llm.toxicity import SAMPLE_PER_CLASS, score_toxicity, train_field
 from runledger.llm.url_filter import judge_urls
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +73,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @corpus_query("op4_token_counts")
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
+@corpus_query("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def toxic_field(spark: SparkSession, sf_dir: str):
+    """The field learnt from the labelled documents of a folder, held-out rows excepted."""
+    sample = labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", fold(F.col("k"), 3) != 1, SAMPLE_PER_CLASS)
+    return train_field(sample)
+
+
+@corpus_query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), toxic_field(spark, sf_dir))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans")
+    )
