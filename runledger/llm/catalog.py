@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from runledger.llm.exact_dedup import content_groups
 from runledger.llm.html_text import extract_main_text
 from runledger.llm.labelled import fold, labelled_sample
+from runledger.llm.near_dedup import near_groups
 from runledger.llm.quality import SAMPLE_PER_CLASS as QUALITY_SAMPLE
 from runledger.llm.quality import judge_quality, score_quality, train_network
 from runledger.llm.sharding import shard_documents
@@ -101,3 +102,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = train_network(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", fold(F.col("k"), 5) != 0, QUALITY_SAMPLE))
     return judge_quality(score_quality(docs, net), 0.3).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), "predicted")
+
+
+@corpus_query("op6_near_dedup")
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
