@@ -1,3 +1,85 @@
-"""From documents to shards: five stages, each an operator of `runledger.llm`."""
+"""From documents to shards: five stages, each an operator of `runledger.llm`.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns what it keeps of `docs`, the last
+one the shard and slot of each document. Between stages the rows are written as
+Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runledger.llm.decontaminate import drop_leaks
+from runledger.llm.labelled import fold, labelled_sample
+from runledger.llm.mixing import Margin, mix_documents, topic_of
+from runledger.llm.near_dedup import keep_one_of_each
+from runledger.llm.sharding import shard_documents
+from runledger.llm.toxicity import SAMPLE_PER_CLASS, score_toxicity, train_field
+from runledger.plans.lineage import cut
+
+#: A document from this score on is toxic.
+TOXIC_FROM = 0.7
+#: Target shares of tokens, and the share of all tokens that the mix is to have.
+SOURCES = {"src0": 0.30}
+LANGUAGES = {"en": 0.54, "de": 0.17, "fr": 0.17, "es": 0.12}
+TOPICS = {"prose": 0.91, "listing": 0.03, "legal": 0.03, "contact": 0.03}
+MIX_SHARE = 0.75
+SHARDS = 16
+
+
+def margins() -> list[Margin]:
+    return [Margin("source", F.col("source"), SOURCES), Margin("lang", F.col("lang"), LANGUAGES), Margin("topic", topic_of("text"), TOPICS)]
+
+
+def toxic_field(spark: SparkSession, sf_dir: str):
+    """The field learnt from the labelled documents of a folder, held-out rows excepted."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return train_field(labelled_sample(docs, labels, "toxic", fold(F.col("k"), 3) != 1, SAMPLE_PER_CLASS))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field does not reject."""
+    return score_toxicity(docs, toxic_field(spark, sf_dir)).where(F.col("toxic_score") < TOXIC_FROM).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that their tokens have the target shares."""
+    return mix_documents(docs, margins(), MIX_SHARE)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document."""
+    return shard_documents(docs, SHARDS)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: SQL has no conditional random field, so it has none for the rows of `run`; tests compare stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,15 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.llm.decontaminate import flag_leaks
 from runledger.llm.exact_dedup import content_groups
 from runledger.llm.html_text import extract_main_text
 from runledger.llm.labelled import fold, labelled_sample
+from runledger.llm.mixing import draw_documents
 from runledger.llm.near_dedup import near_groups
 from runledger.llm.quality import SAMPLE_PER_CLASS as QUALITY_SAMPLE
 from runledger.llm.quality import judge_quality, score_quality, train_network
 from runledger.llm.sharding import shard_documents
 from runledger.llm.tokens import token_counts
-from runledger.llm.toxicity import SAMPLE_PER_CLASS, score_toxicity, train_field
+from runledger.llm.toxicity import score_toxicity
 from runledger.llm.url_filter import judge_urls
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,15 +85,9 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
-def toxic_field(spark: SparkSession, sf_dir: str):
-    """The field learnt from the labelled documents of a folder, held-out rows excepted."""
-    sample = labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", fold(F.col("k"), 3) != 1, SAMPLE_PER_CLASS)
-    return train_field(sample)
-
-
 @corpus_query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), toxic_field(spark, sf_dir))
+    scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), corpus_pipeline.toxic_field(spark, sf_dir))
     return scored.select(
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans")
     )
@@ -107,3 +103,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @corpus_query("op6_near_dedup")
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+@corpus_query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flag_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@corpus_query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = draw_documents(table(spark, sf_dir, "documents"), corpus_pipeline.margins(), corpus_pipeline.MIX_SHARE)
+    return drawn.select("doc_id", F.array_join("mix_cell", "/").alias("cell"), F.col("mix_tokens").alias("tokens"), F.col("mix_probability").alias("probability"), F.col("mix_drawn").alias("drawn"))
+
+
+@corpus_query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

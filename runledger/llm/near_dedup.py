@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.components import components
+from runledger.llm.membership import may_hold, membership
 from runledger.plans.lineage import cut
 
 WORDS = 5
@@ -39,8 +40,6 @@ BASE, RATE = 1.02, 20.0
 LEAST_ESTIMATE = 0.62
 #: Members of a bucket that meet in one task.
 BLOCK = 1024
-#: Bits of the membership filter: about 32 a key, and never more than 16 MB.
-FILTER_BITS_PER_KEY, FILTER_MOST_BITS = 32, 1 << 27
 
 _MULTIPLY = (np.random.default_rng(20).integers(0, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = np.random.default_rng(21).integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -232,34 +231,19 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(table)
 
 
-def membership(keys: DataFrame, name: str) -> np.ndarray:
-    """A bit array in which the hash of every key is set; its size is bounded, the keys need not be.
-
-    With more keys than it was made for it lets more others pass, never fewer keys.
-    """
-    count = keys.count()
-    size = 1 << max(16, min(FILTER_MOST_BITS, count * FILTER_BITS_PER_KEY).bit_length() - 1)
-    place = F.pmod(F.xxhash64(name), F.lit(size))
-    words = keys.groupBy(F.shiftright(place, 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(32)).cast("int"))).alias("v"))
-    rows = words.toPandas()
-    bits = np.zeros(size >> 5, np.uint32)
-    bits[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64).astype(np.uint32)
-    return bits
-
-
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, row_key, root.
 
     component_id is the smallest doc_id that links lead to, kept whether that is
     the row's own. A null or empty text, or one of white space, has no shingles
     and is linked with nothing. Rows that repeat a doc_id each have a row. A row
     without doc_id takes part, but does not name a component; its component_id is
     null where no member has an id, and it is kept then only. Other columns are
-    not read. An empty table gives no rows. Texts are read whole.
+    not read. An empty table gives no rows. Texts are read whole. row_key is the
+    row's `row_key`, root names the component for rows with and without ids.
     """
     spark = docs.sparkSession
-    # A row without an id is found again by its text.
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text, F.lit("none"))).alias("k"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(row_key(key, text).alias("k"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = cut(rows.mapInArrow(_sketch, "k long, doc_id long, n long, cls long, regs binary"))
     classes = cut(sketched.where("n > 0").groupBy("cls").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("regs").alias("regs")))
 
@@ -270,14 +254,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     # Full sets of the classes that have bucket mates, from the text of one document of each.
     wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("k")
-    bits = spark.sparkContext.broadcast(membership(wanted, "k"))
+    bits = spark.sparkContext.broadcast(membership(wanted, [F.xxhash64("k")]))
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, words = _WordHashes(), bits.value
-        size = len(words) << 5
         for batch in batches:
-            place = np.asarray(batch.column("place")) % size
-            keep = np.flatnonzero((words[place >> 5] >> (place & 31).astype(np.uint32)) & 1)
+            keep = np.flatnonzero(may_hold(words, np.asarray(batch.column("place"))))
             sets = [shingles(t, known) for t in batch.column("text").take(pa.array(keep)).to_pylist()]
             cls = [_class_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "s"])
@@ -306,14 +288,29 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     more = verified.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).alias("both")).where(F.col("i") * 100 >= (F.col("both") - F.col("i")) * PERCENT)
 
     roots = components(linked.select(F.col("cls").alias("a"), F.col("hub").alias("b")).unionAll(more.select("a", "b")))
-    named = sketched.where("n > 0").select("doc_id", "n", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
-    named = cut(named)
+    named = sketched.where("n > 0").select("doc_id", "n", "k", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    named = cut(named.select("doc_id", "n", "k", F.coalesce("root", "cls").alias("root")))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    full = named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = sketched.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    full = named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("k").alias("row_key"), "root")
+    # Names of components are not negative, so what is linked with nothing has names of its own below.
+    alone = (-1 - F.shiftrightunsigned(F.xxhash64("k"), 1)).alias("root")
+    empty = sketched.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("k").alias("row_key"), alone)
     return full.unionAll(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def row_key(key: str, text: str) -> Column:
+    """The id of a row, or for a row without one a hash of its text."""
+    return F.coalesce(F.col(key).cast("long"), F.xxhash64(text, F.lit("none")))
+
+
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` without near duplicates: of each group the one with the smallest id, rows without
+    one last; of rows that repeat an id, one. Columns are those of `docs`."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    stay = near_groups(docs, key, text).groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.row_key").alias("__key")).distinct()
+    return docs.withColumn("__key", row_key(key, text)).join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+
+
 def _hubs(members: DataFrame) -> DataFrame:
     """(cls, hub): the class with most bucket mates among those a class shares a bucket with, itself included."""
     degree = cut(members.groupBy("cls").agg(F.sum("mates").alias("degree")))
