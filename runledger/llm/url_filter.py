@@ -116,7 +116,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: str
     # Urls of equal tokens are judged once; the rest of the corpus is not shuffled for them.
     open_urls = judged.where("listed is null and size(tokens) > 0").select(F.sha2(F.array_join("tokens", "\x1f"), 256).alias("u"), "tokens").dropDuplicates(["u"])
     verdicts = apply_rules(open_urls, mined, "u")
-    u = F.when(F.col("listed").isNull() & (F.size("tokens") > 0), F.sha2(F.array_join("tokens", "\x1f"), 256))
+    # Rows that a listed rule decides find nothing, each under a name of its own so that they do not meet in one task.
+    u = F.when(F.col("listed").isNull() & (F.size("tokens") > 0), F.sha2(F.array_join("tokens", "\x1f"), 256)).otherwise(F.concat(F.lit("row:"), F.xxhash64("page_id", "path").cast("string")))
     return judged.withColumn("u", u).join(verdicts, "u", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("listed", "mined_verdict", F.lit(default)).alias("verdict"), "mined_rule"
     )
