@@ -100,9 +100,26 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(score_quality(docs, net), 0.3).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), "predicted")
 
 
-@corpus_query("op6_near_dedup")
+@corpus_query(
+    "op6_near_dedup",
+    """
+    with recursive w as (
+      select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws
+      from documents),
+    s as (
+      select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+                                          else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh
+      from w),
+    n as (select w.doc_id, count(s.sh) as n from w left join s on w.doc_id = s.doc_id group by w.doc_id),
+    pairs as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+    links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)),
+    both_ways as (select a, b from links union select b, a from links),
+    reach as (select doc_id as node, doc_id as other from n union select r.node, e.b from reach r join both_ways e on e.a = r.other),
+    least as (select node, min(other) as component_id from reach group by node)
+    select n.doc_id, n.n as n_shingles, component_id, n.doc_id = component_id as kept from n join least on node = n.doc_id""",
+)
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @corpus_query("op9_decontamination")

@@ -22,7 +22,8 @@ from runledger.plans.lineage import cut
 
 WORD = re.compile(r"\w+")
 #: 1: the word counts; 0: any word may stand there.
-MASKS = ("111111110000", "110110110101", "101100111011")
+MASKS = ("11111111", "110110110101", "101100111011")
+SHORTEST, WIDEST = min(map(len, MASKS)), max(map(len, MASKS))
 #: An overlap is a leak from this many equal words on, or this share of the item.
 LEAST_WORDS, LEAST_SHARE = 10, 0.6
 #: Share of its words that are equal in an overlap, at least: one in four may differ.
@@ -67,8 +68,8 @@ def _read_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def masks_of(span: int) -> list[str]:
-    """The masks an item of `span` words is found by: all, or one of its own length if they do not fit."""
-    return list(MASKS) if span >= len(MASKS[0]) else ["1" * span]
+    """The masks an item of `span` words is found by: those that fit, or one of its own length if none does."""
+    return [m for m in MASKS if len(m) <= span] or ["1" * span]
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +124,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     listed = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     items = cut(listed.mapInArrow(_read_items, "item_id long, n int, words array<long>").where(F.col("n") >= SHORTEST_ITEM))
     index = cut(items.mapInArrow(_index, "h long, item_id long, item_at int"))
-    bounds = items.agg(F.max("n"), F.collect_set(F.when(F.col("n") < len(MASKS[0]), F.col("n")))).first()
+    bounds = items.agg(F.max("n"), F.collect_set(F.when(F.col("n") < SHORTEST, F.col("n")))).first()
     reach = int(bounds[0] or 0)
     masks = [*MASKS, *("1" * n for n in sorted(bounds[1]))]
     places = [F.col("h"), F.shiftright("h", 24)]
@@ -151,7 +152,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                 # Hits within an item's length of each other share a region, which holds all they could align.
                 starts = np.concatenate([[0], np.flatnonzero(np.diff(a) > reach) + 1, [len(a)]])
                 for lo, hi in zip(starts[:-1], starts[1:]):
-                    begin, end = max(0, int(a[lo]) - reach), int(a[hi - 1]) + reach + len(MASKS[0])
+                    begin, end = max(0, int(a[lo]) - reach), int(a[hi - 1]) + reach + WIDEST
                     row.append(r)
                     doc.append(d)
                     region_at.append(begin)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a chunk, and how many of them the next chunk sees again.
 CHUNK, OVERLAP = 256, 32
@@ -175,7 +176,7 @@ def score_quality(docs: DataFrame, net: Network | None, prior: float = 0.5, text
     Repeated rows score alike. Only the text is read to score, and all of it.
     """
     target = docs.drop("quality_score")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in target.schema), "quality_score double"])
+    schema = T.StructType([*target.schema, T.StructField("quality_score", T.DoubleType())])
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
