@@ -121,15 +121,13 @@ def _(t):
     select cast(run_id as varchar) as run_id, path, depth, cast(idx as integer) as idx, name, returncode, containerized, venv from (select * from r union all select * from s) x""",
 )
 def _(t):
-    # A run is one document, so a run of very many steps is told apart by spans.
-    span = F.when(F.col("idx") <= 10000, F.lit("")).otherwise(F.concat(F.lit("-"), F.floor(F.col("idx") / 10000).cast("string")))
-    records = t.step_records.withColumn("run_id", F.concat(F.col("run_id").cast("string"), span))
+    records = t.step_records.withColumn("run_id", F.col("run_id").cast("string"))
     root = F.concat(F.lit("r"), "run_id")
     steps = records.select("run_id", F.concat(root, F.lit("."), "step").alias("path"), F.lit(1).alias("depth"), "idx", F.col("step").alias("name"), F.col("returncode").cast("int").alias("returncode"), "containerized", "venv")
-    roots = records.where("idx = 1 or idx % 10000 = 0 and idx > 10000").select(
+    roots = records.where("idx = 1").select(
         "run_id", root.alias("path"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("idx"), root.alias("name"), F.lit(None).cast("int").alias("returncode"), F.lit(False).alias("containerized"), F.lit(None).cast("string").alias("venv")
     )
-    docs = O.nest_records(roots.unionByName(steps), 1)
+    docs = O.nest_records(roots.unionByName(steps))
     path = f"{scratch_root(t.spark)}/{uuid.uuid4().hex}"
     stamp = F.timestamp_seconds(F.lit(1700000000) + F.pmod(F.hash("run_id"), F.lit(3)) * 86400)
     O.write_runs(docs.withColumn("name", F.concat(F.lit("n"), F.pmod(F.hash("run_id"), F.lit(2)).cast("string"))).withColumn("generated_at", stamp), path)
@@ -158,17 +156,22 @@ def _(t):
     return R.parse_cache(docs.drop("span")).select("owner", "step_path", "cache_key", "run_id", F.col("outputs")["product"].alias("product"), "containerized")
 
 
+#: Generations of a chain that one document holds.
+SPAN = 10_000
+
+
 def _journals(t):
-    # One document per chain, and one more for each further 10000 generations.
-    span = F.floor(F.col("pos") / 10000).alias("span")
+    # One document per chain, and one more for each further SPAN generations, which says where it begins.
+    span = F.floor(F.col("pos") / SPAN).alias("span")
     generations = t.generations.groupBy("chain", span).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "size", F.col("present").alias("snapshot_present")))), lambda g: F.struct(g["name"].alias("name"), g["size"].alias("size"), g["snapshot_present"].alias("snapshot_present"))).alias("generations")
     )
     consumed = t.consumed.groupBy("chain").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("::", "step_path", "field"), "name"))).alias("consumed"))
     marker = F.when(F.col("marker_run").isNotNull(), F.struct(F.lit("s1").alias("step_path"), F.lit("ms").alias("field"), F.col("marker_run").alias("run_id")))
     chains = t.chains.join(generations, "chain").join(consumed, "chain", "left")
+    begins = F.when(F.col("span") > 0, F.col("span") * SPAN).alias("first")
     return chains.select(
-        F.to_json(F.create_map(F.concat("path", F.when(F.col("span") == 0, F.lit("")).otherwise(F.concat(F.lit("#"), F.col("span").cast("string")))), F.struct(F.col("chain").alias("dev"), "path", "head", "status", "tainted_through", "generations", "consumed", marker.alias("marker")))).alias("text")
+        F.to_json(F.create_map("path", F.struct(F.col("chain").alias("dev"), "path", "head", "status", "tainted_through", begins, "generations", "consumed", marker.alias("marker")))).alias("text")
     )
 
 

@@ -28,7 +28,7 @@ def _(t):
 
 @query(
     "topo_levels",
-    "GR2 ST1 ST2",
+    "GR2 ST2",
     """
     with recursive walk as (select recipe, idx, 0 as level from steps union select d.recipe, d.dst, w.level + 1 from walk w join dag d on d.recipe = w.recipe and d.src = w.idx)
     select recipe, idx, max(level) as level from walk group by 1, 2""",
@@ -37,6 +37,11 @@ def _(t):
     return G.in_topological_order(G.topo_levels(t.steps, t.dag))
 
 
+@query("declared_order", "ST1", "select recipe, step, idx from steps")
+def _(t):
+    return G.in_declaration_order(t.steps.select("recipe", "step", "idx"))
+
+
 @query(
     "cycle_nodes",
     "GR3",

@@ -71,14 +71,14 @@ def _(t):
     "dangling_outputs",
     "JN2",
     """
-    with ow as (select recipe, concat('o', scope % 3) as field, concat('s', scope % 9) as src_step, case when scope % 2 = 0 then 'aux' else 'out' end as src_field from steps where idx <= 2),
+    with ow as (select recipe, concat('o', scope % 3) as field, concat('s', scope % 9) as src_step, case when scope % 2 = 0 then 'aux' else 'out' end as src_field from steps),
     names as (select distinct recipe, step from steps), gives as (select distinct s.recipe, s.step, f.field from steps s join output_fields f on f.scope = s.scope)
     select distinct recipe, src_step as step, 'unknown recipe output' as rule, field as detail from ow where field = 'o2'
     union select recipe, src_step, 'unknown step', src_step from ow where (recipe, src_step) not in (from names)
     union select recipe, src_step, 'unknown output', src_field from ow where (recipe, src_step) in (from names) and (recipe, src_step, src_field) not in (from gives)""",
 )
 def _(t):
-    wiring = t.steps.where("idx <= 2").select(
+    wiring = t.steps.select(
         "recipe",
         F.concat(F.lit("o"), (F.col("scope") % 3).cast("string")).alias("field"),
         F.concat(F.lit("s"), (F.col("scope") % 9).cast("string")).alias("src_step"),

@@ -102,12 +102,12 @@ def _(t):
     "recipe_outputs",
     "AG8",
     """
-    with w as (select recipe as run_id, concat('o', idx) as field, 1 + scope % 8 as src_step, case when scope % 2 = 0 then 'out' else 'log' end as src_field from steps where idx <= 3)
+    with w as (select recipe as run_id, concat('o', idx) as field, 1 + scope % 8 as src_step, case when scope % 2 = 0 then 'out' else 'log' end as src_field from steps)
     select w.run_id, w.field, case when w.src_field = 'out' then s.scope end as value from w left join steps s on s.recipe = w.run_id and s.idx = w.src_step""",
 )
 def _(t):
     results = t.steps.select(F.col("recipe").alias("run_id"), F.col("idx").alias("step"), F.lit("out").alias("field"), F.col("scope").alias("value"))
-    wiring = t.steps.where("idx <= 3").select(
+    wiring = t.steps.select(
         F.col("recipe").alias("run_id"),
         F.concat(F.lit("o"), F.col("idx").cast("string")).alias("field"),
         (F.col("scope") % 8 + 1).alias("src_step"),

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from runledger.catalog.base import query
-from runledger.catalog.slices import LINES_SQL, RULES
+from runledger.catalog.slices import EXTRACTED_SQL, RULES
 from runledger.operators import incremental as I
 from runledger.operators import steps as S
 from runledger.plans.lineage import scratch_root
@@ -65,17 +65,36 @@ def halve(df, iteration):
     return df.select("o_orderkey", (F.floor(F.col("v") / 2)).alias("w"), F.lit(iteration).alias("k"))
 
 
+@query(
+    "emptied_partitions",
+    "TP1",
+    """select l_suppkey % 50 as shard, l_suppkey, count(*) as n from lineitem where l_quantity > case when l_suppkey % 50 % 5 = 0 then 1000 else 10 end group by 1, 2""",
+)
+def _(t):
+    """The output itself after the rows of every fifth shard have come to nothing."""
+    ledger, out = I.VersionedTable(t.spark, _fresh(t)), _fresh(t)
+    lines = t.lineitem.select((F.col("l_suppkey") % 50).alias("shard"), "l_quantity", "l_orderkey", "l_suppkey")
+    I.process_changed(lines, ["shard"], count_lines, ledger, out, {"floor": 10})
+    emptied = lines.withColumn("l_quantity", F.when(F.col("shard") % 5 == 0, F.lit(0).cast(lines.schema["l_quantity"].dataType)).otherwise(F.col("l_quantity")))
+    I.process_changed(emptied, ["shard"], count_lines, ledger, out, {"floor": 10})
+    return t.spark.read.parquet(out).select(F.col("shard").cast("bigint").alias("shard"), "l_suppkey", "n")
+
+
+#: Far more halvings than a price can take.
+MOST_HALVINGS = 64
+
+
 @query(
     "fixed_point",
     "TP2",
     """
-    with m as (select cast(ceil(ln(max(o_totalprice::bigint // 100) + 1) / ln(2)) as bigint) as n from orders), k as (select least(n, 6) as n from m)
-    select o_orderkey, (cast(floor(o_totalprice) as bigint) // 100) // (1 << k.n::integer) as w, k.n as k from orders, k""",
+    with m as (select cast(floor(ln(max(cast(floor(o_totalprice) as bigint) // 100)) / ln(2)) as bigint) + 1 as n from orders)
+    select o_orderkey, 0 as w, n as k, true as converged, n as rounds from orders, m""",
 )
 def _(t):
     start = t.orders.select("o_orderkey", F.floor(F.floor("o_totalprice") / 100).alias("v"))
-    result, _k, _done = I.iterate(start, halve, 6, lambda df: df.agg(F.max("w") == 0), carry={"w": "v"})
-    return result
+    result, rounds, converged = I.iterate(start, halve, MOST_HALVINGS, lambda df: df.agg(F.max("w") == 0), carry={"w": "v"})
+    return result.withColumns({"converged": F.lit(converged), "rounds": F.lit(rounds)})
 
 
 @query("rolled_back_state", "TP4", "select o_orderkey, o_orderstatus from orders where o_orderkey % 3 = 0")
@@ -102,22 +121,19 @@ def _(t):
 
 
 def _stream(t, name: str, frame):
-    return t.spark.readStream.schema(frame.schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(t.folder)
+    """A table as a stream, whether it is one file or a folder of part files.
 
+    The pattern matches just its name; without one a stream takes the path for a folder.
+    """
+    return t.spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{t.folder}/{name}.parque[t]")
 
-@query(
-    "extracted_stream",
-    "SS1",
-    rf"""
-    with {LINES_SQL},
-    hits as (select doc_id, line_no, 'number' as field, regexp_extract(text, '([0-9]+)', 1) as raw from lines where regexp_matches(text, '[0-9]'))
-    select doc_id, field, try_cast(arg_max(raw, line_no) as bigint) as int_value from hits group by 1, 2""",
-)
+
+@query("extracted_stream", "SS1", EXTRACTED_SQL)
 def _(t):
     lines = explode_lines(_stream(t, "documents", t.documents), "text", ["doc_id"])
     out = _fresh(t)
-    V.write_updates(V.extract_values_stream(lines, RULES[:1], ["doc_id"], ["line_no"]), out, _fresh(t), available_now=True).awaitTermination()
-    return V.read_latest(t.spark, out, ["doc_id", "field"]).select("doc_id", "field", "int_value")
+    V.write_updates(V.extract_values_stream(lines, RULES, ["doc_id"], ["line_no"]), out, _fresh(t), available_now=True).awaitTermination()
+    return V.read_latest(t.spark, out, ["doc_id", "field"])
 
 
 def _lifecycle(events):

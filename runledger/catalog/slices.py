@@ -55,10 +55,7 @@ RULES = [
 ]
 
 
-@query(
-    "extracted_values",
-    "AG1",
-    rf"""
+EXTRACTED_SQL = rf"""
     with {LINES_SQL},
     hits as (
       select doc_id, line_no, 0 as rule_no, 'number' as field, 'int' as type, regexp_extract(text, '([0-9]+)', 1) as raw from lines where regexp_matches(text, '([0-9]+)')
@@ -70,8 +67,10 @@ RULES = [
     last as (select * from hits qualify row_number() over (partition by doc_id, field order by line_no desc, rule_no desc) = 1)
     select doc_id, field, type, case when type = 'str' then raw end as text_value, case when type = 'int' then try_cast(raw as bigint) end as int_value,
            case when type = 'float' then try_cast(raw as double) end as float_value, case when type = 'bool' then true end as bool_value,
-           case when type = 'int' and try_cast(raw as bigint) is null then 'not an int' end as error from last""",
-)
+           case when type = 'int' and try_cast(raw as bigint) is null then 'not an int' end as error from last"""
+
+
+@query("extracted_values", "AG1", EXTRACTED_SQL)
 def _(t):
     return X.extract_values(L.explode_lines(t.documents, "text", ["doc_id"]), RULES, ["doc_id"], ["line_no"])
 

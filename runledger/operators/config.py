@@ -13,6 +13,8 @@ from runledger.plans.paths import normalize, within
 
 # Fixed value: the key of a directive that names what its node inherits.
 USE = "_use"
+# How readers write a map without keys.
+EMPTY_MAP = "{}"
 
 
 def effective(settings: DataFrame, key: str = "setting_key", rank: str = "layer_rank", value: str = "value") -> DataFrame:
@@ -41,11 +43,17 @@ def deep_merge(layers: DataFrame, by: Sequence[str] = ("doc",), rank: str = "ran
     by = list(by)
     top = layers.groupBy(*by, "path").agg(F.max_by("value", rank).alias("value"), F.max(rank).alias("__r"))
     up = top.select(*by, F.col("path").alias("leaf"), F.col("__r").alias("leaf_rank"), F.explode(_prefixes(F.col("path"))).alias("path"))
-    replaced_map = up.join(top.select(*by, "path", "__r"), [*by, "path"]).where(F.col("__r") > F.col("leaf_rank")).select(*by, F.col("leaf").alias("path"))
+    # An empty map replaces values at and above its path, but merges with the map below it.
+    maps = top.where(~F.col("value").eqNullSafe(EMPTY_MAP))
+    replaced_map = up.join(maps.select(*by, "path", "__r"), [*by, "path"]).where(F.col("__r") > F.col("leaf_rank")).select(*by, F.col("leaf").alias("path"))
     map_above = up.groupBy(*by, "path").agg(F.max("leaf_rank").alias("__m"))
     replaced_value = top.join(map_above, [*by, "path"]).where(F.col("__m") > F.col("__r")).select(*by, "path")
     hidden = replaced_map.unionByName(replaced_value).distinct()
-    return top.join(hidden, [*by, "path"], "left_anti").select(*by, "path", "value", F.col("__r").alias(rank))
+    left = top.join(hidden, [*by, "path"], "left_anti")
+    # An empty map with something left below it is that map.
+    filled = left.select(*by, F.explode(_prefixes(F.col("path"))).alias("path")).distinct().withColumn("__filled", F.lit(True))
+    shown = left.join(filled, [*by, "path"], "left").where(~((F.col("value") == EMPTY_MAP) & F.col("__filled").isNotNull()).eqNullSafe(True))
+    return shown.select(*by, "path", "value", F.col("__r").alias(rank))
 
 
 def unknown_uses(leaves: DataFrame, by: Sequence[str] = ("doc",)) -> DataFrame:
@@ -67,13 +75,14 @@ def _directives(leaves: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, *carried, at.alias("at"), F.posexplode(F.split("value", r"\s*,\s*")).alias("pos", "target"))
 
 
-def resolve_uses(leaves: DataFrame, by: Sequence[str] = ("doc",), max_depth: int = 32) -> DataFrame:
+def resolve_uses(leaves: DataFrame, by: Sequence[str] = ("doc",)) -> DataFrame:
     """Documents with every `_use: dotted.path` replaced by what it names: (by, path, value).
 
     A node's own keys win over what it inherits, what a later directive of a
     list names wins over an earlier one, and a directive deeper in the tree
     wins over one above it. Inherited directives are followed in turn, one
-    round per step of the chain.
+    round per step of the chain, however long; a chain of more steps than its
+    document has directives goes round in a ring, which is an error.
 
     Args:
         leaves: (by, path, value).
@@ -86,7 +95,8 @@ def resolve_uses(leaves: DataFrame, by: Sequence[str] = ("doc",), max_depth: int
     named = _directives(source, by).select(*by, "target").distinct()
     under = cut(source.select(*by, nodes, F.col("path").alias("leaf"), "value").join(named, [*by, "target"], "left_semi"))
     rounds = [source.withColumn("trail", F.array().cast("array<struct<depth:int,pos:int>>"))]
-    for _ in range(max_depth):
+    longest = _directives(source, by).groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest + 1):
         pending = _directives(rounds[-1], by)
         depth = F.when(F.col("at") == "", F.lit(0)).otherwise(F.size(F.split("at", r"\.")))
         hop = F.array(F.struct(depth.alias("depth"), F.col("pos").alias("pos")))
@@ -98,7 +108,7 @@ def resolve_uses(leaves: DataFrame, by: Sequence[str] = ("doc",), max_depth: int
             break
         rounds.append(fresh)
     else:
-        raise ValueError(f"`{USE}` directives nest deeper than {max_depth}, or name each other in a ring")
+        raise ValueError(f"`{USE}` directives name each other in a ring")
     every = reduce(DataFrame.unionByName, rounds).where((F.col("path") != USE) & ~F.col("path").endswith(f".{USE}"))
     ranked = cut(every.withColumn("rank", F.concat("trail", F.array(own))).drop("trail"))
     return deep_merge(ranked, by).drop("rank")

@@ -35,7 +35,7 @@ def harvest_plan(files: DataFrame, patterns: DataFrame, outputs: DataFrame) -> D
     usable = patterns.where(~F.col("pattern").startswith("/") & ~F.col("pattern").rlike(r"(^|/)\.\.(/|$)"))
     # The literal prefix of a glob is an ancestor of whatever it matches: join
     # on that, then test the regex on the few pairs left.
-    keyed = usable.select("run", F.coalesce(literal_prefix(F.col("pattern")), F.lit("")).alias("__p"), glob_regex(F.col("pattern")).alias("__g"))
+    keyed = usable.select("run", F.coalesce(literal_prefix(F.col("pattern")), F.lit("")).alias("__p"), glob_regex(F.col("pattern")).alias("__g")).distinct()
     prefixes = F.concat(F.array(F.lit("")), ancestors(F.col("path"), proper=True))
     pairs = files.select("run", "path", F.explode(prefixes).alias("__p")).join(keyed, ["run", "__p"]).where("path rlike __g")
     matched = pairs.select("run", "path", F.lit(False).alias("declared"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.plans.digest import WORDS, digest_of_sums, encode, group_digest, hash_words, row_digest
-from runledger.plans.lineage import cut
+from runledger.plans.lineage import Rounds, cut
 from runledger.plans.pointers import chase
 
 
@@ -35,30 +35,30 @@ def build_edges(steps: DataFrame, wiring: DataFrame, after: DataFrame, by: Seque
     return known.select(*by, "src", "dst", F.when(F.col("order_only") == 1, F.lit("order")).otherwise(F.lit("data")).alias("kind"))
 
 
-def topo_levels(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ("recipe",), node: str = "idx", max_rounds: int = 10_000) -> DataFrame:
+def topo_levels(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ("recipe",), node: str = "idx") -> DataFrame:
     """Length of the longest path from a source to each node; null on and behind a cycle.
 
-    Every round takes the nodes that wait for nothing and lowers the count of
-    what the rest waits for.
+    A round takes the nodes whose last predecessor the one before has freed. It
+    touches what those lead to and what is freed in part, not the rest.
     """
-    by = list(by)
-    known = cut(nodes.select(*by, node).distinct())
+    by, place = list(by), [*by, node]
+    known = cut(nodes.select(*place).distinct())
     # An edge from a node that is not there holds nobody back.
-    arcs = cut(edges.select(*by, "src", "dst").distinct().join(known.withColumnRenamed(node, "src"), [*by, "src"], "left_semi"))
-    waits = arcs.groupBy(*by, F.col("dst").alias(node)).agg(F.count(F.lit(1)).alias("waits"))
-    state = cut(known.join(waits, [*by, node], "left").select(*by, node, F.coalesce("waits", F.lit(0)).alias("waits")))
-    done = []
-    for level in range(max_rounds):
-        ready, left = state.where("waits = 0"), state.where("waits > 0")
+    present = edges.select(*by, "src", F.col("dst").alias(node)).distinct().join(known.withColumnRenamed(node, "src"), [*by, "src"], "left_semi")
+    needs = present.groupBy(*place).agg(F.count(F.lit(1)).alias("need"))
+    arcs = cut(present.join(needs, place))
+    zero = F.lit(0).cast("bigint")
+    rounds = Rounds(known.sparkSession)
+    touched = rounds.add(known.join(needs, place, "left_anti").select(*place, zero.alias("freed"), zero.alias("need")))
+    while True:
+        ready = touched.where("freed = need")
         if ready.isEmpty():
             break
-        done.append(ready.select(*by, node, F.lit(level).alias("level")))
-        freed = ready.withColumnRenamed(node, "src").join(arcs, [*by, "src"]).groupBy(*by, F.col("dst").alias(node)).agg(F.count(F.lit(1)).alias("freed"))
-        state = cut(left.join(freed, [*by, node], "left").select(*by, node, (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits")))
-    else:
-        raise RuntimeError(f"paths of more than {max_rounds} steps")
-    stuck = state.select(*by, node, F.lit(None).cast("int").alias("level"))
-    return reduce(DataFrame.unionByName, [*done, stuck])
+        ahead = ready.select(*by, F.col(node).alias("src")).join(arcs, [*by, "src"]).select(*place, F.lit(1).cast("bigint").alias("freed"), "need")
+        again = ahead.unionByName(touched.where("freed < need"))
+        touched = rounds.add(again.groupBy(*place).agg(F.sum("freed").alias("freed"), F.max("need").alias("need")))
+    levels = rounds.all().where("freed = need").select(*place, "level")
+    return known.join(levels, place, "left")
 
 
 def in_declaration_order(df: DataFrame, by: Sequence[str] = ("recipe",), index: str = "idx") -> DataFrame:
@@ -128,7 +128,7 @@ def find_cycles(edges: DataFrame, by: Sequence[str] = ("recipe",)) -> DataFrame:
     return cycles.unionByName(alone.join(cycles, [*by, "node"], "left_anti"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, by: Sequence[str] = ("recipe",), node: str = "idx", carry: Sequence[str] = (), max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, by: Sequence[str] = ("recipe",), node: str = "idx", carry: Sequence[str] = ()) -> DataFrame:
     """Nodes that edges lead to from the seeds, themselves not included unless a cycle leads back.
 
     Args:
@@ -139,14 +139,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, by: Sequence[str] = ("recipe",
     steps = cut(edges.select(*by, F.col("src").alias(node), F.col("dst").alias("__to")).distinct())
     frontier = seeds.select(*by, node, *carry).distinct()
     seen = None
-    for _ in range(max_rounds):
+    while True:
         ahead = frontier.join(steps, [*by, node]).select(*by, F.col("__to").alias(node), *carry).distinct()
         fresh = cut(ahead if seen is None else ahead.join(seen, [*by, node, *carry], "left_anti"))
         if fresh.isEmpty():
             return fresh if seen is None else seen
         seen = fresh if seen is None else seen.unionByName(fresh)
         frontier = fresh
-    raise RuntimeError(f"paths of more than {max_rounds} edges")
 
 
 def blocked(edges: DataFrame, failed: DataFrame, by: Sequence[str] = ("recipe",), node: str = "idx") -> DataFrame:
@@ -178,46 +177,44 @@ def own_digest(steps: DataFrame, params: DataFrame, by: Sequence[str] = ("recipe
     return steps.join(entries, [*by, node], "left").select(*by, node, row_digest("image", "identity", "venv", "params").alias("own"))
 
 
-def step_keys(own: DataFrame, wiring: DataFrame, by: Sequence[str] = ("recipe",), node: str = "idx", max_rounds: int = 10_000) -> DataFrame:
+def step_keys(own: DataFrame, wiring: DataFrame, by: Sequence[str] = ("recipe",), node: str = "idx") -> DataFrame:
     """A key per step that changes when anything it is computed from does: (by, node, key).
 
     A step on or behind a cycle has no key. A step whose `own` is null is not
     cached: it has no key and adds none downstream. The digest of what a step
     reads is a sum, so each round only adds the keys just found to the sums of
-    the steps that read them.
+    the steps that read them, and touches no others.
 
     Args:
         own: see `own_digest`.
         wiring: (by, node, field, pos, src), the inputs produced by other steps.
     """
-    by = list(by)
+    by, place = list(by), [*by, node]
     words = [f"__w{i}" for i in range(WORDS)]
-    place = [*by, node]
     base = cut(own.select(*place, "own"))
-    arcs = cut(wiring.select(*place, "field", "pos", "src").join(base.select(*by, F.col(node).alias("src")), [*by, "src"], "left_semi"))
-    waits = arcs.groupBy(*place).agg(F.count(F.lit(1)).alias("waits"))
-    zero = [F.lit(0).cast("bigint").alias(c) for c in ("__n", *words)]
-    state = cut(base.join(waits, place, "left").select(*place, "own", F.coalesce("waits", F.lit(0)).alias("waits"), *zero))
+    present = wiring.select(*place, "field", "pos", "src").join(base.select(*by, F.col(node).alias("src")), [*by, "src"], "left_semi")
+    needs = present.groupBy(*place).agg(F.count(F.lit(1)).alias("need"))
+    arcs = cut(present.join(needs.join(base, place), place))
+    zero = F.lit(0).cast("bigint")
     upstream = F.when(F.col("__n") > 0, digest_of_sums(F.col("__n"), [F.col(w) for w in words]))
-    done = []
-    for _ in range(max_rounds):
-        ready, left = state.where("waits = 0"), state.where("waits > 0")
+    key = F.when((F.col("freed") == F.col("need")) & F.col("own").isNotNull(), row_digest(F.col("own"), upstream)).alias("key")
+    state = [*place, "own", "freed", "need", "__n", *words]
+    rounds = Rounds(base.sparkSession)
+    first = base.join(needs, place, "left_anti").select(*place, "own", *[zero.alias(c) for c in state[len(place) + 1 :]])
+    touched = rounds.add(first.select(*state, key))
+    while True:
+        ready = touched.where("freed = need")
         if ready.isEmpty():
             break
-        keyed = ready.select(*place, F.when(F.col("own").isNotNull(), row_digest(F.col("own"), upstream)).alias("key"))
-        done.append(keyed)
-        sources = keyed.select(*by, F.col(node).alias("src"), F.col("key").alias("src_key"))
+        sources = ready.select(*by, F.col(node).alias("src"), F.col("key").alias("src_key"))
         entry = F.when(F.col("src_key").isNotNull(), F.sha2(encode("field", "pos", "src_key"), 256)).alias("__h")
-        read = sources.join(arcs, [*by, "src"]).select(*place, entry)
-        added = read.groupBy(*place).agg(
-            F.count(F.lit(1)).alias("freed"), F.count("__h").alias("__an"), *[F.sum(v).alias(f"__a{w}") for v, w in zip(hash_words(F.col("__h")), words)]
-        )
-        grown = [(F.col(c) + F.coalesce(a, F.lit(0))).alias(c) for c, a in zip(("__n", *words), ("__an", *[f"__a{w}" for w in words]))]
-        state = cut(left.join(added, place, "left").select(*place, "own", (F.col("waits") - F.coalesce("freed", F.lit(0))).alias("waits"), *grown))
-    else:
-        raise RuntimeError(f"paths of more than {max_rounds} steps")
-    stuck = state.select(*place, F.lit(None).cast("string").alias("key"))
-    return reduce(DataFrame.unionByName, [*done, stuck])
+        read = sources.join(arcs, [*by, "src"]).select(*place, "own", "need", entry)
+        added = read.select(*place, "own", F.lit(1).cast("bigint").alias("freed"), "need", F.col("__h").isNotNull().cast("bigint").alias("__n"), *[F.coalesce(v, zero).alias(w) for v, w in zip(hash_words(F.col("__h")), words)])
+        both = added.unionByName(touched.where("freed < need").select(*state))
+        sums = both.groupBy(*place).agg(F.first("own").alias("own"), F.max("need").alias("need"), *[F.sum(c).alias(c) for c in ("freed", "__n", *words)])
+        touched = rounds.add(sums.select(*state, key))
+    keys = rounds.all().where("freed = need").select(*place, "key")
+    return base.select(*place).join(keys, place, "left")
 
 
 def output_keys(refs: DataFrame, output_wiring: DataFrame, leaf_keys: DataFrame) -> DataFrame:

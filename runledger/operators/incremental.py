@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import inspect
+import pickle
+import types
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
@@ -12,11 +16,16 @@ from pyspark.sql import functions as F
 
 from runledger.plans.digest import encode, group_digest, row_digest
 from runledger.plans.lineage import cut
-from runledger.sources.writers import write_outputs
+from runledger.sources.writers import drop_partitions, write_outputs
 
 POINTER_SCHEMA = "seq bigint, name string"
 
 
+def _is_absent(error: AnalysisException) -> bool:
+    """Whether there is nothing at a path yet; other errors, such as a denied path, are not that."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 class VersionedTable:
     """A table kept as named states, one of which is the head.
 
@@ -34,14 +43,18 @@ class VersionedTable:
 
     def _pointers(self) -> DataFrame:
         try:
-            return self.spark.read.schema(POINTER_SCHEMA).json(f"{self.root}/pointers")
-        except AnalysisException:
+            return self.spark.read.schema(POINTER_SCHEMA).option("recursiveFileLookup", True).json(f"{self.root}/pointers")
+        except AnalysisException as error:
+            if not _is_absent(error):
+                raise
             return self.spark.createDataFrame([], POINTER_SCHEMA)
 
     def _publish(self, name: str) -> None:
         last = self._pointers().agg(F.max("seq")).first()[0]
-        pointer = self.spark.range(1).select(F.lit(0 if last is None else last + 1).cast("bigint").alias("seq"), F.lit(name).alias("name"))
-        pointer.write.mode("append").json(f"{self.root}/pointers")
+        number = 0 if last is None else last + 1
+        pointer = self.spark.range(1).select(F.lit(number).cast("bigint").alias("seq"), F.lit(name).alias("name"))
+        # Each pointer has a folder of its number: of two writers that took one number, the later fails.
+        pointer.coalesce(1).write.mode("error").json(f"{self.root}/pointers/{number}")
 
     def head(self) -> str | None:
         """Name of the state in force."""
@@ -74,13 +87,38 @@ def partition_keys(df: DataFrame, by: Sequence[str], identity: str) -> DataFrame
 
 
 def identity_of(fn: Callable, params: Mapping[str, object]) -> str:
-    """What a function is, for a key: its source and its parameters."""
-    unwrapped = inspect.unwrap(fn)
-    try:
-        source = inspect.getsource(unwrapped)
-    except (OSError, TypeError):
-        source = repr(unwrapped)
-    return source + "".join(f"\n{k}={params[k]!r}" for k in sorted(params))
+    """What a function is, for a key: its code, defaults and closed-over values, and its parameters.
+
+    Two functions that are written alike but close over different values differ;
+    where a function is kept in memory does not matter. Global names it uses
+    count by name only.
+    """
+    return hashlib.sha256(repr((_described(fn), _described(dict(params)))).encode()).hexdigest()
+
+
+def _described(value: object) -> object:
+    """A value as nested tuples whose `repr` is the same in every process."""
+    match value:
+        case functools.partial():
+            return "partial", _described(value.func), _described(value.args), _described(value.keywords)
+        case types.MethodType():
+            return "method", _described(value.__func__), _described(value.__self__)
+        case types.FunctionType():
+            closed = tuple(_described(c.cell_contents) for c in value.__closure__ or ())
+            return "function", _described(value.__code__), _described(value.__defaults__), _described(value.__kwdefaults__), closed
+        case types.CodeType():
+            return "code", value.co_code, value.co_names, value.co_varnames, tuple(_described(c) for c in value.co_consts)
+        case dict():
+            return "dict", tuple(sorted((repr(k), _described(v)) for k, v in value.items()))
+        case set() | frozenset():
+            return "set", tuple(sorted(repr(_described(v)) for v in value))
+        case list() | tuple():
+            return type(value).__name__, tuple(_described(v) for v in value)
+        case None | bool() | int() | float() | complex() | str() | bytes():
+            return value
+        case type() | types.BuiltinFunctionType() | types.ModuleType():
+            return "name", getattr(value, "__module__", None), getattr(value, "__qualname__", value.__name__)
+    return type(value).__qualname__, _described(getattr(value, "__dict__", None) or pickle.dumps(value, 4))
 
 
 def changed_partitions(keys: DataFrame, entries: DataFrame, present: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -117,12 +155,17 @@ def process_changed(df: DataFrame, by: Sequence[str], fn: Callable[[DataFrame],
         present = spark.read.parquet(out).select(*by)
         for name in by:
             present = present.withColumn(name, F.col(name).cast(df.schema[name].dataType))
-    except AnalysisException:
+    except AnalysisException as error:
+        if not _is_absent(error):
+            raise
         present = keys.select(*by).limit(0)
     misses = cut(changed_partitions(keys, entries, present, by))
     if misses.isEmpty():
         return misses
-    write_outputs(fn(df.join(misses.select(*by), by, "left_semi"), **params), out, by)
+    made = cut(fn(df.join(misses.select(*by), by, "left_semi"), **params))
+    write_outputs(made, out, by)
+    # A partition that yields nothing now has no rows that could replace the old ones.
+    drop_partitions(spark, out, misses.select(*by).join(made.select(*by).distinct(), by, "left_anti"))
     kept = entries.select(*by, "cache_key").join(keys.select(*by), by, "left_anti")
     ledger.save(kept.unionByName(keys))
     return misses

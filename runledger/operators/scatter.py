@@ -70,8 +70,8 @@ def gather(
 
     Args:
         rc: Return code column. If any slice of a key failed, its lists are
-            empty, there is one part, and the code is that of the first
-            failing index.
+            empty in every part, while texts stay, and the code is that of the
+            first failing index.
         flags: Boolean columns, OR-ed per key.
         texts: Text columns, joined by line breaks in index order without blanks.
         expected: Keys that must appear; one without slices gets empty lists.
@@ -92,13 +92,10 @@ def gather(
         aggregates = [F.bool_or(f).alias(f) for f in flags]
         if rc is not None:
             aggregates.append(F.coalesce(F.min_by(rc, failed_at), F.lit(0)).alias(rc))
-        status = df.groupBy(*keys).agg(F.min(part).alias("__first"), *aggregates)
+        status = df.groupBy(*keys).agg(*aggregates)
         out = out.join(status, list(keys), "inner")
         if rc is not None:
-            out = out.where((F.col(rc) == 0) | (F.col("part") == F.col("__first"))).withColumns(
-                {c: F.when(F.col(rc) == 0, F.col(c)).otherwise(F.slice(c, 1, 0)) for c in cols}
-            ).withColumn("part", F.when(F.col(rc) == 0, F.col("part")).otherwise(F.lit(0)))
-        out = out.drop("__first")
+            out = out.withColumns({c: F.when(F.col(rc) == 0, F.col(c)).otherwise(F.slice(c, 1, 0)) for c in cols})
     if expected is not None:
         out = expected.select(*keys).join(out, list(keys), "left").withColumns(
             {

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runledger.functions.names import sanitize
+from runledger.functions.names import RESERVED, sanitize
 
 # The names a declaration may use for scalar and path types.
 SCALARS = {
@@ -162,6 +162,7 @@ def sanitize_columns(df: DataFrame) -> DataFrame:
     for name in df.columns:
         clean = re.sub(r"\W", "_", name)
         clean = f"_{clean}" if clean[:1].isdigit() else clean
+        clean = f"{clean}_" if clean in RESERVED else clean
         if clean in renamed.values():
             raise ValueError(f"two columns become {clean!r}")
         renamed[name] = clean

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _roots: dict[str, str] = {}
 
@@ -42,3 +43,24 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """A table that grows by one written level a round and is read as one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+        self.count = 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the next level and return it as read back."""
+        path = f"{self.path}/level={self.count}"
+        df.write.parquet(path)
+        self.count += 1
+        self.schema = df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        """Every level so far, with its number as `level`."""
+        return self.spark.read.schema(T.StructType([*self.schema, T.StructField("level", T.IntegerType())])).parquet(self.path)

@@ -33,7 +33,7 @@ def _sample(path: str, size: int) -> str | None:
         return None
 
 
-def walk_files(roots: DataFrame, sample: bool = False, max_depth: int = 1000) -> DataFrame:
+def walk_files(roots: DataFrame, sample: bool = False) -> DataFrame:
     """Every file under each root: (root, relpath, kind, mtime_ns, size, sample).
 
     `kind` is `file`; or `missing` or `unreadable` for a root that cannot be
@@ -84,10 +84,9 @@ def walk_files(roots: DataFrame, sample: bool = False, max_depth: int = 1000) ->
     tasks = roots.sparkSession.sparkContext.defaultParallelism
     level = roots.select("root", F.lit(None).cast("string").alias("relpath")).distinct()
     found = []
-    for _ in range(max_depth):
+    while True:
         round_ = cut(level.repartition(tasks).mapInPandas(batches, FOUND_SCHEMA))
         found.append(round_.where("kind <> 'dir'"))
         level = round_.where("kind = 'dir'").select("root", "relpath")
         if level.isEmpty():
             return reduce(DataFrame.unionByName, found)
-    raise RuntimeError(f"directories nest deeper than {max_depth}")

@@ -22,7 +22,7 @@ CACHE_SCHEMA = (
     "venv:string,venv_digest:string,sandboxed:boolean,outputs:map<string,string>>>"
 )
 JOURNAL_SCHEMA = (
-    "map<string,struct<dev:bigint,ino:bigint,ctime_ns:bigint,path:string,head:string,status:string,tainted_through:string,"
+    "map<string,struct<dev:bigint,ino:bigint,ctime_ns:bigint,path:string,head:string,status:string,tainted_through:string,first:bigint,"
     "generations:array<struct<name:string,size:bigint,snapshot_present:boolean>>,"
     "marker:struct<step_path:string,field:string,cache_key:string,run_id:string,started_at:double>,consumed:map<string,string>>>"
 )
@@ -101,19 +101,23 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 def parse_chains(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chain journals, `{chain: {...}}`, as (chains, generations, consumed).
 
-    A consumed key is `step_path::field`.
+    A consumed key is `step_path::field`. A chain too long for one document goes
+    on in others, whose `first` is the position their generations begin at; the
+    chain itself and what it consumed are told by the one without it.
     """
     rest = [c for c in docs.columns if c != text]
     table = F.from_json(text, JOURNAL_SCHEMA)
     rows = docs.select(*rest, F.explode(table).alias("chain", "c"))
-    chains = rows.select(
+    heads = rows.where(F.coalesce("c.first", F.lit(0)) == 0)
+    chains = heads.select(
         *rest, "chain", "c.dev", "c.ino", "c.ctime_ns", "c.path", "c.head", F.coalesce("c.status", F.lit("trusted")).alias("status"), "c.tainted_through",
         F.col("c.marker.step_path").alias("marker_step"), F.col("c.marker.field").alias("marker_field"), F.col("c.marker.cache_key").alias("marker_key"), F.col("c.marker.run_id").alias("marker_run"),
     )
-    generations = rows.select(*rest, "chain", F.posexplode("c.generations").alias("pos", "g")).select(
-        *rest, "chain", "pos", "g.name", F.coalesce("g.size", F.lit(0)).alias("size"), F.coalesce("g.snapshot_present", F.lit(True)).alias("present")
+    begins = F.coalesce("c.first", F.lit(0)).alias("__first")
+    generations = rows.select(*rest, "chain", begins, F.posexplode("c.generations").alias("pos", "g")).select(
+        *rest, "chain", (F.col("pos") + F.col("__first")).alias("pos"), "g.name", F.coalesce("g.size", F.lit(0)).alias("size"), F.coalesce("g.snapshot_present", F.lit(True)).alias("present")
     )
-    consumed = rows.select(*rest, "chain", F.explode("c.consumed").alias("k", "name")).select(
+    consumed = heads.select(*rest, "chain", F.explode("c.consumed").alias("k", "name")).select(
         *rest, "chain", F.substring_index("k", "::", 1).alias("step_path"), F.substring_index("k", "::", -1).alias("field"), "name"
     )
     return chains, generations, consumed

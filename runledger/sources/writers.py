@@ -4,24 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def nest_records(records: DataFrame, max_depth: int) -> DataFrame:
+def nest_records(records: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Flat step records back as one JSON document per run: (run_id, text).
 
-    A document is one value, so a run of very many steps has to be given as
-    several runs, told apart by spans of `idx`.
+    A document is one value, and holds the steps of its run whole.
 
     Args:
         records: run_id, path, depth, idx and any fields, one root (depth 0) per run.
+        max_depth: Depth of the deepest step where it is known; by default it is
+            looked up. A step below it is an error, never left out.
     """
+    deepest = records.agg(F.max("depth")).first()[0] or 0
+    if max_depth is not None and deepest > max_depth:
+        raise ValueError(f"a step has depth {deepest}, below {max_depth}")
     fields = [c for c in records.columns if c not in ("run_id", "path", "depth", "idx")]
     body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     flat = records.select("run_id", "path", "depth", "idx", body.alias("body"), F.regexp_replace("path", r"\.[^.]*$", "").alias("parent"))
     children = None
-    for depth in range(max_depth, -1, -1):
+    for depth in range(deepest, -1, -1):
         here = flat.where(F.col("depth") == depth)
         steps = F.lit("")
         if children is not None:
@@ -32,7 +36,7 @@ def nest_records(records: DataFrame, max_depth: int) -> DataFrame:
             return here.select("run_id", text.alias("text"))
         ordered = F.array_sort(F.collect_list(F.struct("idx", text.alias("t"))))
         children = here.groupBy("run_id", F.col("parent").alias("path")).agg(F.array_join(F.transform(ordered, lambda c: c.t), ",").alias("steps"))
-    return flat.select("run_id", F.col("body").alias("text"))
+    raise AssertionError("depth 0 is always reached")
 
 
 def write_runs(runs: DataFrame, path: str) -> None:
@@ -50,6 +54,16 @@ def write_runs(runs: DataFrame, path: str) -> None:
     runs.select(document.alias("value"), "name", F.to_date("generated_at").alias("run_date")).write.mode("append").partitionBy("name", "run_date").text(path)
 
 
+def drop_partitions(spark: SparkSession, path: str, values: DataFrame) -> None:
+    """Delete the folders of the given partition values (columns in the order of the folders)."""
+    jvm = spark._jvm
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for row in values.select(*[F.col(c).cast("string").alias(c) for c in values.columns]).distinct().toLocalIterator():
+        parts = [f"{escape(c)}={'__HIVE_DEFAULT_PARTITION__' if row[c] is None else escape(row[c])}" for c in values.columns]
+        folder = jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *parts]))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_outputs(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     """Replace the partitions that `df` has rows for, and only those."""
     # Rebalancing gathers each partition into few files and splits one that is large.

@@ -90,7 +90,7 @@ def test_last_match_wins_and_types_are_checked(spark, rows):
 def test_actions():
     rules = X.rules_from({r"(?P<a>\d+)": ["PARSE_OUTPUT:a:int", "HIGHLIGHT:red"], r"(?P<b>x)": ["PARSE_OUTPUT:b:other"]})
     assert [(r.field, r.type) for r in rules] == [("a", "int"), ("b", "str")]
-    with pytest.raises(ValueError, match="malformed"):
+    with pytest.raises(ValueError, match="one group"):
         X.rules_from({"x": ["PARSE_OUTPUT:a"]})
     with pytest.raises(ValueError, match="no group"):
         X.Rule("x", "a").compiled()
@@ -164,7 +164,25 @@ def test_uses_nest_and_own_keys_win(spark, rows):
 def test_a_ring_of_uses_is_an_error(spark):
     data = [("d", "a._use", "b"), ("d", "b._use", "a")]
     with pytest.raises(ValueError, match="ring"):
-        C.resolve_uses(spark.createDataFrame(data, "doc string, path string, value string"), max_depth=4)
+        C.resolve_uses(spark.createDataFrame(data, "doc string, path string, value string"))
+
+
+def test_a_chain_of_forty_uses_is_followed(spark, rows):
+    data = [("d", "n0.x", "base"), *[("d", f"n{i}._use", f"n{i - 1}") for i in range(1, 41)]]
+    got = C.resolve_uses(spark.createDataFrame(data, "doc string, path string, value string"))
+    assert rows(got, "path", "value") == sorted((f"n{i}.x", "base") for i in range(41))
+
+
+def test_an_empty_map_hides_values_but_not_the_map_below(spark, rows):
+    data = [("d", "a.b", "1", 0), ("d", "a", "{}", 1), ("e", "a", "1", 0), ("e", "a", "{}", 1), ("f", "a", "{}", 0), ("f", "a.b", "2", 1), ("g", "a.b", "1", 0), ("g", "a", "5", 1), ("h", "a", "1", 0), ("h", "a", "{}", 1), ("h", "a.c", "2", 2)]
+    got = C.deep_merge(spark.createDataFrame(data, "doc string, path string, value string, rank int"))
+    assert rows(got, "doc", "path", "value") == [("d", "a.b", "1"), ("e", "a", "{}"), ("f", "a.b", "2"), ("g", "a", "5"), ("h", "a.c", "2")]
+
+
+def test_texts_of_all_parts_stay_where_a_slice_failed(spark, rows):
+    df = spark.createDataFrame([(1, i, i, int(i == 2), False, t) for i, t in enumerate("abcd")], SLICES)
+    got = G.gather(df, ["k"], "idx", ["v"], rc="rc", texts=["out"], part_rows=2)
+    assert rows(got, "part", "v", "rc", "out") == [(0, [], 1, "a\nb"), (1, [], 1, "c\nd")]
 
 
 def test_effective_setting_skips_nulls(spark, rows):
