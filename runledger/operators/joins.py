@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.names import parse_platform, state_name
 from runledger.plans.digest import row_digest
-from runledger.plans.paths import ancestors
+from runledger.plans.paths import ancestors, normalize
 from runledger.plans.scan import LastBefore, ordered_scan
 
 # What an environment record must hold.
@@ -55,11 +55,12 @@ def containment_join(left: DataFrame, right: DataFrame, by: Sequence[str] = (),
     by = list(by)
     left_rows = left.select(*by, F.struct(*left.columns).alias("l"))
     right_rows = right.select(*by, F.struct(*right.columns).alias("r"))
-    up_left = left_rows.select("*", F.explode(ancestors(F.col(f"l.{left_path}"))).alias("__p"))
-    inside = up_left.join(right_rows.withColumn("__p", F.col(f"r.{right_path}")), [*by, "__p"])
-    up_right = right_rows.select("*", F.explode(ancestors(F.col(f"r.{right_path}"), proper=True)).alias("__p"))
-    contains = left_rows.withColumn("__p", F.col(f"l.{left_path}")).join(up_right, [*by, "__p"])
-    relation = F.when(F.col(f"l.{left_path}") == F.col(f"r.{right_path}"), F.lit("equal")).otherwise(F.lit("inside"))
+    at_left, at_right = normalize(F.col(f"l.{left_path}")), normalize(F.col(f"r.{right_path}"))
+    up_left = left_rows.select("*", at_left.alias("__lp")).select("*", F.explode(ancestors(F.col("__lp"))).alias("__p"))
+    inside = up_left.join(right_rows.withColumn("__p", at_right), [*by, "__p"])
+    up_right = right_rows.select("*", F.explode(ancestors(at_right, proper=True)).alias("__p"))
+    contains = left_rows.withColumn("__p", at_left).join(up_right, [*by, "__p"])
+    relation = F.when(F.col("__lp") == F.col("__p"), F.lit("equal")).otherwise(F.lit("inside"))
     return inside.select(*by, "l", "r", relation.alias("relation")).unionByName(contains.select(*by, "l", "r", F.lit("contains").alias("relation")))
 
 

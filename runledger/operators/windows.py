@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from runledger.operators.joins import containment_join
 from runledger.operators.schema import latest_by
 from runledger.plans.digest import encode, group_digest
 from runledger.plans.lineage import cut
+from runledger.plans.paths import normalize
 from runledger.plans.scan import FirstAfter, LastBefore, SumBefore, ordered_scan
 
 
@@ -52,6 +54,8 @@ def access_order_within(accesses: DataFrame, by: Sequence[str], pos: str, chunk:
         pos: Total order of the accesses of one `by`.
     """
     by = list(by)
+    # Two spellings of a path are one.
+    accesses = accesses.withColumn(path, normalize(F.col(path)))
     paths = accesses.select(*by, F.col(path).alias("path")).distinct()
     pairs = containment_join(paths, paths, by=by).select(*by, F.col("l.path").alias(path), F.col("r.path").alias("state"))
     since = accesses.groupBy(*by, F.col(path).alias("state")).agg(F.min(pos).alias("since"))
@@ -97,7 +101,10 @@ def converge(df: DataFrame, by: Sequence[str], order: Sequence[str], sentinel: s
     position = F.struct(*order)
     at = F.when(F.coalesce(F.col(sentinel), F.lit(False)), position)
     stops = df.groupBy(*by).agg(F.min(at).alias("__stop"), F.min_by(F.struct(*cols), at).alias("__out"))
-    joined = df.join(stops, list(by)).withColumn("skipped", F.coalesce(position > F.col("__stop"), F.lit(False)))
+    # A null key is a loop as any other.
+    keyed = stops.withColumnsRenamed({b: f"__k_{b}" for b in by})
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"__k_{b}")) for b in by])
+    joined = df.join(keyed, same).drop(*[f"__k_{b}" for b in by]).withColumn("skipped", F.coalesce(position > F.col("__stop"), F.lit(False)))
     return joined.withColumns({c: F.when(F.col("skipped"), F.col(f"__out.{c}")).otherwise(F.col(c)) for c in cols}).drop("__stop", "__out")
 
 

@@ -1,6 +1,7 @@
 """Ordered scans and access order against plain loops of their rules."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,7 +82,8 @@ def random_accesses(rng, steps, nested):
 def test_access_order_matches_the_loop(spark, nested):
     rng = random.Random(5)
     recipes = {r: random_accesses(rng, 14, nested) for r in range(60)}
-    data = [(r, pos, *a) for r, accesses in recipes.items() for pos, a in enumerate(accesses)]
+    spell = lambda p: p if not nested else rng.choice([p, f"/.{p}", re.sub("^/a(?=/|$)", "/a/x/..", p), f"{p}/"])
+    data = [(r, pos, step, spell(path), mutates) for r, accesses in recipes.items() for pos, (step, path, mutates) in enumerate(accesses)]
     df = spark.createDataFrame(data, "recipe int, pos int, step int, path string, mutates boolean")
     chunk = [F.floor(F.col("pos") / 4)]
     if nested:
@@ -92,6 +94,11 @@ def test_access_order_matches_the_loop(spark, nested):
     assert got == {(r, *e) for r, accesses in recipes.items() for e in order_edges(accesses, nested)}
 
 
+def test_converge_keeps_rows_without_a_loop(spark, rows):
+    df = spark.createDataFrame([(None, 1, True, "a"), (None, 2, False, "b")], "loop int, k int, done boolean, out string")
+    assert rows(converge(df, ["loop"], ["k"], "done", ["out"]), "k", "skipped", "out") == [(1, False, "a"), (2, True, "a")]
+
+
 def test_converge_early_never_and_at_once(spark, rows):
     data = [(1, k, k >= 3, f"m{k}") for k in range(1, 6)] + [(2, k, False, f"m{k}") for k in range(1, 4)] + [(3, 1, True, "m1"), (3, 2, None, "m2")]
     df = spark.createDataFrame(data, "loop int, k int, done boolean, out string")
