@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -138,10 +139,11 @@ def draw_documents(docs: DataFrame, margins: Sequence[Margin], share: float, see
 def topic_of(text: str) -> Column:
     """A topic by form, the first that fits: listing, legal, contact, prose; a null text is prose."""
     t = F.coalesce(F.col(text), F.lit(""))
+    any_of = lambda *parts: reduce(lambda x, y: x | y, [t.contains(p) for p in parts])
     return (
         F.when(t.contains(" | "), "listing")
-        .when(t.rlike("(?i)licen[sc]e|copyright"), "legal")
-        .when(t.rlike(r"[\w.]+@[\w-]+\.[\w.]+"), "contact")
+        .when(any_of("icense", "icence", "LICENSE", "LICENCE", "opyright", "COPYRIGHT"), "legal")
+        .when(t.contains("@") & t.rlike(r"\w@\w[\w-]*\.\w"), "contact")
         .otherwise("prose")
     )
 
