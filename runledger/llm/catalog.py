@@ -53,9 +53,38 @@ LISTED_RULES = [
 ]
 
 
-@corpus_query("op1_url_filter")
+@corpus_query(
+    "op1_url_filter",
+    r"""
+    with u as (select page_id, coalesce(url, '') as url from pages),
+    h as (select page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                 regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '(?s)\?([^#]*)', 1) as q from u),
+    f as (select *, case when (host = 'www.example.com' or suffix(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
+                         when (host = 'example.com' or suffix(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
+                         when (host = 'net' or suffix(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
+                         when (host = 'net' or suffix(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
+                         when (host = 'com' or suffix(host, '.com')) and starts_with(path, '/') then 'com/' end as rule,
+                 list_filter(string_split(host, '.'), lambda x: x <> '') as labels from h),
+    j as (select page_id, host, path, rule, case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block' end as listed,
+                 list_distinct(list_transform(range(1, len(labels) + 1), lambda i: concat('domain:', array_to_string(labels[i:], '.')))
+                   || list_transform(labels, lambda x: concat('label:', x)) || list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: concat('path:', x))
+                   || list_transform(list_filter(list_transform(string_split(q, '&'), lambda x: string_split(x, '=')[1]), lambda x: x <> ''), lambda x: concat('key:', x))) as tokens from f),
+    l as (select tokens, listed from j where listed is not null),
+    least as (select ceil(0.02 * count(*)) as n from l),
+    frequent as (select t from (select unnest(tokens) as t from l) x group by t having count(*) >= (select n from least)),
+    kept as (select listed, list_sort(list_intersect(tokens, ft)) as ts from l, (select list(t) as ft from frequent) x),
+    sets as (select listed, list_filter(ts, lambda x, i: (mask >> (i - 1)) & 1 = 1) as s from (select listed, ts, unnest(range(1, 1 << len(ts))) as mask from kept) x),
+    totals as (select s, count(*) as total from sets group by s),
+    rules as (select s, listed, hits, total from (select s, listed, count(*) as hits from sets group by s, listed) x join totals using (s)
+              where hits >= (select n from least) and hits >= total * 0.8),
+    parts as (select s, listed, hits, total, list_filter(s, lambda x: x <> left_out) as part from (select *, unnest(s) as left_out from rules) x),
+    pruned as (select s, listed, hits, total from rules where (s, listed) not in
+               (select p.s, p.listed from parts p join rules r on r.s = p.part and r.listed = p.listed where r.hits * p.total >= p.hits * r.total)),
+    mined as (select j.page_id, arg_max(p.listed, (p.hits / p.total, p.hits, p.listed)) as verdict from j join pruned p on list_has_all(j.tokens, p.s) where j.listed is null group by 1)
+    select j.page_id, host, path, rule, coalesce(listed, mined.verdict, 'allow') as verdict from j left join mined using (page_id)""",
+)
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), LISTED_RULES)
+    return judge_urls(table(spark, sf_dir, "pages"), LISTED_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 @corpus_query(
