@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import dataclasses
+import datetime
 import inspect
 import types
 import typing
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SCALAR_HINTS = {str: T.StringType(), int: T.LongType(), float: T.DoubleType(), bool: T.BooleanType()}
+SCALAR_HINTS = {
+    str: T.StringType(), int: T.LongType(), float: T.DoubleType(), bool: T.BooleanType(), bytes: T.BinaryType(),
+    Path: T.StringType(), datetime.datetime: T.TimestampType(), datetime.date: T.DateType(),
+}
 RC, REASON = "returncode", "reason"
 
 
@@ -25,6 +30,14 @@ def type_of_hint(hint: object) -> T.DataType:
         kinds = [a for a in args if a is not type(None)]
         if len(kinds) == 1:
             return type_of_hint(kinds[0])
+    elif origin is typing.Literal:
+        kinds = {type(a) for a in args}
+        if len(kinds) == 1:
+            return type_of_hint(kinds.pop())
+    elif origin is tuple and len(args) == 2 and args[1] is Ellipsis:
+        return T.ArrayType(type_of_hint(args[0]))
+    elif origin is tuple and args:
+        return T.StructType([T.StructField(f"_{i}", type_of_hint(a)) for i, a in enumerate(args)])
     elif origin is list and args:
         return T.ArrayType(type_of_hint(args[0]))
     elif origin is dict and len(args) == 2:
@@ -34,6 +47,37 @@ def type_of_hint(hint: object) -> T.DataType:
     raise TypeError(f"no column type for hint {hint!r}")
 
 
+def as_hinted(value: object, hint: object) -> object:
+    """A column's value as the hint has it: text as a path, a list as a tuple; a literal must be one of its values."""
+    origin, args = typing.get_origin(hint), typing.get_args(hint)
+    if value is None:
+        return None
+    if hint is Path:
+        return Path(value)
+    if origin is typing.Literal:
+        if value not in args:
+            raise ValueError(f"{value!r} is none of {', '.join(map(repr, args))}")
+        return value
+    if origin in (typing.Union, types.UnionType):
+        return next((as_hinted(value, a) for a in args if a is not type(None)), value)
+    if origin is tuple:
+        parts = list(value.values()) if isinstance(value, dict) else list(value)
+        kinds = [args[0]] * len(parts) if args[1:] == (Ellipsis,) else args
+        return tuple(as_hinted(v, a) for v, a in zip(parts, kinds))
+    if origin is list and args:
+        return [as_hinted(v, args[0]) for v in value]
+    return value
+
+
+def as_column(value: object) -> object:
+    """A result's value as its column has it: a path as text."""
+    if isinstance(value, Path):
+        return str(value)
+    if isinstance(value, list | tuple):
+        return type(value)(map(as_column, value))
+    return {k: as_column(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
 def schema_of_record(record: type) -> T.StructType:
     """The columns of a declared record, a dataclass."""
     hints = typing.get_type_hints(record)
@@ -50,6 +94,7 @@ class RowStep:
     record: type | None
     wants_ctx: bool
     constants: Mapping[str, object] = dataclasses.field(default_factory=dict)
+    hints: Mapping[str, object] = dataclasses.field(default_factory=dict)
 
     def __call__(self, **constants: object) -> "RowStep":
         """The same step with some parameters fixed; each must name a parameter."""
@@ -95,7 +140,7 @@ def row_step(fn: Callable) -> RowStep:
     record = None if record is type(None) else record
     if record is not None and not dataclasses.is_dataclass(record):
         raise TypeError(f"{fn.__name__} must return a dataclass or None")
-    return RowStep(fn, tuple(inputs), tuple(defaults), record, wants_ctx)
+    return RowStep(fn, tuple(inputs), tuple(defaults), record, wants_ctx, hints={n: hints[n] for n in inputs})
 
 
 def apply_step(df: DataFrame, step: RowStep, keep: Sequence[str] = (), ctx: Mapping[str, object] | None = None, on_error: str = "raise") -> DataFrame:
@@ -113,6 +158,7 @@ def apply_step(df: DataFrame, step: RowStep, keep: Sequence[str] = (), ctx: Mapp
     record_schema = step.output_schema()
     names = record_schema.names
     record, fn, constants, wants_ctx = step.record, step.fn, dict(step.constants), step.wants_ctx
+    hints = dict(step.hints)
     isolate = on_error == "record"
     schema = T.StructType([df.schema[c] for c in keep] + record_schema.fields)
     if isolate:
@@ -120,14 +166,14 @@ def apply_step(df: DataFrame, step: RowStep, keep: Sequence[str] = (), ctx: Mapp
     context = (dict(ctx or {}),) if wants_ctx else ()
 
     def run(values: dict) -> dict:
-        result = fn(*context, **values, **constants)
+        result = fn(*context, **{n: as_hinted(v, hints[n]) for n, v in values.items()}, **constants)
         if record is None:
             if result is not None:
                 raise TypeError(f"{fn.__name__} is declared to return nothing")
             return {}
         if not isinstance(result, record):
             raise TypeError(f"{fn.__name__} returned {type(result).__name__}, not {record.__name__}")
-        return dataclasses.asdict(result)
+        return as_column(dataclasses.asdict(result))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -1,9 +1,13 @@
 """Typed steps, incremental work, documents and streams."""
 
+import dataclasses
+import datetime
 import json
 import os
 import sys
+import typing
 from dataclasses import dataclass
+from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
@@ -212,3 +216,23 @@ def test_stream_ends_where_the_batch_does(spark, rows, tmp_path):
     live = rows(V.read_latest(spark, out, ["file", "field"]), "file", "int_value")
     assert live == rows(extract_values(L.read_log_lines(spark, str(source)), rules, ["file"], ["line_no"]), "file", "int_value")
     assert [v for _f, v in live] == [2, 7]
+
+
+@dataclasses.dataclass
+class Located:
+    where: Path
+    kind: str
+    pair: tuple[int, str]
+
+
+@S.row_step
+def locate(path: Path, mode: typing.Literal["r", "w"], at: datetime.datetime, parts: tuple[int, ...]) -> Located:
+    return Located(path.parent, f"{mode}{at.year}", (sum(parts), path.name))
+
+
+def test_steps_take_paths_literals_times_and_tuples(spark, rows):
+    data = [("/a/b/c", "r", datetime.datetime(2024, 1, 2), [1, 2]), ("/x/y", "z", datetime.datetime(2023, 1, 2), [])]
+    df = spark.createDataFrame(data, "path string, mode string, at timestamp, parts array<bigint>")
+    got = S.apply_step(df, locate, keep=["path"], on_error="record").collect()
+    assert [(r.path, r.where, r.kind, r.pair and tuple(r.pair)) for r in got] == [("/a/b/c", "/a/b", "r2024", (3, "c")), ("/x/y", None, None, None)]
+    assert got[1].reason.startswith("ValueError: 'z' is none of")
