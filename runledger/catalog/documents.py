@@ -208,6 +208,22 @@ def _(t):
     return R.scan_files(t.spark, t.folder, sample=True)
 
 
+@query(
+    "rejected_documents",
+    "SRC1 SRC3 SRC7",
+    """select o_orderkey, case o_orderkey % 7 when 1 then 'empty' when 2 then 'not JSON' else 'not of the expected shape' end as reason from orders where o_orderkey % 7 between 1 and 3""",
+)
+def _(t):
+    """Files of one document each line, some cut off, empty or a list, written and read back."""
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 7
+    whole = F.to_json(F.create_map(F.concat(F.lit("step"), key.cast("string")), F.struct(F.concat(F.lit("k"), "o_orderstatus").alias("cache_key"))))
+    text = F.when(kind == 1, F.lit("")).when(kind == 2, F.substr(whole, F.lit(1), F.length(whole) - 2)).when(kind == 3, F.lit("[1, 2]")).otherwise(whole)
+    path = f"{scratch_root(t.spark)}/{uuid.uuid4().hex}"
+    t.orders.select(F.concat_ws("\t", key.cast("string"), text).alias("value")).write.text(path)
+    docs = t.spark.read.text(path).select(F.substring_index("value", "\t", 1).cast("bigint").alias("o_orderkey"), F.substring_index("value", "\t", -1).alias("text"))
+    return R.rejected_json(docs, schema=R.CACHE_SCHEMA)
+
+
 @query(
     "parameter_documents",
     "SRC7",

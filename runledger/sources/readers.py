@@ -40,12 +40,40 @@ def _as_text(value: object) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value)
 
 
+def rejected_json(docs: DataFrame, text: str = "text", schema: str | None = None) -> DataFrame:
+    """The documents a JSON reader leaves out: other columns, and the reason.
+
+    Readers go on without a bad document; this tells which those were.
+
+    Args:
+        schema: The shape the reader expects, such as `CACHE_SCHEMA`; by default any JSON object.
+    """
+    rest = [c for c in docs.columns if c != text]
+    shaped = F.from_json(text, schema) if schema else F.from_json(text, "map<string,string>")
+    reason = (
+        F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", F.lit("empty"))
+        .when(F.try_parse_json(text).isNull(), F.lit("not JSON"))
+        .when(shaped.isNull(), F.lit("not of the expected shape"))
+    )
+    return docs.select(*rest, reason.alias("reason")).where("reason is not null")
+
+
+def _object(text: str | None) -> dict | None:
+    """A JSON object, or None for anything else."""
+    try:
+        value = json.loads(text or "")
+    except ValueError:
+        return None
+    return value if isinstance(value, dict) else None
+
+
 def flatten_records(docs: DataFrame, text: str = "text", run: str = "run_id") -> DataFrame:
     """One row per step of each run document, at any depth, in pre-order.
 
     `path` is the dotted path below the root, `depth` 0 is the root. Fields an
     older document lacks come back as null, flags as false. A document is
-    walked where it is read, so nothing is shuffled or collected.
+    walked where it is read, so nothing is shuffled or collected. One that is no
+    JSON object gives no rows; see `rejected_json`.
     """
     plain = [f for f in RECORD_FIELDS if f not in ("run_id", "path", "depth", "idx", "inputs", "outputs")]
     flags = {"cached", "skipped", "containerized", "sandboxed"}
@@ -64,7 +92,7 @@ def flatten_records(docs: DataFrame, text: str = "text", run: str = "run_id") ->
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            steps = (row for run_id, doc in zip(frame["run_id"], frame["text"]) for row in walk(run_id, json.loads(doc)))
+            steps = (row for run_id, doc in zip(frame["run_id"], map(_object, frame["text"])) if doc is not None for row in walk(run_id, doc))
             for rows in batched(steps, BATCH_ROWS):
                 yield pd.DataFrame(list(rows), columns=RECORD_FIELDS).astype({"returncode": "Int32"})
 
@@ -77,12 +105,13 @@ def read_runs(spark: SparkSession, path: str, per_line: bool = False) -> DataFra
     Args:
         per_line: Whether a file holds one document per line (as `write_runs`
             leaves them) rather than one in all. The run id is then the
-            document's own; otherwise it is the file name.
+            document's own; otherwise it is the file's path,
+            which names one run only.
     """
     if per_line:
         docs = spark.read.text(path).select(F.get_json_object("value", "$.run_id").alias("run_id"), F.col("value").alias("text"))
     else:
-        docs = documents(spark, path).select(F.substring_index("file", "/", -1).alias("run_id"), "text")
+        docs = documents(spark, path).select(F.col("file").alias("run_id"), "text")
     return flatten_records(docs)
 
 
@@ -195,7 +224,8 @@ def parse_yaml(docs: DataFrame, doc: str = "file", text: str = "text") -> DataFr
     """YAML documents in long form (doc, path, value), one row per leaf.
 
     Lists are leaves, as JSON; those under a directive (`_use`, `_include`) are
-    joined by commas. An empty map is the leaf `{}`.
+    joined by commas. An empty map is the leaf `{}`. A document that is no YAML
+    gives no rows; see `rejected_yaml`.
     """
 
     def leaves(name: str, node: object, path: str) -> Iterator[tuple]:
@@ -212,13 +242,38 @@ def parse_yaml(docs: DataFrame, doc: str = "file", text: str = "text") -> DataFr
 
         loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         for frame in frames:
-            found = (row for name, body in zip(frame["doc"], frame["text"]) for row in leaves(name, yaml.load(body, loader), ""))
+            parsed = ((name, *_yaml(body, loader)) for name, body in zip(frame["doc"], frame["text"]))
+            found = (row for name, node, reason in parsed if reason is None for row in leaves(name, node, ""))
             for rows in batched(found, BATCH_ROWS):
                 yield pd.DataFrame(rows, columns=["doc", "path", "value"])
 
     return docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).mapInPandas(batches, LEAF_SCHEMA)
 
 
+def _yaml(text: str | None, loader: type) -> tuple[object, str | None]:
+    """A document and None, or None and why it is none."""
+    import yaml
+
+    try:
+        return yaml.load(text or "", loader), None
+    except yaml.YAMLError as error:
+        return None, f"not YAML: {getattr(error, 'problem', None) or 'unreadable'}"
+
+
+def rejected_yaml(docs: DataFrame, doc: str = "file", text: str = "text") -> DataFrame:
+    """The documents `parse_yaml` leaves out: (doc, reason)."""
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        for frame in frames:
+            judged = [(name, _yaml(body, loader)[1]) for name, body in zip(frame["doc"], frame["text"])]
+            yield pd.DataFrame([j for j in judged if j[1] is not None], columns=["doc", "reason"])
+
+    return docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).mapInPandas(batches, "doc string, reason string")
+
+
 def read_param_yaml(spark: SparkSession, path: str) -> DataFrame:
     """YAML documents under `path` in long form."""
     return parse_yaml(documents(spark, path))

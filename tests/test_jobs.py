@@ -236,3 +236,12 @@ def test_steps_take_paths_literals_times_and_tuples(spark, rows):
     got = S.apply_step(df, locate, keep=["path"], on_error="record").collect()
     assert [(r.path, r.where, r.kind, r.pair and tuple(r.pair)) for r in got] == [("/a/b/c", "/a/b", "r2024", (3, "c")), ("/x/y", None, None, None)]
     assert got[1].reason.startswith("ValueError: 'z' is none of")
+
+
+def test_bad_documents_are_left_out_and_told(spark, rows):
+    docs = spark.createDataFrame([("a", '{"name": "r", "steps": [{"name": "s"}]}'), ("b", '{"name": '), ("c", ""), ("d", "[1]"), ("e", None)], "run_id string, text string")
+    assert rows(R.flatten_records(docs), "run_id", "path") == [("a", "r"), ("a", "r.s")]
+    assert rows(R.rejected_json(docs), "run_id", "reason") == [("b", "not JSON"), ("c", "empty"), ("d", "not of the expected shape"), ("e", "empty")]
+    pages = spark.createDataFrame([("a", "x: {y: 1}"), ("b", "x: [1")], "file string, text string")
+    assert rows(R.parse_yaml(pages)) == [("a", "x.y", "1")]
+    assert [r.doc for r in R.rejected_yaml(pages).collect()] == ["b"]
