@@ -290,7 +290,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     roots = components(linked.select(F.col("cls").alias("a"), F.col("hub").alias("b")).unionAll(more.select("a", "b")))
     named = sketched.where("n > 0").select("doc_id", "n", "k", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     named = cut(named.select("doc_id", "n", "k", F.coalesce("root", "cls").alias("root")))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join has two plain exchanges and a very large component's side is split.
+    least = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     full = named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("k").alias("row_key"), "root")
     # Names of components are not negative, so what is linked with nothing has names of its own below.
     alone = (-1 - F.shiftrightunsigned(F.xxhash64("k"), 1)).alias("root")
