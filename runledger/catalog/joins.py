@@ -138,13 +138,14 @@ HARVEST_FILES = "select page_id % 10 as run, path from files"
 HARVEST_PATTERNS = """
     select page_id % 10 as run, concat(split_part(path, '/', 1), case page_id % 4 when 0 then '/*/?' when 1 then '/en/*[05]' when 2 then '/**' else '/f*/1*' end) as pattern
     from files where page_id % 6 = 0
+    union all select page_id % 10, concat(split_part(path, '/', 1), '/d?') from files where page_id % 13 = 0
     union all select page_id % 10, concat('/', path) from files where page_id % 7 = 0
     union all select page_id % 10, concat('../', split_part(path, '/', 1), '/*') from files where page_id % 7 = 1"""
-HARVEST_OUTPUTS = "select page_id % 10 as run, case when page_id % 4 = 0 then concat('/', path) else concat('./', path) end as path from files where page_id % 3 = 0"
+HARVEST_OUTPUTS = "select page_id % 10 as run, case when page_id % 4 = 0 then concat('/', path) else concat('./', path) end as path from files where page_id % 3 = 0 union all select page_id % 10, concat('./', split_part(path, '/', 1), '/', split_part(path, '/', 2)) from files where page_id % 17 = 0"
 HARVEST_SQL = f"""
-    f as ({HARVEST_FILES}), pat as ({HARVEST_PATTERNS}), o as ({HARVEST_OUTPUTS}),
+    f as ({HARVEST_FILES}), p as (select distinct run, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[:i], '/'))) as path from f), pat as ({HARVEST_PATTERNS}), o as ({HARVEST_OUTPUTS}),
     decl as (select distinct run, path[3:] as path from o where path[1] <> '/'),
-    m as (select distinct f.run, f.path from f join pat on f.run = pat.run and pat.pattern[1] <> '/' and pat.pattern[1:2] <> '..'
+    m as (select distinct f.run, f.path from p as f join pat on f.run = pat.run and pat.pattern[1] <> '/' and pat.pattern[1:2] <> '..'
           and regexp_full_match(f.path, replace(replace(replace(replace(replace(pat.pattern, '.', '\\.'), '**', '\t'), '*', '[^/]*'), '?', '[^/]'), '\t', '.*'))),
     plan as (select run, path, true as declared from decl union all select run, path, false from m where (run, path) not in (from decl))"""
 
@@ -158,9 +159,11 @@ def _(t):
     "promote_plan",
     "TP5",
     f"""
-    with {HARVEST_SQL}, there as (select path, bool_or(page_id % 2 = 0) as is_dir from files where page_id % 5 < 3 group by path)
-    select distinct f.run, f.path, case when declared is null then 'leave' when is_dir is null then 'move' when is_dir and not declared then 'refuse' else 'replace' end as action
-    from f left join plan using (run, path) left join there using (path)""",
+    with {HARVEST_SQL}, there as (select path, bool_or(page_id % 2 = 0) as is_dir from files where page_id % 5 < 3 group by path),
+    i as (select f.run, f.path, arg_min(plan.path, length(plan.path)) as product, arg_min(declared, length(plan.path)) as declared
+          from f join plan on plan.run = f.run and (plan.path = f.path or starts_with(f.path, plan.path || '/')) group by 1, 2)
+    select distinct f.run, f.path, product, case when declared is null then 'leave' when is_dir is null then 'move' when is_dir and not declared then 'refuse' else 'replace' end as action
+    from f left join i using (run, path) left join there on there.path = product""",
 )
 def _(t):
     there = t.files.where("page_id % 5 < 3").select("path", (F.col("page_id") % 2 == 0).alias("is_dir"))

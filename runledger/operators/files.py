@@ -20,11 +20,11 @@ def glob_regex(pattern: Column) -> Column:
 
 
 def harvest_plan(files: DataFrame, patterns: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Files of a run's scratch tree to rescue, and whether each was declared.
+    """What to rescue from a run's scratch tree, files and directories, and whether each was declared.
 
-    A file reached both as a declared output and through a glob is declared.
-    Absolute patterns name files that are already in place, patterns with `..`
-    leave the tree; both are skipped.
+    A directory is there if a file lies below it. What is reached both as a
+    declared output and through a glob is declared. Absolute patterns name what
+    is already in place, patterns with `..` leave the tree; both are skipped.
 
     Args:
         files: (run, path), relative.
@@ -37,27 +37,34 @@ def harvest_plan(files: DataFrame, patterns: DataFrame, outputs: DataFrame) -> D
     # on that, then test the regex on the few pairs left.
     keyed = usable.select("run", F.coalesce(literal_prefix(F.col("pattern")), F.lit("")).alias("__p"), glob_regex(F.col("pattern")).alias("__g")).distinct()
     prefixes = F.concat(F.array(F.lit("")), ancestors(F.col("path"), proper=True))
-    pairs = files.select("run", "path", F.explode(prefixes).alias("__p")).join(keyed, ["run", "__p"]).where("path rlike __g")
+    products = files.select("run", F.explode(ancestors(normalize(F.col("path")))).alias("path")).distinct()
+    pairs = products.select("run", "path", F.explode(prefixes).alias("__p")).join(keyed, ["run", "__p"]).where("path rlike __g")
     matched = pairs.select("run", "path", F.lit(False).alias("declared"))
     return declared.unionByName(matched).groupBy("run", "path").agg(F.bool_or("declared").alias("declared"))
 
 
 def promote_plan(files: DataFrame, patterns: DataFrame, outputs: DataFrame, workspace: DataFrame) -> DataFrame:
-    """What becomes of each scratch file: (run, path, action).
+    """What becomes of each scratch file: (run, path, product, action).
+
+    A file goes with the outermost thing to rescue that it is or lies in, its
+    `product`; one that is in none stays behind.
 
     Args:
         workspace: (path, is_dir), what lies at the destinations now.
     """
     plan = harvest_plan(files, patterns, outputs)
     there = workspace.groupBy("path").agg(F.bool_or("is_dir").alias("is_dir"))
-    judged = files.select("run", "path").distinct().join(plan, ["run", "path"], "left").join(there, "path", "left")
+    inside = files.select("run", "path").distinct().select("run", "path", F.explode(ancestors(normalize(F.col("path")))).alias("product"))
+    rescued = inside.join(plan.withColumnRenamed("path", "product"), ["run", "product"])
+    outermost = rescued.groupBy("run", "path").agg(F.min_by(F.struct("product", "declared"), F.length("product")).alias("o")).select("run", "path", "o.*")
+    judged = files.select("run", "path").distinct().join(outermost, ["run", "path"], "left").join(there.withColumnRenamed("path", "product"), "product", "left")
     action = (
         F.when(F.col("declared").isNull(), F.lit("leave"))
         .when(F.col("is_dir").isNull(), F.lit("move"))
         .when(F.col("is_dir") & ~F.col("declared"), F.lit("refuse"))
         .otherwise(F.lit("replace"))
     )
-    return judged.select("run", "path", action.alias("action"))
+    return judged.select("run", "path", "product", action.alias("action"))
 
 
 def keep_paths(inputs: DataFrame, write_targets: DataFrame) -> DataFrame:

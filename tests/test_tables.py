@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from runledger.operators import config as C
 from runledger.operators import extract as X
+from runledger.operators import files as P
 from runledger.operators import scatter as G
 from runledger.operators import schema as S
 
@@ -188,3 +189,12 @@ def test_texts_of_all_parts_stay_where_a_slice_failed(spark, rows):
 def test_effective_setting_skips_nulls(spark, rows):
     df = spark.createDataFrame([("k", 1, "low"), ("k", 3, None), ("k", 2, "mid"), ("n", 1, None)], "setting_key string, layer_rank int, value string")
     assert rows(C.effective(df)) == [("k", "mid", 2), ("n", None, None)]
+
+
+def test_a_directory_is_rescued_whole(spark, rows):
+    files = spark.createDataFrame([(1, "x.ms/table.dat"), (1, "x.ms/sub/a.dat"), (1, "out.ms/t"), (1, "log.txt")], "run int, path string")
+    patterns = spark.createDataFrame([(1, "*.ms")], "run int, pattern string")
+    outputs = spark.createDataFrame([(1, "./out.ms")], "run int, path string")
+    assert rows(P.harvest_plan(files, patterns, outputs)) == [(1, "out.ms", True), (1, "x.ms", False)]
+    there = spark.createDataFrame([("x.ms", True), ("out.ms", True)], "path string, is_dir boolean")
+    assert rows(P.promote_plan(files, patterns, outputs, there)) == [(1, "log.txt", None, "leave"), (1, "out.ms/t", "out.ms", "replace"), (1, "x.ms/sub/a.dat", "x.ms", "refuse"), (1, "x.ms/table.dat", "x.ms", "refuse")]
