@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 RECORD_SCHEMA = (
     "run_id string, path string, depth int, idx int, name string, kind string, returncode int, cached boolean, skipped boolean, "
     "backend string, image string, image_digest string, containerized boolean, venv string, venv_digest string, sandboxed boolean, "
-    "inputs map<string,string>, outputs map<string,string>"
+    "inputs map<string,string>, outputs map<string,string>, resources map<string,string>, generated_at string"
 )
 RECORD_FIELDS = [part.split()[0] for part in RECORD_SCHEMA.split(", ")]
 CACHE_SCHEMA = (
@@ -71,11 +71,12 @@ def flatten_records(docs: DataFrame, text: str = "text", run: str = "run_id") ->
     """One row per step of each run document, at any depth, in pre-order.
 
     `path` is the dotted path below the root, `depth` 0 is the root. Fields an
-    older document lacks come back as null, flags as false. A document is
+    older document lacks come back as null, flags as false. What a document says
+    of the run itself, such as `generated_at`, is in each of its rows. A document is
     walked where it is read, so nothing is shuffled or collected. One that is no
     JSON object gives no rows; see `rejected_json`.
     """
-    plain = [f for f in RECORD_FIELDS if f not in ("run_id", "path", "depth", "idx", "inputs", "outputs")]
+    plain = [f for f in RECORD_FIELDS if f not in ("run_id", "path", "depth", "idx", "inputs", "outputs", "resources", "generated_at")]
     flags = {"cached", "skipped", "containerized", "sandboxed"}
 
     def walk(run_id: str, document: dict) -> Iterator[dict]:
@@ -85,8 +86,8 @@ def flatten_records(docs: DataFrame, text: str = "text", run: str = "run_id") ->
             record, above, depth = stack.pop()
             path = record.get("name") if not above else f"{above}.{record.get('name')}"
             row = {n: bool(record.get(n)) if n in flags else record.get(n) for n in plain}
-            maps = {n: {k: _as_text(v) for k, v in (record.get(n) or {}).items()} for n in ("inputs", "outputs")}
-            yield {"run_id": run_id, "path": path, "depth": depth, "idx": idx, **row, **maps}
+            maps = {n: {k: _as_text(v) for k, v in (record.get(n) or {}).items()} for n in ("inputs", "outputs", "resources")}
+            yield {"run_id": run_id, "path": path, "depth": depth, "idx": idx, **row, **maps, "generated_at": document.get("generated_at")}
             idx += 1
             stack += [(child, path, depth + 1) for child in reversed(record.get("steps") or [])]
 

@@ -121,10 +121,12 @@ def test_fixed_point_stops_at_the_sentinel_or_the_bound(spark):
 
 def test_run_documents_of_any_depth_and_age(spark, rows, tmp_path):
     leaf = {"name": "c", "returncode": 1, "inputs": {"n": 3, "p": "x", "l": [1, 2]}}
-    old = {"root": {"name": "r", "steps": [{"name": "a", "steps": [{"name": "b", "steps": [leaf]}]}, {"name": "d"}]}}
+    leaf["resources"] = {"cpus": 4}
+    old = {"generated_at": "2024-01-01T00:00:00", "root": {"name": "r", "steps": [{"name": "a", "steps": [{"name": "b", "steps": [leaf]}]}, {"name": "d"}]}}
     (tmp_path / "r.20240101.1.run.json").write_text(json.dumps(old, indent=2))
     got = R.read_runs(spark, str(tmp_path))
     assert rows(got, "idx", "depth", "path") == [(0, 0, "r"), (1, 1, "r.a"), (2, 2, "r.a.b"), (3, 3, "r.a.b.c"), (4, 1, "r.d")]
+    assert {(r.generated_at, tuple(sorted(r.resources.items()))) for r in got.where("name in ('a', 'c')").collect()} == {("2024-01-01T00:00:00", ()), ("2024-01-01T00:00:00", (("cpus", "4"),))}
     assert got.where("name = 'c'").select("returncode", "containerized", "inputs").first()[:] == (1, False, {"n": "3", "p": "x", "l": "[1, 2]"})
 
 
