@@ -60,6 +60,26 @@ def _(t):
     return C.resolve_uses(t.sql(USES))
 
 
+INCLUDES = """
+    select concat('p', cast(p_partkey as varchar(20))) as doc, case when p_size % 3 = 0 then 'a' when p_size % 3 = 1 then 'b.x' else 'b.y' end as path, p_type as value from part
+    union all select concat('p', cast(p_partkey as varchar(20))), '_include', concat('p', cast(p_partkey - 1 as varchar(20))) from part where p_partkey % 4 <> 0
+    union all select concat('p', cast(p_partkey as varchar(20))), 'sub._include', concat('p', cast(p_partkey - 2 as varchar(20))) from part where p_partkey % 4 = 3"""
+
+
+@query(
+    "included_documents",
+    "CFG2 SRC8",
+    """
+    with recursive p as (select p_partkey as k, p_type as value, case when p_size % 3 = 0 then 'a' when p_size % 3 = 1 then 'b.x' else 'b.y' end as leaf from part),
+    up as (select k, k as here, 0 as hop from p union all select up.k, here - 1, hop + 1 from up join p on p.k = here - 1 where here % 4 <> 0),
+    flat as (select up.k, p.leaf, arg_min(p.value, up.hop) as value from up join p on p.k = up.here group by 1, 2)
+    select concat('p', k) as doc, leaf as path, value from flat
+    union all select concat('p', k + 2), concat('sub.', leaf), value from flat where (k + 2) % 4 = 3 and k + 2 in (from (select k from p))""",
+)
+def _(t):
+    return C.resolve_includes(t.sql(INCLUDES))
+
+
 @query(
     "unknown_uses",
     "CFG3",

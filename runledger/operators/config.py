@@ -13,6 +13,8 @@ from runledger.plans.paths import normalize, within
 
 # Fixed value: the key of a directive that names what its node inherits.
 USE = "_use"
+# Fixed value: the key of a directive that names the documents its node is read from.
+INCLUDE = "_include"
 # How readers write a map without keys.
 EMPTY_MAP = "{}"
 
@@ -67,10 +69,10 @@ def unknown_uses(leaves: DataFrame, by: Sequence[str] = ("doc",)) -> DataFrame:
     return missing.select(*by, "at", "target", F.element_at(parts, F.col("n").cast("int")).alias("stuck_at"))
 
 
-def _directives(leaves: DataFrame, by: list[str]) -> DataFrame:
-    """(by, at, target, pos) of `<at>._use` leaves, or `_use` at the root; a list names several, last wins."""
-    at = F.when(F.col("path") == USE, F.lit("")).otherwise(F.regexp_replace("path", rf"\.{USE}$", ""))
-    rows = leaves.where((F.col("path") == USE) | F.col("path").endswith(f".{USE}"))
+def _directives(leaves: DataFrame, by: list[str], key: str = USE) -> DataFrame:
+    """(by, at, target, pos) of `<at>.<key>` leaves, or `<key>` at the root; a list names several, last wins."""
+    at = F.when(F.col("path") == key, F.lit("")).otherwise(F.regexp_replace("path", rf"\.{key}$", ""))
+    rows = leaves.where((F.col("path") == key) | F.col("path").endswith(f".{key}"))
     carried = [c for c in rows.columns if c not in (*by, "path", "value")]
     return rows.select(*by, *carried, at.alias("at"), F.posexplode(F.split("value", r"\s*,\s*")).alias("pos", "target"))
 
@@ -114,6 +116,39 @@ def resolve_uses(leaves: DataFrame, by: Sequence[str] = ("doc",)) -> DataFrame:
     return deep_merge(ranked, by).drop("rank")
 
 
+def resolve_includes(leaves: DataFrame, doc: str = "doc") -> DataFrame:
+    """Documents with every `_include: name` replaced by that document's content: (doc, path, value).
+
+    The content lies at the node that includes it, under the node's own keys; of
+    a list of names a later one wins over an earlier one, and what is included
+    deeper in the tree over what is above it. Included documents include in
+    turn; a chain of more steps than documents include is a ring, an error. A
+    name without a document includes nothing.
+
+    Args:
+        leaves: (doc, path, value).
+    """
+    source = cut(leaves.select(F.col(doc).alias("doc"), "path", "value"))
+    content = source.select(F.col("doc").alias("target"), F.col("path").alias("leaf"), "value")
+    own = F.struct(F.lit(1 << 20).alias("depth"), F.lit(0).alias("pos"))
+    longest = _directives(source, ["doc"], INCLUDE).select("doc").distinct().count()
+    rounds = [source.withColumn("trail", F.array().cast("array<struct<depth:int,pos:int>>"))]
+    for _ in range(longest + 1):
+        pending = _directives(rounds[-1], ["doc"], INCLUDE)
+        depth = F.when(F.col("at") == "", F.lit(0)).otherwise(F.size(F.split("at", r"\.")))
+        hop = F.array(F.struct(depth.alias("depth"), F.col("pos").alias("pos")))
+        path = F.when(F.col("at") == "", F.col("leaf")).otherwise(F.concat("at", F.lit("."), "leaf"))
+        fresh = cut(pending.join(content, "target").select("doc", path.alias("path"), "value", F.concat("trail", hop).alias("trail")))
+        if fresh.isEmpty():
+            break
+        rounds.append(fresh)
+    else:
+        raise ValueError(f"`{INCLUDE}` directives name each other in a ring")
+    every = reduce(DataFrame.unionByName, rounds).where((F.col("path") != INCLUDE) & ~F.col("path").endswith(f".{INCLUDE}"))
+    ranked = cut(every.withColumn("rank", F.concat("trail", F.array(own))).drop("trail"))
+    return deep_merge(ranked, ["doc"]).drop("rank").withColumnRenamed("doc", doc)
+
+
 def merge_meta(inputs: DataFrame, outputs: DataFrame, keys: Sequence[str], defaults: Mapping[str, object]) -> DataFrame:
     """One row per field declared on either side: the output's attributes where they say something.
 

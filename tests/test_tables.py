@@ -198,3 +198,11 @@ def test_a_directory_is_rescued_whole(spark, rows):
     assert rows(P.harvest_plan(files, patterns, outputs)) == [(1, "out.ms", True), (1, "x.ms", False)]
     there = spark.createDataFrame([("x.ms", True), ("out.ms", True)], "path string, is_dir boolean")
     assert rows(P.promote_plan(files, patterns, outputs, there)) == [(1, "log.txt", None, "leave"), (1, "out.ms/t", "out.ms", "replace"), (1, "x.ms/sub/a.dat", "x.ms", "refuse"), (1, "x.ms/table.dat", "x.ms", "refuse")]
+
+
+def test_includes_merge_under_own_keys_and_rings_are_errors(spark, rows):
+    data = [("base", "x", "1"), ("base", "m.a", "1"), ("more", "x", "2"), ("more", "_include", "deep"), ("deep", "z", "9"), ("top", "_include", "base,more"), ("top", "m.b", "own"), ("top", "n._include", "base"), ("top", "n.x", "mine")]
+    got = C.resolve_includes(spark.createDataFrame(data, "doc string, path string, value string"))
+    assert rows(got.where("doc = 'top'"), "path", "value") == [("m.a", "1"), ("m.b", "own"), ("n.m.a", "1"), ("n.x", "mine"), ("x", "2"), ("z", "9")]
+    with pytest.raises(ValueError, match="ring"):
+        C.resolve_includes(spark.createDataFrame([("a", "_include", "b"), ("b", "_include", "a")], "doc string, path string, value string"))
