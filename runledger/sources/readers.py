@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from itertools import batched
@@ -28,7 +29,6 @@ JOURNAL_SCHEMA = (
 )
 SAMPLE_BYTES = 4096
 BATCH_ROWS = 10_000
-SAMPLE_LIMIT = 1 << 30
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -162,21 +162,38 @@ def scan_files(spark: SparkSession, root: str, sample: bool = False) -> DataFram
     """Files under a root: (path, mtime_ms, size[, sample]).
 
     Only metadata is listed unless `sample` asks for a digest of the first and
-    last 4 KiB. Sampling has to read a file whole, so files above 1 GiB are
-    listed without one. Empty files hold no rows for Spark to scan and are not
-    listed; where executors mount the storage, `walk_files` sees them too.
+    last 4 KiB, which tasks read by seeking, whatever a file's size; the store
+    must then be one that `pyarrow.fs` opens. A file that cannot be opened has a
+    null sample. Empty files hold no rows for Spark to scan and are not listed;
+    where executors mount the storage, `walk_files` sees them too.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    meta = ["path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size")]
+    meta = listed.select("path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"))
     if not sample:
-        return listed.select(*meta)
-    size = F.col("length")
-    head = F.substring("content", 1, SAMPLE_BYTES)
-    tail_at = F.greatest(size - SAMPLE_BYTES, F.lit(SAMPLE_BYTES)) + 1
-    tail = F.when(size > SAMPLE_BYTES, F.substr(F.col("content"), tail_at.cast("int"))).otherwise(F.lit(b""))
-    small = listed.where(size <= SAMPLE_LIMIT).select(*meta, F.sha2(F.concat(head, tail), 256).alias("sample"))
-    large = listed.where(size > SAMPLE_LIMIT).select(*meta, F.lit(None).cast("string").alias("sample"))
-    return small.unionByName(large)
+        return meta
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(sample=[sample_of(path, size) for path, size in zip(frame["path"], frame["size"])])
+
+    return meta.mapInPandas(batches, "path string, mtime_ms bigint, size bigint, sample string")
+
+
+def sample_of(path: str, size: int) -> str | None:
+    """Digest of the first and last 4 KiB of a file, read without the rest."""
+    from pyarrow import fs
+
+    try:
+        if path.startswith("file:"):
+            store, name = fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+        else:
+            store, name = fs.FileSystem.from_uri(path)
+        with store.open_input_file(name) as f:
+            head = f.read(SAMPLE_BYTES)
+            f.seek(min(size, max(size - SAMPLE_BYTES, SAMPLE_BYTES)))
+            return hashlib.sha256(head + f.read(SAMPLE_BYTES)).hexdigest()
+    except OSError:
+        return None
 
 
 PARAM_SCHEMA = "task string, base string, binary string, description string, parameters array<variant>"
