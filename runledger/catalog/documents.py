@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from runledger.catalog.base import query
 from runledger.operators import config as C
 from runledger.plans.lineage import scratch_root
+from runledger.plans.scan import LastBefore, ordered_scan
 from runledger.sources import readers as R
 from runledger.sources import writers as O
 
@@ -39,11 +40,15 @@ def _(t):
     return C.deep_merge(t.sql(LAYERS))
 
 
-USES = """
-    select p_brand as doc, concat('n', cast(p_partkey as varchar(20)), '.', case when p_size % 3 = 0 then 'a' when p_size % 3 = 1 then 'b.x' else 'b.y' end) as path, p_type as value from part
-    union all
-    select p_brand, concat('n', cast(p_partkey as varchar(20)), '._use'), concat('n', cast(prev as varchar(20)))
-    from (select p_brand, p_partkey, lag(p_partkey) over (partition by p_brand order by p_partkey) as prev from part) u where prev % 2 = 0"""
+def _uses(t):
+    """A node for each part, every second of which uses the node of the part before it of its brand."""
+    node = lambda key: F.concat(F.lit("n"), key.cast("string"))
+    parts = t.part.select("p_brand", "p_partkey", "p_size", "p_type")
+    leaf = F.when(F.col("p_size") % 3 == 0, "a").when(F.col("p_size") % 3 == 1, "b.x").otherwise("b.y")
+    own = parts.select(F.col("p_brand").alias("doc"), F.concat(node(F.col("p_partkey")), F.lit("."), leaf).alias("path"), F.col("p_type").alias("value"))
+    before = ordered_scan(parts, ["p_brand"], ["p_partkey"], [F.floor(F.col("p_partkey") / 4096)], {"prev": LastBefore(F.col("p_partkey"))})
+    uses = before.where("prev % 2 = 0").select(F.col("p_brand").alias("doc"), F.concat(node(F.col("p_partkey")), F.lit("._use")).alias("path"), node(F.col("prev")).alias("value"))
+    return own.unionByName(uses)
 
 
 @query(
@@ -57,7 +62,7 @@ USES = """
     select up.doc, concat('n', up.k, '.', p.leaf) as path, arg_min(p.value, up.hop) as value from up join p on p.k = up.at group by 1, 2""",
 )
 def _(t):
-    return C.resolve_uses(t.sql(USES))
+    return C.resolve_uses(_uses(t))
 
 
 INCLUDES = """
