@@ -109,7 +109,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
-@corpus_query("op2_html_text")
+@corpus_query(
+    "op2_html_text",
+    # The article and its blocks by the elements the given pages use; the operator knows none of this.
+    r"""
+    with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as article from pages),
+    b as (select page_id, url, list_transform(regexp_split_to_array(article, '</?(?:p|h1|br)>'),
+            lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as blocks from a)
+    select page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) as text,
+           length(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10))) as n_chars from b""",
+)
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
