@@ -9,11 +9,9 @@ import zlib
 
 import duckdb
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
 
