@@ -1,13 +1,14 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by seeds.
 
-Fixed masks pick positions of a window of words and ignore the others, so a
-substituted word spoils only the seeds that pick it. Seeds of the benchmark are
-joined with those of the documents; a hit says where an item would lie in a
-document, and the words are compared there, one by one, on both sides of the hit.
+Fixed masks pick positions of a window of words, such that every overlap that is
+a leak holds one of them (see `masks_of`). Seeds of the benchmark are joined with
+those of the documents; a hit says where an item would lie in a document, and the
+words are compared there, one by one, on both sides of the hit.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,8 +23,13 @@ from runledger.plans.lineage import cut
 
 WORD = re.compile(r"\w+")
 #: 1: the word counts; 0: any word may stand there.
-MASKS = ("11111111", "110110110101", "101100111011")
-SHORTEST, WIDEST = min(map(len, MASKS)), max(map(len, MASKS))
+MASK, SPLIT_MASK = "111", "11011"
+#: Items of fewer words are looked for as a whole, word for word.
+SHORTEST = 8
+#: Items of up to so many words are leaks from 6 equal words on, which two substitutions split in pairs.
+SPLIT_ITEM = 10
+#: No mask is longer.
+WIDEST = SHORTEST
 #: An overlap is a leak from this many equal words on, or this share of the item.
 LEAST_WORDS, LEAST_SHARE = 10, 0.6
 #: Share of its words that are equal in an overlap, at least: one in four may differ.
@@ -68,8 +74,30 @@ def _read_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def masks_of(span: int) -> list[str]:
-    """The masks an item of `span` words is found by: those that fit, or one of its own length if none does."""
-    return [m for m in MASKS if len(m) <= span] or ["1" * span]
+    """The masks an item of `span` words is found by; every overlap that is a leak holds one.
+
+    An overlap of m substituted words has at least 3 m equal ones, in m + 1 runs. If
+    no run had 3 words, 3 m <= 2 (m + 1): two substitutions and 6 equal words, in pairs.
+    """
+    if span < SHORTEST:
+        return ["1" * span]
+    return [MASK, SPLIT_MASK] if span <= SPLIT_ITEM else [MASK]
+
+
+def least_equal(span: int) -> int:
+    """Equal words from which an overlap with an item of `span` words is a leak."""
+    return span if span < SHORTEST else min(LEAST_WORDS, math.ceil(span * LEAST_SHARE))
+
+
+def widest_overlap(same: np.ndarray) -> tuple[int, int, int]:
+    """(begin, length, equal) of the part with most equal words of which at most one in four differs."""
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
+    count = np.concatenate([[0], np.cumsum(same)])
+    # From each place on, the last one where the sum is no less.
+    last = np.searchsorted(-np.maximum.accumulate(total[::-1])[::-1], -total, "right") - 1
+    begin = int((count[last] - count).argmax())
+    equal = begin + np.flatnonzero(same[begin : last[begin]])
+    return (int(equal[0]), int(equal[-1] - equal[0] + 1), len(equal)) if len(equal) else (0, 0, 0)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +113,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The best overlap along one alignment: an equal word counts 1, any other costs 3."""
+    """The best overlap along one alignment: an equal word counts 1, any other costs 3.
+
+    Where that is too short for a leak, a longer one of a lower sum may still be one.
+    """
     for batch in batches:
         start, length, equal = [], [], []
         for shift, words, item in zip(batch.column("shift").to_pylist(), batch.column("words"), batch.column("item_words")):
@@ -97,9 +128,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = np.minimum.accumulate(total)
             end = int((total - least).argmax())
             begin = int(total[: end + 1].argmin())
-            start.append(lo + shift + begin)
-            length.append(end - begin)
-            equal.append(int(same[begin:end].sum()))
+            found = (begin, end - begin, int(same[begin:end].sum()))
+            if found[2] < least_equal(len(t)):
+                found = widest_overlap(same)
+            start.append(lo + shift + found[0])
+            length.append(found[1])
+            equal.append(found[2])
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), batch.column("item_id"), pa.array([int(a + b) for a, b in zip(batch.column("region_at").to_pylist(), start)], pa.int64()), pa.array(length, pa.int32()), pa.array(equal, pa.int32()), pa.array([len(x) for x in batch.column("item_words")], pa.int32())],
             ["row", "item_id", "start_word", "n_words", "equal_words", "item_words"],
@@ -117,22 +151,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
     Of several overlaps of a document with an item the longest is given, the
     first of equal ones. Null texts have no words. Items without an id are not
-    looked for. An empty table on either side gives no rows. Documents are read
-    whole; what is sent to all tasks is a bit array of bounded size.
+    looked for. Of an item of fewer than `SHORTEST` words all must be equal, in a
+    longer one up to one in four of the overlap may differ. An empty table on either
+    side gives no rows. Documents are read whole; what is sent to all tasks are two
+    bit arrays of bounded size.
     """
     spark = docs.sparkSession
     listed = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     items = cut(listed.mapInArrow(_read_items, "item_id long, n int, words array<long>").where(F.col("n") >= SHORTEST_ITEM))
     index = cut(items.mapInArrow(_index, "h long, item_id long, item_at int"))
-    bounds = items.agg(F.max("n"), F.collect_set(F.when(F.col("n") < SHORTEST, F.col("n")))).first()
+    bounds = items.agg(F.max("n"), F.min("n"), F.collect_set(F.least("n", F.lit(SPLIT_ITEM + 1)))).first()
     reach = int(bounds[0] or 0)
-    masks = [*MASKS, *("1" * n for n in sorted(bounds[1]))]
+    least = min(map(least_equal, range(bounds[1] or 0, max(bounds[1] or 0, SHORTEST) + 1)))
+    masks = sorted({m for n in bounds[2] for m in masks_of(n)})
     places = [F.col("h"), F.shiftright("h", 24)]
-    shared = spark.sparkContext.broadcast(membership(index, places))
+    words_of = items.select(F.explode("words").alias("h")).distinct()
+    shared = spark.sparkContext.broadcast((membership(index, places), membership(words_of, places)))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Regions of documents with the seeds that may be the benchmark's."""
-        known, bits = _WordHashes(), shared.value
+        known, (bits, word_bits) = _WordHashes(), shared.value
         for batch in batches:
             row, doc, region, region_at, words, at, h = [], [], [], [], [], [], []
             for r, d, t in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -146,6 +184,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                         found_h.append(s[keep])
                 if not any(map(len, found_at)):
                     continue
+                signed = w.view(np.int64)
+                listed = may_hold(word_bits, signed, signed >> 24)
                 a, b = np.concatenate(found_at), np.concatenate(found_h)
                 order = np.argsort(a, kind="stable")
                 a, b = a[order], b[order]
@@ -153,6 +193,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                 starts = np.concatenate([[0], np.flatnonzero(np.diff(a) > reach) + 1, [len(a)]])
                 for lo, hi in zip(starts[:-1], starts[1:]):
                     begin, end = max(0, int(a[lo]) - reach), int(a[hi - 1]) + reach + WIDEST
+                    # An overlap has no more equal words than words that any item has.
+                    if widest_overlap(listed[begin:end])[2] < least:
+                        continue
                     row.append(r)
                     doc.append(d)
                     region_at.append(begin)

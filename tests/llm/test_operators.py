@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import os
+import re
 import sys
 import zlib
 
@@ -508,6 +509,48 @@ def test_leaks_of_given_rows_against_brute_force(spark):
     assert 0 < sum(got.values()) < 0.1 * len(got)
 
 
+def leak_at(words, item):
+    """Whether any part of any alignment is a leak, by trying them all."""
+    n = len(item)
+    for shift in range(-n + 1, len(words)):
+        same = [0 <= i + shift < len(words) and words[i + shift] == item[i] for i in range(n)]
+        for i in range(n):
+            for j in range(i + 1, n + 1):
+                equal = sum(same[i:j])
+                if (equal == n if n < 8 else (equal >= 10 or equal >= math.ceil(0.6 * n)) and equal >= 0.75 * (j - i)):
+                    return True
+    return False
+
+
+def test_every_overlap_that_is_a_leak_has_a_seed():
+    for n in range(8, 18):
+        for inner in range(1, 1 << 16):
+            pattern = f"{inner:b}1"
+            equal = pattern.count("1")
+            if len(pattern) <= n and (equal >= 10 or equal >= math.ceil(0.6 * n)) and equal >= 0.75 * len(pattern):
+                assert any(re.search(f"(?={m.replace('0', '.')})", pattern) for m in decontaminate.masks_of(n)), (n, pattern)
+
+
+def test_leaks_with_substitutions_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    items = [[f"i{k}x{x}" for x in range(n)] for k, n in enumerate([5, 7, 8, 8, 9, 10, 10, 12, 12, 13, 15, 15, 16, 20, 40])]
+    texts = [items[7][:6] + ["other"] + items[7][7:], items[14][10:15] + ["other"] + items[14][16:21], items[3][:2] + ["a"] + items[3][3:5] + ["b"] + items[3][6:]]
+    texts += [[x if k % 4 != 3 else "other" for k, x in enumerate(items[12])], items[14][:9] + ["a"] * 12 + [x if k % 4 != 3 else "b" for k, x in enumerate(items[14][21:37])]]
+    for _ in range(400):
+        item = items[rng.integers(len(items))]
+        begin = int(rng.integers(0, max(1, len(item) - 9)))
+        part = list(item[begin : begin + int(rng.integers(8, 17))])
+        for place in rng.choice(len(part), min(len(part), int(rng.integers(0, 5))), replace=False):
+            part[place] = "other"
+        texts.append([f"f{x}" for x in rng.integers(0, 1000, 12)] + part + [f"f{x}" for x in rng.integers(0, 1000, 12)])
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(table, bench).collect()}
+    mine = [{x.split("x")[0] for x in t if x[0] == "i"} for t in texts]
+    want = {(d, k) for d, t in enumerate(texts) for k, item in enumerate(items) if f"i{k}" in mine[d] and leak_at(t, item)}
+    assert got == want and {d for d, _ in want} >= {0, 1, 2, 3, 4} and len(want) < len(texts)
+
+
 # 10: sharding
 
 
