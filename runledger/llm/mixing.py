@@ -28,7 +28,11 @@ _UNIT = 1 << 52
 
 @dataclass(frozen=True)
 class Margin:
-    """A column's target shares by value; what is left of 1 is for the other values."""
+    """A column's target shares by value; what is left of 1 is for the other values.
+
+    Where nothing is left, other values keep the share of tokens they have, and the
+    targets divide what is not theirs.
+    """
 
     name: str
     value: Column
@@ -37,6 +41,15 @@ class Margin:
     def classes(self) -> list[str]:
         return [*self.targets, REST]
 
+    def shares(self, weights: np.ndarray) -> np.ndarray:
+        """The share of each of the classes, which have the given token weights."""
+        named = np.array([*self.targets.values()], float)
+        rest = 1 - named.sum()
+        if rest > 1e-9:
+            return np.array([*named, rest])
+        rest = weights[-1] / weights.sum() if weights.sum() else 0.0
+        return np.array([*named * (1 - rest), rest])
+
     def of(self) -> Column:
         return F.when(self.value.isin(list(self.targets)), self.value).otherwise(F.lit(REST))
 
@@ -122,7 +135,7 @@ def draw_documents(docs: DataFrame, margins: Sequence[Margin], share: float, see
     weights = np.zeros([len(c) for c in classes])
     for row in cells.collect():  # no more rows than the targets have cells
         weights[tuple(c.index(row[n]) for c, n in zip(classes, names))] = row["t"]
-    targets = [np.array([*m.targets.values(), max(0.0, 1 - sum(m.targets.values()))]) for m in margins]
+    targets = [m.shares(weights.sum(axis=tuple(i for i in range(weights.ndim) if i != axis))) for axis, m in enumerate(margins)]
     p = rake(weights, targets, share).probabilities
     table = [(*[c[i] for c, i in zip(classes, at)], float(p[at])) for at in np.ndindex(p.shape)]
     schema = ", ".join([*(f"{n} string" for n in names), "mix_probability double"])

@@ -66,3 +66,14 @@ def test_stages_on_odd_rows(spark):
             now = stage(spark, now, "/root/testdata/sf0.001")
             assert now.columns == table.columns
         assert corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001").count() <= table.count()
+
+
+def test_languages_without_a_target_survive_the_mixing(spark):
+    langs = ["en", "en", "de", "fr", "es", None, "xx", "ja"]
+    rows = [(i, f"w{i} two three four", langs[i % 8], f"src{i % 3}") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    left = collections.Counter(r.lang for r in corpus_pipeline.mixing(spark, docs, FOLDER).collect())
+    # Three in eight have no target: they keep that share of the mix.
+    assert all(abs(left[lang] - 0.75 * 1000) < 75 for lang in (None, "xx", "ja")), left
+    only = docs.where("lang is null")
+    assert abs(corpus_pipeline.mixing(spark, only, FOLDER).count() - 750) < 75
