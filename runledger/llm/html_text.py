@@ -6,6 +6,9 @@ chrome by their element or their names. Weights are summed over a sliding window
 of lines; text begins where the sums surge and ends where they dive, and the
 lines between are kept. Where a page marks its article, lines outside it weigh
 nothing and any weight is a surge, so short paragraphs are not lost.
+
+A name alone does not make a block chrome that holds the article or most of the
+text: wrappers of whole pages have names of what is beside or below the text.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,22 +38,53 @@ CHROME_ROLES = set("navigation banner contentinfo complementary search dialog al
 CHROME_NAMES = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup overlay modal newsletter subscribe subscription signup sidebar rail nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist respond replies disqus share sharing social related recommended widget login search pagination pager skip".split()
 )
+#: Names of lists whose entries may be articles of their own, and of what may be longer than the text beside it.
+COMMENT_NAMES = set("comment comments commentlist respond replies disqus".split())
+AD_NAMES = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored".split())
+#: A name that begins so tells what a block has beside it: `with-sidebar`, `no-comments`.
+STATES = set("no not non without with has have is hide disable disabled".split())
+#: A named block is not chrome if its articles have this share of the text of the page.
+ARTICLE_SHARE = 0.25
 ARTICLE_ROLES = {"article", "main"}
 NAME = re.compile(r"[a-z]+")
 
 
 def _names(text: str) -> set[str]:
-    """Words of a class or id: `cookie-notice_box adSlot` is cookie, notice, box, ad, slot."""
-    return set(NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower()))
-
-
-def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The lines of a page as (text, length of its link text, is chrome, is in an article)."""
-    lines: list[tuple[str, int, bool, bool]] = []
+    """Words of a class or id: `cookie-notice_box adSlot with-menu` is cookie, notice, box, ad, slot."""
+    parts = [NAME.findall(x) for x in re.sub(r"([a-z])([A-Z])", r"\1-\2", text).lower().split()]
+    return {word for words in parts if words and words[0] not in STATES for word in words}
+
+
+@dataclass
+class _Named:
+    """A block that is chrome by its names alone, unless what it holds says otherwise."""
+
+    parent: int  # the named block around it, or -1
+    names: set[str]
+    text: int = 0
+    article_text: int = 0
+    lines: int = 0
+    is_page: bool = False  # it holds a main element or a first heading
+
+    def is_chrome(self, total: int) -> bool:
+        if self.is_page and self.article_text >= total * ARTICLE_SHARE:
+            return False
+        if self.names & COMMENT_NAMES:
+            return not (self.is_page and self.text * 2 > total)
+        if self.names & AD_NAMES:
+            return not self.article_text * 2 > total
+        return self.article_text < max(1, total * ARTICLE_SHARE) and not (self.lines > 1 and self.text * 2 > total)
+
+
+def page_lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """The lines of a page as (text, length of its link text, is chrome, is in an article, is chrome by names alone)."""
+    lines: list[tuple[str, int, bool, bool, int]] = []
+    blocks: list[_Named] = []
     parts: list[str] = []
     links = 0
-    stack: list[tuple[str, bool, bool]] = []  # element, is chrome, is in an article
+    stack: list[tuple[str, bool, bool, int, int]] = []  # element, is chrome, is in an article, its named block, the outermost article's
     chrome = article = False
+    named = outer = -1
     in_link = 0
 
     def add(raw: str) -> None:
@@ -64,15 +99,22 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                lines.append((text, min(links, len(text)), chrome, article))
+                lines.append((text, min(links, len(text)), chrome, article, named))
+                own = 0 if chrome else len(text) - min(links, len(text))
+                if named >= 0:
+                    blocks[named].text += own
+                    blocks[named].lines += 1
+                # An article counts for the named blocks around it, not for those it holds.
+                if article and outer >= 0:
+                    blocks[outer].article_text += own
             parts.clear()
         links = 0
 
     def pop() -> None:
-        nonlocal chrome, article, in_link
+        nonlocal chrome, article, named, outer, in_link
         name = stack.pop()[0]
         in_link -= name == "a"
-        chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        chrome, article, named, outer = stack[-1][1:] if stack else (False, False, -1, -1)
 
     at = 0
     while True:
@@ -117,20 +159,45 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             or role in CHROME_ROLES
             or "hidden" in given
             or given.get("aria-hidden", "").lower() == "true"
-            or (name not in ("html", "body", "article", "main", "p", "h1") and bool(_names(f"{given.get('class', '')} {given.get('id', '')}") & CHROME_NAMES))
-            or (name == "p" and bool(_names(given.get("class", "")) & CHROME_NAMES))
         )
+        names = set()
+        if name not in ("html", "body", "article", "main", "h1"):
+            names = _names(given.get("class", "") if name == "p" else f"{given.get('class', '')} {given.get('id', '')}") & CHROME_NAMES
+        if names:
+            blocks.append(_Named(named, names))
+            named = len(blocks) - 1
+        if named >= 0 and (name in ("main", "h1") or role == "main") and not (chrome or is_chrome):
+            blocks[named].is_page = True
         # A comment may be an article of its own inside what is chrome already.
-        stack.append((name, chrome or is_chrome, article or is_article))
-        chrome, article = stack[-1][1], stack[-1][2]
+        stack.append((name, chrome or is_chrome, article or is_article, named, named if is_article and not article else outer))
+        chrome, article, named, outer = stack[-1][1:]
         in_link += name == "a"
     end_line()
-    return lines
+    total = sum(len(text) - links for text, links, is_chrome, *_ in lines if not is_chrome)
+    for block in reversed(blocks):
+        if block.parent >= 0:
+            around = blocks[block.parent]
+            around.text += block.text
+            around.lines += block.lines
+            around.article_text += block.article_text
+            around.is_page |= block.is_page
+    by_name: list[bool] = []
+    for block in blocks:
+        by_name.append((block.parent >= 0 and by_name[block.parent]) or block.is_chrome(total))
+    return [(text, links, is_chrome or (k >= 0 and by_name[k]), in_article, not is_chrome and k >= 0 and by_name[k]) for text, links, is_chrome, in_article, k in lines]
 
 
 def main_text(page: str | None) -> str:
     """The kept lines joined by one newline; empty if there is none."""
     lines = page_lines(page or "")
+    out = _kept_lines([x[:4] for x in lines])
+    if not out and any(x[4] for x in lines):
+        # All was judged chrome: what names alone condemn is kept where it is as dense as a text.
+        out = _kept_lines([(text, links, chrome and not named, False) for text, links, chrome, _, named in lines], short=False)
+    return "\n".join(out)
+
+
+def _kept_lines(lines: list[tuple[str, int, bool, bool]], short: bool = True) -> list[str]:
     marked = any(article and not chrome for _, _, chrome, article in lines)
     weights = [0 if chrome or (marked and not article) else len(text) - (0 if marked else links) for text, links, chrome, article in lines]
     threshold = 0 if marked else SURGE
@@ -144,9 +211,9 @@ def main_text(page: str | None) -> str:
             kept += range(start, i)  # dive
             start = None
     out = [lines[i][0] for i in kept if weights[i] > 0 or not (lines[i][2] or (marked and not lines[i][3]))]
-    if not out and not marked:  # a page of a few short lines has no surge
+    if not out and not marked and short:  # a page of a few short lines has no surge
         out = [text for (text, *_), w in zip(lines, weights) if w > 0]
-    return "\n".join(out)
+    return out
 
 
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -164,6 +164,25 @@ def test_html_without_article_uses_the_surge():
     assert html_text.main_text(page).split("\n")[-3:] == [long_a.strip(), "short", long_b.strip()]
 
 
+def test_html_names_of_wrappers_do_not_lose_the_text():
+    story = "".join(f"<p>{x} real words of the story here, and more of them after that.</p>" for x in "abcd")
+    want = [f"{x} real words of the story here, and more of them after that." for x in "abcd"]
+    card = '<div class="related"><article>card</article></div>'
+    pages = [
+        f'<div class="content with-sidebar"><article>{story}</article></div>',
+        f'<div id="page" class="no-comments"><article>{story}</article><div class="comments"><article>c1</article></div></div>',
+        f'<div class="layout sidebar-left"><article>{story}</article><div class="sidebar"><a href=x>link</a></div></div>{card}',
+        f'<div id="page" class="comments-open"><main><h1></h1>{story}</main></div>',
+        f'<div class="menu-layout"><div>{story}</div><div class="share">tweet</div></div>',
+        f'<div class="comments">{story}</div>',
+        f'<article>{story}<div class="ad">{"buy now " * 100}</div></article>{card}',
+        f'<div>{story}</div>{card}<div id="comments"><article>{"long comment " * 60}</article></div>',
+    ]
+    for page in pages:
+        assert html_text.main_text(page).split("\n") == want, page
+    assert html_text.main_text('<div class="ad">buy</div>') == ""
+
+
 def test_html_rows(spark, given):
     rows = spark.createDataFrame([(1, "u", None), (None, None, ""), (3, "u", "<p>" + "word " * 200_000), (3, "u", "a < b & c &amp; d")], "page_id long, url string, html string")
     got = {(r.page_id, r.n_chars): r.text for r in html_text.extract_main_text(rows).collect()}
