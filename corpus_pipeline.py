@@ -26,12 +26,14 @@ TOXIC_FROM = 0.7
 SOURCES = {"src0": 0.30}
 LANGUAGES = {"en": 0.54, "de": 0.17, "fr": 0.17, "es": 0.12}
 TOPICS = {"prose": 0.91, "listing": 0.03, "legal": 0.03, "contact": 0.03}
+#: Sources without a target share what is left as the powers of their shares of tokens by this.
+SOURCE_TEMPER = 0.5
 MIX_SHARE = 0.75
 SHARDS = 16
 
 
 def margins() -> list[Margin]:
-    return [Margin("source", F.col("source"), SOURCES), Margin("lang", F.col("lang"), LANGUAGES), Margin("topic", topic_of("text"), TOPICS)]
+    return [Margin("source", F.col("source"), SOURCES, SOURCE_TEMPER), Margin("lang", F.col("lang"), LANGUAGES), Margin("topic", topic_of("text"), TOPICS)]
 
 
 def toxic_field(spark: SparkSession, sf_dir: str):

@@ -5,23 +5,28 @@ turn each margin's classes are scaled to their target, no cell beyond all it
 has, until all margins hold. A cell's calibrated share is the probability with
 which each of its documents is drawn.
 
-The targets name their classes, and what they do not name is one class more, so
-there are no more cells than the targets allow, however large the corpus: the
-cells are raked in memory, while weights are summed and documents drawn by Spark.
+The targets name their classes, a tempered margin adds its frequent values, and
+what is left is one class more, so the number of cells is bounded, however large
+the corpus: the cells are raked in memory, while weights are summed and documents
+drawn by Spark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.plans.lineage import cut
+
 #: The class of all values a margin does not name, nulls included.
 REST = "(rest)"
+#: Values from this share of tokens on are classes of their own where a margin is tempered, so there are 200 at most.
+LEAST_SHARE = 0.005
 #: 2**52: a hash below it is an exact number between 0 and 1.
 _UNIT = 1 << 52
 
@@ -32,11 +37,32 @@ class Margin:
 
     Where nothing is left, other values keep the share of tokens they have, and the
     targets divide what is not theirs.
+
+    With `temper`, frequent other values get targets as well: what the given ones
+    leave of 1 is divided as the powers by it of the shares of tokens (1: as they
+    are, 0: evenly), values below `LEAST_SHARE` together counting as one.
     """
 
     name: str
     value: Column
     targets: Mapping[str, float]
+    temper: float | None = None
+
+    def tempered(self, tokens: DataFrame, column: str) -> Margin:
+        """This margin with a target for each frequent value of `tokens` (the column, and `t`, the token count)."""
+        if self.temper is None:
+            return self
+        others = tokens.where(F.col(column).isNull() | ~F.col(column).isin(list(self.targets))).groupBy(column).agg(F.sum("t").alias("t"))
+        total = tokens.agg(F.sum("t")).first()[0] or 0
+        left = max(0.0, 1 - sum(self.targets.values()))
+        if not total or left <= 0:
+            return self
+        large = F.col(column).isNotNull() & (F.col(column) != REST) & (F.col("t") >= total * LEAST_SHARE)
+        frequent = {r[column]: r["t"] / total for r in others.where(large).orderBy(F.desc("t"), column).collect()}  # at most 1 / LEAST_SHARE
+        tail = (others.where(~large | F.col(column).isNull()).agg(F.sum("t")).first()[0] or 0) / total
+        weights = {k: v**self.temper for k, v in frequent.items()}
+        whole = sum(weights.values()) + (tail**self.temper if tail else 0.0)
+        return replace(self, targets={**self.targets, **{k: left * w / whole for k, w in weights.items()}}) if weights else self
 
     def classes(self) -> list[str]:
         return [*self.targets, REST]
@@ -129,9 +155,15 @@ def draw_documents(docs: DataFrame, margins: Sequence[Margin], share: float, see
     """
     added = ["mix_cell", "mix_tokens", "mix_probability", "mix_drawn"]
     base = docs.drop(*added)
-    classes = [m.classes() for m in margins]
     names = [f"__mix{i}" for i in range(len(margins))]
-    cells = base.select(*[m.of().alias(n) for m, n in zip(margins, names)], token_weight(text).alias("t")).groupBy(*names).agg(F.sum("t").alias("t"))
+    counted = base.select(*[(m.of() if m.temper is None else m.value).alias(n) for m, n in zip(margins, names)], token_weight(text).alias("t")).groupBy(*names).agg(F.sum("t").alias("t"))
+    if any(m.temper is not None for m in margins):
+        # Written, as its values are looked at first and then dealt to classes.
+        counted = cut(counted)
+    margins = [m.tempered(counted, n) for m, n in zip(margins, names)]
+    classes = [m.classes() for m in margins]
+    of_counted = [F.col(n) if m.temper is None else replace(m, value=F.col(n)).of() for m, n in zip(margins, names)]
+    cells = counted.select(*[c.alias(n) for c, n in zip(of_counted, names)], "t").groupBy(*names).agg(F.sum("t").alias("t"))
     weights = np.zeros([len(c) for c in classes])
     for row in cells.collect():  # no more rows than the targets have cells
         weights[tuple(c.index(row[n]) for c, n in zip(classes, names))] = row["t"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline
-from runledger.llm import decontaminate, near_dedup, toxicity
+from runledger.llm import decontaminate, mixing, near_dedup, toxicity
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -77,3 +77,20 @@ def test_languages_without_a_target_survive_the_mixing(spark):
     assert all(abs(left[lang] - 0.75 * 1000) < 75 for lang in (None, "xx", "ja")), left
     only = docs.where("lang is null")
     assert abs(corpus_pipeline.mixing(spark, only, FOLDER).count() - 750) < 75
+
+
+def test_sources_are_mixed_against_each_other(spark):
+    # Of 10,000 tokens src0 has 20 %, hot 50 %, b 20 %, c 9.5 %, and many small ones and null the rest.
+    source = lambda i: "src0" if i % 10 < 2 else "hot" if i % 10 < 7 else "b" if i % 10 < 9 else None if i % 400 == 9 else f"small{i}" if i % 400 == 199 else "c"
+    docs = spark.createDataFrame([(i, f"w{i}", "en", source(i)) for i in range(10_000)], "doc_id long, text string, lang string, source string")
+    rows = mixing.draw_documents(docs, corpus_pipeline.margins(), 0.4).select("source", F.col("mix_cell")[0].alias("cls"), "mix_probability").collect()
+    assert {r.cls for r in rows if r.source is None or r.source.startswith("small")} == {mixing.REST}
+    got = collections.Counter()
+    for r in rows:
+        got[r.cls] += r.mix_probability / 4000
+    # The rest is smaller than its target and taken whole; the others divide what it leaves.
+    have = collections.Counter(source(i) if source(i) in ("src0", "hot", "b", "c") else mixing.REST for i in range(10_000))
+    assert np.isclose(got[mixing.REST], have[mixing.REST] / 4000)
+    for a, b in (("hot", "b"), ("b", "c")):
+        assert np.isclose(got[a] / got[b], (have[a] / have[b]) ** 0.5, rtol=1e-3), (a, b)
+    assert abs(got["src0"] - 0.3) < 0.03 and np.isclose(sum(got.values()), 1)
