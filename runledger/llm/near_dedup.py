@@ -300,16 +300,20 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def row_key(key: str, text: str) -> Column:
-    """The id of a row, or for a row without one a hash of its text."""
-    return F.coalesce(F.col(key).cast("long"), F.xxhash64(text, F.lit("none")))
+    """A hash of the id and the text of a row: only rows that repeat both share it."""
+    return F.xxhash64(F.coalesce(F.col(key).cast("long").cast("string"), F.lit("none")), F.col(text), F.col(text).isNull())
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` without near duplicates: of each group the one with the smallest id, rows without
-    one last; of rows that repeat an id, one. Columns are those of `docs`."""
+    one last; of rows that repeat an id and a text, one. Different texts of one id are
+    told apart. Columns are those of `docs`."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    stay = near_groups(docs, key, text).groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.row_key").alias("__key")).distinct()
-    return docs.withColumn("__key", row_key(key, text)).join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    stay = near_groups(docs, key, text).groupBy("root").agg(F.min(first).alias("first"))
+    named = ["__id", "__key"]  # both, so that texts of different ids never meet by a hash
+    stay = stay.select(F.coalesce("first.doc_id", F.lit(0)).alias("__id"), F.col("first.row_key").alias("__key")).distinct()
+    own = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(0)), "__key": row_key(key, text)})
+    return own.join(stay, named, "left_semi").dropDuplicates(named).drop(*named)
 
 
 def _hubs(members: DataFrame) -> DataFrame:

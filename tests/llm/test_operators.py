@@ -333,6 +333,13 @@ def test_near_groups_of_given_rows(docs, empty):
     assert near_dedup.near_groups(empty).collect() == [] == near_dedup.keep_one_of_each(empty).collect()
 
 
+def test_different_texts_of_one_id_are_kept_apart(spark):
+    rows = [(1, SENTENCE), (2, "an entirely different text of nine words or so"), (2, SENTENCE + " again"), (2, "an entirely different text of nine words or so"), (2, "and a third one that nothing else is like"), (None, "no id")]
+    for n in (1, 7):
+        kept = near_dedup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        assert sorted(map(tuple, kept), key=repr) == sorted({rows[0], rows[1], rows[4], rows[5]}, key=repr)
+
+
 def test_estimate_is_close_to_the_overlap():
     rng = np.random.default_rng(4)
     for j in (0.5, 0.75, 0.9):
