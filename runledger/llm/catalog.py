@@ -9,10 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.llm.alignment import align
 from runledger.llm.decontaminate import flag_leaks
 from runledger.llm.exact_dedup import content_groups
 from runledger.llm.html_text import extract_main_text
 from runledger.llm.labelled import fold, labelled_sample
+from runledger.llm.language import identify_language, train_language_model
+from runledger.llm.merkle import fold_proof, leaf_digest, manifest, proof_digest
 from runledger.llm.mixing import draw_documents
 from runledger.llm.near_dedup import near_groups
 from runledger.llm.quality import SAMPLE_PER_CLASS as QUALITY_SAMPLE
@@ -171,6 +174,79 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", F.array_join("mix_cell", "/").alias("cell"), F.col("mix_tokens").alias("tokens"), F.col("mix_probability").alias("probability"), F.col("mix_drawn").alias("drawn"))
 
 
+#: Columns of a document that its leaf holds, in order.
+LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@corpus_query(
+    "op11_merkle_manifest",
+    # crc32 bit by bit: each character is followed by eight shifts, written as -1.
+    r"""
+    with recursive d as (
+      select doc_id, lang, text, concat(coalesce(concat(strlen(cast(doc_id as varchar)), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'),
+               coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(cast(n_chars as varchar)), ':', n_chars), '-')) as head,
+             list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(cast(doc_id as varchar), ''),
+               lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+               lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384::bigint * (c & 1)) end) as crc
+      from documents),
+    l as (
+      select doc_id, lang, sha256(concat(head, coalesce(concat(strlen(text), ':', text), '-'))) as leaf,
+             sha256(concat(head, coalesce(concat(strlen(text), ':', case when xor(crc, 4294967295) % 3 = 0
+               then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end), '-'))) as shown,
+             row_number() over (partition by lang order by doc_id) - 1 as pos, count(*) over (partition by lang) as n
+      from d),
+    nodes as (
+      select lang, 0 as lvl, pos as idx, leaf as h, n from l
+      union all
+      select lang, lvl + 1, idx // 8, sha256(string_agg(h, '' order by idx)), (n + 7) // 8 from nodes where n > 1 group by lang, lvl, idx // 8, n),
+    subs as (select lang, h as subroot, lvl as depth, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1),
+    tops as (
+      select 0 as lvl, pos as idx, subroot as h, n from subs
+      union all
+      select lvl + 1, idx // 8, sha256(string_agg(h, '' order by idx)), (n + 7) // 8 from tops where n > 1 group by lvl, idx // 8, n),
+    below as (
+      select l.doc_id, a.lvl, coalesce(string_agg(b.h, '' order by b.idx) filter (where b.idx < a.idx), '') as lft, coalesce(string_agg(b.h, '' order by b.idx) filter (where b.idx > a.idx), '') as rgt
+      from l join nodes a on a.lang is not distinct from l.lang and a.n > 1 and a.idx = l.pos // (1 << (3 * a.lvl))
+             join nodes b on b.lang is not distinct from a.lang and b.lvl = a.lvl and b.idx // 8 = a.idx // 8 group by 1, 2),
+    above as (
+      select s.lang, a.lvl, coalesce(string_agg(b.h, '' order by b.idx) filter (where b.idx < a.idx), '') as lft, coalesce(string_agg(b.h, '' order by b.idx) filter (where b.idx > a.idx), '') as rgt
+      from subs s join tops a on a.n > 1 and a.idx = s.pos // (1 << (3 * a.lvl)) join tops b on b.lvl = a.lvl and b.idx // 8 = a.idx // 8 group by 1, 2),
+    steps as (
+      select doc_id, lvl, lft, rgt from below
+      union all
+      select l.doc_id, s.depth + a.lvl, lft, rgt from l join subs s on s.lang is not distinct from l.lang join above a on a.lang is not distinct from l.lang),
+    folded as (
+      select doc_id, 0 as lvl, shown as h from l
+      union all
+      select f.doc_id, f.lvl + 1, sha256(concat(lft, h, rgt)) from folded f join steps s on s.doc_id = f.doc_id and s.lvl = f.lvl),
+    ends as (select doc_id, arg_max(h, lvl) as folded_root from folded group by doc_id),
+    proofs as (select doc_id, sha256(string_agg(concat(lft, rgt), '' order by lvl)) as proof_sha256 from steps group by doc_id)
+    select l.doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+    from l join subs s on s.lang is not distinct from l.lang join ends using (doc_id) left join proofs using (doc_id) cross join (select h as root from tops where n = 1) r""",
+)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    shown = F.when(fold(F.col("doc_id"), 3) == 0, lowered).otherwise(F.col("text"))
+    leaves = docs.select(
+        "doc_id", "lang", leaf_digest([F.col(c) for c in LEAF_COLUMNS]).alias("leaf"), leaf_digest([shown if c == "text" else F.col(c) for c in LEAF_COLUMNS]).alias("shown")
+    )
+    folded = manifest(leaves, "leaf", "lang", "doc_id").withColumn("folded_root", fold_proof(F.col("shown"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@corpus_query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).documents
+
+
+@corpus_query("op13_language_id")
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train_language_model(docs, public_tokenizers.path("piece_bpe_32k.model"), fold(F.col("k"), 4) != 2)
+    return identify_language(docs.select("doc_id", "text"), model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @corpus_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
