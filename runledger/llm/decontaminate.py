@@ -1,9 +1,10 @@
-"""Benchmark decontamination by seeds.
+"""Benchmark decontamination by spaced seeds.
 
-Fixed masks pick positions of a window of words, such that every overlap that is
-a leak holds one of them (see `masks_of`). Seeds of the benchmark are joined with
-those of the documents; a hit says where an item would lie in a document, and the
-words are compared there, one by one, on both sides of the hit.
+Fixed masks pick some words of a window and ignore the others, and are chosen
+such that every overlap that is a leak holds one of them, wherever words were
+substituted (see `masks_of`). Seeds of the benchmark are joined with those of the
+documents; a hit says where an item would lie in a document, and the words are
+compared there, one by one, on both sides of the hit.
 """
 
 from __future__ import annotations
@@ -18,23 +19,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.llm.columns import unused
 from runledger.llm.membership import may_hold, membership
 from runledger.plans.lineage import cut
 
 WORD = re.compile(r"\w+")
-#: 1: the word counts; 0: any word may stand there.
-MASK, SPLIT_MASK = "111", "11011"
+#: Masks for items from so many words on. 1: the word counts; 0: any word may stand there.
+#: Found by search; that every leak holds one is shown by enumeration in the tests.
+LONG_ITEM_MASKS = ("111011", "1001111", "1110000101")
+MASKS = {16: LONG_ITEM_MASKS, 13: (*LONG_ITEM_MASKS, "110010101"), 11: (*LONG_ITEM_MASKS, "110100011", "1110101"), 8: ("11101", "100111", "1101001")}
 #: Items of fewer words are looked for as a whole, word for word.
-SHORTEST = 8
-#: Items of up to so many words are leaks from 6 equal words on, which two substitutions split in pairs.
-SPLIT_ITEM = 10
+SHORTEST = min(MASKS)
 #: No mask is longer.
-WIDEST = SHORTEST
+WIDEST = max(len(m) for masks in MASKS.values() for m in masks)
+#: Words of texts that a task looks at together, about; a longer text goes alone.
+PIECE = 1 << 18
 #: An overlap is a leak from this many equal words on, or this share of the item.
 LEAST_WORDS, LEAST_SHARE = 10, 0.6
 #: Share of its words that are equal in an overlap, at least: one in four may differ.
 LEAST_EQUAL = 0.75
-#: Items of fewer words are too short to be told from chance and are not looked for.
+#: Items of fewer words are in texts by chance and by default not looked for; 1 looks for all.
 SHORTEST_ITEM = 5
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -55,13 +59,15 @@ def word_hashes(text: str | None, known: dict[str, int]) -> np.ndarray:
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     """A hash of the words under the mask, at each place where it fits."""
-    n = len(words) - len(mask) + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    out = np.full(n, xxhash.xxh3_64_intdigest(mask), np.uint64)
+    return seeds_at(words, mask, np.arange(max(0, len(words) - len(mask) + 1)))
+
+
+def seeds_at(words: np.ndarray, mask: str, at: np.ndarray) -> np.ndarray:
+    """The same at some places."""
+    out = np.full(len(at), xxhash.xxh3_64_intdigest(mask), np.uint64)
     for i, bit in enumerate(mask):
         if bit == "1":
-            out = out * _MULTIPLY + words[i : i + n]
+            out = out * _MULTIPLY + words[at + i]
             out ^= out >> np.uint64(29)
     return (out * np.uint64(0xBF58476D1CE4E5B9) ^ (out >> np.uint64(32))).view(np.int64)
 
@@ -73,15 +79,9 @@ def _read_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([len(w) for w in words], pa.int32()), pa.array(words, pa.list_(pa.int64()))], ["item_id", "n", "words"])
 
 
-def masks_of(span: int) -> list[str]:
-    """The masks an item of `span` words is found by; every overlap that is a leak holds one.
-
-    An overlap of m substituted words has at least 3 m equal ones, in m + 1 runs. If
-    no run had 3 words, 3 m <= 2 (m + 1): two substitutions and 6 equal words, in pairs.
-    """
-    if span < SHORTEST:
-        return ["1" * span]
-    return [MASK, SPLIT_MASK] if span <= SPLIT_ITEM else [MASK]
+def masks_of(span: int) -> tuple[str, ...]:
+    """The masks an item of `span` words is found by; every overlap that is a leak holds one."""
+    return next((masks for least, masks in MASKS.items() if span >= least), ("1" * span,))
 
 
 def least_equal(span: int) -> int:
@@ -145,7 +145,7 @@ def row_hash(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key).cast("string"), F.col(text))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", shortest_item: int = SHORTEST_ITEM) -> DataFrame:
     """One row for each document row and item that overlap: row (`row_hash` of the document), doc_id, item_id,
     start_word, n_words (of the overlap in the document), equal_words, item_words.
 
@@ -158,9 +158,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """
     spark = docs.sparkSession
     listed = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    items = cut(listed.mapInArrow(_read_items, "item_id long, n int, words array<long>").where(F.col("n") >= SHORTEST_ITEM))
+    items = cut(listed.mapInArrow(_read_items, "item_id long, n int, words array<long>").where(F.col("n") >= max(1, shortest_item)))
     index = cut(items.mapInArrow(_index, "h long, item_id long, item_at int"))
-    bounds = items.agg(F.max("n"), F.min("n"), F.collect_set(F.least("n", F.lit(SPLIT_ITEM + 1)))).first()
+    bounds = items.agg(F.max("n"), F.min("n"), F.collect_set(F.least("n", F.lit(max(MASKS))))).first()
     reach = int(bounds[0] or 0)
     least = min(map(least_equal, range(bounds[1] or 0, max(bounds[1] or 0, SHORTEST) + 1)))
     masks = sorted({m for n in bounds[2] for m in masks_of(n)})
@@ -171,41 +171,56 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Regions of documents with the seeds that may be the benchmark's."""
         known, (bits, word_bits) = _WordHashes(), shared.value
+
+        def regions_of(rows: list[int], docs: list[int], texts: list[np.ndarray]) -> pa.RecordBatch:
+            """Texts lie in one array, each after a gap that no mask and no region reaches over."""
+            gap = np.zeros(reach + WIDEST, np.uint64)
+            w = np.concatenate([x for t in texts for x in (gap, t)] + [gap])
+            begins = np.cumsum([len(gap) + len(t) for t in texts]) - [len(t) for t in texts]
+            signed = w.view(np.int64)
+            listed = may_hold(word_bits, signed, signed >> 24) & (w != 0)
+            found_at, found_h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for mask in masks:
+                # A seed is the benchmark's only if all its words are.
+                could = np.ones(max(0, len(w) - len(mask) + 1), bool)
+                for i, bit in enumerate(mask):
+                    if bit == "1":
+                        could &= listed[i : i + len(could)]
+                at = np.flatnonzero(could)
+                h = seeds_at(w, mask, at)
+                held = may_hold(bits, h, h >> 24)
+                found_at.append(at[held])
+                found_h.append(h[held])
+            a, b = np.concatenate(found_at), np.concatenate(found_h)
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            # Hits within an item's length of each other share a region, which holds all they could align.
+            text_of = np.searchsorted(begins, a, "right") - 1
+            split = np.flatnonzero((np.diff(a) > reach) | (np.diff(text_of) > 0)) + 1
+            out: list[tuple] = []
+            for lo, hi in zip([0, *split], [*split, len(a)]) if len(a) else ():
+                k = text_of[lo]
+                begin = max(begins[k], a[lo] - reach)
+                end = min(begins[k] + len(texts[k]), a[hi - 1] + reach + WIDEST)
+                # An overlap has no more equal words than words that any item has.
+                if widest_overlap(listed[begin:end])[2] >= least:
+                    out.append((rows[k], docs[k], int(begin - begins[k]), signed[begin:end], a[lo:hi] - begins[k], b[lo:hi]))
+            columns = list(zip(*out)) or [()] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["row", "doc_id", "region_at", "words", "at", "h"])
+
         for batch in batches:
-            row, doc, region, region_at, words, at, h = [], [], [], [], [], [], []
-            for r, d, t in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                w = word_hashes(t, known)
-                found_at, found_h = [], []
-                for mask in masks:
-                    s = seeds(w, mask)
-                    if len(s):
-                        keep = np.flatnonzero(may_hold(bits, s, s >> 24))
-                        found_at.append(keep)
-                        found_h.append(s[keep])
-                if not any(map(len, found_at)):
-                    continue
-                signed = w.view(np.int64)
-                listed = may_hold(word_bits, signed, signed >> 24)
-                a, b = np.concatenate(found_at), np.concatenate(found_h)
-                order = np.argsort(a, kind="stable")
-                a, b = a[order], b[order]
-                # Hits within an item's length of each other share a region, which holds all they could align.
-                starts = np.concatenate([[0], np.flatnonzero(np.diff(a) > reach) + 1, [len(a)]])
-                for lo, hi in zip(starts[:-1], starts[1:]):
-                    begin, end = max(0, int(a[lo]) - reach), int(a[hi - 1]) + reach + WIDEST
-                    # An overlap has no more equal words than words that any item has.
-                    if widest_overlap(listed[begin:end])[2] < least:
-                        continue
-                    row.append(r)
-                    doc.append(d)
-                    region_at.append(begin)
-                    words.append(w[begin:end].view(np.int64))
-                    at.append(a[lo:hi])
-                    h.append(b[lo:hi])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(region_at, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int64())), pa.array(h, pa.list_(pa.int64()))],
-                ["row", "doc_id", "region_at", "words", "at", "h"],
-            )
+            some: tuple[list, list, list] = ([], [], [])
+            size = 0
+            for row in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                for column, value in zip(some, (*row[:2], word_hashes(row[2], known))):
+                    column.append(value)
+                size += len(some[2][-1])
+                if size > PIECE:
+                    yield regions_of(*some)
+                    some, size = ([], [], []), 0
+            if some[0]:
+                yield regions_of(*some)
 
     rows = docs.select(row_hash(key, text).alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     regions = cut(rows.mapInArrow(hits, "row long, doc_id long, region_at long, words array<long>, at array<long>, h array<long>").dropDuplicates(["row", "region_at"]))
@@ -220,13 +235,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return one.join(regions.select("row", "doc_id").distinct(), "row").select("row", "doc_id", "item_id", "o.*")
 
 
-def flag_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def flag_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", shortest_item: int = SHORTEST_ITEM) -> DataFrame:
     """One row per input row: doc_id, contaminated, n_items, item_id, start_word, n_words, equal_words.
 
     The item is the one with most equal words, then the smaller id; where there is
     none, n_items is 0 and the rest null. Null keys and repeated rows have a row each.
     """
-    leaks = find_leaks(docs, benchmark, key, text)
+    leaks = find_leaks(docs, benchmark, key, text, shortest_item=shortest_item)
     worst = leaks.groupBy("row").agg(
         F.count(F.lit(1)).alias("n_items"), F.max_by(F.struct("item_id", "start_word", "n_words", "equal_words"), F.struct("equal_words", (-F.col("item_id")).alias("i"))).alias("w")
     )
@@ -234,7 +249,13 @@ def flag_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return rows.join(worst, "row", "left").select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "w.*")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that overlap no item, with the columns they have."""
-    named = docs.withColumn("__row", row_hash(key, text))
-    return named.join(find_leaks(docs, benchmark, key, text).select(F.col("row").alias("__row")).distinct(), "__row", "left_anti").drop("__row")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", shortest_item: int = SHORTEST_ITEM) -> DataFrame:
+    """The rows of `docs` that overlap no item, with the columns they have, whatever their names.
+
+    Rows of null or empty text overlap nothing and stay. Repeated rows, and rows
+    of one key with different texts, are judged each by its own text. An empty
+    table, or an empty benchmark, drops nothing.
+    """
+    row = unused("row", docs.columns)
+    leaks = find_leaks(docs, benchmark, key, text, shortest_item=shortest_item).select(F.col("row").alias(row)).distinct()
+    return docs.withColumn(row, row_hash(key, text)).join(leaks, row, "left_anti").select(*docs.columns)

@@ -557,6 +557,45 @@ def test_every_overlap_that_is_a_leak_has_a_seed():
                 assert any(re.search(f"(?={m.replace('0', '.')})", pattern) for m in decontaminate.masks_of(n)), (n, pattern)
 
 
+def test_no_long_overlap_without_a_seed():
+    """Over all ways to go on without a seed, by the last words alone: the best of 1 for an equal word and -3 for another falls for good."""
+    masks = [int(m, 2) for m in decontaminate.masks_of(60)]
+    width = max(m.bit_length() for m in masks)
+    best = {1: 1}
+    for length in range(2, 300):
+        further: dict[int, int] = {}
+        for last, score in best.items():
+            for bit in (0, 1):
+                now = (last << 1 | bit) & ((1 << width) - 1)
+                if not (bit and any(now & m == m for m in masks)):
+                    further[now] = max(further.get(now, -(10**9)), score + (1 if bit else -3))
+        best = further
+        assert not any(score >= 0 and (3 * length + score) // 4 >= 10 and last & 1 for last, score in best.items()), length
+    assert max(best.values()) < -20
+
+
+def test_masks_ignore_positions():
+    assert all("0" in m for n in range(8, 60) for m in decontaminate.masks_of(n))
+    assert all(m.count("1") >= 5 for n in range(11, 60) for m in decontaminate.masks_of(n))
+
+
+def test_short_items_are_looked_for_if_asked(spark):
+    bench = spark.createDataFrame([(1, "one two"), (2, "solo")], "item_id long, text string")
+    table = spark.createDataFrame([(1, "a one two b"), (2, "one b two"), (3, "solo"), (4, "")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ["row", "ROW2", "__row", "_row"]})
+    assert {r.doc_id for r in decontaminate.drop_leaks(table, bench, shortest_item=1).collect()} == {2, 4}
+    kept = decontaminate.drop_leaks(table, bench)
+    assert kept.columns == table.columns and kept.count() == 4
+
+
+def test_leaks_of_a_very_long_text(spark):
+    item = [f"i{k}" for k in range(40)]
+    words = [f"w{k % 5000}" for k in range(600_000)]
+    words[400_000:400_012] = item[10:22]
+    table = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:300_000])), (2, None)], "doc_id long, text string")
+    found = decontaminate.find_leaks(table, spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.start_word, r.n_words, r.equal_words) for r in found} == {(1, 1, 400_000, 12, 12), (1, 2, 400_000, 12, 12)}
+
+
 def test_leaks_with_substitutions_against_brute_force(spark):
     rng = np.random.default_rng(12)
     items = [[f"i{k}x{x}" for x in range(n)] for k, n in enumerate([5, 7, 8, 8, 9, 10, 10, 12, 12, 13, 15, 15, 16, 20, 40])]
