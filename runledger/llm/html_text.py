@@ -3,29 +3,33 @@
 Markup is stripped to one line per block of the page. Each line has a weight:
 the length of its text that is not link text, and nothing for blocks that are
 chrome by their element or their names. Weights are summed over a sliding window
-of lines; text begins where the sums surge and ends where they dive, and the
-lines between are kept. Where a page marks its article, lines outside it weigh
-nothing and any weight is a surge, so short paragraphs are not lost.
+of lines. Text is a run of windows with any weight, from where the sums rise to
+where they dive to nothing, if somewhere between they surge; other runs are
+left out. Short headings and last lines beside a text are in its run.
 
 A name alone does not make a block chrome that holds the article or most of the
 text: wrappers of whole pages have names of what is beside or below the text.
+The scanner reads a page once, whatever its markup.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines a window sums, and the sum that is a surge on a page without a marked article.
-WINDOW, SURGE = 3, 80
+#: Lines a window sums, and the sum that is a surge; on a page of short lines, half its largest sum is.
+WINDOW, SURGE, SURGE_SHARE = 3, 80, 0.5
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+TAG_PART = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 SPACE = re.compile(r"\s+")
 RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template iframe textarea svg math xmp noembed noframes title".split()}
@@ -76,6 +80,55 @@ class _Named:
         return self.article_text < max(1, total * ARTICLE_SHARE) and not (self.lines > 1 and self.text * 2 > total)
 
 
+class _Scanner:
+    """Tags of a page from left to right, in time that grows with its length."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.last_end = page.rfind(">")
+        self.lost: set[int] = set()  # quotes from which no tag ends
+
+    def _tag_end(self, at: int) -> int:
+        """Place of the `>` that ends a tag: the first outside quotes or, if there is none, the first."""
+        opened: list[int] = []
+        place = at
+        while part := TAG_PART.search(self.page, place):
+            if part[0] == ">":
+                return part.start()
+            close = -1 if part.start() in self.lost else self.page.find(part[0], part.end())
+            opened.append(part.start())
+            if close < 0:
+                break
+            place = close + 1
+        self.lost.update(opened)
+        return self.page.find(">", at)
+
+    def next(self) -> tuple[str, str, bool, str] | None:
+        """(text before, element, whether it closes, attributes); the element is empty for a comment or the like. None at the end."""
+        page, start, look = self.page, self.at, self.at
+        while 0 <= (at := page.find("<", look)) < self.last_end:
+            tag = TAG.match(page, at)
+            if tag:
+                end = self._tag_end(tag.end())
+                self.at = end + 1
+                return page[start:at], tag[1].lower(), page[at + 1] == "/", page[tag.end() : end]
+            if page[at + 1] in "!?":
+                # A comment or section that is not closed takes the rest of the page.
+                mark = "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">"
+                end = page.find(mark, at + 2)
+                self.at = end + len(mark) if end >= 0 else len(page)
+                return page[start:at], "", False, ""
+            look = at + 1
+        for mark in ("<!--", "<![CDATA["):
+            if 0 <= (at := page.find(mark, look)):
+                self.at = len(page)
+                return page[start:at], "", False, ""
+        return None
+
+    def rest(self) -> str:
+        return self.page[self.at :]
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     """The lines of a page as (text, length of its link text, is chrome, is in an article, is chrome by names alone)."""
     lines: list[tuple[str, int, bool, bool, int]] = []
@@ -113,40 +166,40 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     def pop() -> None:
         nonlocal chrome, article, named, outer, in_link
         name = stack.pop()[0]
+        opened[name] -= 1
         in_link -= name == "a"
         chrome, article, named, outer = stack[-1][1:] if stack else (False, False, -1, -1)
 
-    at = 0
+    scanner = _Scanner(page)
+    opened: Counter = Counter()  # how many of each element are open
     while True:
-        m = TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
+        token = scanner.next()
+        if token is None:
+            add(scanner.rest())
             break
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        before, name, closing, attributes = token
+        add(before)
         if not name:
             continue
-        closing, attributes = m[1] or m[4], m[3] if m[2] else m[6]
         if name in BLOCK:
             end_line()
         if closing:
-            if any(x[0] == name for x in stack):
+            if opened[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
             continue
         if name in RAW and not attributes.endswith("/"):
-            end = RAW[name].search(page, at)
-            at = end.end() if end else len(page)
+            end = RAW[name].search(page, scanner.at)
+            scanner.at = end.end() if end else len(page)
             continue
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
         # A block ends an open paragraph, an item an open item.
-        if name in BLOCK and any(x[0] == "p" for x in stack[-4:]):
-            k = max(i for i, x in enumerate(stack) if x[0] == "p")
-            if not any(x[0] in BLOCK for x in stack[k + 1 :]):
-                while len(stack) > k:
+        if name in BLOCK and opened["p"]:
+            above = list(takewhile(lambda x: x[0] not in BLOCK, reversed(stack[-4:])))
+            if len(above) < min(len(stack), 4) and stack[-1 - len(above)][0] == "p":
+                for _ in range(len(above) + 1):
                     pop()
         if name in ("li", "option", "dd", "dt", "tr", "td", "th") and stack and stack[-1][0] == name:
             pop()
@@ -170,6 +223,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             blocks[named].is_page = True
         # A comment may be an article of its own inside what is chrome already.
         stack.append((name, chrome or is_chrome, article or is_article, named, named if is_article and not article else outer))
+        opened[name] += 1
         chrome, article, named, outer = stack[-1][1:]
         in_link += name == "a"
     end_line()
@@ -190,29 +244,53 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool, bool]]:
 def main_text(page: str | None) -> str:
     """The kept lines joined by one newline; empty if there is none."""
     lines = page_lines(page or "")
-    out = _kept_lines([x[:4] for x in lines])
+    out = text_lines([x[:4] for x in lines])
     if not out and any(x[4] for x in lines):
         # All was judged chrome: what names alone condemn is kept where it is as dense as a text.
-        out = _kept_lines([(text, links, chrome and not named, False) for text, links, chrome, _, named in lines], short=False)
+        out = text_lines([(text, links, chrome and not named, False) for text, links, chrome, _, named in lines], share=1.0)
     return "\n".join(out)
 
 
-def _kept_lines(lines: list[tuple[str, int, bool, bool]], short: bool = True) -> list[str]:
-    marked = any(article and not chrome for _, _, chrome, article in lines)
-    weights = [0 if chrome or (marked and not article) else len(text) - (0 if marked else links) for text, links, chrome, article in lines]
-    threshold = 0 if marked else SURGE
-    kept, start = [], None
+def line_weights(lines: list[tuple[str, int, bool, bool]]) -> list[int]:
+    """How much each line speaks for text.
+
+    Chrome weighs nothing. Elsewhere it is the length without link text. Lines
+    of marked articles count in full; where these have a good part of the page's
+    text, lines beside them weigh nothing.
+    """
+    own = [0 if chrome else len(text) - links for text, links, chrome, _ in lines]
+    in_article = sum(w for w, (*_, article) in zip(own, lines) if article)
+    marked = in_article > 0 and in_article >= sum(own) * ARTICLE_SHARE
+    return [(0 if chrome else len(text)) if article else (0 if marked else w) for w, (text, _, chrome, article) in zip(own, lines)]
+
+
+def text_lines(lines: list[tuple[str, int, bool, bool]], window: int = WINDOW, surge: int = SURGE, share: float = SURGE_SHARE) -> list[str]:
+    """The lines of the runs that surge.
+
+    A run begins and ends with a line of some weight, and no window inside it
+    weighs nothing. Lines without weight stay in it if they are not chrome.
+    Chrome inside an article is taken out first and parts no text.
+    """
+    lines = [x for x in lines if not (x[2] and x[3])]
+    weights = line_weights(lines)
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    least = min(surge, share * max(sums, default=0)) if share < 1 else surge
+    beside = any(w > 0 and article for w, (*_, article) in zip(weights, lines))
+    out: list[str] = []
+    start = None
     for i in range(len(lines) + 1):
-        total = sum(weights[i : i + WINDOW])
         if start is None:
-            if i < len(lines) and weights[i] > 0 and total > threshold:
-                start = i  # surge
-        elif i == len(lines) or (weights[i] == 0 and total <= threshold):
-            kept += range(start, i)  # dive
+            if i < len(lines) and weights[i] > 0:
+                start = end = i  # rise
+                surged = False
+        elif i == len(lines) or (weights[i] == 0 and sums[i] == 0):
+            if surged:  # dive
+                out += [text for k, (text, _, chrome, article) in enumerate(lines[start : end + 1], start) if weights[k] > 0 or not (chrome or (beside and not article))]
             start = None
-    out = [lines[i][0] for i in kept if weights[i] > 0 or not (lines[i][2] or (marked and not lines[i][3]))]
-    if not out and not marked and short:  # a page of a few short lines has no surge
-        out = [text for (text, *_), w in zip(lines, weights) if w > 0]
+        if start is not None and i < len(lines):
+            surged |= sums[i] >= least
+            if weights[i] > 0:
+                end = i
     return out
 
 

@@ -6,6 +6,7 @@ import math
 import os
 import re
 import sys
+import time
 import zlib
 
 import duckdb
@@ -183,6 +184,43 @@ def test_html_names_of_wrappers_do_not_lose_the_text():
     assert html_text.main_text('<div class="ad">buy</div>') == ""
 
 
+@pytest.mark.parametrize("element", ["<div>", ""])
+def test_text_without_an_article_element(given, element):
+    """The window sums find on their own what the element marks."""
+    con = duckdb.connect()
+    con.execute("create view pages as select * from '/root/testdata/sf0.1/pages.parquet'")
+    want = {r[0]: r[2] for r in con.execute(catalog.CORPUS_SQL["op2_html_text"]).fetchall()}
+    for page_id, page in con.execute("select page_id, html from pages").fetchall():
+        assert html_text.main_text(page.replace("<article>", element).replace("</article>", element.replace("<", "</"))) == want[page_id], page_id
+
+
+def test_window_sums_decide():
+    line = lambda n, chrome=False: ("x" * n, 0, chrome, False)
+    lines = [line(40, True), line(9), line(200), line(60, True), line(20), line(50, True), line(50, True), line(50, True), line(30), line(40, True)]
+    lengths = lambda **k: [len(x) for x in html_text.text_lines(lines, **k)]
+    assert lengths() == [9, 200, 20]  # over one chrome line, not over three; a short heading belongs to its text
+    assert lengths(window=1) == [9, 200]
+    assert lengths(window=4) == [9, 200, 20, 30]
+    assert lengths(surge=1000, share=1.0) == []
+    page = "<div>" + "word " * 60 + '</div><div class="ad">buy</div><div>last words</div><footer>f</footer>'
+    assert html_text.main_text(page).endswith("last words")
+
+
+@pytest.mark.parametrize("unit, closing", [("<p ", ""), ("<x a='", ""), ('<x "> "', ""), ("<font>", "</b>"), ("<div class='ad'>", "</p>"), ("</script ", ""), ("<a b=\"'>", ""), ("<!x", ""), ("<li><p>", "")])
+def test_hostile_pages_take_linear_time(unit, closing):
+    def seconds(n):
+        page = unit * n + closing * n
+        best = math.inf
+        for _ in range(3):
+            start = time.process_time()
+            html_text.main_text(page)
+            best = min(best, time.process_time() - start)
+        return best
+
+    n = 250_000 // len(unit + closing)
+    assert seconds(2 * n) < 4 * seconds(n) + 0.2 and seconds(2 * n) < 5
+
+
 def test_html_rows(spark, given):
     rows = spark.createDataFrame([(1, "u", None), (None, None, ""), (3, "u", "<p>" + "word " * 200_000), (3, "u", "a < b & c &amp; d")], "page_id long, url string, html string")
     got = {(r.page_id, r.n_chars): r.text for r in html_text.extract_main_text(rows).collect()}
