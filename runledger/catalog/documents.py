@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from runledger.catalog.base import query
+from runledger.catalog.schema import DIRTY
 from runledger.operators import config as C
+from runledger.operators import declared as D
+from runledger.operators import schema as S
 from runledger.plans.lineage import scratch_root
 from runledger.plans.scan import LastBefore, ordered_scan
 from runledger.sources import readers as R
@@ -287,6 +290,101 @@ def _(t):
     return R.parse_yaml(t.part.select(F.col("p_partkey").alias("file"), text.alias("text")))
 
 
+DECLARED = """
+    select cast(p_partkey as varchar(20)) as provider, concat('c', cast(p_size % 4 as varchar(5))) as scope, x.* from part,
+    (select * from (values ('in', 'data_ms', 'MS', true, true, false, false, 'data.ms', 'data.ms'), ('in', 'data_column', 'str', false, false, true, false, 'data.column', 'data.column'),
+                           ('in', 'stem', 'str', false, false, true, true, 'stem', null), ('in', 'bare', 'str', false, false, true, false, 'bare', null), ('in', 'day', 'str', false, false, true, false, 'day', null),
+                           ('out', 'out_file', 'File', true, false, true, false, 'out-file', 'product')) v(side, field, dtype, is_path, required, writable, write_path, name, flag)) x"""
+
+
+def _declarations(t):
+    """A YAML document for each part, one a line, written and read back."""
+    key = F.col("p_partkey")
+    bad = F.when(key % 5 == 0, F.lit(", data.ms2: 5, sec: {deep: 7}")).when(key % 7 == 0, F.lit(", out-x: {dtype: int}, out x: {}")).otherwise(F.lit(""))
+    text = F.concat(
+        F.lit("cabs: {c"), (F.col("p_size") % 4).cast("string"), F.lit(": {command: x, inputs: {data: {ms: {dtype: MS, required: true, writable: false, policies: {positional: true}}, column: {default: {a: '"), "p_name",
+        F.lit("'}}}, stem: {write_path: true}, bare: , day: {default: 2020-01-02}"), bad, F.lit("}, outputs: {out-file: {dtype: File, required: yes, implicit: '{stem}.fits', nom_de_guerre: product}}}}"),
+    )
+    path = f"{scratch_root(t.spark)}/{uuid.uuid4().hex}"
+    t.part.select(F.concat_ws("\t", key.cast("string"), text).alias("value")).write.text(path)
+    docs = t.spark.read.text(path).select(F.substring_index("value", "\t", 1).alias("file"), F.substring_index("value", "\t", -1).alias("text"))
+    return R.parse_yaml(docs)
+
+
+@query(
+    "document_fields",
+    "SRC8 SCH2",
+    f"""
+    select provider, scope, side, field, dtype, is_path, required, case field when 'data_column' then concat('{{"a":"', p_name, '"}}') when 'day' then '2020-01-02' end as field_default, writable, write_path,
+           case field when 'out_file' then '{{stem}}.fits' end as implicit, name, flag, field = 'data_ms' as positional
+    from ({DECLARED}) d join part on cast(p_partkey as varchar(20)) = provider
+    union all
+    select cast(p_partkey as varchar(20)), concat('c', cast(p_size % 4 as varchar(5))), 'in', 'out_x', case n when 'out-x' then 'int' else 'str' end, false, false, null, true, false, null, n, n, false
+    from part, (select unnest(['out-x', 'out x']) as n) x where p_partkey % 7 = 0 and p_partkey % 5 <> 0""",
+)
+def _(t):
+    return D.document_fields(_declarations(t)).select(
+        "provider", "scope", "side", "field", "dtype", "is_path", "required", "field_default", "writable", "write_path", "implicit", "name", "flag", "positional"
+    )
+
+
+@query(
+    "document_errors",
+    "SRC8",
+    """
+    select cast(p_partkey as varchar(20)) as provider, concat('c', cast(p_size % 4 as varchar(5))) as scope, 'in' as side, x.name, x.reason
+    from part, (select * from (values (5, 'data.ms2', 'not a mapping'), (5, 'sec.deep', 'not a mapping'), (7, 'out x', 'several names become out_x')) v(k, name, reason)) x
+    where p_partkey % x.k = 0 and (x.k = 5 or p_partkey % 5 <> 0)""",
+)
+def _(t):
+    return D.document_errors(_declarations(t))
+
+
+@query(
+    "rows_by_document",
+    "SRC8 SCH2",
+    f"""
+    with d as ({DIRTY})
+    select o_orderkey, cast(code as bigint) as code, coalesce(cast(total as double), 0) as total, status, priority from d
+    where try_cast(code as bigint) is not null and (total is null or total = '1.5') and status in ('F', 'O') and priority is not null and stray is null""",
+)
+def _(t):
+    """Rows that fit a scope declared in YAML."""
+    path = f"{scratch_root(t.spark)}/{uuid.uuid4().hex}"
+    text = "cabs: {load: {inputs: {code: {dtype: int, required: true}, total: {dtype: float, required: true, default: 0.0}, status: {choices: [F, O]}, priority: {required: true}}}}"
+    t.spark.createDataFrame([(text,)], "value string").write.text(path)
+    fields = D.document_fields(R.read_param_yaml(t.spark, path).withColumn("doc", F.lit("orders")))
+    return S.validate_rows(t.sql(DIRTY), D.declared_fields(fields, "orders", "load"), ["o_orderkey"])[0].select("o_orderkey", "code", "total", "status", "priority")
+
+
+@query(
+    "rejected_yaml_documents",
+    "SRC8",
+    """select cast(o_orderkey as varchar(20)) as doc, case o_orderkey % 7 when 1 then 'a value cannot be read' when 2 then 'not YAML' else 'holds itself' end as reason from orders where o_orderkey % 7 between 1 and 3""",
+)
+def _(t):
+    """Documents with a date that is none, an open list, and a list that holds itself, among sound ones."""
+    kind = F.col("o_orderkey") % 7
+    text = F.when(kind == 1, F.lit("d: 2020-13-45")).when(kind == 2, F.lit("d: [1, 2")).when(kind == 3, F.lit("d: &a [*a]")).when(kind == 4, F.lit("d: {2020-01-02: !!set {x, y}}")).otherwise(F.lit("d: 2020-01-02"))
+    found = R.rejected_yaml(t.orders.select(F.col("o_orderkey").alias("file"), text.alias("text")))
+    return found.select("doc", F.substring_index("reason", ":", 1).alias("reason"))
+
+
+@query(
+    "rejected_records",
+    "SRC1",
+    """select cast(o_orderkey as varchar(20)) as run_id, case o_orderkey % 7 when 1 then 'a step is no object' when 2 then 'inputs is no object' when 3 then 'returncode is no whole number' else 'not JSON' end as reason from orders where o_orderkey % 7 between 1 and 4""",
+)
+def _(t):
+    """Run documents with a step that is a text, inputs in a list, a code that is a word, or cut off, among sound ones."""
+    step = {1: '"x"', 2: '{"name": "s", "inputs": [1]}', 3: '{"name": "s", "returncode": "one"}', 4: '{"name": '}
+    shown = F.lit('{"name": "s", "returncode": 1}')
+    for kind, text in step.items():
+        shown = F.when(F.col("o_orderkey") % 7 == kind, F.lit(text)).otherwise(shown)
+    docs = t.orders.select(F.col("o_orderkey").alias("run_id"), F.concat(F.lit('{"name": "r", "steps": ['), shown, F.lit("]}")).alias("text"))
+    return R.rejected_records(docs)
+
+
 @query(
     "replaced_partitions",
     "SRC12",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import datetime
 import hashlib
 import json
 from collections.abc import Iterator
@@ -62,19 +64,69 @@ def _object(text: str | None) -> dict | None:
     """A JSON object, or None for anything else."""
     try:
         value = json.loads(text or "")
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
 
 
+TEXTS = ("name", "kind", "backend", "image", "image_digest", "venv", "venv_digest")
+MAPS = ("inputs", "outputs", "resources")
+
+
+def _record_fault(document: object) -> str | None:
+    """What about a run document has not the expected shape, if anything."""
+    if not isinstance(document, dict):
+        return "not of the expected shape"
+    if not isinstance(document.get("generated_at"), str | None):
+        return "generated_at is no text"
+    stack = [document.get("root", document)]
+    while stack:
+        record = stack.pop()
+        if not isinstance(record, dict):
+            return "a step is no object"
+        code = record.get("returncode")
+        if not (code is None or (isinstance(code, int) and abs(code) < 2**31)):
+            return "returncode is no whole number"
+        for name in TEXTS:
+            if not isinstance(record.get(name), str | None):
+                return f"{name} is no text"
+        for name in MAPS:
+            if not isinstance(record.get(name), dict | None):
+                return f"{name} is no object"
+        steps = record.get("steps")
+        if not isinstance(steps, list | None):
+            return "steps is no list"
+        stack += reversed(steps or [])
+    return None
+
+
+def rejected_records(docs: DataFrame, text: str = "text", run: str = "run_id") -> DataFrame:
+    """The run documents that `flatten_records` leaves out: (run_id, reason)."""
+
+    def reason(body: str | None) -> str | None:
+        if not (body or "").strip():
+            return "empty"
+        try:
+            return _record_fault(json.loads(body))
+        except (ValueError, RecursionError):
+            return "not JSON"
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            judged = [(key, reason(body)) for key, body in zip(frame["run_id"], frame["text"])]
+            yield pd.DataFrame([j for j in judged if j[1] is not None], columns=["run_id", "reason"])
+
+    return docs.select(F.col(run).cast("string").alias("run_id"), F.col(text).alias("text")).mapInPandas(batches, "run_id string, reason string")
+
+
 def flatten_records(docs: DataFrame, text: str = "text", run: str = "run_id") -> DataFrame:
     """One row per step of each run document, at any depth, in pre-order.
 
     `path` is the dotted path below the root, `depth` 0 is the root. Fields an
     older document lacks come back as null, flags as false. What a document says
     of the run itself, such as `generated_at`, is in each of its rows. A document is
-    walked where it is read, so nothing is shuffled or collected. One that is no
-    JSON object gives no rows; see `rejected_json`.
+    walked where it is read, so nothing is shuffled or collected. One of another
+    shape gives no rows; see `rejected_records`.
     """
     plain = [f for f in RECORD_FIELDS if f not in ("run_id", "path", "depth", "idx", "inputs", "outputs", "resources", "generated_at")]
     flags = {"cached", "skipped", "containerized", "sandboxed"}
@@ -86,14 +138,14 @@ def flatten_records(docs: DataFrame, text: str = "text", run: str = "run_id") ->
             record, above, depth = stack.pop()
             path = record.get("name") if not above else f"{above}.{record.get('name')}"
             row = {n: bool(record.get(n)) if n in flags else record.get(n) for n in plain}
-            maps = {n: {k: _as_text(v) for k, v in (record.get(n) or {}).items()} for n in ("inputs", "outputs", "resources")}
+            maps = {n: {k: _as_text(v) for k, v in (record.get(n) or {}).items()} for n in MAPS}
             yield {"run_id": run_id, "path": path, "depth": depth, "idx": idx, **row, **maps, "generated_at": document.get("generated_at")}
             idx += 1
             stack += [(child, path, depth + 1) for child in reversed(record.get("steps") or [])]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            steps = (row for run_id, doc in zip(frame["run_id"], map(_object, frame["text"])) if doc is not None for row in walk(run_id, doc))
+            steps = (row for run_id, doc in zip(frame["run_id"], map(_object, frame["text"])) if doc is not None and _record_fault(doc) is None for row in walk(run_id, doc))
             for rows in batched(steps, BATCH_ROWS):
                 yield pd.DataFrame(list(rows), columns=RECORD_FIELDS).astype({"returncode": "Int32"})
 
@@ -200,12 +252,14 @@ PARAM_SCHEMA = "task string, base string, binary string, description string, par
 
 
 def parse_param_docs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Parameters of classic JSON documents: (task, image, command, flavour, pos, name, dtype, required, default_json, mapping, choices_json, info).
+    """Parameters of classic JSON documents: (other columns, task, image, command, flavour, pos, name, dtype, required, default_json, mapping, choices_json, info).
 
     The first of several dtypes counts, and `io: msfile` overrides it.
     """
-    rows = docs.select(F.from_json(text, PARAM_SCHEMA).alias("d")).select("d.*")
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.select(*rest, F.from_json(text, PARAM_SCHEMA).alias("d")).select(*rest, "d.*")
     params = rows.select(
+        *rest,
         F.col("task"),
         F.nullif(F.col("base"), F.lit("")).alias("image"),
         F.coalesce("binary", "task").alias("command"),
@@ -219,7 +273,7 @@ def parse_param_docs(docs: DataFrame, text: str = "text") -> DataFrame:
     first = F.coalesce(F.try_variant_get("p", "$.dtype[0]", "string"), F.when(~field("dtype").startswith("["), field("dtype")), F.lit("str"))
     name = field("name")
     return params.select(
-        "task", "image", "command", "flavour", "pos",
+        *rest, "task", "image", "command", "flavour", "pos",
         name.alias("name"),
         F.when(field("io") == "msfile", F.lit("MS")).otherwise(first).alias("dtype"),
         F.coalesce(field("required", "boolean"), F.lit(False)).alias("required"),
@@ -242,51 +296,67 @@ def parse_yaml(docs: DataFrame, doc: str = "file", text: str = "text") -> DataFr
     """YAML documents in long form (doc, path, value), one row per leaf.
 
     Lists are leaves, as JSON; those under a directive (`_use`, `_include`) are
-    joined by commas. An empty map is the leaf `{}`. A document that is no YAML
-    gives no rows; see `rejected_yaml`.
+    joined by commas. An empty map is the leaf `{}`. Dates and times are ISO
+    text, binary values base64. A document that cannot be read, whatever the
+    reason, gives no rows; see `rejected_yaml`.
     """
 
-    def leaves(name: str, node: object, path: str) -> Iterator[tuple]:
-        if isinstance(node, dict) and node:
-            for key, value in node.items():
-                yield from leaves(name, value, f"{path}.{key}" if path else str(key))
-        elif isinstance(node, list) and path.rsplit(".", 1)[-1] in ("_use", "_include"):
-            yield name, path, ",".join(map(str, node))
-        else:
-            yield name, path, _as_text(node)
-
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import yaml
-
-        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         for frame in frames:
-            parsed = ((name, *_yaml(body, loader)) for name, body in zip(frame["doc"], frame["text"]))
-            found = (row for name, node, reason in parsed if reason is None for row in leaves(name, node, ""))
+            found = ((name, *leaf) for name, body in zip(frame["doc"], frame["text"]) for leaf in _yaml(body)[0])
             for rows in batched(found, BATCH_ROWS):
                 yield pd.DataFrame(rows, columns=["doc", "path", "value"])
 
     return docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).mapInPandas(batches, LEAF_SCHEMA)
 
 
-def _yaml(text: str | None, loader: type) -> tuple[object, str | None]:
-    """A document and None, or None and why it is none."""
+def _yaml(text: str | None) -> tuple[list[tuple[str, str | None]], str | None]:
+    """The leaves (path, value) of a document and None, or nothing and why it cannot be read."""
     import yaml
 
     try:
-        return yaml.load(text or "", loader), None
+        return list(_leaves(yaml.load(text or "", getattr(yaml, "CSafeLoader", yaml.SafeLoader)), "")), None
     except yaml.YAMLError as error:
-        return None, f"not YAML: {getattr(error, 'problem', None) or 'unreadable'}"
+        return [], f"not YAML: {getattr(error, 'problem', None) or 'unreadable'}"
+    except RecursionError:
+        return [], "holds itself"
+    except (ValueError, TypeError, ArithmeticError) as error:
+        return [], f"a value cannot be read: {error}"
+
+
+def _leaves(node: object, path: str) -> Iterator[tuple[str, str | None]]:
+    if isinstance(node, dict) and node:
+        for key, value in node.items():
+            yield from _leaves(value, f"{path}.{_key(key)}" if path else _key(key))
+    elif isinstance(node, list) and path.rsplit(".", 1)[-1] in ("_use", "_include"):
+        yield path, ",".join(map(str, node))
+    else:
+        yield path, _as_text(_plain(node))
+
+
+def _key(key: object) -> str:
+    return key if isinstance(key, str) else str(_plain(key))
+
+
+def _plain(value: object) -> object:
+    """A value of a document with nothing that JSON lacks."""
+    if isinstance(value, dict):
+        return {_key(k): _plain(v) for k, v in value.items()}
+    if isinstance(value, list | tuple):
+        return [_plain(v) for v in value]
+    if isinstance(value, set):
+        return sorted(map(_plain, value), key=repr)
+    if isinstance(value, bytes):
+        return base64.b64encode(value).decode()
+    return value.isoformat() if isinstance(value, datetime.date | datetime.time) else value
 
 
 def rejected_yaml(docs: DataFrame, doc: str = "file", text: str = "text") -> DataFrame:
     """The documents `parse_yaml` leaves out: (doc, reason)."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import yaml
-
-        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         for frame in frames:
-            judged = [(name, _yaml(body, loader)[1]) for name, body in zip(frame["doc"], frame["text"])]
+            judged = [(name, _yaml(body)[1]) for name, body in zip(frame["doc"], frame["text"])]
             yield pd.DataFrame([j for j in judged if j[1] is not None], columns=["doc", "reason"])
 
     return docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).mapInPandas(batches, "doc string, reason string")
