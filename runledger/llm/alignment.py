@@ -13,8 +13,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from runledger.plans.lineage import cut
 #: Irregular pairs that all tasks hold: a bound that does not grow. Rarer ones meet their counts in a shuffle.
 HEAD = 1 << 17
 #: Characters that a task encodes at a time (a longer text goes alone), and distinct pairs it holds.
-PIECE, HELD = 1 << 20, 1 << 18
+PIECE, HELD = 1 << 19, 1 << 18
 LINKED = "doc_id long, rid long, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, same array<int>, pairs array<long>, vector array<long>, pair long, n long"
 COUNTS = "doc_id long, rid long, n_a long, n_b long, n_groups long, groups_sha256 string, groups string, n_best long, count_sum long, pair long, times long"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -83,19 +84,17 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.b = SentencePieceProcessor(model_file=path_b)
-        shown = visible_bytes()
         with open(path_a) as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        self.bytes_a = [b""] * (max(self.a.get_vocab(with_added_tokens=True).values()) + 1)
-        for token, i in vocabulary.items():
-            self.bytes_a[i] = bytes(shown[c] for c in token)
+            described = json.load(f)
+        shown, vocabulary = visible_bytes(), described["model"]["vocab"]
+        special = {t["content"]: t["id"] for t in described["added_tokens"]}
+        tokens = {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+        self.encode_a = _by_ranks(described, tokens) or _by_library(path_a)
+        self.b = SentencePieceProcessor(model_file=path_b)
+        self.bytes_a = [b""] * (max([*vocabulary.values(), *special.values()]) + 1)
+        for token, i in tokens.items():
+            self.bytes_a[i] = token
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
         # Of pieces with equal bytes the last: plain ones follow bytes and control pieces.
@@ -108,8 +107,7 @@ class Aligner:
     def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of each text; none of one that is null, empty or not given back byte by byte."""
         spaced = [" " + t if t else "" for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        b = self.b.encode([t or "" for t in texts], num_threads=1)
+        a, b = self.encode_a(spaced), self.b.encode([t or "" for t in texts], num_threads=1)
         for i, text in enumerate(spaced):
             whole = text.encode()
             if b"".join([self.bytes_a[t] for t in a[i]]) != whole or b"".join([self.bytes_b[t] for t in b[i]]) != whole:
@@ -119,7 +117,7 @@ class Aligner:
     def groups(self, texts: list[str | None]) -> Groups:
         ids_a, ids_b = self.encode(texts)
         n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
         # Both sides of a text have the same bytes, so offsets in all texts joined do as well as those in each.
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         last_a, last_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
@@ -142,6 +140,30 @@ class Aligner:
         return Groups(n_a, n_b, n_groups, [next(listed) if n else "" for n in n_a.tolist()], linked_a, linked_b, same)
 
 
+def _by_ranks(described: dict, tokens: dict[bytes, int]) -> Callable[[list[str]], list[list[int]]] | None:
+    """An encoder by ranks, several times as fast, for a vocabulary whose ids follow its merges and that splits words in the usual way."""
+    import public_tokenizers
+    from tiktoken import Encoding
+
+    model, split = described["model"], described.get("pre_tokenizer") or {}
+    merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    if described.get("normalizer") or not usual or merged != sorted(merged) or len(tokens) != 256 + len(merged) or model.get("ignore_merges"):
+        return None
+    encoding = Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens, special_tokens={})
+    return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+
+
+def _by_library(path: str) -> Callable[[list[str]], list[list[int]]]:
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """(from, to) of runs of whole texts of about as many characters as a task encodes at a time."""
     start, size = 0, 0

@@ -193,6 +193,17 @@ def test_alignment_of_nothing(empty):
     assert found.documents.count() == 0 and found.pairs.count() == 0
 
 
+def test_ranks_encode_as_the_library(documents):
+    import json
+
+    described = json.load(open(BYTES))
+    shown = alignment.visible_bytes()
+    tokens = {bytes(shown[c] for c in t): i for t, i in described["model"]["vocab"].items() if t != "<|endoftext|>"}
+    texts = [r.text or "" for r in documents.collect()] + [r[1] or "" for r in DOCS] + ["ab" * 20_000]
+    texts += [f"a{c} {c}{c}1{c}!{c} \n{c}b" for c in map(chr, itertools.chain(range(0x3000), range(0xF900, 0x10000), range(0x1F000, 0x1FB00)))]
+    assert alignment._by_ranks(described, tokens)(texts) == alignment._by_library(BYTES)(texts)
+
+
 def test_equal_groups_do_not_meet_in_the_shuffle():
     aligner = alignment.Aligner(BYTES, PIECES)
     found = aligner.groups(["the house of the rising sun", None, "tokenizers xyzzyq"])
