@@ -43,6 +43,30 @@ def _(t):
     return S.apply_step(t.orders, price(rate=2.0), keep=["o_orderkey"], ctx={"prefix": "st-"}, on_error="record")
 
 
+@dataclass
+class Doubled:
+    twice: int | None
+    digits: str
+
+
+@S.row_step
+def double(number: int | None) -> Doubled:
+    return Doubled(None if number is None else 2 * number, str(number))
+
+
+@query(
+    "exact_numbers",
+    "UD1",
+    """
+    with n as (select o_orderkey, case when o_orderkey % 3 > 0 then 4503599627370497 + o_orderkey end as number from orders)
+    select o_orderkey, number, 2 * number as twice, coalesce(cast(number as varchar(20)), 'None') as digits from n""",
+)
+def _(t):
+    """Whole numbers that floating point cannot hold, doubled, beside nulls."""
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.lit((1 << 52) + 1) + F.col("o_orderkey")).alias("number"))
+    return S.apply_step(rows, double, keep=["o_orderkey", "number"])
+
+
 def count_lines(df, floor=0):
     return df.where(F.col("l_quantity") > floor).groupBy("shard", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
@@ -80,6 +104,25 @@ def _(t):
     return t.spark.read.parquet(out).select(F.col("shard").cast("bigint").alias("shard"), "l_suppkey", "n")
 
 
+@query(
+    "vanished_partitions",
+    "TP1",
+    """
+    with k as (select l_suppkey % 50 as shard, l_suppkey, count(*) as n from lineitem where l_quantity > 10 group by 1, 2),
+    d as (select distinct l_suppkey % 50 as shard from lineitem)
+    select shard, l_suppkey, n, null as reason from k where shard % 5 <> 0
+    union all select shard, null, null, 'input gone' from d where shard % 5 = 0""",
+)
+def _(t):
+    """The output after every fifth shard has left the input, with what was done about it."""
+    ledger, out = I.VersionedTable(t.spark, _fresh(t)), _fresh(t)
+    lines = t.lineitem.select((F.col("l_suppkey") % 50).alias("shard"), "l_quantity", "l_orderkey", "l_suppkey")
+    I.process_changed(lines, ["shard"], count_lines, ledger, out, {"floor": 10})
+    done = I.process_changed(lines.where("shard % 5 <> 0"), ["shard"], count_lines, ledger, out, {"floor": 10})
+    left = t.spark.read.parquet(out).select(F.col("shard").cast("bigint").alias("shard"), "l_suppkey", "n", F.lit(None).cast("string").alias("reason"))
+    return left.unionByName(done.select("shard", F.lit(None).cast("bigint").alias("l_suppkey"), F.lit(None).cast("bigint").alias("n"), "reason"))
+
+
 #: Far more halvings than a price can take.
 MOST_HALVINGS = 64
 

@@ -9,6 +9,7 @@ import pickle
 import types
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from runledger.plans.lineage import cut
 from runledger.sources.writers import drop_partitions, write_outputs
 
 POINTER_SCHEMA = "seq bigint, name string"
+#: Why the output of a partition that is no longer there goes.
+INPUT_GONE = "input gone"
 
 
 def _is_absent(error: AnalysisException) -> bool:
@@ -122,52 +125,71 @@ def _described(value: object) -> object:
 
 
 def changed_partitions(keys: DataFrame, entries: DataFrame, present: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Partition values whose key changed or whose output is gone: (by, reason).
+    """Partition values whose input, record and output do not agree: (by, reason).
+
+    The three are compared at once, a null value as any other. `input gone`
+    means that there is a record or an output of what is no longer there.
 
     Args:
         keys: (by, cache_key) now. entries: (by, cache_key) as recorded.
         present: (by), outputs that exist.
     """
-    by = list(by)
-    recorded = entries.select(*by, F.col("cache_key").alias("recorded_key"))
-    joined = keys.join(recorded, by, "left").join(present.select(*by).distinct().withColumn("there", F.lit(True)), by, "left")
+    none = F.lit(None).cast("string")
+    sides = (
+        keys.select(*by, F.col("cache_key").alias("__now"), none.alias("__recorded"), F.lit(False).alias("__there"))
+        .unionByName(entries.select(*by, none.alias("__now"), F.col("cache_key").alias("__recorded"), F.lit(False).alias("__there")))
+        .unionByName(present.select(*by, none.alias("__now"), none.alias("__recorded"), F.lit(True).alias("__there")))
+    )
+    met = sides.groupBy(*by).agg(F.max("__now").alias("now"), F.max("__recorded").alias("recorded"), F.max("__there").alias("there"))
     reason = (
-        F.when(F.col("recorded_key").isNull(), F.lit("no entry"))
-        .when(F.col("recorded_key") != F.col("cache_key"), F.lit("key changed"))
-        .when(F.col("there").isNull(), F.lit("output gone"))
+        F.when(F.col("now").isNull(), F.lit(INPUT_GONE))
+        .when(F.col("recorded").isNull(), F.lit("no entry"))
+        .when(F.col("recorded") != F.col("now"), F.lit("key changed"))
+        .when(~F.col("there"), F.lit("output gone"))
     )
-    return joined.select(*by, reason.alias("reason")).where("reason is not null")
+    return met.select(*by, reason.alias("reason")).where("reason is not null")
+
+
+def _matching(df: DataFrame, values: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """A semi or anti join on `by` in which nulls are equal."""
+    named = values.select(*[F.col(b).alias(f"__m_{b}") for b in by])
+    return df.join(named, reduce(lambda x, y: x & y, [df[b].eqNullSafe(named[f"__m_{b}"]) for b in by]), how)
+
+
+def _present(spark: SparkSession, out: str, like: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The partition values that have files under `out`: the store is listed, no file is opened."""
+    try:
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(out)
+    except AnalysisException as error:
+        if not _is_absent(error):
+            raise
+        return like.select(*by).limit(0)
+    if not set(by) <= set(listed.columns):  # nothing but an empty folder
+        return like.select(*by).limit(0)
+    return listed.select(*[F.col(b).cast(like.schema[b].dataType).alias(b) for b in by])
 
 
 def process_changed(df: DataFrame, by: Sequence[str], fn: Callable[[DataFrame], DataFrame], ledger: VersionedTable, out: str, params: Mapping[str, object] | None = None) -> DataFrame:
-    """Apply `fn` to the partitions of `df` that changed since the last call; returns what was redone.
+    """Apply `fn` to the partitions of `df` that changed since the last call; returns what was redone or dropped, and why.
 
     `fn` takes the rows of the changed partitions and `params`, and returns rows
-    with the `by` columns. Outputs are written before the ledger, so a job that
-    dies in between repeats work and never claims any.
+    with the `by` columns. Output and record of a partition that has left `df`
+    go. Outputs are written before the ledger, so a job that dies in between
+    repeats work and never claims any.
     """
     spark, by, params = df.sparkSession, list(by), dict(params or {})
     keys = cut(partition_keys(df, by, identity_of(fn, params)))
     entries = ledger.read()
     if entries is None:
         entries = keys.limit(0)
-    try:
-        present = spark.read.parquet(out).select(*by)
-        for name in by:
-            present = present.withColumn(name, F.col(name).cast(df.schema[name].dataType))
-    except AnalysisException as error:
-        if not _is_absent(error):
-            raise
-        present = keys.select(*by).limit(0)
-    misses = cut(changed_partitions(keys, entries, present, by))
+    misses = cut(changed_partitions(keys, entries, _present(spark, out, df, by), by))
     if misses.isEmpty():
         return misses
-    made = cut(fn(df.join(misses.select(*by), by, "left_semi"), **params))
+    made = cut(fn(_matching(df, misses.where(F.col("reason") != INPUT_GONE), by, "left_semi"), **params))
     write_outputs(made, out, by)
     # A partition that yields nothing now has no rows that could replace the old ones.
-    drop_partitions(spark, out, misses.select(*by).join(made.select(*by).distinct(), by, "left_anti"))
-    kept = entries.select(*by, "cache_key").join(keys.select(*by), by, "left_anti")
-    ledger.save(kept.unionByName(keys))
+    drop_partitions(spark, out, _matching(misses.select(*by), made.select(*by).distinct(), by, "left_anti"))
+    ledger.save(keys)
     return misses
 
 

@@ -9,10 +9,12 @@ import types
 import typing
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
+from zoneinfo import ZoneInfo
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SCALAR_HINTS = {
     str: T.StringType(), int: T.LongType(), float: T.DoubleType(), bool: T.BooleanType(), bytes: T.BinaryType(),
@@ -175,10 +177,15 @@ def apply_step(df: DataFrame, step: RowStep, keep: Sequence[str] = (), ctx: Mapp
             raise TypeError(f"{fn.__name__} returned {type(result).__name__}, not {record.__name__}")
         return as_column(dataclasses.asdict(result))
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    arrow = to_arrow_schema(schema)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
             rows = []
-            for values in frame[columns].astype(object).where(frame[columns].notna(), None).to_dict("records") if columns else [{} for _ in range(len(frame))]:
+            given = [from_arrow(part.column(c)) for c in columns]
+            for values in zip(*given) if columns else [()] * len(part):
+                values = dict(zip(columns, values))
                 if not isolate:
                     rows.append(run(values))
                     continue
@@ -187,12 +194,46 @@ def apply_step(df: DataFrame, step: RowStep, keep: Sequence[str] = (), ctx: Mapp
                 except Exception as exc:  # noqa: BLE001 -- a row's failure is data here
                     rows.append({**dict.fromkeys(names), RC: 1, REASON: f"{type(exc).__name__}: {exc}"})
             made = [*names, RC, REASON] if isolate else names
-            out = {c: frame[c].reset_index(drop=True) for c in keep}
-            out.update({n: pd.Series([r[n] for r in rows], dtype=object) for n in made})
-            yield pd.DataFrame(out, columns=schema.names)
+            arrays = [part.column(c).cast(arrow.field(i).type) for i, c in enumerate(keep)]
+            kinds = [arrow.field(len(keep) + i).type for i in range(len(made))]
+            arrays += [pa.array([to_arrow(r[n], kind, zone) for r in rows], kind) for n, kind in zip(made, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     read = list(dict.fromkeys([*keep, *columns])) or df.columns[:1]
-    return df.select(*read).mapInPandas(batches, schema)
+    return df.select(*read).mapInArrow(batches, schema)
+
+
+def from_arrow(column: pa.Array) -> list:
+    """A column's values as a step takes them: whole numbers as they are, maps as dicts, times without a zone."""
+
+    def plain(value: object, kind: pa.DataType) -> object:
+        if value is None:
+            return None
+        if pa.types.is_map(kind):
+            return {plain(k, kind.key_type): plain(v, kind.item_type) for k, v in value}
+        if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+            return [plain(v, kind.value_type) for v in value]
+        if pa.types.is_struct(kind):
+            return {f.name: plain(value[f.name], f.type) for f in kind}
+        return value.replace(tzinfo=None) if pa.types.is_timestamp(kind) else value
+
+    values = column.to_pylist()
+    nested = pa.types.is_nested(column.type) or pa.types.is_timestamp(column.type)
+    return [plain(v, column.type) for v in values] if nested else values
+
+
+def to_arrow(value: object, kind: pa.DataType, zone: str) -> object:
+    """A result's value as Arrow reads it: a tuple by the names of its parts, a time in the session's zone."""
+    if value is None:
+        return None
+    if pa.types.is_map(kind):
+        return [(to_arrow(k, kind.key_type, zone), to_arrow(v, kind.item_type, zone)) for k, v in value.items()]
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        return [to_arrow(v, kind.value_type, zone) for v in value]
+    if pa.types.is_struct(kind):
+        parts = value if isinstance(value, dict) else {f.name: v for f, v in zip(kind, value, strict=True)}
+        return {f.name: to_arrow(parts[f.name], f.type, zone) for f in kind}
+    return value.replace(tzinfo=ZoneInfo(zone)) if pa.types.is_timestamp(kind) and value.tzinfo is None else value
 
 
 class Pipeline:

@@ -247,3 +247,44 @@ def test_bad_documents_are_left_out_and_told(spark, rows):
     pages = spark.createDataFrame([("a", "x: {y: 1}"), ("b", "x: [1")], "file string, text string")
     assert rows(R.parse_yaml(pages)) == [("a", "x.y", "1")]
     assert [r.doc for r in R.rejected_yaml(pages).collect()] == ["b"]
+
+
+@dataclass
+class Kept:
+    n: int | None
+    at: datetime.datetime | None
+    seen: dict[str, int]
+
+
+@S.row_step
+def keep_values(n: int | None, at: datetime.datetime | None, m: dict[str, int], parts: list[int]) -> Kept:
+    assert at is None or at.tzinfo is None
+    return Kept(n, at, {**m, "parts": sum(parts)})
+
+
+def test_steps_see_exact_numbers(spark):
+    at = datetime.datetime(2024, 5, 6, 7, 8, 9, 123456)
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(big, at, {"a": big}, [1, big]), (None, None, {}, [])], "n long, at timestamp, m map<string,long>, parts array<long>").coalesce(1)
+    first, second = S.apply_step(df, keep_values, keep=["m"]).collect()
+    assert (first.n, first.at, first.seen, first.m) == (big, at, {"a": big, "parts": big + 1}, {"a": big})
+    assert (second.n, second.at, second.seen) == (None, None, {"parts": 0})
+    assert S.apply_step(df.limit(0), keep_values).collect() == []
+
+
+def test_partitions_that_left_the_input_go(spark, tmp_path):
+    ledger, out = I.VersionedTable(spark, f"{tmp_path}/ledger"), f"{tmp_path}/out"
+    rows = spark.createDataFrame([("a b/c", 1), ("x", 2), (None, 3)], "k string, v long")
+    run = lambda df: {tuple(r) for r in I.process_changed(df, ["k"], _same, ledger, out).collect()}
+    read = lambda: {(r.v, r.k) for r in spark.read.parquet(out).collect()}
+    assert run(rows) == {("a b/c", "no entry"), ("x", "no entry"), (None, "no entry")}
+    assert run(rows) == set()
+    assert run(rows.where("k = 'x'")) == {("a b/c", "input gone"), (None, "input gone")} and read() == {(2, "x")}
+    assert [r.k for r in ledger.read().collect()] == ["x"]
+    assert run(rows.where("k is null")) == {("x", "input gone"), (None, "no entry")} and read() == {(3, None)}
+    assert run(rows.limit(0)) == {(None, "input gone")} and ledger.read().count() == 0
+    assert run(rows) == {("a b/c", "no entry"), ("x", "no entry"), (None, "no entry")} and len(read()) == 3
+
+
+def _same(df):
+    return df
