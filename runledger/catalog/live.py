@@ -11,6 +11,7 @@ from runledger.catalog.base import query
 from runledger.catalog.slices import EXTRACTED_SQL, RULES
 from runledger.operators import incremental as I
 from runledger.operators import steps as S
+from runledger.operators.extract import Rule
 from runledger.plans.lineage import scratch_root
 from runledger.sources.logs import explode_lines
 from runledger.streaming import live as V
@@ -191,9 +192,28 @@ def _(t):
     return V.read_latest(t.spark, out, ["step"]).select("step", "event", "event_id")
 
 
-@query("bounded_status_stream", "SS3", "select user_id as step, arg_max(event_type, (ts, event_id)) as event, max((ts, event_id))[2] as event_id from events group by 1")
+BOUNDED_SQL = "select user_id as step, arg_max(event_type, (ts, event_id)) as event, max((ts, event_id))[2] as event_id from events group by 1"
+
+
+@query("bounded_status_stream", "SS3", BOUNDED_SQL)
 def _(t):
     out = _fresh(t)
-    live = V.status_stream(_lifecycle(_stream(t, "events", t.events)), order=["ts", "event_id"], watermark=("ts", "1 hour"), unique=["event_id"])
+    live = V.status_stream(_lifecycle(_stream(t, "events", t.events)), order=["ts", "event_id"], watermark=("ts", "1 hour"), unique=["event_id"], span="1 day")
     V.write_updates(live, out, _fresh(t), available_now=True).awaitTermination()
-    return V.read_latest(t.spark, out, ["step"]).select("step", "event", "event_id")
+    V.compact_updates(t.spark, out, ["step"], ["span"])
+    return V.read_latest(t.spark, out, ["step"], ["span"]).select("step", "event", "event_id")
+
+
+@query(
+    "bounded_extracted_stream",
+    "SS3",
+    """
+    with m as (select user_id, ts, event_id, try_cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as v from events where regexp_matches(props, '[0-9]+'))
+    select user_id, arg_max(v, (ts, event_id)) as int_value from m group by 1""",
+)
+def _(t):
+    out = _fresh(t)
+    lines = _stream(t, "events", t.events).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("props").alias("text"))
+    rules = [Rule(r"(?P<v>[0-9]+)", "v", "int")]
+    V.write_updates(V.extract_values_stream(lines, rules, ["user_id"], ["ts", "event_id"], ("ts", "1 hour"), ["event_id"], span="1 day"), out, _fresh(t), available_now=True).awaitTermination()
+    return V.read_latest(t.spark, out, ["user_id", "field"], ["span"]).select("user_id", "int_value")

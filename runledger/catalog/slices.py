@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from runledger.catalog.base import query
 from runledger.operators import extract as X
 from runledger.operators import scatter as G
 from runledger.operators.schema import type_of
+from runledger.plans.lineage import scratch_root
 from runledger.sources import logs as L
 
 LINES_SQL = r"""
@@ -21,6 +24,17 @@ def _(t):
     return L.explode_lines(t.documents, "text", ["doc_id"])
 
 
+@query("split_log_lines", "SRC9", f"with {LINES_SQL} select doc_id, line_no, text from lines")
+def _(t):
+    """Lines written to files of many documents, read in splits; a document's lines are numbered from its first."""
+    path = f"{scratch_root(t.spark)}/{uuid.uuid4().hex}"
+    lines = L.explode_lines(t.documents, "text", ["doc_id"])
+    lines.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "line_no").select(F.concat_ws("\t", F.col("doc_id").cast("string"), "text").alias("value")).write.text(path)
+    read = L.read_log_lines(t.spark, path).select("file", "line_no", F.substring_index("text", "\t", 1).cast("bigint").alias("doc_id"), F.expr("substring(text, instr(text, '\t') + 1)").alias("text"))
+    first = read.groupBy("file", "doc_id").agg(F.min("line_no").alias("first"))
+    return read.join(first, ["file", "doc_id"]).select("doc_id", (F.col("line_no") - F.col("first")).alias("line_no"), "text")
+
+
 RUN_LOG = """
     select event_id, user_id, concat('2024-01-01 00:00:', lpad(cast(event_id % 60 as varchar(2)), 2, '0'), ',', lpad(cast(event_id % 1000 as varchar(3)), 3, '0'), ' ',
              case event_id % 4 when 0 then 'INFO' when 1 then 'WARNING' when 2 then 'ERROR' else 'DEBUG' end, ' ',

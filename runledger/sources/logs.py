@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 # Line boundaries, the stream order, the log line layout and the
 # level ranks.
@@ -37,14 +38,43 @@ def explode_streams(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return streams.select(*keys, "s.stream", "s.stream_rank", F.posexplode("s.lines").alias("line_no", "text"))
 
 
+def split_lines(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """Lines of text files where they are read, in splits and in order: (file, size, block, bytes, k, text).
+
+    Splits end at line feeds. Of a stretch between two of them, `k` numbers the
+    lines that other breaks make of it and `bytes` is its length, null but for
+    the first.
+    """
+    stretches = reader.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    # The carriage return before a line feed is part of the break.
+    parts = F.split(F.regexp_replace("value", r"\r\z", ""), LINE_BREAK, -1)
+    exploded = stretches.select("file", "size", "block", (F.octet_length("value") + 1).cast("bigint").alias("bytes"), F.posexplode(parts).alias("k", "text"))
+    return exploded.select("file", "size", "block", F.when(F.col("k") == 0, F.col("bytes")).alias("bytes"), "k", "text")
+
+
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as (file, line_no, text); the number is the line's place in its own file.
+    """Text files as (file, line_no, text); the number is the line's place in its own file, from 0.
 
-    Each file is read as one value, because a split of a file does not know how
-    many lines come before it.
+    A file is read in splits, and no line is shuffled: one small row a split
+    tells how many lines the splits before it hold. A final break opens no line.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    return explode_lines(whole, "value", ["file"])
+    lines = split_lines(spark.read, path).withColumn("place", F.monotonically_increasing_id())
+    blocks = lines.groupBy("file", "size", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("place").alias("first"), F.sum("bytes").alias("bytes"))
+    earlier = Window.partitionBy("file").orderBy("block")
+    whole = Window.partitionBy("file")
+    starts = blocks.select(
+        "file",
+        "block",
+        "first",
+        (F.sum("lines").over(earlier) - F.col("lines")).alias("before"),
+        # Without a final line feed the text is one byte shorter than its stretches; its last line is then left out if it is empty.
+        F.when(F.sum("bytes").over(whole) > F.col("size"), F.sum("lines").over(whole) - 1).alias("open_end"),
+    )
+    numbered = lines.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("place") - F.col("first")).alias("line_no"), "k", "text", "open_end")
+    after_a_break = (F.col("line_no") == F.col("open_end")) & (F.col("k") > 0) & (F.col("text") == "")
+    return numbered.where(~F.coalesce(after_a_break, F.lit(False))).select("file", "line_no", "text")
 
 
 def parse_run_log(lines: DataFrame, text_col: str = "text") -> DataFrame:
