@@ -16,13 +16,13 @@ from runledger.llm.html_text import extract_main_text
 from runledger.llm.labelled import fold, labelled_sample
 from runledger.llm.language import identify_language, train_language_model
 from runledger.llm.merkle import fold_proof, leaf_digest, manifest, proof_digest
-from runledger.llm.mixing import draw_documents
+from runledger.llm.mixing import MIX_SHARE, document_margins, draw_documents
 from runledger.llm.near_dedup import near_groups
 from runledger.llm.quality import SAMPLE_PER_CLASS as QUALITY_SAMPLE
 from runledger.llm.quality import judge_quality, score_quality, train_network
 from runledger.llm.sharding import shard_documents
 from runledger.llm.tokens import token_counts
-from runledger.llm.toxicity import score_toxicity
+from runledger.llm.toxicity import learn_toxic_field, score_toxicity
 from runledger.llm.url_filter import judge_urls
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,7 +128,8 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @corpus_query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), corpus_pipeline.toxic_field(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, learn_toxic_field(docs, table(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_spans")
     )
@@ -170,7 +171,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @corpus_query("op5_mixing")
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = draw_documents(table(spark, sf_dir, "documents"), corpus_pipeline.margins(), corpus_pipeline.MIX_SHARE)
+    drawn = draw_documents(table(spark, sf_dir, "documents"), document_margins(), MIX_SHARE)
     return drawn.select("doc_id", F.array_join("mix_cell", "/").alias("cell"), F.col("mix_tokens").alias("tokens"), F.col("mix_probability").alias("probability"), F.col("mix_drawn").alias("drawn"))
 
 

@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.llm.columns import set_aside, unused
 from runledger.plans.lineage import cut
 
 #: The class of all values a margin does not name, nulls included.
@@ -144,6 +145,9 @@ def token_weight(text: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+ADDED = ("mix_cell", "mix_tokens", "mix_probability", "mix_drawn")
+
+
 def draw_documents(docs: DataFrame, margins: Sequence[Margin], share: float, seed: int = 17, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of `docs`, with mix_cell (an array of classes), mix_tokens, mix_probability and mix_drawn.
 
@@ -153,9 +157,8 @@ def draw_documents(docs: DataFrame, margins: Sequence[Margin], share: float, see
     margin is in its rest. A null or empty text has no tokens and the
     probability of its cell. An empty table gives no rows.
     """
-    added = ["mix_cell", "mix_tokens", "mix_probability", "mix_drawn"]
-    base = docs.drop(*added)
-    names = [f"__mix{i}" for i in range(len(margins))]
+    base = docs.drop(*ADDED)
+    names = [unused(f"margin{i}", base.columns) for i in range(len(margins))]
     counted = base.select(*[(m.of() if m.temper is None else m.value).alias(n) for m, n in zip(margins, names)], token_weight(text).alias("t")).groupBy(*names).agg(F.sum("t").alias("t"))
     if any(m.temper is not None for m in margins):
         # Written, as its values are looked at first and then dealt to classes.
@@ -177,7 +180,7 @@ def draw_documents(docs: DataFrame, margins: Sequence[Margin], share: float, see
         base.withColumns({n: m.of() for m, n in zip(margins, names)})
         .join(chances, names)
         .withColumns({"mix_cell": F.array(*names), "mix_tokens": token_weight(text), "mix_drawn": unit < F.col("mix_probability")})
-        .select(*base.columns, *added)
+        .select(*base.columns, *ADDED)
     )
 
 
@@ -193,6 +196,25 @@ def topic_of(text: str) -> Column:
     )
 
 
+#: Target shares of tokens, and the share of all tokens that a mix of the documents is to have.
+SOURCES = {"src0": 0.30}
+LANGUAGES = {"en": 0.54, "de": 0.17, "fr": 0.17, "es": 0.12}
+TOPICS = {"prose": 0.91, "listing": 0.03, "legal": 0.03, "contact": 0.03}
+#: Sources without a target share what is left as the powers of their shares of tokens by this.
+SOURCE_TEMPER = 0.5
+MIX_SHARE = 0.75
+
+
+def document_margins() -> list[Margin]:
+    """The margins that documents are mixed by: source, language and topic."""
+    return [Margin("source", F.col("source"), SOURCES, SOURCE_TEMPER), Margin("lang", F.col("lang"), LANGUAGES), Margin("topic", topic_of("text"), TOPICS)]
+
+
 def mix_documents(docs: DataFrame, margins: Sequence[Margin], share: float, seed: int = 17, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The drawn rows of `docs`, with the columns they have."""
-    return draw_documents(docs, margins, share, seed, key, text).where("mix_drawn").select(*docs.columns)
+    """The drawn rows of `docs` with the columns and values they have, whatever their names.
+
+    Which rows are drawn, and what becomes of nulls, empty texts and repeated
+    rows, `draw_documents` says.
+    """
+    own, back = set_aside(docs, ADDED)
+    return draw_documents(own, margins, share, seed, key, text).where("mix_drawn").drop(*ADDED).withColumnsRenamed(back).select(*docs.columns)

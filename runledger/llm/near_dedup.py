@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.llm.columns import unused
 from runledger.llm.components import components
 from runledger.llm.membership import may_hold, membership
 from runledger.plans.lineage import cut
@@ -310,10 +311,10 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     told apart. Columns are those of `docs`."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     stay = near_groups(docs, key, text).groupBy("root").agg(F.min(first).alias("first"))
-    named = ["__id", "__key"]  # both, so that texts of different ids never meet by a hash
-    stay = stay.select(F.coalesce("first.doc_id", F.lit(0)).alias("__id"), F.col("first.row_key").alias("__key")).distinct()
-    own = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(0)), "__key": row_key(key, text)})
-    return own.join(stay, named, "left_semi").dropDuplicates(named).drop(*named)
+    named = [unused("id", docs.columns), unused("key", docs.columns)]  # both, so that texts of different ids never meet by a hash
+    stay = stay.select(F.coalesce("first.doc_id", F.lit(0)).alias(named[0]), F.col("first.row_key").alias(named[1])).distinct()
+    own = docs.withColumns({named[0]: F.coalesce(F.col(key).cast("long"), F.lit(0)), named[1]: row_key(key, text)})
+    return own.join(stay, named, "left_semi").dropDuplicates(named).select(*docs.columns)
 
 
 def _hubs(members: DataFrame) -> DataFrame:

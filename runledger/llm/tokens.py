@@ -5,8 +5,8 @@ so a text's tokens are the sum of those of its pre-tokens: a run of spaces with
 what follows it. Each distinct pre-token of the corpus is encoded once; the
 counts are joined to the frequencies per document and added up, and no list of
 ids is kept. The join splits by frequency: a fixed number of the most frequent
-pre-tokens is sent to all tasks, the others meet their counts in a shuffle, where
-none of them can be hot.
+pre-tokens, none of them long, is sent to all tasks; the others meet their counts
+in a shuffle, where none of them can be hot.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from runledger.plans.lineage import cut
 
 #: The most frequent pre-tokens that all tasks hold: a bound that does not grow.
 HEAD = 1 << 17
+#: Longer pre-tokens, such as texts without blanks, are counted where they are: they seldom repeat, and none is held or shuffled.
+LONGEST = 64
 #: Distinct pre-tokens a task holds before it passes their counts on.
 HELD = 1 << 18
 PARTS = pa.schema([("rid", pa.int64()), ("token", pa.string()), ("times", pa.int64()), ("base", pa.int64()), ("n_bytes", pa.int64()), ("doc_id", pa.int64())])
@@ -64,7 +66,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column("text").to_pylist():
             if text:
-                seen.update(pre_tokens(text))
+                seen.update(t for t in pre_tokens(text) if len(t) <= LONGEST)
             if len(seen) > HELD:
                 yield flush()
     yield flush()
@@ -110,7 +112,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, key: str = "doc
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row of a document's own, and one for each pre-token the task has no count of."""
-        known = shared.value
+        known, count = shared.value, piece_counter(model)
         for batch in batches:
             rid, token, times, base, size = [], [], [], [], []
             rows = batch.column("rid").to_pylist()
@@ -118,7 +120,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, key: str = "doc
                 text = text or ""
                 total = 0
                 for t, n in Counter(pre_tokens(text)).items():
-                    k = known.get(t)
+                    k = count([t])[0] if len(t) > LONGEST else known.get(t)
                     if k is None:
                         rid.append(row)
                         token.append(t)

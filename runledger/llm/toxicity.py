@@ -21,8 +21,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runledger.llm.columns import set_aside
+from runledger.llm.labelled import fold, labelled_sample
+
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 #: Labelled documents of each class that the field is fitted on, at most.
@@ -332,6 +336,9 @@ def _long_marginals(model: Field, known: Potentials, words: list[str]) -> np.nda
     return p
 
 
+SCORED = ("toxic_score", "toxic_spans")
+
+
 def score_toxicity(docs: DataFrame, model: Field | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of `docs` with `toxic_score` (0 to 1) and `toxic_spans` (start, end, p) at the end.
 
@@ -339,7 +346,7 @@ def score_toxicity(docs: DataFrame, model: Field | None, key: str = "doc_id", te
     without words, has score 0 and no spans, as has every text where no model
     could be trained. Repeated rows score alike. Only the text is read to score.
     """
-    target = docs.drop("toxic_score", "toxic_spans")
+    target = docs.drop(*SCORED)
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])
     schema = T.StructType([*target.schema, T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_spans", T.ArrayType(span))])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -350,3 +357,17 @@ def score_toxicity(docs: DataFrame, model: Field | None, key: str = "doc_id", te
             yield batch.append_column("toxic_score", pa.array([s for s, _ in found], pa.float64())).append_column("toxic_spans", pa.array([x for _, x in found], kind))
 
     return target.mapInArrow(batches, schema)
+
+
+def drop_toxic(docs: DataFrame, model: Field | None, reject_from: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that score below `reject_from`, with the columns and values they have, whatever their names.
+
+    Rows of null or empty text score 0 and stay; repeated rows share their fate.
+    """
+    own, back = set_aside(docs, SCORED)
+    return score_toxicity(own, model, key, text).where(F.col("toxic_score") < reject_from).drop(*SCORED).withColumnsRenamed(back).select(*docs.columns)
+
+
+def learn_toxic_field(docs: DataFrame, labels: DataFrame) -> Field | None:
+    """The field of `labels.toxic`, from a bounded sample of the rows whose fold of three is not 1."""
+    return train_field(labelled_sample(docs, labels, "toxic", fold(F.col("k"), 3) != 1, SAMPLE_PER_CLASS))

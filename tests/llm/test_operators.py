@@ -654,6 +654,41 @@ def test_leaks_with_substitutions_against_brute_force(spark):
     assert got == want and {d for d, _ in want} >= {0, 1, 2, 3, 4} and len(want) < len(texts)
 
 
+# What all share: names and samples
+
+
+def test_given_columns_keep_their_values(spark, docs):
+    given = {c: F.lit(f"given {c}") for c in ["toxic_score", "Toxic_Spans", "mix_cell", "mix_drawn", "margin0", "id", "key", "__id", "__key", "__mix0", "given_mix_cell"]}
+    table = docs.withColumns(given)
+    model = toxicity.learn_toxic_field(*(spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels")))
+    for kept in (toxicity.drop_toxic(table, model, 0.7), near_dedup.keep_one_of_each(table), mixing.mix_documents(table, mixing.document_margins(), 1.0)):
+        assert kept.columns == table.columns
+        rows = kept.collect()
+        assert rows and all(r[c] == f"given {c}" for r in rows for c in given)
+
+
+def test_labelled_sample_is_bounded_in_rows(spark):
+    one = spark.range(20_000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("copy "), (F.col("id") % 3).cast("string")).alias("text"))
+    rows = one.unionAll(spark.createDataFrame([(8, "other"), (9, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 0), (7, 1), (8, 0), (9, 1), (None, 1), (8, None)], "doc_id long, toxic int")
+    samples = {tuple(labelled.labelled_sample(rows.repartition(5), labels, "toxic", F.lit(True), 10)) for _ in range(2)}
+    (sample,) = samples  # the same each time
+    assert len(sample) == 2 and ("other", 0) in sample and {y for t, y in sample if t != "other"} == {1}
+
+
+def test_long_pre_tokens_are_neither_held_nor_shuffled(spark):
+    """Texts without blanks are counted where they are."""
+    rows = [(i, chr(0x4E00 + i % 50) * 500 + "文" * i) for i in range(100)] + [(1000, "short words " * 40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    passed = table.select("text").mapInArrow(tokens._frequencies, "token string, n long")
+    assert passed.agg(F.max(F.length("token"))).first()[0] <= tokens.LONGEST
+    from sentencepiece import SentencePieceProcessor
+
+    processor = SentencePieceProcessor(model_file=MODEL)
+    got = {r.doc_id: r.n_tokens for r in tokens.token_counts(table, MODEL).collect()}
+    assert got == {i: len(processor.encode(t)) for i, t in rows}
+
+
 # 10: sharding
 
 
