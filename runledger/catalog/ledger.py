@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runledger.catalog.base import query
 from runledger.operators import aggregates as A
+from runledger.operators.scatter import PART_ROWS
 from runledger.operators import joins as J
 from runledger.operators import versions as V
 from runledger.operators import windows as W
@@ -119,7 +120,7 @@ def _(t):
 @query(
     "run_console",
     "AG8",
-    "select run_id, 0 as part, coalesce(string_agg(step, chr(10) order by idx) filter (not skipped), '') as text from step_records group by 1",
+    f"select run_id, idx // {PART_ROWS} as part, coalesce(string_agg(step, chr(10) order by idx) filter (not skipped), '') as text from step_records group by 1, 2",
 )
 def _(t):
     return A.collect_text(t.step_records.withColumn("text", F.when(~F.col("skipped"), F.col("step"))), "text", "run_id", "idx")

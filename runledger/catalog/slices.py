@@ -143,11 +143,11 @@ def _(t):
 @query(
     "gathered_runs",
     "SG4",
-    """
-    with r as (select run_id, coalesce(arg_min(returncode, idx) filter (returncode <> 0), 0) as returncode, bool_or(containerized) as containerized,
-                      string_agg(image_digest, ',' order by idx) as images, string_agg(case when skipped then '' else step end, chr(10) order by idx) filter (not skipped) as stdout
-               from step_records group by run_id)
-    select run_id, 0 as part, returncode, containerized, coalesce(stdout, '') as stdout, case when returncode = 0 then coalesce(images, '') else '' end as images from r""",
+    f"""
+    with s as (select run_id, coalesce(arg_min(returncode, idx) filter (returncode <> 0), 0) as returncode, bool_or(containerized) as containerized from step_records group by run_id),
+    r as (select run_id, idx // {G.PART_ROWS} as part, string_agg(image_digest, ',' order by idx) as images, string_agg(case when skipped then '' else step end, chr(10) order by idx) filter (not skipped) as stdout
+          from step_records group by 1, 2)
+    select run_id, part, returncode, containerized, coalesce(stdout, '') as stdout, case when returncode = 0 then coalesce(images, '') else '' end as images from r join s using (run_id)""",
 )
 def _(t):
     slices = t.step_records.withColumn("stdout", F.when(F.col("skipped"), F.lit("")).otherwise(F.col("step")))
@@ -168,6 +168,35 @@ def _(t):
     return out.select("c_custkey", "part", F.array_join("o_orderstatus", ",").alias("statuses"), F.size("o_orderstatus").alias("n"))
 
 
+STATUS_SQL = "select run_id, count(*) as slices, coalesce(arg_min(returncode, idx) filter (returncode <> 0), 0) as returncode, bool_or(containerized) as containerized from step_records where idx > 2 group by 1"
+
+
+def _gathered(t):
+    slices = t.step_records.where("idx > 2").withColumn("stdout", F.when(~F.col("skipped"), F.col("step")))
+    return G.gather_rows(slices, ["run_id"], "idx", ["image_digest"], rc="returncode", flags=["containerized"], texts=["stdout"], expected=t.step_records.select("run_id"))
+
+
+@query(
+    "gathered_status",
+    "SG4 SG5",
+    f"""
+    with s as ({STATUS_SQL})
+    select r.run_id, coalesce(slices, 0) as slices, coalesce(returncode, 0) as returncode, coalesce(containerized, false) as containerized from (select distinct run_id from step_records) r left join s using (run_id)""",
+)
+def _(t):
+    return _gathered(t).status
+
+
+@query("gathered_values", "SG3 SG4", f"with s as ({STATUS_SQL}) select run_id, idx, image_digest from step_records join s using (run_id) where idx > 2 and s.returncode = 0")
+def _(t):
+    return _gathered(t).values
+
+
+@query("gathered_console", "SG4 AG8", "select run_id, idx, 'stdout' as field, step as text from step_records where idx > 2 and not skipped")
+def _(t):
+    return _gathered(t).texts
+
+
 @query(
     "gathered_types",
     "SG6",

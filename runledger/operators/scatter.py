@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,50 @@ def scatter_rejects(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.withColumn("reason", scatter_error(df, fields)).where("reason is not null")
 
 
+@dataclass
+class Gathered:
+    """The slices of every key, whatever their number.
+
+    status: (keys, slices, rc, flags), one row a key.
+    values: (keys, index, cols), one row a slice of each key that has no failed one.
+    texts: (keys, index, field, text), the texts that are not blank, of all slices.
+    """
+
+    status: DataFrame
+    values: DataFrame
+    texts: DataFrame
+
+
+def gather_rows(
+    df: DataFrame, keys: Sequence[str], index: str, cols: Sequence[str], rc: str | None = None, flags: Sequence[str] = (), texts: Sequence[str] = (), expected: DataFrame | None = None
+) -> Gathered:
+    """What `gather` tells, as rows: the shape is the same for three slices and for a billion.
+
+    Null keys are keys as any other.
+
+    Args:
+        rc, flags, expected: As of `gather`; the code is that of the first
+            failing index, 0 where there is none.
+    """
+    failed_at = F.when(F.col(rc) != 0, F.col(index)) if rc is not None else None
+    told = [F.count(F.lit(1)).alias("slices"), *([F.coalesce(F.min_by(rc, failed_at), F.lit(0)).alias(rc)] if rc is not None else []), *[F.bool_or(f).alias(f) for f in flags]]
+    status = df.groupBy(*keys).agg(*told)
+    if expected is not None:
+        # Both sides grouped, so that a null key meets itself.
+        none = {"slices": F.lit(0).cast("bigint"), **({rc: F.lit(0).cast(df.schema[rc].dataType)} if rc is not None else {}), **{f: F.lit(False) for f in flags}}
+        wanted = expected.select(*keys).withColumns({**none, "__wanted": F.lit(True)})
+        both = status.withColumn("__wanted", F.lit(False)).unionByName(wanted).groupBy(*keys)
+        kept = both.agg(F.sum("slices").alias("slices"), *([F.sum(rc).cast(df.schema[rc].dataType).alias(rc)] if rc is not None else []), *[F.bool_or(c).alias(c) for c in (*flags, "__wanted")])
+        status = kept.where("__wanted").drop("__wanted")
+    values = df.select(*keys, index, *cols)
+    if rc is not None:
+        failed = df.where(F.col(rc) != 0).select(*[F.col(k).alias(f"__k_{k}") for k in keys]).distinct()
+        values = values.join(failed, reduce(lambda a, b: a & b, [values[k].eqNullSafe(failed[f"__k_{k}"]) for k in keys]), "left_anti")
+    said = F.explode(F.array(*[F.struct(F.lit(t).alias("field"), F.col(t).alias("text")) for t in texts])) if texts else None
+    lines = df.select(*keys, index, said.alias("t")).select(*keys, index, "t.*") if texts else df.select(*keys, index, F.lit("").alias("field"), F.lit("").alias("text"))
+    return Gathered(status, values, lines.where((F.col("text").isNotNull()) & (F.col("text") != "")))
+
+
 def gather(
     df: DataFrame,
     keys: Sequence[str],
@@ -63,10 +109,10 @@ def gather(
     expected: DataFrame | None = None,
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Lists ordered by slice index, one row per key and part.
+    """Lists ordered by slice index, one row per key and part; for results as rows see `gather_rows`.
 
     A part holds the slices whose index falls in one span of `part_rows`, so a
-    list never outgrows a row; a key of ordinary size has part 0 only.
+    list never outgrows a row.
 
     Args:
         rc: Return code column. If any slice of a key failed, its lists are

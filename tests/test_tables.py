@@ -206,3 +206,17 @@ def test_includes_merge_under_own_keys_and_rings_are_errors(spark, rows):
     assert rows(got.where("doc = 'top'"), "path", "value") == [("m.a", "1"), ("m.b", "own"), ("n.m.a", "1"), ("n.x", "mine"), ("x", "2"), ("z", "9")]
     with pytest.raises(ValueError, match="ring"):
         C.resolve_includes(spark.createDataFrame([("a", "_include", "b"), ("b", "_include", "a")], "doc string, path string, value string"))
+
+
+def test_gathered_rows_keep_one_shape(spark, rows):
+    df = spark.createDataFrame(
+        [("a", 0, 1, 0, False, "x"), ("a", 1, 2, 0, True, ""), ("b", 0, 3, 0, False, "y"), ("b", 1, 4, 7, False, None), ("b", 2, 5, 9, False, "z"), (None, 0, 6, 0, False, "n")],
+        "k string, idx int, v int, rc int, on boolean, out string",
+    )
+    expected = spark.createDataFrame([("a",), ("b",), ("c",), (None,), ("c",)], "k string")
+    got = G.gather_rows(df, ["k"], "idx", ["v"], rc="rc", flags=["on"], texts=["out"], expected=expected)
+    assert rows(got.status, "k", "slices", "rc", "on") == sorted([("a", 2, 0, True), ("b", 3, 7, False), ("c", 0, 0, False), (None, 1, 0, False)], key=repr)
+    assert rows(got.values) == sorted([("a", 0, 1), ("a", 1, 2), (None, 0, 6)], key=repr)
+    assert rows(got.texts) == sorted([("a", 0, "out", "x"), ("b", 0, "out", "y"), ("b", 2, "out", "z"), (None, 0, "out", "n")], key=repr)
+    plain = G.gather_rows(df, ["k"], "idx", ["v"])
+    assert plain.status.columns == ["k", "slices"] and plain.values.count() == 6 and plain.texts.count() == 0
