@@ -15,6 +15,7 @@ from runledger.plans.lineage import scratch_root
 from runledger.plans.scan import LastBefore, ordered_scan
 from runledger.sources import readers as R
 from runledger.sources import writers as O
+from runledger.sources.inventory import walk_files
 
 
 @query(
@@ -236,6 +237,44 @@ def _(t):
     return R.scan_files(t.spark, t.folder, sample=True)
 
 
+LINE = "concat(cast(o_orderkey as varchar(20)), ' ', o_orderstatus, ' ', o_orderpriority)"
+
+
+def _written(t) -> str:
+    """Orders as text files, one for each span of a thousand keys, and the marker of the writer, which is empty."""
+    path = f"{scratch_root(t.spark)}/{uuid.uuid4().hex}"
+    lines = t.orders.select(F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("value"), F.floor(F.col("o_orderkey") / 1000).alias("span"), "o_orderkey")
+    lines.repartition("span").sortWithinPartitions("span", "o_orderkey").select("value", "span").write.partitionBy("span").text(path)
+    return path
+
+
+@query(
+    "written_inventory",
+    "SRC5",
+    f"""
+    select cast(o_orderkey // 1000 as varchar(20)) as span, sum(length({LINE}) + 1) as size, 1 as files from orders group by 1
+    union all select '_SUCCESS', 0, 1""",
+)
+def _(t):
+    """Sizes of files that were just written, the empty one too."""
+    roots = t.spark.createDataFrame([(_written(t),)], "root string")
+    found = walk_files(roots).where(~F.substring_index("relpath", "/", -1).startswith("."))
+    return found.groupBy(F.coalesce(F.nullif(F.regexp_extract("relpath", "^span=([0-9]+)/", 1), F.lit("")), "relpath").alias("span")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("files"))
+
+
+@query(
+    "written_samples",
+    "SRC6",
+    f"""
+    with f as (select cast(o_orderkey // 1000 as varchar(20)) as span, string_agg({LINE} || chr(10), '' order by o_orderkey) as c from orders group by 1)
+    select span, sha256(left(c, 4096) || right(c, cast(greatest(0, least(4096, length(c) - 4096)) as integer))) as sample, null as error from f""",
+)
+def _(t):
+    """Samples of files that were just written."""
+    found = R.scan_files(t.spark, _written(t), sample=True)
+    return found.select(F.regexp_extract("path", "/span=([0-9]+)/", 1).alias("span"), "sample", "error")
+
+
 @query(
     "rejected_documents",
     "SRC1 SRC3 SRC7",

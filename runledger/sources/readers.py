@@ -211,13 +211,13 @@ def read_chains(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
 
 
 def scan_files(spark: SparkSession, root: str, sample: bool = False) -> DataFrame:
-    """Files under a root: (path, mtime_ms, size[, sample]).
+    """Files under a root: (path, mtime_ms, size[, sample, error]).
 
     Only metadata is listed unless `sample` asks for a digest of the first and
     last 4 KiB, which tasks read by seeking, whatever a file's size; the store
-    must then be one that `pyarrow.fs` opens. A file that cannot be opened has a
-    null sample. Empty files hold no rows for Spark to scan and are not listed;
-    where executors mount the storage, `walk_files` sees them too.
+    must then be one that `pyarrow.fs` opens. A file without a sample has the
+    error, `missing` or `unreadable`. Empty files hold no rows for Spark to scan
+    and are not listed; `walk_files` sees them too.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     meta = listed.select("path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"))
@@ -226,26 +226,29 @@ def scan_files(spark: SparkSession, root: str, sample: bool = False) -> DataFram
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(sample=[sample_of(path, size) for path, size in zip(frame["path"], frame["size"])])
+            found = [sample_of(path, size) for path, size in zip(frame["path"], frame["size"])]
+            yield frame.assign(sample=[s for s, _ in found], error=[e for _, e in found])
 
-    return meta.mapInPandas(batches, "path string, mtime_ms bigint, size bigint, sample string")
+    return meta.mapInPandas(batches, "path string, mtime_ms bigint, size bigint, sample string, error string")
 
 
-def sample_of(path: str, size: int) -> str | None:
-    """Digest of the first and last 4 KiB of a file, read without the rest."""
+def sample_of(path: str, size: int) -> tuple[str | None, str | None]:
+    """Digest of the first and last 4 KiB of a file, read without the rest; or why there is none."""
     from pyarrow import fs
 
     try:
-        if path.startswith("file:"):
-            store, name = fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+        if path.startswith(("file:", "/")):
+            store, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
         else:
             store, name = fs.FileSystem.from_uri(path)
         with store.open_input_file(name) as f:
             head = f.read(SAMPLE_BYTES)
             f.seek(min(size, max(size - SAMPLE_BYTES, SAMPLE_BYTES)))
-            return hashlib.sha256(head + f.read(SAMPLE_BYTES)).hexdigest()
-    except OSError:
-        return None
+            return hashlib.sha256(head + f.read(SAMPLE_BYTES)).hexdigest(), None
+    except FileNotFoundError:
+        return None, "missing"
+    except (OSError, ValueError, ImportError):
+        return None, "unreadable"
 
 
 PARAM_SCHEMA = "task string, base string, binary string, description string, parameters array<variant>"

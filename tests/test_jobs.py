@@ -2,6 +2,7 @@
 
 import dataclasses
 import datetime
+import hashlib
 import json
 import os
 import sys
@@ -288,3 +289,16 @@ def test_partitions_that_left_the_input_go(spark, tmp_path):
 
 def _same(df):
     return df
+
+
+def test_walk_and_samples_tell_what_cannot_be_read(spark, rows, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "f").write_text("abc")
+    (tmp_path / "t" / "empty").write_text("")
+    roots = spark.createDataFrame([(f"file:{tmp_path}/t",), (f"file://{tmp_path}/t/f",), ("nosuchstore://x/y",), (f"{tmp_path}/gone",)], "root string")
+    got = walk_files(roots, sample=True).withColumn("root", F.substring_index("root", "/", -1))
+    digest = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("", "abc")}
+    assert rows(got, "root", "relpath", "kind", "size", "sample") == sorted(
+        [("t", "empty", "file", 0, digest[""]), ("t", "f", "file", 3, digest["abc"]), ("f", ".", "file", 3, digest["abc"]), ("y", None, "unreadable", None, None), ("gone", None, "missing", None, None)], key=repr
+    )
+    assert R.sample_of(f"{tmp_path}/gone", 3) == (None, "missing") and R.sample_of(f"{tmp_path}/t", 3) == (None, "unreadable")
