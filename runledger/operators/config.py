@@ -52,9 +52,11 @@ def deep_merge(layers: DataFrame, by: Sequence[str] = ("doc",), rank: str = "ran
     replaced_value = top.join(map_above, [*by, "path"]).where(F.col("__m") > F.col("__r")).select(*by, "path")
     hidden = replaced_map.unionByName(replaced_value).distinct()
     left = top.join(hidden, [*by, "path"], "left_anti")
-    # An empty map with something left below it is that map.
-    filled = left.select(*by, F.explode(_prefixes(F.col("path"))).alias("path")).distinct().withColumn("__filled", F.lit(True))
-    shown = left.join(filled, [*by, "path"], "left").where(~((F.col("value") == EMPTY_MAP) & F.col("__filled").isNotNull()).eqNullSafe(True))
+    # An empty map with something left below it is that map. Only documents that hold one are looked at.
+    empty = left.where(F.col("value") == EMPTY_MAP).select(*by, "path")
+    beside = left.join(empty.select(*by).distinct(), by, "left_semi")
+    filled = beside.select(*by, F.explode(_prefixes(F.col("path"))).alias("path")).join(empty, [*by, "path"], "left_semi")
+    shown = left.join(filled, [*by, "path"], "left_anti")
     return shown.select(*by, "path", "value", F.col("__r").alias(rank))
 
 

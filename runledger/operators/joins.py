@@ -53,13 +53,12 @@ def containment_join(left: DataFrame, right: DataFrame, by: Sequence[str] = (),
     rows as structs), and `relation` of the left path to the right one.
     """
     by = list(by)
-    left_rows = left.select(*by, F.struct(*left.columns).alias("l"))
-    right_rows = right.select(*by, F.struct(*right.columns).alias("r"))
-    at_left, at_right = normalize(F.col(f"l.{left_path}")), normalize(F.col(f"r.{right_path}"))
-    up_left = left_rows.select("*", at_left.alias("__lp")).select("*", F.explode(ancestors(F.col("__lp"))).alias("__p"))
-    inside = up_left.join(right_rows.withColumn("__p", at_right), [*by, "__p"])
-    up_right = right_rows.select("*", F.explode(ancestors(at_right, proper=True)).alias("__p"))
-    contains = left_rows.withColumn("__p", at_left).join(up_right, [*by, "__p"])
+    left_rows = left.select(*by, F.struct(*left.columns).alias("l"), normalize(F.col(left_path)).alias("__lp"))
+    right_rows = right.select(*by, F.struct(*right.columns).alias("r"), normalize(F.col(right_path)).alias("__rp"))
+    up_left = left_rows.select("*", F.explode(ancestors(F.col("__lp"))).alias("__p"))
+    inside = up_left.join(right_rows.withColumnRenamed("__rp", "__p"), [*by, "__p"])
+    up_right = right_rows.select("*", F.explode(ancestors(F.col("__rp"), proper=True)).alias("__p"))
+    contains = left_rows.withColumnRenamed("__lp", "__p").join(up_right, [*by, "__p"])
     relation = F.when(F.col("__lp") == F.col("__p"), F.lit("equal")).otherwise(F.lit("inside"))
     return inside.select(*by, "l", "r", relation.alias("relation")).unionByName(contains.select(*by, "l", "r", F.lit("contains").alias("relation")))
 

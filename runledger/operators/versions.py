@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runledger.plans.lineage import cut
 from runledger.plans.scan import SumBefore, ordered_scan
 
 
@@ -71,14 +72,15 @@ def protected_names(chains: DataFrame, consumed: DataFrame) -> DataFrame:
     return held.unionByName(consumed.join(live.select("chain"), "chain", "left_semi").select("name")).where("name is not null").distinct()
 
 
-def evict_plan(chains: DataFrame, generations: DataFrame, consumed: DataFrame, target: int, chain_span: int = 4096, pos_span: int = 65536, name_chars: int = 4) -> DataFrame:
+def evict_plan(chains: DataFrame, generations: DataFrame, consumed: DataFrame, target: int, chain_span: int = 4096, pos_span: int = 65536) -> DataFrame:
     """Snapshots to delete, in order, to free `target` bytes: (rank columns, name, size, freed_before).
 
     First superseded generations of live chains, chain by chain, newest first;
     then those of dead chains, oldest first (`age`, a whole number). The
     running total is over all candidates, so it is scanned in chunks of the
-    order and no task sees more than one. Dead generations of one age, which may
-    be very many, are split further by how their names begin.
+    order and no task sees more than one: spans of chains and positions, and
+    ranges between sampled rows, which split dead generations of one age
+    wherever there are many, whatever their names.
     """
     candidates = generations.where("present").join(chains.select("chain", "alive"), "chain").join(protected_names(chains, consumed), "name", "left_anti")
     dead = ~F.col("alive")
@@ -91,11 +93,13 @@ def evict_plan(chains: DataFrame, generations: DataFrame, consumed: DataFrame, t
     )
     first = ranked.groupBy("name").agg(F.min(F.struct("phase", "major", "minor", "size")).alias("r")).select("name", "r.*")
     order = ["phase", "major", "minor", "name", "size"]
+    # Written, as the scan reads it twice and the ranges must be the same.
+    ranges = cut(first.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     scanned = ordered_scan(
-        first,
+        ranges,
         [],
         order,
-        [F.col("phase"), F.col("major"), F.floor(F.col("minor") / pos_span), F.when(F.col("phase") == 1, F.substring("name", 1, name_chars)).otherwise(F.lit(""))],
+        [F.col("phase"), F.col("major"), F.floor(F.col("minor") / pos_span), F.col("__range")],
         {"freed_before": SumBefore(F.col("size"))},
         coarse=lambda c: [c[0], F.when(c[0] == 1, c[1]).otherwise(F.floor(c[1] / chain_span))],
     )

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What a path has that another spelling of it has not: an empty or dotted segment, a slash at the end.
+FOLDABLE = r"(?s)^$|//|(?:^|/)\.{1,2}(?:/|$)|.+/$"
+
+
 def segments(path: Column) -> Column:
     """Non-empty, non-`.` segments of a path."""
     return F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
@@ -14,8 +18,13 @@ def segments(path: Column) -> Column:
 def normalize(path: Column) -> Column:
     """One spelling per path: no `.`, no doubled or trailing slash, `..` folded.
 
-    Purely textual, so it does not follow links.
+    Purely textual, so it does not follow links. A path that has only one
+    spelling, as nearly all have, is told by a pattern and not taken apart.
     """
+    return F.when(~path.rlike(FOLDABLE), path).otherwise(_folded(path))
+
+
+def _folded(path: Column) -> Column:
     absolute = path.startswith("/")
     start = F.array().cast("array<string>")
 

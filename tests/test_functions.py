@@ -82,3 +82,19 @@ def test_path_helpers(spark):
     assert values(spark, given, paths.literal_prefix) == ["a/b", "/", None, None, "a", "a", "/d"]
     rel = values(spark, ["/w/a", "/w", "/wx", "b"], lambda c: paths.relativize(c, F.lit("/w/")))
     assert rel == ["a", ".", "/wx", "b"]
+
+
+def test_paths_with_one_spelling_are_told(spark):
+    """The pattern and the fold agree on every short path of a few parts."""
+    import itertools
+    import posixpath
+
+    from runledger.plans.paths import FOLDABLE, normalize
+
+    paths = ["".join(p) for n in range(0, 7) for p in itertools.product(["/", ".", "a"], repeat=n)] + ["/..a/.b", "a..b/c.", "/" + "x/" * 30 + "..", "...", "/a\nb/"]
+    want = {p: "/" + posixpath.normpath(p).lstrip("/") if p.startswith("/") else posixpath.normpath(p) for p in paths}
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", normalize(F.col("p")).alias("n"), (~F.col("p").rlike(FOLDABLE)).alias("plain")).collect()
+    for r in rows:
+        assert r.n == want[r.p], r
+        assert not r.plain or r.n == r.p
+    assert sum(r.plain for r in rows) > 50

@@ -183,3 +183,18 @@ def test_single_step_loop_bodies_have_no_inner_name(spark, rows):
 def test_step_names_use_no_row_order(spark):
     df = spark.range(3).select(F.lit(1).alias("recipe"), F.col("id").alias("idx"), (2 - F.col("id")).alias("level"))
     assert [r.idx for r in G.in_topological_order(df).collect()] == [2, 1, 0]
+
+
+def test_eviction_splits_one_age_of_like_names(spark):
+    """Dead generations of one age whose names begin alike are scanned in many ranges, and the totals are those of one."""
+    n = 20_000
+    chains = spark.createDataFrame([(1, False, "h", None)], "chain long, alive boolean, head string, tainted_through string")
+    generations = spark.range(n).select(F.lit(1).cast("bigint").alias("chain"), F.col("id").alias("pos"), F.concat(F.lit("same-prefix-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name"), (F.col("id") % 7 + 1).alias("size"), F.lit(True).alias("present"), F.lit(3).cast("bigint").alias("age"))
+    consumed = spark.createDataFrame([], "chain long, step_path string, field string, name string")
+    plan = V.evict_plan(chains, generations, consumed, 10**9)
+    rows = sorted((r.name, r.freed_before) for r in plan.collect())
+    total = 0
+    for i, (name, before) in enumerate(rows):
+        assert name.endswith(f"{i:06d}") and before == total
+        total += i % 7 + 1
+    assert len(rows) == n
