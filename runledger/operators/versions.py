@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.plans.lineage import cut
-from runledger.plans.scan import SumBefore, ordered_scan
+from runledger.plans.scan import RowNumber, SumBefore, ordered_scan
 
 
 def _positions(generations: DataFrame, name: str, pos: str) -> DataFrame:
@@ -112,27 +112,31 @@ def _produced(entries: DataFrame, generations: DataFrame) -> DataFrame:
     return entries.where("cache_key is not null").select(F.col("step_path").alias("invalidated"), "cache_key").join(keyed, "cache_key")
 
 
-def invalidate_chains(entries: DataFrame, generations: DataFrame, chains: DataFrame) -> DataFrame:
+def invalidate_chains(entries: DataFrame, generations: DataFrame, chains: DataFrame, span: int = 65536) -> DataFrame:
     """How chains roll back when steps are invalidated: (invalidated, chain, n_dropped, new_head).
 
+    A chain whose head goes gets the latest generation that stays, null if none
+    does. Generations are numbered in their chain; those a step drops at the end
+    are an unbroken run down from the last number, so its length tells which
+    stays. Only what is dropped is looked at, however long a chain is.
+
     Args:
         entries: (step_path, cache_key) of the steps to invalidate, each on its own.
+        span: How many positions of a chain a task numbers.
     """
-    made = _produced(entries, generations)
-    touched = made.groupBy("invalidated", "chain").agg(F.count(F.lit(1)).alias("n_dropped"))
-    dropped = made.select("invalidated", "chain", "name", F.lit(True).alias("dropped")).distinct()
-    last = (
-        touched.select("invalidated", "chain")
-        .join(generations.select("chain", "name", "pos"), "chain")
-        .join(dropped, ["invalidated", "chain", "name"], "left")
-        .groupBy("invalidated", "chain")
-        .agg(F.max_by("name", F.when(F.col("dropped").isNull(), F.col("pos"))).alias("previous"))
-    )
+    numbered = cut(ordered_scan(generations.select("chain", "pos", "name"), ["chain"], ["pos"], [F.floor(F.col("pos") / span)], {"number": RowNumber()}))
+    # All places of a name have its key, so what a step made is what it drops.
+    made = cut(_produced(entries, numbered).select("invalidated", "chain", "name", (-F.col("number")).alias("back")))
+    down = ordered_scan(made, ["invalidated", "chain"], ["back", "name"], [F.floor(F.col("back") / span)], {"nth": RowNumber()})
+    lengths = numbered.groupBy("chain").agg(F.max("number").alias("length"))
+    at_the_end = F.col("length") + F.col("back") + 1 == F.col("nth")
+    rolled = down.join(lengths, "chain").groupBy("invalidated", "chain").agg(F.count(F.lit(1)).alias("n_dropped"), (F.first("length") - F.count_if(at_the_end)).alias("number"))
     head = chains.select("chain", F.col("head").alias("name"))
+    gone = made.select("invalidated", "chain", "name").distinct().withColumn("dropped", F.lit(True))
     return (
-        touched.join(last, ["invalidated", "chain"])
+        rolled.join(numbered.select("chain", "number", F.col("name").alias("previous")), ["chain", "number"], "left")
         .join(head, "chain", "left")
-        .join(dropped, ["invalidated", "chain", "name"], "left")
+        .join(gone, ["invalidated", "chain", "name"], "left")
         .select("invalidated", "chain", "n_dropped", F.when(F.col("dropped"), F.col("previous")).otherwise(F.col("name")).alias("new_head"))
     )
 

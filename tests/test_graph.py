@@ -198,3 +198,26 @@ def test_eviction_splits_one_age_of_like_names(spark):
         assert name.endswith(f"{i:06d}") and before == total
         total += i % 7 + 1
     assert len(rows) == n
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_roll_back_as_a_loop_says(spark, rows, seed):
+    rng = random.Random(seed)
+    keys = [f"k{i}" for i in range(5)]
+    chains, generations, want = [], [], []
+    for c in range(12):
+        names = [f"{rng.choice(keys)}__{rng.randint(0, 3)}" if rng.random() < 0.8 else f"plain{rng.randint(0, 3)}" for _ in range(rng.randint(1, 12))]
+        places = sorted(rng.sample(range(100), len(names)))
+        generations += [(c, p, n) for p, n in zip(places, names)]
+        head = rng.choice([names[-1], names[0], None])
+        if rng.random() < 0.9:
+            chains.append((c, head))
+        for k in keys:
+            mine = [n for n in names if n.startswith(f"{k}__")]
+            stay = [n for n in names if not n.startswith(f"{k}__")]
+            if mine:
+                known = head if any(x[0] == c for x in chains) else None
+                want.append((f"s{k}", c, len(mine), (stay[-1] if stay else None) if known in mine else known))
+    entries = spark.createDataFrame([(f"s{k}", k) for k in keys] + [("none", None)], "step_path string, cache_key string")
+    got = V.invalidate_chains(entries, spark.createDataFrame(generations, "chain int, pos int, name string"), spark.createDataFrame(chains, "chain int, head string"), span=3)
+    assert rows(got, "invalidated", "chain", "n_dropped", "new_head") == sorted(want, key=repr)
