@@ -89,6 +89,34 @@ def _(t):
     return C.resolve_includes(t.sql(INCLUDES))
 
 
+@query(
+    "includes_by_path",
+    "CFG2 SRC8",
+    """
+    with p as (select p_partkey as k, concat('/lib/g', p_size % 3, '/', p_partkey, '.yml') as doc, p_name as value, k2 from (select *, p_partkey + 1 as k2 from part)),
+    n as (select p.k, p.doc, p.value, q.value as next from p left join p q on q.k = p.k2)
+    select doc, 'own' as path, value, null as reason from n
+    union all select doc, 'next.own', next, null from n where k % 4 = 1 and next is not null
+    union all select doc, 'next.own', next, null from n where k % 4 = 2 and next is not null
+    union all select doc, 'next', case k % 4 when 3 then concat('../../out/', k, '.yml') else concat('(nolib)', k, '.yml') end, case k % 4 when 3 then 'outside the package root' else 'no such package' end from n where k % 4 in (0, 3)""",
+)
+def _(t):
+    """Documents that include others by relative paths and by packages, and ones that must not."""
+    later = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), (F.col("p_size") % 3).cast("string").alias("g"))
+    key, text = F.col("p_partkey"), lambda c: c.cast("string")
+    file = F.concat(text(key + 1), F.lit(".yml"))
+    entry = (
+        F.when(key % 4 == 1, F.concat(F.lit("../g"), "g", F.lit("/"), file)).when(key % 4 == 2, F.concat(F.lit("(lib.g"), "g", F.lit(")"), file))
+        .when(key % 4 == 3, F.concat(F.lit("../../out/"), text(key), F.lit(".yml"))).otherwise(F.concat(F.lit("(nolib)"), text(key), F.lit(".yml")))
+    )
+    rows = t.part.join(later, "p_partkey", "left").select(F.concat(F.lit("/lib/g"), text(F.col("p_size") % 3), F.lit("/"), text(key), F.lit(".yml")).alias("doc"), "p_name", entry.alias("entry"))
+    own = rows.select("doc", F.lit("own").alias("path"), F.col("p_name").alias("value"))
+    named, problems = C.named_includes(own.unionByName(rows.where("entry is not null").select("doc", F.lit("next._include").alias("path"), F.col("entry").alias("value"))), t.spark.createDataFrame([("lib", "/lib")], "package string, root string"))
+    # What is included brings its own includes along; here only the first step is compared.
+    merged = C.resolve_includes(named).where(F.col("path").isin("own", "next.own")).withColumn("reason", F.lit(None).cast("string"))
+    return merged.unionByName(problems.select("doc", F.col("at").alias("path"), F.col("entry").alias("value"), "reason"))
+
+
 @query(
     "unknown_uses",
     "CFG3",

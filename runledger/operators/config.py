@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.plans.lineage import cut
-from runledger.plans.paths import normalize, within
+from runledger.plans.paths import ancestors, normalize, parent, within
 
 # Fixed value: the key of a directive that names what its node inherits.
 USE = "_use"
@@ -151,6 +151,54 @@ def resolve_includes(leaves: DataFrame, doc: str = "doc") -> DataFrame:
     return deep_merge(ranked, ["doc"]).drop("rank").withColumnRenamed("doc", doc)
 
 
+def named_includes(leaves: DataFrame, packages: DataFrame | None = None, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """Includes as users write them, by the documents they mean: (leaves for `resolve_includes`, problems).
+
+    Documents are named by their paths. An entry is a path relative to the
+    including document's folder, or `(package.sub)file`, which lies in folder
+    `sub` of the package with the longest name that the dotted one begins with.
+    What a package holds may include nothing outside its root. Problems are
+    (doc, at, entry, reason); such entries include nothing.
+
+    Args:
+        leaves: (doc, path, value).
+        packages: (package, root), the folders of packages; none by default.
+    """
+    rows = cut(leaves.select(normalize(F.col(doc)).alias("doc"), "path", "value"))
+    if packages is None:
+        packages = rows.sparkSession.createDataFrame([], "package string, root string")
+    roots = packages.select("package", normalize(F.col("root")).alias("root"))
+    entries = _directives(rows, ["doc"], INCLUDE).withColumnRenamed("target", "entry").where("entry <> ''")
+    package = F.nullif(F.regexp_extract("entry", r"^\(([\w.]+)\)", 1), F.lit(""))
+    file = F.regexp_replace("entry", r"^\([\w.]+\)", "")
+    told = entries.select("*", package.alias("dotted"), file.alias("file"))
+    # The package by its longest name, and the one whose folder the document lies in: both by equality on what leads there.
+    names = told.where("dotted is not null").select("dotted").distinct().select("dotted", F.explode(F.concat(_prefixes(F.col("dotted")), F.array("dotted"))).alias("package"))
+    folders = names.join(roots, "package").groupBy("dotted").agg(F.max_by(F.struct("package", "root"), F.length("package")).alias("p"))
+    rest = F.translate(F.substr("dotted", F.length("p.package") + 1), ".", "/")
+    folders = folders.select("dotted", F.concat("p.root", rest).alias("folder"))
+    holders = told.select("doc").distinct().select("doc", F.explode(ancestors(F.col("doc"))).alias("root")).join(roots.select("root").distinct(), "root")
+    holders = holders.groupBy("doc").agg(F.max_by("root", F.length("root")).alias("held_by"))
+    placed = told.join(folders, "dotted", "left").join(holders, "doc", "left")
+    base = F.when(F.col("dotted").isNotNull(), F.col("folder")).otherwise(parent(F.col("doc")))
+    target = normalize(F.when(F.col("dotted").isNull() & F.col("file").startswith("/"), F.col("file")).otherwise(F.concat(base, F.lit("/"), F.col("file"))))
+    bound = F.coalesce("folder", "held_by")
+    known = rows.select(F.col("doc").alias("target")).distinct().withColumn("there", F.lit(True))
+    meant = cut(placed.select("doc", "at", "pos", "entry", "dotted", "folder", "file", bound.alias("bound"), target.alias("target")).join(known, "target", "left"))
+    reason = (
+        F.when(F.col("file") == "", F.lit("no file name"))
+        .when(F.col("dotted").isNotNull() & F.col("folder").isNull(), F.lit("no such package"))
+        .when(F.col("bound").isNotNull() & ~within(F.col("target"), F.col("bound")), F.lit("outside the package root"))
+        .when(F.col("there").isNull(), F.lit("no such document"))
+    )
+    judged = meant.withColumn("reason", reason)
+    at = F.when(F.col("at") == "", F.lit(INCLUDE)).otherwise(F.concat("at", F.lit(f".{INCLUDE}")))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "target"))), lambda e: e["target"])
+    named = judged.where("reason is null").groupBy("doc", at.alias("path")).agg(F.array_join(in_order, ",").alias("value"))
+    others = rows.where((F.col("path") != INCLUDE) & ~F.col("path").endswith(f".{INCLUDE}"))
+    return others.unionByName(named).withColumnRenamed("doc", doc), judged.where("reason is not null").select(F.col("doc").alias(doc), "at", "entry", "reason")
+
+
 def merge_meta(inputs: DataFrame, outputs: DataFrame, keys: Sequence[str], defaults: Mapping[str, object]) -> DataFrame:
     """One row per field declared on either side: the output's attributes where they say something.
 

@@ -299,7 +299,7 @@ def parse_yaml(docs: DataFrame, doc: str = "file", text: str = "text") -> DataFr
     """YAML documents in long form (doc, path, value), one row per leaf.
 
     Lists are leaves, as JSON; those under a directive (`_use`, `_include`) are
-    joined by commas. An empty map is the leaf `{}`. Dates and times are ISO
+    joined by commas, files of a package each with its name. An empty map is the leaf `{}`. Dates and times are ISO
     text, binary values base64. A document that cannot be read, whatever the
     reason, gives no rows; see `rejected_yaml`.
     """
@@ -328,7 +328,9 @@ def _yaml(text: str | None) -> tuple[list[tuple[str, str | None]], str | None]:
 
 
 def _leaves(node: object, path: str) -> Iterator[tuple[str, str | None]]:
-    if isinstance(node, dict) and node:
+    if path.rsplit(".", 1)[-1] == "_include" and isinstance(node, dict | list):
+        yield path, ",".join(_entries(node))
+    elif isinstance(node, dict) and node:
         for key, value in node.items():
             yield from _leaves(value, f"{path}.{_key(key)}" if path else _key(key))
     elif isinstance(node, list) and path.rsplit(".", 1)[-1] in ("_use", "_include"):
@@ -337,6 +339,16 @@ def _leaves(node: object, path: str) -> Iterator[tuple[str, str | None]]:
         yield path, _as_text(_plain(node))
 
 
+def _entries(node: object) -> Iterator[str]:
+    """The entries of an include; `{(package): [file, ...]}` is `(package)file` for each."""
+    for entry in node if isinstance(node, list) else [node]:
+        if isinstance(entry, dict):
+            for package, files in entry.items():
+                yield from (f"{package}{file}" for file in (files if isinstance(files, list) else [files]))
+        else:
+            yield str(entry)
+
+
 def _key(key: object) -> str:
     return key if isinstance(key, str) else str(_plain(key))
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from runledger.operators import config as C
 from runledger.operators import declared as D
 from runledger.sources import readers as R
 
@@ -82,3 +83,47 @@ def test_no_fields(spark):
 def test_parameters_keep_their_file(spark):
     docs = spark.createDataFrame([("f.json", '{"task": "t", "parameters": [{"name": "a"}]}')], "file string, text string")
     assert [(r.file, r.task, r.name) for r in R.parse_param_docs(docs).collect()] == [("f.json", "t", "a")]
+
+
+INCLUDING = {
+    "/w/main.yml": "_include: [sub/base.yml, '(cult)gen/shared.yml']\na: {own: 1}",
+    "/w/sub/base.yml": "_include: ../more.yml\na: {base: 2, own: 2}",
+    "/w/more.yml": "a: {more: 3, base: 3}",
+    "/pkg/cult/gen/shared.yml": "s: {_include: deep/x.yaml}",
+    "/pkg/cult/gen/deep/x.yaml": "dtype: MS",
+    "/w/combined.yml": "in: {_include: (cult.gen.deep)x.yaml}",
+    "/w/listed.yml": "_include:\n  - (cult):\n      - gen/shared.yml\n      - gen/deep/x.yaml",
+    "/w/longest.yml": "_include: (cult.gen.own)y.yaml",
+    "/own/y.yaml": "y: 1",
+    "/w/out1.yml": "_include: (cult)../../outside.yaml\nkept: 1",
+    "/pkg/cult/out2.yml": "_include: ../../outside.yaml\nkept: 1",
+    "/outside.yaml": "stolen: 1",
+    "/w/none.yml": "_include: [(nopkg)a.yml, (cult), gone.yml]\nkept: 1",
+}
+
+
+def test_includes_by_path_and_package(spark):
+    docs = spark.createDataFrame(list(INCLUDING.items()), "file string, text string")
+    packages = spark.createDataFrame([("cult", "/pkg/cult/"), ("cult.gen.own", "/own")], "package string, root string")
+    named, problems = C.named_includes(R.parse_yaml(docs), packages)
+    merged = {}
+    for r in C.resolve_includes(named).collect():
+        merged.setdefault(r.doc, {})[r.path] = r.value
+    assert merged["/w/main.yml"] == {"a.own": "1", "a.base": "2", "a.more": "3", "s.dtype": "MS"}
+    assert merged["/w/combined.yml"] == {"in.dtype": "MS"} and merged["/w/listed.yml"] == {"s.dtype": "MS", "dtype": "MS"}
+    assert merged["/w/longest.yml"] == {"y": "1"}
+    assert merged["/w/out1.yml"] == merged["/pkg/cult/out2.yml"] == merged["/w/none.yml"] == {"kept": "1"}
+    assert sorted((r.doc, r.entry, r.reason) for r in problems.collect()) == [
+        ("/pkg/cult/out2.yml", "../../outside.yaml", "outside the package root"),
+        ("/w/none.yml", "(cult)", "no file name"),
+        ("/w/none.yml", "(nopkg)a.yml", "no such package"),
+        ("/w/none.yml", "gone.yml", "no such document"),
+        ("/w/out1.yml", "(cult)../../outside.yaml", "outside the package root"),
+    ]
+
+
+def test_includes_without_packages(spark):
+    docs = spark.createDataFrame([("a/m.yml", "_include: ./n.yml"), ("a/n.yml", "x: 1"), ("a/p.yml", "_include: (p)n.yml")], "file string, text string")
+    named, problems = C.named_includes(R.parse_yaml(docs))
+    assert sorted(map(tuple, C.resolve_includes(named).collect())) == [("a/m.yml", "x", "1"), ("a/n.yml", "x", "1")]
+    assert [tuple(r) for r in problems.collect()] == [("a/p.yml", "", "(p)n.yml", "no such package")]
