@@ -1,6 +1,7 @@
 """Stream queries over tables that are folders of part files, in several batches."""
 
 import json
+import os
 import random
 
 import duckdb
@@ -45,6 +46,7 @@ def test_state_ends_and_late_rows_are_counted(spark, tmp_path):
         if day == 10:
             rows += [{"step": "late", "event": "started", "ts": "2024-01-01T00:00:00Z", "n": 1}]
         (source / f"{day:02d}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(source / f"{day:02d}.json", (day, day))  # the order files are read in
     events = spark.readStream.schema("step string, event string, ts timestamp, n long").option("maxFilesPerTrigger", 1).json(str(source))
     live = V.status_stream(events, order=["ts", "n"], watermark=("ts", "1 hour"), span="1 day")
     stream = V.write_updates(live, out, str(tmp_path / "cp"), available_now=True)
