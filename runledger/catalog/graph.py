@@ -9,7 +9,8 @@ from runledger.catalog.ledger import GROUP_SHA, enc
 from runledger.operators import graph as G
 from runledger.operators import loops as L
 
-DEPTH = 24  # levels the SQL statements are unrolled to; orders have fewer lines
+# Levels the SQL statement of `step_keys` is unrolled to; it raises where there are more.
+DEPTH = 24
 
 
 @query(
@@ -118,7 +119,8 @@ def _key_levels() -> str:
             from steps s join pd on pd.recipe = s.recipe and pd.idx = s.idx),
     k0 as (select o.recipe, o.idx, case when own is not null then sha256({enc("own", "null")}) end as key from own o join lv on lv.recipe = o.recipe and lv.idx = o.idx and lv.level = 0),
     {_key_levels()}
-    {" union all ".join(f"select * from k{j}" for j in range(DEPTH))}""",
+    {" union all ".join(f"select * from k{j}" for j in range(DEPTH))}
+    union all select recipe, idx, error('deeper than the statement') from lv where level >= {DEPTH}""",
 )
 def _(t):
     scope = F.col("scope")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,43 +78,79 @@ def _directives(leaves: DataFrame, by: list[str], key: str = USE) -> DataFrame:
     return rows.select(*by, *carried, at.alias("at"), F.posexplode(F.split("value", r"\s*,\s*")).alias("pos", "target"))
 
 
+# What a node says itself wins over all it inherits.
+OWN = (1 << 20, 0)
+
+
+def _pulled(pending: DataFrame, under: DataFrame, place: list[str], named: list[str]) -> DataFrame:
+    """Leaves that directives bring to their nodes, as (place, path, value, trail).
+
+    `trail` says how a leaf came: the depth and list position of each directive
+    on the way, depths counted from the node the table is relative to.
+    """
+    depth = F.when(F.col("at") == "", F.lit(0)).otherwise(F.size(F.split("at", r"\.")))
+    way = under.select(*named, F.col("rest").alias("__rest"), F.col("value").alias("__value"), F.col("trail").alias("__trail"))
+    path = F.when(F.col("at") == "", F.col("__rest")).when(F.col("__rest") == "", F.col("at")).otherwise(F.concat("at", F.lit("."), "__rest"))
+    here = F.array(F.struct(depth.alias("depth"), F.col("pos").alias("pos")))
+    further = F.transform("__trail", lambda hop: F.struct((hop["depth"] + depth).alias("depth"), hop["pos"].alias("pos")))
+    joined = pending.join(way, named)
+    return joined.select(*place, path.alias("path"), F.col("__value").alias("value"), F.concat("trail", here, further).alias("trail"))
+
+
+def _followed(source: DataFrame, under: DataFrame, by: list[str], shared: list[str], key: str, longest: int) -> DataFrame:
+    """Documents with their directives followed to the end: (by, path, value).
+
+    Every round replaces the directives still open in what a name stands for by
+    what their own names stand for so far, so a chain of n takes log2(n) rounds.
+
+    Args:
+        source: (by, path, value). under: (shared, target, rest, value), what a name stands for.
+        shared: Columns within which names are unique.
+        longest: Steps of the longest chain there can be without a ring.
+    """
+    is_open = lambda column: (F.col(column) == key) | F.col(column).endswith(f".{key}")
+    none = F.array().cast("array<struct<depth:int,pos:int>>")
+    place, named = [*shared, "__of"], [*shared, "target"]
+    under = cut(under.withColumn("trail", none))
+    for _ in range(longest.bit_length() + 1):
+        opened = under.where(is_open("rest"))
+        if opened.isEmpty():
+            break
+        pending = _directives(opened.select(*shared, F.col("target").alias("__of"), F.col("rest").alias("path"), "value", "trail"), place, key)
+        more = _pulled(pending, under, place, named).withColumnsRenamed({"__of": "target", "path": "rest"})
+        under = cut(under.where(~is_open("rest")).unionByName(more))
+    else:
+        raise ValueError(f"`{key}` directives name each other in a ring")
+    own = source.withColumn("trail", none)
+    brought = _pulled(_directives(own, by, key), under, by, named)
+    last = F.struct(F.lit(OWN[0]).alias("depth"), F.lit(OWN[1]).alias("pos"))
+    every = own.where(~is_open("path")).unionByName(brought)
+    ranked = cut(every.withColumn("rank", F.concat("trail", F.array(last))).drop("trail"))
+    return deep_merge(ranked, by).drop("rank")
+
+
 def resolve_uses(leaves: DataFrame, by: Sequence[str] = ("doc",)) -> DataFrame:
     """Documents with every `_use: dotted.path` replaced by what it names: (by, path, value).
 
     A node's own keys win over what it inherits, what a later directive of a
     list names wins over an earlier one, and a directive deeper in the tree
-    wins over one above it. Inherited directives are followed in turn, one
-    round per step of the chain, however long; a chain of more steps than its
-    document has directives goes round in a ring, which is an error.
+    wins over one above it. Inherited directives are followed in turn, a chain
+    of n in log2(n) rounds; a chain of more steps than its document has
+    directives goes round in a ring, which is an error.
 
     Args:
         leaves: (by, path, value).
     """
     by = list(by)
-    own = F.struct(F.lit(1 << 20).alias("depth"), F.lit(0).alias("pos"))
     source = cut(leaves.select(*by, "path", "value"))
     # Every node a directive may name, with the leaves under it (and itself).
     nodes = F.explode(F.concat(_prefixes(F.col("path")), F.array("path"))).alias("target")
-    named = _directives(source, by).select(*by, "target").distinct()
-    under = cut(source.select(*by, nodes, F.col("path").alias("leaf"), "value").join(named, [*by, "target"], "left_semi"))
-    rounds = [source.withColumn("trail", F.array().cast("array<struct<depth:int,pos:int>>"))]
-    longest = _directives(source, by).groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    for _ in range(longest + 1):
-        pending = _directives(rounds[-1], by)
-        depth = F.when(F.col("at") == "", F.lit(0)).otherwise(F.size(F.split("at", r"\.")))
-        hop = F.array(F.struct(depth.alias("depth"), F.col("pos").alias("pos")))
-        pulled = pending.join(under, [*by, "target"])
-        rest = F.substr(F.col("leaf"), F.length("target") + 2)
-        path = F.when(F.col("at") == "", rest).when(rest == "", F.col("at")).otherwise(F.concat("at", F.lit("."), rest))
-        fresh = cut(pulled.select(*by, path.alias("path"), "value", F.concat("trail", hop).alias("trail")))
-        if fresh.isEmpty():
-            break
-        rounds.append(fresh)
-    else:
-        raise ValueError(f"`{USE}` directives name each other in a ring")
-    every = reduce(DataFrame.unionByName, rounds).where((F.col("path") != USE) & ~F.col("path").endswith(f".{USE}"))
-    ranked = cut(every.withColumn("rank", F.concat("trail", F.array(own))).drop("trail"))
-    return deep_merge(ranked, by).drop("rank")
+    directives = _directives(source, by)
+    named = directives.select(*by, "target").distinct()
+    rest = F.substr(F.col("path"), F.length("target") + 2).alias("rest")
+    under = source.select(*by, nodes, "path", "value").join(named, [*by, "target"], "left_semi").select(*by, "target", rest, "value")
+    longest = directives.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    return _followed(source, under, by, by, USE, longest)
 
 
 def resolve_includes(leaves: DataFrame, doc: str = "doc") -> DataFrame:
@@ -124,31 +159,17 @@ def resolve_includes(leaves: DataFrame, doc: str = "doc") -> DataFrame:
     The content lies at the node that includes it, under the node's own keys; of
     a list of names a later one wins over an earlier one, and what is included
     deeper in the tree over what is above it. Included documents include in
-    turn; a chain of more steps than documents include is a ring, an error. A
-    name without a document includes nothing.
+    turn, a chain of n in log2(n) rounds; one of more steps than documents
+    include is a ring, an error. A name without a document includes nothing.
 
     Args:
         leaves: (doc, path, value).
     """
     source = cut(leaves.select(F.col(doc).alias("doc"), "path", "value"))
-    content = source.select(F.col("doc").alias("target"), F.col("path").alias("leaf"), "value")
-    own = F.struct(F.lit(1 << 20).alias("depth"), F.lit(0).alias("pos"))
-    longest = _directives(source, ["doc"], INCLUDE).select("doc").distinct().count()
-    rounds = [source.withColumn("trail", F.array().cast("array<struct<depth:int,pos:int>>"))]
-    for _ in range(longest + 1):
-        pending = _directives(rounds[-1], ["doc"], INCLUDE)
-        depth = F.when(F.col("at") == "", F.lit(0)).otherwise(F.size(F.split("at", r"\.")))
-        hop = F.array(F.struct(depth.alias("depth"), F.col("pos").alias("pos")))
-        path = F.when(F.col("at") == "", F.col("leaf")).otherwise(F.concat("at", F.lit("."), "leaf"))
-        fresh = cut(pending.join(content, "target").select("doc", path.alias("path"), "value", F.concat("trail", hop).alias("trail")))
-        if fresh.isEmpty():
-            break
-        rounds.append(fresh)
-    else:
-        raise ValueError(f"`{INCLUDE}` directives name each other in a ring")
-    every = reduce(DataFrame.unionByName, rounds).where((F.col("path") != INCLUDE) & ~F.col("path").endswith(f".{INCLUDE}"))
-    ranked = cut(every.withColumn("rank", F.concat("trail", F.array(own))).drop("trail"))
-    return deep_merge(ranked, ["doc"]).drop("rank").withColumnRenamed("doc", doc)
+    directives = _directives(source, ["doc"], INCLUDE)
+    content = source.select(F.col("doc").alias("target"), F.col("path").alias("rest"), "value").join(directives.select("target").distinct(), "target", "left_semi")
+    longest = directives.select("doc").distinct().count()
+    return _followed(source, content, ["doc"], [], INCLUDE, longest).withColumnRenamed("doc", doc)
 
 
 def named_includes(leaves: DataFrame, packages: DataFrame | None = None, doc: str = "doc") -> tuple[DataFrame, DataFrame]:

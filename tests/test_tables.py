@@ -1,5 +1,7 @@
 """Schema, extraction, scatter and configuration rules on hand-made frames."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from runledger.operators import extract as X
 from runledger.operators import files as P
 from runledger.operators import scatter as G
 from runledger.operators import schema as S
+from runledger.plans.lineage import cut
 
 
 def test_declared_types():
@@ -174,6 +177,62 @@ def test_a_chain_of_forty_uses_is_followed(spark, rows):
     assert rows(got, "path", "value") == sorted((f"n{i}.x", "base") for i in range(41))
 
 
+def test_a_chain_of_a_thousand_uses_takes_ten_rounds(spark, rows, monkeypatch):
+    written = []
+    monkeypatch.setattr(C, "cut", lambda df: written.append(1) or cut(df))
+    data = [("d", "n0.x", "base"), *[("d", f"n{i}._use", f"n{i - 1}") for i in range(1, 1001)], ("d", "n500.y", "mid"), ("d", "n900.y", "top")]
+    got = C.resolve_uses(spark.createDataFrame(data, "doc string, path string, value string"))
+    assert len(written) <= 14
+    expected = [(f"n{i}.x", "base") for i in range(1001)] + [(f"n{i}.y", "mid" if i < 900 else "top") for i in range(500, 1001)]
+    assert rows(got, "path", "value") == sorted(expected)
+
+
+def plain_uses(doc):
+    """The rule as it reads, for leaves of one document: what a node says, then what it names, deepest first."""
+
+    def leaves_of(target, depth):
+        inside = {p[len(target) + 1 :]: v for p, v in doc.items() if p == target or p.startswith(target + ".")}
+        return resolve(inside, depth)
+
+    def resolve(leaves, depth):
+        ranked = [(p, v, ((1 << 20, 0),)) for p, v in leaves.items() if not (p == "_use" or p.endswith("._use"))]
+        for p, v in leaves.items():
+            if p == "_use" or p.endswith("._use"):
+                at = p[: -len("._use")] if p != "_use" else ""
+                below = len(at.split(".")) if at else 0
+                for pos, target in enumerate(v.split(",")):
+                    for q, w, trail in leaves_of(target, depth + below):
+                        path = q if not at else at if not q else f"{at}.{q}"
+                        ranked.append((path, w, ((depth + below, pos), *trail)))
+        return ranked
+
+    best = {}
+    for path, value, trail in resolve(doc, 0):
+        if path not in best or trail > best[path][0]:
+            best[path] = (trail, value)
+    return {p: v for p, (_, v) in best.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_uses_match_the_plain_rule(spark, seed):
+    """Random documents: nodes name earlier ones, at their root or below, singly or in lists."""
+    rng = random.Random(seed)
+    docs = {}
+    for d in range(12):
+        leaves = {}
+        for i in range(9):
+            for name in rng.sample(["a", "b.x", "b.y", "c.d.z"], rng.randint(1, 3)):
+                leaves[f"n{i}.{name}"] = f"{i}{name}"
+            if i and rng.random() < 0.8:
+                at = rng.choice([f"n{i}", f"n{i}.b", f"n{i}.c.d"])
+                leaves[f"{at}._use"] = ",".join(f"n{j}" for j in rng.sample(range(i), rng.randint(1, min(2, i))))
+        docs[f"d{d}"] = leaves
+    data = [(d, p, v) for d, leaves in docs.items() for p, v in leaves.items()]
+    got = C.resolve_uses(spark.createDataFrame(data, "doc string, path string, value string")).collect()
+    for d, leaves in docs.items():
+        assert {r["path"]: r["value"] for r in got if r["doc"] == d} == plain_uses(leaves)
+
+
 def test_an_empty_map_hides_values_but_not_the_map_below(spark, rows):
     data = [("d", "a.b", "1", 0), ("d", "a", "{}", 1), ("e", "a", "1", 0), ("e", "a", "{}", 1), ("f", "a", "{}", 0), ("f", "a.b", "2", 1), ("g", "a.b", "1", 0), ("g", "a", "5", 1), ("h", "a", "1", 0), ("h", "a", "{}", 1), ("h", "a.c", "2", 2)]
     got = C.deep_merge(spark.createDataFrame(data, "doc string, path string, value string, rank int"))
