@@ -8,10 +8,11 @@ through an inverted index from token to rule.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.plans.lineage import cut
@@ -22,6 +23,8 @@ ALLOW, BLOCK = "allow", "block"
 MIN_SUPPORT = 0.02
 #: ... and this share of the labelled urls with its tokens has its verdict.
 MIN_CONFIDENCE = 0.8
+#: What stands between an item and the kind of basket it is in.
+MARK, DOMAIN = "\x1e", "domain"
 
 
 def host_of(url: Column) -> Column:
@@ -65,14 +68,24 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     """(rule_id, tokens, verdict, hits, total) mined from (tokens, verdict).
 
     A rule that no more than repeats a part of itself (fewer tokens, at least
-    the confidence) is pruned. Empty input gives no rules.
+    the confidence) is pruned. Such are all rules with a token that another of
+    theirs implies, so those are not mined in the first place: tokens that
+    always come together are one item, and a domain meets neither the domains
+    it is in nor its own labels. Empty input gives no rules.
     """
     spark = labelled.sparkSession
-    label = F.concat(F.lit("verdict:"), F.col("verdict"))
-    baskets = labelled.select(F.array_append("tokens", label).alias("items"))
+    rows = labelled.select("tokens", F.concat(F.lit("verdict:"), F.col("verdict")).alias("label"), F.sha2(F.to_json(F.array_sort("tokens")), 256).alias("basket"))
+    least = math.ceil(min_support * rows.count())
+    members = cut(_together(rows, least))
+    baskets = cut(_baskets(rows, members))
+    # The support is one of urls, of which each is in several baskets.
+    share = max(0.0, (least - 0.5) / max(1, baskets.count()))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=partitions).fit(baskets)
-    sets = cut(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq")))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence, numPartitions=partitions).fit(baskets)
+    # Items of a basket for a domain are marked with its length; without the domain they say nothing new.
+    found = model.freqItemsets.select("freq", F.transform("items", lambda x: F.substring_index(x, MARK, 1)).alias("level"), F.transform("items", lambda x: F.substr(x, F.instr(x, MARK) + 1)).alias("items"), F.exists("items", lambda x: x.startswith(DOMAIN + MARK)).alias("of_domain"))
+    found = found.where("of_domain or forall(level, x -> x = '0' or x = 'verdict')")
+    sets = cut(found.select(F.array_sort("items").alias("items"), "freq").dropDuplicates(["items"]))
     is_label = lambda x: x.startswith("verdict:")
     heads = sets.where(F.exists("items", is_label) & (F.size("items") > 1)).select(
         F.filter("items", lambda x: ~x.startswith("verdict:")).alias("tokens"), F.substring_index(F.filter("items", is_label)[0], ":", -1).alias("verdict"), F.col("freq").alias("hits")
@@ -83,7 +96,54 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     parts = rules.select("*", F.explode(F.col("tokens")).alias("left_out")).select(F.array_remove("tokens", F.col("left_out")).alias("part"), "tokens", "verdict", "hits", "total")
     shorter = rules.select(F.col("tokens").alias("part"), "verdict", F.col("hits").alias("p_hits"), F.col("total").alias("p_total"))
     redundant = parts.join(shorter, ["part", "verdict"]).where(F.col("p_hits") * F.col("total") >= F.col("hits") * F.col("p_total")).select("tokens", "verdict").distinct()
-    return cut(rules.join(redundant, ["tokens", "verdict"], "left_anti").select(F.sha2(F.concat_ws("\x1f", "verdict", "tokens"), 256).alias("rule_id"), "tokens", "verdict", "hits", "total"))
+    kept = rules.join(redundant, ["tokens", "verdict"], "left_anti")
+    return cut(_spelled_out(kept, members).select(F.sha2(F.concat_ws("\x1f", "verdict", "tokens"), 256).alias("rule_id"), "tokens", "verdict", "hits", "total"))
+
+
+def _together(rows: DataFrame, least: int) -> DataFrame:
+    """(token, item) of the tokens of at least `least` urls; tokens of just the same urls have one item."""
+    sums = [F.sum(F.xxhash64("basket", F.lit(seed)).cast("decimal(20,0)")).alias(f"s{seed}") for seed in (1, 2)]
+    seen = rows.select("basket", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), *sums).where(F.col("n") >= least)
+    same = Window.partitionBy("n", "s1", "s2")
+    return seen.select("token", F.min("token").over(same).alias("item"))
+
+
+def _baskets(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(items) to mine: for each url one of all items but domains, and one for each of its domains.
+
+    A domain's basket holds it and what it does not imply. Distinct sets of
+    tokens are looked up once.
+    """
+    distinct = rows.groupBy("basket").agg(F.first("tokens").alias("tokens"))
+    token = distinct.select("basket", F.explode("tokens").alias("token")).join(members, "token")
+    known = token.groupBy("basket").agg(F.collect_list(F.struct("token", "item")).alias("known"))
+    plain = F.filter("known", lambda x: ~x["token"].startswith("domain:"))
+    domains = F.filter("known", lambda x: x["token"].startswith("domain:"))
+
+    def of_domain(d: Column) -> Column:
+        labels = F.split(F.substr(d["token"], F.lit(8)), r"\.")
+        implied = F.transform(labels, lambda x: F.concat(F.lit("label:"), x))
+        others = F.transform(F.filter(plain, lambda x: ~F.array_contains(implied, x["token"]) & (x["item"] != d["item"])), lambda x: F.concat(F.size(labels).cast("string"), F.lit(MARK), x["item"]))
+        return F.array_append(others, F.concat(F.lit(DOMAIN + MARK), d["item"]))
+
+    without = F.transform(plain, lambda x: F.concat(F.lit("0" + MARK), x["item"]))
+    # A domain that always comes with a label is mined as that label, one that always comes with a longer one as that.
+    named = F.transform(plain, lambda x: x["item"])
+    longer = lambda d: F.exists(domains, lambda e: (e["item"] == d["item"]) & (F.length(e["token"]) > F.length(d["token"])))
+    alone = F.filter(domains, lambda d: ~F.array_contains(named, d["item"]) & ~longer(d))
+    every = F.concat(F.array(without), F.transform(alone, of_domain))
+    sets = known.select("basket", F.transform(every, lambda x: F.array_distinct(x)).alias("sets"))
+    return rows.join(sets, "basket").select("label", F.explode("sets").alias("items")).select(F.array_append("items", F.concat(F.lit("verdict" + MARK), F.col("label"))).alias("items"))
+
+
+def _spelled_out(rules: DataFrame, members: DataFrame) -> DataFrame:
+    """Rules of items as rules of tokens: one for each way to choose a token of each item."""
+    names = members.groupBy("item").agg(F.array_sort(F.collect_list("token")).alias("names"))
+    item = rules.select("*", F.col("tokens").alias("rule"), F.explode("tokens").alias("item")).join(names, "item")
+    choices = item.groupBy("rule", "verdict", "hits", "total").agg(F.collect_list("names").alias("choices"))
+    none = F.array(F.array().cast("array<string>"))
+    ways = F.aggregate("choices", none, lambda done, names: F.flatten(F.transform(done, lambda d: F.transform(names, lambda n: F.array_append(d, n)))))
+    return choices.select(F.explode(ways).alias("way"), "verdict", "hits", "total").select(F.array_sort("way").alias("tokens"), "verdict", "hits", "total")
 
 
 def apply_rules(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:

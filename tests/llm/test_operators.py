@@ -19,6 +19,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(
 
 import compare
 
+from runledger.plans import lineage
 from runledger.llm import catalog, components, decontaminate, exact_dedup, html_text, labelled, mixing, near_dedup, quality, sharding, tokens, toxicity, url_filter
 
 FOLDER = "/root/testdata/sf0.001"
@@ -144,6 +145,56 @@ def test_mined_verdicts_equal_brute_force(spark, given):
         assert r.page_id == page and r.verdict == (listed or (best[2] if best else "allow"))
 
 
+def plain_rules(rows, support, confidence):
+    """(tokens, verdict) -> (hits, total) of all rules that are not pruned, by counting every subset."""
+    sets = collections.Counter()
+    for items, verdict in rows:
+        for mask in range(1, 1 << len(items)):
+            part = frozenset(x for i, x in enumerate(items) if mask >> i & 1)
+            sets[part] += 1
+            sets[part, verdict] += 1
+    least = math.ceil(support * len(rows))
+    rules = {k: (n, sets[k[0]]) for k, n in sets.items() if isinstance(k, tuple) and n >= least and n >= confidence * sets[k[0]]}
+    worse = lambda part, verdict, hits, total: (s := rules.get((part, verdict))) and s[0] * total >= hits * s[1]
+    return {k: v for k, v in rules.items() if not any(worse(k[0] - {x}, k[1], *v) for x in k[0])}
+
+
+def mined_of(spark, urls):
+    df = spark.createDataFrame(urls, "url string, verdict string")
+    tokens = url_filter.url_tokens(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), F.col("url"))
+    return df.select(tokens.alias("tokens"), "verdict")
+
+
+def test_rules_of_urls_whose_tokens_imply_each_other(spark):
+    """Domains, their labels and tokens that always meet: the rules are those of all subsets."""
+    rng = np.random.default_rng(4)
+    hosts = ["a.b.net", "b.net", "net", "x.a.b.net", "q.org", "b.org", "a.b"]
+    urls = []
+    for _ in range(200):
+        path = "".join(f"/{x}" for x in rng.choice(["en", "fr", "b"], rng.integers(0, 3)))
+        bad = rng.random() < 0.5
+        urls.append((f"http://{hosts[rng.integers(0, 4) if bad else rng.integers(0, 7)]}{path}{'?u=1&v=2' if rng.random() < 0.3 else ''}", "block" if bad or rng.random() < 0.2 else "allow"))
+    labelled = mined_of(spark, urls)
+    expected = plain_rules([(tuple(r.tokens), r.verdict) for r in labelled.collect()], 0.04, 0.7)
+    got = {(frozenset(r.tokens), r.verdict): (r.hits, r.total) for r in url_filter.mine_rules(labelled, 0.04, 0.7).collect()}
+    assert got == expected and any(len(k[0]) > 1 for k in got)
+
+
+def test_a_host_of_twelve_labels_stays_small(spark, monkeypatch):
+    """Without closing them its 24 tokens would be 2^24 item sets; strays make each level its own."""
+    deep = [f"l{i}" for i in range(12)]
+    urls = [(f"http://{'.'.join(deep)}/p{'/q' * (i % 2)}", "block") for i in range(400)]
+    written = []
+    monkeypatch.setattr(url_filter, "cut", lambda df: written.append(out := lineage.cut(df)) or out)
+    alike = {(tuple(r.tokens), r.verdict) for r in url_filter.mine_rules(mined_of(spark, urls)).collect()}
+    assert max(df.count() for df in written[2:]) < 100 and (("domain:" + ".".join(deep),), "block") in alike and len(alike) == 26
+    written.clear()
+    strays = [(f"http://{'.'.join(deep[i:])}/s", "allow") for i in range(12)]
+    mined = url_filter.mine_rules(mined_of(spark, urls + strays))
+    assert mined.where(F.array_contains("tokens", "domain:" + ".".join(deep))).count() == 1
+    assert max(df.count() for df in written[2:]) < 1 << 17
+
+
 def test_urls_empty_and_unlabelled(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), catalog.LISTED_RULES).collect() == []
     one = url_filter.judge_urls(spark.createDataFrame([(1, "http://x.org/a")], "page_id long, url string"), catalog.LISTED_RULES).collect()
