@@ -35,7 +35,7 @@ def content_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", nor
     """
     assert keep in ("max", "min"), keep
     held = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), (held if normalise is None else normalise(held)).alias("t")).withColumn("h", F.xxhash64("t"))
+    rows = docs.select(F.col(key).alias("doc_id"), (held if normalise is None else normalise(held)).alias("t")).withColumn("h", F.xxhash64("t")).withColumn("place", F.monotonically_increasing_id())
     spark = docs.sparkSession
 
     # Hashes that many rows share: at most partitions / SPREAD_SHARE of them.
@@ -43,9 +43,11 @@ def content_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", nor
     total, partitions = rows.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     bound = max(1, int(total * SPREAD_SHARE / partitions))
     hot = cut(counts.where(F.col("n") > bound).select(F.col("h").alias("hh"), F.ceil(F.col("n") / bound).alias("runs")))
+    # Rows that repeat an id, or have none, are told apart by where they were read.
+    salt = F.pmod(F.xxhash64("doc_id", "place"), F.col("runs"))
     # h can be hot by collision too: then a run holds two texts, which the sort tells apart.
     spread = rows.join(F.broadcast(hot), F.col("h") == F.col("hh"), "left").select(
-        "doc_id", "t", "h", F.when(F.col("runs").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("runs"))).otherwise(0).alias("run"), F.col("runs").isNotNull().alias("hot")
+        "doc_id", "t", "h", F.when(F.col("runs").isNotNull(), salt).otherwise(0).alias("run"), F.col("runs").isNotNull().alias("hot")
     )
     ranged = spread.withColumn("lead", F.substring("t", 1, SPLITTER_CHARS)).repartitionByRange("lead", "h", "run")
     # The window's key contains the range key, so no other exchange is needed: rows
