@@ -144,13 +144,28 @@ def shard_documents(docs: DataFrame, shards: int = 16, group: Column | None = No
             (F.octet_length(held) + 1).cast("long").alias("size"),
             F.crc32(held.cast("binary")).alias("text_crc32"),
             (F.sha2(held, 256) if group is None else F.sha2(F.coalesce(group.cast("string"), F.lit("")), 256)).alias("g"),
+            F.monotonically_increasing_id().alias("place"),
         )
     )
     groups = cut(rows.groupBy("g").agg(F.sum("size").alias("w")))
-    dealt = rows.join(balance_groups(groups, "g", "w", shards, per_part), "g").select("doc_id", "size", "text_crc32", "shard")
+    dealt = rows.join(balance_groups(groups, "g", "w", shards, per_part), "g").select("doc_id", "size", "text_crc32", "place", "shard")
     chunks = max(1, -(-rows.count() // (shards * per_chunk)))
-    chunked = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks)))
-    numbered = ordered_scan(cut(chunked), ["shard"], ["chunk", "doc_id", "text_crc32"], [F.col("chunk")], {"n": RowNumber()})
+    # Rows that repeat id and text fill chunks of their own, dealt by their place in the
+    # written table: which of them has which slot makes no difference. There are fewer such
+    # ids and texts than rows / per_chunk.
+    same = F.xxhash64("doc_id", "text_crc32").alias("same")
+    repeated = rows.groupBy(same).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > per_chunk).select("same", F.ceil(F.col("n") / per_chunk).alias("runs"))
+    marked = dealt.withColumn("same", same).join(repeated, "same", "left")
+    chunked = marked.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        "shard",
+        F.pmod("same", F.lit(chunks)).alias("chunk"),
+        F.when(F.col("runs").isNotNull(), F.col("same")).alias("own"),
+        F.coalesce(F.pmod(F.xxhash64("place"), F.col("runs")), F.lit(0)).alias("run"),
+    ).withColumn("own", F.coalesce("own", F.lit(-(1 << 63))))
+    numbered = ordered_scan(cut(chunked), ["shard"], ["chunk", "own", "run", "doc_id", "text_crc32"], [F.col("chunk"), F.col("own"), F.col("run")], {"n": RowNumber()})
     return numbered.select(
         "doc_id",
         "size",

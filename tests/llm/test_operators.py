@@ -303,6 +303,25 @@ def test_exact_groups_of_a_hot_text(spark):
     assert sum(r.kept for r in got) == 1001
 
 
+def test_repeated_rows_without_id_are_spread(spark, monkeypatch):
+    """100,000 rows that nothing tells apart: no task and no run of the order holds more than a part of them."""
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    written = []
+    monkeypatch.setattr(exact_dedup, "cut", lambda df: written.append(df) or lineage.cut(df))
+    groups = exact_dedup.content_groups(rows).groupBy("keep_id", "group_size", "kept").count().collect()
+    assert [tuple(r) for r in groups] == [(None, 100_000, True, 100_000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert max(r["count"] for r in written[-1].groupBy(F.spark_partition_id()).count().collect()) < 70_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    cuts = []
+    monkeypatch.setattr(sharding, "cut", lambda df: cuts.append(df) or lineage.cut(df))
+    sharded = sharding.shard_documents(rows, 4, per_chunk=1_000)
+    assert max(r["count"] for r in cuts[-1].groupBy("shard", "chunk", "own", "run").count().collect()) < 2_000
+    assert sharded.agg(F.count_distinct("shard"), F.min("slot"), F.max("slot"), F.count_distinct("slot")).first()[:] == (1, 0, 99_999, 100_000)
+
+
 def test_exact_groups_normalised_and_empty(docs, empty):
     assert exact_dedup.content_groups(empty).collect() == []
     upper = exact_dedup.content_groups(docs, normalise=lambda c: F.lit("x")).collect()
