@@ -9,40 +9,54 @@ value).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def loop_errors(loops: DataFrame, body_inputs: DataFrame, body_outputs: DataFrame, carry: DataFrame, body_wiring: DataFrame, initial: DataFrame) -> DataFrame:
-    """Everything wrong with loop declarations: (loop, rule, detail)."""
-    outputs = body_outputs.select("loop", F.col("field").alias("detail"))
-    inputs = body_inputs.select("loop", F.col("field").alias("detail"))
-
-    def found(df: DataFrame, rule: str) -> DataFrame:
-        return df.select("loop", F.lit(rule).alias("rule"), F.col("detail").cast("string").alias("detail"))
-
-    until = loops.select("loop", F.col("until").alias("detail"))
-    producers = body_outputs.where("sub is not null").select("loop", F.col("field").alias("detail"))
-    supplied = (
-        body_inputs.where("default is not null").select("loop", F.col("field").alias("detail"))
-        .unionByName(initial.select("loop", F.col("field").alias("detail")))
-        .unionByName(loops.where("index_input is not null").select("loop", F.col("index_input").alias("detail")))
-    )
-    needed = body_wiring.where("src_kind = 'input'").select("loop", F.col("src_field").alias("detail")).distinct()
+    """Everything wrong with loop declarations: (loop, rule, detail).
+
+    Each table says what it knows of the names of a loop; what is said of one
+    name meets in one aggregation, so nothing is joined or broadcast.
+    """
+    facts = ("until", "output", "producer", "no_path", "carried", "carry_target", "input", "index", "needed", "supplied")
+
+    def told(df: DataFrame, name: str, **said: Column) -> DataFrame:
+        flags = [F.coalesce(said.get(f, F.lit(False)), F.lit(False)).alias(f) for f in facts]
+        return df.select("loop", F.col(name).cast("string").alias("detail"), *flags)
+
+    def named(df: DataFrame, name: str) -> DataFrame:
+        """Only rows that can be found: a null is no name."""
+        return df.where(F.col("loop").isNotNull() & F.col(name).isNotNull())
+
+    yes = F.lit(True)
+    index = loops.where("index_input is not null")
     parts = [
-        found(loops.where("max_iter < 1").withColumn("detail", F.col("max_iter")), "max_iter below 1"),
-        found(until.join(outputs, ["loop", "detail"], "left_anti"), "until is not an output"),
-        found(until.join(body_outputs.where("not is_path").select("loop", F.col("field").alias("detail")), ["loop", "detail"], "left_semi"), "until is not a path"),
-        found(until.join(outputs, ["loop", "detail"], "left_semi").join(producers, ["loop", "detail"], "left_anti"), "until has no producer"),
-        found(carry.select("loop", F.col("out_field").alias("detail")).join(outputs, ["loop", "detail"], "left_anti"), "carry key is not an output"),
-        found(carry.select("loop", F.col("in_field").alias("detail")).join(inputs, ["loop", "detail"], "left_anti"), "carry value is not an input"),
-        found(loops.where("index_input is not null").select("loop", F.col("index_input").alias("detail")).join(inputs, ["loop", "detail"], "left_anti"), "index is not an input"),
-        found(needed.join(supplied, ["loop", "detail"], "left_anti"), "input has no value"),
+        told(loops, "until", until=yes),
+        told(named(body_outputs, "field"), "field", output=yes, producer=F.col("sub").isNotNull(), no_path=~F.col("is_path")),
+        told(carry, "out_field", carried=yes),
+        told(carry, "in_field", carry_target=yes),
+        told(named(body_inputs, "field"), "field", input=yes, supplied=F.col("default").isNotNull()),
+        told(index, "index_input", index=yes, supplied=F.col("loop").isNotNull()),
+        told(named(initial, "field"), "field", supplied=yes),
+        told(body_wiring.where("src_kind = 'input'"), "src_field", needed=yes),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    names = reduce(DataFrame.unionByName, parts).groupBy("loop", "detail").agg(*[F.bool_or(f).alias(f) for f in facts])
+    c = F.col
+    wrong = {
+        "until is not an output": c("until") & ~c("output"),
+        "until is not a path": c("until") & c("no_path"),
+        "until has no producer": c("until") & c("output") & ~c("producer"),
+        "carry key is not an output": c("carried") & ~c("output"),
+        "carry value is not an input": c("carry_target") & ~c("input"),
+        "index is not an input": c("index") & ~c("input"),
+        "input has no value": c("needed") & ~c("supplied"),
+    }
+    found = F.explode(F.array_compact(F.array(*[F.when(holds, F.lit(rule)) for rule, holds in wrong.items()])))
+    below = loops.where("max_iter < 1").select("loop", F.lit("max_iter below 1").alias("rule"), F.col("max_iter").cast("string").alias("detail")).distinct()
+    return below.unionByName(names.select("loop", found.alias("rule"), "detail"))
 
 
 def body_errors(body: DataFrame) -> DataFrame:
