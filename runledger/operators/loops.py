@@ -14,6 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The planner takes a table of exploded rows for as small as what it was exploded
+# from, and would send it whole to the driver and every executor.
+MERGED = "merge"
+
 
 def loop_errors(loops: DataFrame, body_inputs: DataFrame, body_outputs: DataFrame, carry: DataFrame, body_wiring: DataFrame, initial: DataFrame) -> DataFrame:
     """Everything wrong with loop declarations: (loop, rule, detail).
@@ -115,16 +119,16 @@ def unroll_wiring(loops: DataFrame, body_wiring: DataFrame, body_inputs: DataFra
     output from the second iteration on; else what the loop was given, or the
     default.
     """
-    carried = carry.join(body_outputs.select("loop", F.col("field").alias("out_field"), F.col("sub").alias("c_sub"), F.col("sub_field").alias("c_field")), ["loop", "out_field"]).select(
-        "loop", F.col("in_field").alias("src_field"), "c_sub", "c_field"
-    )
+    sources = body_outputs.select("loop", F.col("field").alias("out_field"), F.col("sub").alias("c_sub"), F.col("sub_field").alias("c_field"))
+    carried = carry.join(sources.hint(MERGED), ["loop", "out_field"]).select("loop", F.col("in_field").alias("src_field"), "c_sub", "c_field")
     given = initial.select("loop", F.col("field").alias("src_field"), F.col("value").alias("given"))
     default = body_inputs.select("loop", F.col("field").alias("src_field"), "default")
     wired = (
-        body_wiring.join(carried, ["loop", "src_field"], "left")
-        .join(given, ["loop", "src_field"], "left")
-        .join(default, ["loop", "src_field"], "left")
-        .join(loops.where("max_iter >= 1").select("loop", "index_input", F.explode(F.sequence(F.lit(1), F.col("max_iter"))).alias("k")), "loop")
+        body_wiring.join(carried.hint(MERGED), ["loop", "src_field"], "left")
+        .join(given.hint(MERGED), ["loop", "src_field"], "left")
+        .join(default.hint(MERGED), ["loop", "src_field"], "left")
+        .join(loops.where("max_iter >= 1").select("loop", "index_input", "max_iter").hint(MERGED), "loop")
+        .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("max_iter"))))
     )
     loop, k = F.col("loop"), F.col("k")
     own = F.col("src_kind") == "output"

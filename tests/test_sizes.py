@@ -33,3 +33,12 @@ def test_loops_send_no_table_whole(spark, rows):
     assert "Broadcast" not in plan_of(wrong)
     each = [(i, rule, d) for i in range(3) for rule, d in (("carry key is not an output", "gone"), ("carry value is not an input", "away"))]
     assert rows(wrong, "loop", "rule", "detail") == sorted([*each, (0, "input has no value", "ms"), (1, "input has no value", "ms"), (0, "until is not an output", None)], key=repr)
+    wired = L.unroll_wiring(loops, wiring, inputs, outputs, carry, initial)
+    assert "Broadcast" not in plan_of(wired)
+    assert rows(wired.where("step like '2.%'"), "step", "field", "src_step", "src_field", "value") == sorted(
+        [
+            ("2.1.a", "ms", None, None, "/d"), ("2.2.a", "ms", "2.1.a", "out", None), ("2.1.b", "n", None, None, "1"), ("2.2.b", "n", None, None, "2"),
+            ("2.1.b", "in", "2.1.a", "out", None), ("2.2.b", "in", "2.2.a", "out", None),
+        ],
+        key=repr,
+    )
