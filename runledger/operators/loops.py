@@ -89,13 +89,13 @@ def unroll_steps(loops: DataFrame, body: DataFrame, body_wiring: DataFrame, body
     A step that reads no other step of its iteration waits for the sentinel of
     the one before; the others wait through what they read.
     """
-    until = loops.join(body_outputs.select("loop", F.col("field").alias("until"), F.col("sub").alias("u_sub"), F.col("sub_field").alias("u_field")), ["loop", "until"])
+    ends = body_outputs.select("loop", F.col("field").alias("until"), F.col("sub").alias("u_sub"), F.col("sub_field").alias("u_field"))
+    until = loops.where("max_iter >= 1").join(ends.hint(MERGED), ["loop", "until"])
     inner = body_wiring.where("src_kind = 'output'").select("loop", "sub").distinct().withColumn("inner", F.lit(True))
     steps = (
-        until.where("max_iter >= 1")
-        .select("loop", "u_sub", "u_field", F.explode(F.sequence(F.lit(1), F.col("max_iter"))).alias("k"))
-        .join(body, "loop")
-        .join(inner, ["loop", "sub"], "left")
+        body.join(inner.hint(MERGED), ["loop", "sub"], "left")
+        .join(until.hint(MERGED), "loop")
+        .select("loop", "sub", "u_sub", "u_field", "inner", F.explode(F.sequence(F.lit(1), F.col("max_iter"))).alias("k"))
     )
     loop, k, sub, later = F.col("loop"), F.col("k"), F.col("sub"), F.col("k") > 1
     sentinel = F.when(later, iteration_step(loop, k - 1, F.col("u_sub")))
@@ -145,6 +145,6 @@ def unroll_wiring(loops: DataFrame, body_wiring: DataFrame, body_inputs: DataFra
 
 def loop_outputs(loops: DataFrame, body_outputs: DataFrame) -> DataFrame:
     """What a loop gives: the outputs of its last iteration: (loop, field, src_step, src_field)."""
-    return body_outputs.where("sub is not null").join(loops.where("max_iter >= 1").select("loop", "max_iter"), "loop").select(
+    return body_outputs.where("sub is not null").join(loops.where("max_iter >= 1").select("loop", "max_iter").hint(MERGED), "loop").select(
         "loop", "field", iteration_step(F.col("loop"), F.col("max_iter"), F.col("sub")).alias("src_step"), F.col("sub_field").alias("src_field")
     )

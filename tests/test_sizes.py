@@ -42,3 +42,11 @@ def test_loops_send_no_table_whole(spark, rows):
         ],
         key=repr,
     )
+
+
+def test_unrolled_steps_send_no_table_whole(spark, rows):
+    loops, _inputs, outputs, wiring, _carry, _initial = loop_tables(spark, 3)
+    steps = L.unroll_steps(loops, wiring.select("loop", "sub").distinct(), wiring, outputs)
+    assert "Broadcast" not in plan_of(steps)
+    assert rows(steps.where("loop = 1"), "k", "sub", "step", "after") == [(1, "a", "1.1.a", None), (1, "b", "1.1.b", None), (2, "a", "1.2.a", "1.1.b"), (2, "b", "1.2.b", None)]
+    assert "Broadcast" not in plan_of(L.loop_outputs(loops, outputs))
