@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from runledger.operators import loops as L
+from runledger.plans.scan import RowNumber, SumBefore, ordered_scan
 
 
 def plan_of(df) -> str:
@@ -50,3 +51,17 @@ def test_unrolled_steps_send_no_table_whole(spark, rows):
     assert "Broadcast" not in plan_of(steps)
     assert rows(steps.where("loop = 1"), "k", "sub", "step", "after") == [(1, "a", "1.1.a", None), (1, "b", "1.1.b", None), (2, "a", "1.2.a", "1.1.b"), (2, "b", "1.2.b", None)]
     assert "Broadcast" not in plan_of(L.loop_outputs(loops, outputs))
+
+
+def test_small_keys_are_scanned_in_one_exchange(spark, rows):
+    """Rows of small keys move once; a large key among them is still cut into chunks."""
+    df = spark.range(40_000).select((F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id"))).alias("k"), F.col("id").alias("p"))
+    chunk, outputs = [F.floor(F.col("p") / 500)], {"n": RowNumber(), "s": SumBefore(F.col("p"))}
+    few = ordered_scan(df.where("k <> 0 or p < 100"), ["k"], ["p"], chunk, outputs)
+    plan = plan_of(few)
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("Exchange hashpartitioning") == 1 and "Join" not in final
+    assert rows(few.where("k = 0"), "p", "n", "s") == sorted(((p, p // 2 + 1, p // 2 * (p // 2 - 1)) for p in range(0, 100, 2)), key=repr)
+    mixed = ordered_scan(df, ["k"], ["p"], chunk, outputs)
+    assert mixed.where("k = 0").agg(F.max("n"), F.count_distinct("n")).first()[:] == (20_000, 20_000)
+    assert mixed.where("k <> 0").agg(F.count("n"), F.max("n"), F.max("s")).first()[:] == (20_000, 1, 0)
