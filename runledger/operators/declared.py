@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.names import sanitize
 from runledger.operators.schema import Field, type_of
+from runledger.plans.lineage import cut
 
 # The keys of a field's declaration, the sides of a scope, and texts that are false.
 FIELD_KEYS = (
@@ -47,6 +48,8 @@ def _places(leaves: DataFrame, root: str) -> DataFrame:
             "value",
         )
     )
+    # Read by three branches; written, so that documents are parsed once.
+    rows = cut(rows)
     size = F.size("names")
     told = F.filter(F.sequence(F.lit(1), size), lambda k: F.get("names", k).isin(*FIELD_KEYS))
     empty = F.when(F.col("value").isNull() | (F.col("value") == "{}"), F.array(size)).otherwise(F.array().cast("array<int>"))
@@ -115,7 +118,7 @@ def document_errors(leaves: DataFrame, root: str = "cabs") -> DataFrame:
     A value where a field's mapping should be, or names of one side that become
     one identifier.
     """
-    placed = _places(leaves, root)
+    placed = cut(_places(leaves, root))
     bare = placed.where("depth is null").select(*KEY, F.array_join("names", ".").alias("name"), F.lit("not a mapping").alias("reason"))
     names = placed.where("depth is not null").select(*KEY, F.array_join(F.slice("names", F.lit(1), F.col("depth")), ".").alias("name")).distinct()
     met = names.groupBy(*KEY, sanitize(F.col("name")).alias("field")).agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name")).where("n > 1")

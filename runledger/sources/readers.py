@@ -38,6 +38,11 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """Documents over all cores: thousands of small ones come in one split, and walking them costs far more than moving them."""
+    return docs.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, *docs.columns)
+
+
 def _as_text(value: object) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value)
 
@@ -116,7 +121,7 @@ def rejected_records(docs: DataFrame, text: str = "text", run: str = "run_id") -
             judged = [(key, reason(body)) for key, body in zip(frame["run_id"], frame["text"])]
             yield pd.DataFrame([j for j in judged if j[1] is not None], columns=["run_id", "reason"])
 
-    return docs.select(F.col(run).cast("string").alias("run_id"), F.col(text).alias("text")).mapInPandas(batches, "run_id string, reason string")
+    return _dealt(docs.select(F.col(run).cast("string").alias("run_id"), F.col(text).alias("text"))).mapInPandas(batches, "run_id string, reason string")
 
 
 def flatten_records(docs: DataFrame, text: str = "text", run: str = "run_id") -> DataFrame:
@@ -149,7 +154,7 @@ def flatten_records(docs: DataFrame, text: str = "text", run: str = "run_id") ->
             for rows in batched(steps, BATCH_ROWS):
                 yield pd.DataFrame(list(rows), columns=RECORD_FIELDS).astype({"returncode": "Int32"})
 
-    return docs.select(F.col(run).cast("string").alias("run_id"), F.col(text).alias("text")).mapInPandas(batches, RECORD_SCHEMA)
+    return _dealt(docs.select(F.col(run).cast("string").alias("run_id"), F.col(text).alias("text"))).mapInPandas(batches, RECORD_SCHEMA)
 
 
 def read_runs(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
@@ -310,7 +315,7 @@ def parse_yaml(docs: DataFrame, doc: str = "file", text: str = "text") -> DataFr
             for rows in batched(found, BATCH_ROWS):
                 yield pd.DataFrame(rows, columns=["doc", "path", "value"])
 
-    return docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).mapInPandas(batches, LEAF_SCHEMA)
+    return _dealt(docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text"))).mapInPandas(batches, LEAF_SCHEMA)
 
 
 def _yaml(text: str | None) -> tuple[list[tuple[str, str | None]], str | None]:
@@ -374,7 +379,7 @@ def rejected_yaml(docs: DataFrame, doc: str = "file", text: str = "text") -> Dat
             judged = [(name, _yaml(body)[1]) for name, body in zip(frame["doc"], frame["text"])]
             yield pd.DataFrame([j for j in judged if j[1] is not None], columns=["doc", "reason"])
 
-    return docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).mapInPandas(batches, "doc string, reason string")
+    return _dealt(docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text"))).mapInPandas(batches, "doc string, reason string")
 
 
 def read_param_yaml(spark: SparkSession, path: str) -> DataFrame:

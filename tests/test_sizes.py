@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from runledger.operators import loops as L
+from runledger.operators.declared import document_errors
 from runledger.plans.scan import RowNumber, SumBefore, ordered_scan
+from runledger.sources.readers import parse_yaml
 
 
 def plan_of(df) -> str:
@@ -65,3 +67,22 @@ def test_small_keys_are_scanned_in_one_exchange(spark, rows):
     mixed = ordered_scan(df, ["k"], ["p"], chunk, outputs)
     assert mixed.where("k = 0").agg(F.max("n"), F.count_distinct("n")).first()[:] == (20_000, 20_000)
     assert mixed.where("k <> 0").agg(F.count("n"), F.max("n"), F.max("s")).first()[:] == (20_000, 1, 0)
+
+
+def test_declarations_are_parsed_once_on_all_cores(spark, rows):
+    """A thousand documents in one split are walked by many tasks, and by each of them once."""
+    walked = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            walked.add(len(frame))
+            yield frame
+
+    text = "cabs: {c: {inputs: {a: {dtype: int}, b: 5}}}"
+    docs = spark.range(1000).coalesce(1).select(F.col("id").alias("file"), F.lit(text).alias("text"))
+    tasks = parse_yaml(docs).groupBy(F.spark_partition_id()).count().count()
+    assert tasks > 8
+    leaves = parse_yaml(docs)
+    seen = document_errors(leaves.mapInPandas(counted, leaves.schema))
+    assert seen.count() == 1000 and seen.select("name", "reason").distinct().collect() == [("b", "not a mapping")]
+    assert walked.value == leaves.count()
