@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from runledger.plans.lineage import cut
+
+# Rows of one partition that a task sorts and a file holds, before they are compressed.
+FILE_BYTES = 64 << 20
 
 
 def nest_records(records: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -65,6 +72,23 @@ def drop_partitions(spark: SparkSession, path: str, values: DataFrame) -> None:
 
 
 def write_outputs(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Replace the partitions that `df` has rows for, and only those."""
-    # Rebalancing gathers each partition into few files and splits one that is large.
-    df.hint("rebalance", *keys).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*keys).parquet(path)
+    """Replace the partitions that `df` has rows for, and only those.
+
+    A partition is one file, or where its rows are large, one for each
+    `FILE_BYTES` of them. Rows are measured first: what a shuffle writes is
+    compressed and does not tell how much a task has to sort.
+    """
+    keys = list(keys)
+    kinds = {f.name: f.dataType for f in df.schema}
+    nested = [c for c, kind in kinds.items() if isinstance(kind, T.ArrayType | T.MapType | T.StructType)]
+    texts = [F.octet_length(c) for c, kind in kinds.items() if isinstance(kind, T.StringType | T.BinaryType)] + [F.octet_length(F.to_json(c)) for c in nested]
+    width = reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0)).cast("bigint") for t in texts], F.lit(16 + 8 * len(kinds)).cast("bigint"))
+    sizes = cut(df.groupBy(*keys).agg(F.sum(width).alias("__bytes")))
+    large = sizes.where(F.col("__bytes") > FILE_BYTES).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.ceil(F.col("__bytes") / FILE_BYTES).cast("int").alias("__files"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    # A place depends on what a row holds and on its task, not on the order of rows, so a repeated task deals alike.
+    plain = [c for c, kind in kinds.items() if not isinstance(kind, T.MapType | T.VariantType)]
+    dealt = df.withColumn("__hash", F.xxhash64(*plain, F.spark_partition_id())).join(F.broadcast(large), same, "left").withColumn("__place", F.coalesce(F.pmod("__hash", "__files"), F.lit(0)))
+    tasks = int((sizes.agg(F.sum("__bytes")).first()[0] or 0) // FILE_BYTES) + 1
+    rows = dealt.repartition(tasks, *keys, "__place").select(*df.columns)
+    rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*keys).parquet(path)

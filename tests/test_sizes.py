@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from runledger.operators import loops as L
 from runledger.operators.declared import document_errors
 from runledger.plans.scan import RowNumber, SumBefore, ordered_scan
+from runledger.sources import writers
 from runledger.sources.readers import parse_yaml
 
 
@@ -86,3 +87,16 @@ def test_declarations_are_parsed_once_on_all_cores(spark, rows):
     seen = document_errors(leaves.mapInPandas(counted, leaves.schema))
     assert seen.count() == 1000 and seen.select("name", "reason").distinct().collect() == [("b", "not a mapping")]
     assert walked.value == leaves.count()
+
+
+def test_a_large_partition_is_dealt_by_its_bytes(spark, tmp_path, monkeypatch):
+    """Rows that compress to nothing are dealt by what they take in a task; a small partition stays one file."""
+    monkeypatch.setattr(writers, "FILE_BYTES", 64_000, raising=False)
+    df = spark.range(40_000).select((F.col("id") % 100 == 0).cast("string").alias("k"), (F.col("id") % 5000).alias("v"))
+    out = str(tmp_path / "out")
+    writers.write_outputs(df, out, ["k"])
+    back = spark.read.parquet(out)
+    assert back.count() == 40_000 and back.where("k = 'true'").count() == 400
+    files = back.groupBy("k", F.input_file_name().alias("f")).count()
+    most, small = files.agg(F.max("count")).first()[0], files.where("k = 'true'").count()
+    assert most < 10_000 and small == 1
