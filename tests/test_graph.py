@@ -221,3 +221,29 @@ def test_chains_roll_back_as_a_loop_says(spark, rows, seed):
     entries = spark.createDataFrame([(f"s{k}", k) for k in keys] + [("none", None)], "step_path string, cache_key string")
     got = V.invalidate_chains(entries, spark.createDataFrame(generations, "chain int, pos int, name string"), spark.createDataFrame(chains, "chain int, head string"), span=3)
     assert rows(got, "invalidated", "chain", "n_dropped", "new_head") == sorted(want, key=repr)
+
+
+def random_recipes(spark, seed):
+    """Nodes and edges of recipes of up to 12 steps, with cycles, strangers, repeats and nulls."""
+    rng = random.Random(seed)
+    nodes, edges = [(None, 1), (1, None)], [(None, 1, 1), (1, None, 2), (2, 1, None)]
+    for recipe in range(1, 40):
+        n = rng.randint(1, 12)
+        nodes += [(recipe, i) for i in range(n)]
+        edges += [(recipe, rng.randint(0, n), rng.randint(0, n)) if rng.random() < 0.1 else (recipe, *sorted((rng.randint(0, n), rng.randint(0, n + 1)))) for _ in range(rng.randint(0, 2 * n))]
+    return spark.createDataFrame(nodes, "recipe int, idx int"), spark.createDataFrame(edges, EDGES)
+
+
+def no_rounds(*_):
+    raise AssertionError("a small recipe is settled where it is")
+
+
+def test_levels_of_small_and_large_recipes_agree(spark, rows, monkeypatch):
+    nodes, edges = random_recipes(spark, 5)
+    with monkeypatch.context() as m:
+        m.setattr(G, "Rounds", no_rounds)
+        small = rows(G.topo_levels(nodes, edges))
+    assert {level for *_, level in small} >= {None, 0, 1, 2}
+    for bound in (0, 12):
+        monkeypatch.setattr(G, "SMALL_ROWS", bound)
+        assert rows(G.topo_levels(nodes, edges)) == small
