@@ -247,3 +247,19 @@ def test_levels_of_small_and_large_recipes_agree(spark, rows, monkeypatch):
     for bound in (0, 12):
         monkeypatch.setattr(G, "SMALL_ROWS", bound)
         assert rows(G.topo_levels(nodes, edges)) == small
+
+
+def test_keys_of_small_and_large_recipes_agree(spark, rows, monkeypatch):
+    nodes, edges = random_recipes(spark, 6)
+    digest = F.sha2(F.concat_ws("-", "recipe", "idx"), 256)
+    # Own parts that are no digests are texts as any other, upper-case digits too.
+    text = F.when(F.col("idx") % 5 == 0, F.upper(digest)).when(F.col("idx") % 5 == 1, F.lit("")).when(F.col("idx") % 5 != 2, digest)
+    own = nodes.dropna().withColumn("own", text)
+    wiring = edges.select("recipe", F.col("dst").alias("idx"), F.concat(F.lit("f"), F.col("src") % 3).alias("field"), F.when(F.col("src") % 2 == 0, F.col("src")).alias("pos"), "src")
+    with monkeypatch.context() as m:
+        m.setattr(G, "Rounds", no_rounds)
+        small = rows(G.step_keys(own, wiring))
+    assert len({key for *_, key in small}) > 100
+    for bound in (0, 12):
+        monkeypatch.setattr(G, "SMALL_ROWS", bound)
+        assert rows(G.step_keys(own, wiring)) == small
