@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.operators.joins import containment_join
 from runledger.operators.schema import latest_by
+from runledger.plans import scan
 from runledger.plans.digest import encode, group_digest
 from runledger.plans.lineage import cut
 from runledger.plans.paths import normalize
-from runledger.plans.scan import FirstAfter, LastBefore, SumBefore, ordered_scan
+from runledger.plans.scan import FirstAfter, LastBefore, SumBefore, large_keys, ordered_scan
 
 
 def access_order(accesses: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Sequence[Column], step: str = "step", mutates: str = "mutates") -> DataFrame:
@@ -111,9 +112,36 @@ def converge(df: DataFrame, by: Sequence[str], order: Sequence[str], sentinel: s
 def batches(steps: DataFrame, deps: DataFrame, by: Sequence[str], order: str, chunk: Sequence[Column]) -> DataFrame:
     """Number the runs of consecutive steps that depend on the same set: (by, order, batch).
 
+    Keys of a bounded number of rows are numbered where they are, after one
+    exchange; others by ordered scans.
+
     Args:
         deps: (by, order, dep).
     """
+    by = list(by)
+    large = large_keys(steps.select(*by).unionByName(deps.select(*by)), by, scan.WHOLE_ROWS)
+    if large is None:
+        return _batches_in_place(steps, deps, by, order)
+    small = _batches_in_place(steps.join(large, by, "left_anti"), deps.join(large, by, "left_anti"), by, order)
+    return small.unionByName(_batches_by_scans(steps.join(large, by, "left_semi"), deps.join(large, by, "left_semi"), by, order, chunk))
+
+
+def _batches_in_place(steps: DataFrame, deps: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Batches of keys that fit in a task: all of it under one partitioning by key."""
+    # A null names no step.
+    named = deps.select(*by, order, "dep", F.lit(0).alias("__step")).dropna(subset=[*by, order])
+    rows = steps.select(*by, order, F.lit(1).alias("__step")).unionByName(named, allowMissingColumns=True)
+    once = rows.repartition(*by).groupBy(*by, order, "__step", "dep").agg(F.count(F.lit(1)))
+    entry = F.when(F.col("__step") == 0, encode("dep"))
+    sets = once.groupBy(*by, order).agg(group_digest(entry).alias("deps"), F.max("__step").alias("__step")).where("__step = 1")
+    ahead = Window.partitionBy(*by).orderBy(order)
+    signed = sets.withColumn("__prev", F.lag("deps").over(ahead))
+    opened = F.when(F.col("__prev") == F.col("deps"), 0).otherwise(1)
+    return signed.select(*by, order, F.sum(opened).over(ahead.rowsBetween(Window.unboundedPreceding, 0)).alias("batch"))
+
+
+def _batches_by_scans(steps: DataFrame, deps: DataFrame, by: list[str], order: str, chunk: Sequence[Column]) -> DataFrame:
+    """Batches of keys of any size."""
     sets = deps.select(*by, order, "dep").distinct().groupBy(*by, order).agg(group_digest(encode("dep")).alias("deps"))
     signed = steps.select(*by, order).join(sets, [*by, order], "left").withColumn("deps", F.coalesce("deps", F.lit("none")))
     # A scan reads its input twice: once for the rows, once for the chunk sums.

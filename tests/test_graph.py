@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from runledger.operators import aggregates as A
 from runledger.operators import graph as G
 from runledger.operators import versions as V
+from runledger.operators import windows as W
 from runledger.operators.loops import body_errors, unroll_steps
 from runledger.operators.validate import nested_resources
+from runledger.plans import scan
 from runledger.plans.pointers import chase
 
 EDGES = "recipe int, src int, dst int"
@@ -263,3 +265,24 @@ def test_keys_of_small_and_large_recipes_agree(spark, rows, monkeypatch):
     for bound in (0, 12):
         monkeypatch.setattr(G, "SMALL_ROWS", bound)
         assert rows(G.step_keys(own, wiring)) == small
+
+
+def test_batches_of_small_and_large_recipes_agree(spark, rows, monkeypatch):
+    nodes, edges = random_recipes(spark, 7)
+    deps = edges.select("recipe", F.col("dst").alias("idx"), (F.col("src") % 2).alias("dep"))
+    steps, chunk = nodes.where("recipe is not null and idx is not null"), [F.floor(F.col("idx") / 4)]
+    with monkeypatch.context() as m:
+        m.setattr(W, "ordered_scan", no_rounds)
+        small = rows(W.batches(steps, deps, ["recipe"], "idx", chunk))
+    held = {}
+    for recipe, idx, dep in rows(deps):
+        held.setdefault((recipe, idx), set()).add(dep)
+    want, last = [], {}
+    for recipe, idx in sorted((r.recipe, r.idx) for r in steps.collect()):
+        batch, before = last.get(recipe, (0, None))
+        now = held.get((recipe, idx), set())
+        last[recipe] = (batch + (now != before), now)
+        want.append((recipe, idx, last[recipe][0]))
+    assert small == sorted(want, key=repr)
+    monkeypatch.setattr(scan, "WHOLE_ROWS", 3)
+    assert rows(W.batches(steps, deps, ["recipe"], "idx", chunk)) == small
