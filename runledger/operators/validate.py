@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEP = ["recipe", "step"]
@@ -58,26 +58,44 @@ def validate_graph(
         after: (recipe, step, after). params, scattered: (recipe, step, field).
     """
     columns = ["recipe", "step", "rule", "detail"]
-    names = steps.select("recipe", F.col("step").alias("named")).distinct()
     from_input, from_output = wiring.where("src_kind = 'input'"), wiring.where("src_kind = 'output'")
-    own_fields = reduce(
+    # What is wrong with a reference to a field, and with one to a step, by its number.
+    rules = ["unknown scatter field", "unknown constant", "unknown input", None, "unknown output"]
+    absent = [None, None, None, "unknown after", "unknown step"]
+    reads = len(rules) - 1
+
+    def refs(rows: DataFrame, number: int, holder: str, field: Column) -> DataFrame:
+        return rows.select("recipe", "step", F.lit(number).alias("number"), F.col(holder).alias("holder"), field.alias("field"))
+
+    every = reduce(
         DataFrame.unionByName,
-        [
-            _labelled(refs, rule, "field").select(*columns, "field")
-            for refs, rule in ((scattered, "unknown scatter field"), (params, "unknown constant"), (wiring, "unknown input"))
-        ],
-    )
-    step_names = _labelled(after.where("after <> step"), "unknown after", "after").select(*columns, F.col("after").alias("named")).unionByName(
-        _labelled(from_output, "unknown step", "src_step").select(*columns, F.col("src_step").alias("named"))
+        [refs(rows, i, "step", F.col("field")) for i, rows in enumerate((scattered, params, wiring))]
+        + [refs(after.where("after <> step"), reads - 1, "after", F.lit(None).cast("string")), refs(from_output, reads, "src_step", F.col("src_field"))],
     )
-    read = from_output.withColumn("label", F.concat("src_step", F.lit("."), "src_field"))
+    # Every reference, once, meets the step it names and then the field. What is
+    # found there is gone; only names that several scopes share are judged together.
+    scopes = steps.select("recipe", F.col("step").alias("holder"), "scope").repartition("recipe", "holder").distinct()
+    scopes = scopes.withColumn("held", F.least(F.count(F.lit(1)).over(Window.partitionBy("recipe", "holder")), F.lit(2)).cast("tinyint"))
+    met = every.repartition("recipe", "holder").distinct().join(scopes, ["recipe", "holder"], "left").withColumn("held", F.coalesce("held", F.lit(0).cast("tinyint")))
+    # A reference that no scope can hold has a side without fields, one of many, so that these are spread.
+    nowhere = -1 - F.pmod(F.xxhash64("recipe", "step"), F.lit(4096)).cast("int")
+    side = F.when(F.col("scope").isNotNull() & F.col("field").isNotNull(), (F.col("number") == reads).cast("int")).otherwise(nowhere)
+    # A step's own fields need no name of the holder, which is the step.
+    met = met.withColumns({"side": side, "holder": F.when(F.col("number") >= reads - 1, F.col("holder"))})
+    declared = reduce(DataFrame.unionByName, [fields.select("scope", "field", F.lit(i).alias("side")) for i, fields in enumerate((input_fields, output_fields))])
+    looked = met.join(declared.distinct().withColumn("found", F.lit(True)), ["scope", "field", "side"], "left")
+    wrong = looked.where((F.col("found").isNull() & ((F.col("number") != reads - 1) | (F.col("held") == 0))) | (F.col("held") == 2))
+    place = ["recipe", "step", "number", "holder", "field"]
+    judged = wrong.repartition("recipe", "step").groupBy(*place).agg(F.bool_or(F.coalesce("found", F.lit(False))).alias("found"), (F.max("held") > 0).alias("held")).where("not found")
+    texts = {held: F.get(F.array(*[F.lit(r).cast("string") for r in named]), "number") for held, named in ((True, rules), (False, absent))}
+    label = F.when(~F.col("held"), F.col("holder")).when(F.col("number") == reads, F.concat("holder", F.lit("."), "field")).otherwise(F.col("field"))
+    broken = judged.select("recipe", "step", F.when(F.col("held"), texts[True]).otherwise(texts[False]).alias("rule"), label.cast("string").alias("detail"))
+    broken = broken.where("rule is not null")
     found = [
         _labelled(duplicate_names(steps), "duplicate name", "step").select(*columns),
         _labelled(after.where("after = step"), "after itself", "after").select(*columns).distinct(),
-        dangling(step_names, names, ["recipe", "named"]),
-        _undeclared(own_fields, steps, input_fields),
+        broken.distinct(),
         dangling(_labelled(from_input, "unknown recipe input", "src_field"), recipe_inputs.withColumnRenamed("field", "src_field"), ["recipe", "src_field"]),
-        _undeclared(_labelled(read, "unknown output", "label"), steps, output_fields, "src_step", "src_field"),
     ]
     return reduce(DataFrame.unionByName, found)
 

@@ -10,7 +10,7 @@ from runledger.operators import graph as G
 from runledger.operators import versions as V
 from runledger.operators import windows as W
 from runledger.operators.loops import body_errors, unroll_steps
-from runledger.operators.validate import nested_resources
+from runledger.operators.validate import nested_resources, validate_graph
 from runledger.plans import scan
 from runledger.plans.pointers import chase
 
@@ -286,3 +286,27 @@ def test_batches_of_small_and_large_recipes_agree(spark, rows, monkeypatch):
     assert small == sorted(want, key=repr)
     monkeypatch.setattr(scan, "WHOLE_ROWS", 3)
     assert rows(W.batches(steps, deps, ["recipe"], "idx", chunk)) == small
+
+
+def test_references_are_judged_by_every_scope_of_a_name(spark, rows):
+    steps = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "b", 1), (2, "b", None)], "recipe int, step string, scope int")
+    wiring = spark.createDataFrame(
+        [(1, "b", "x", "output", "a", "out"), (1, "b", "y", "output", "a", "no"), (1, "b", "x", "output", "z", "out"), (1, "b", None, "output", None, "out"), (2, "b", "x", "input", None, "rin")],
+        "recipe int, step string, field string, src_kind string, src_step string, src_field string",
+    )
+    inputs = spark.createDataFrame([(1, "x")], "scope int, field string")
+    outputs = spark.createDataFrame([(2, "out")], "scope int, field string")
+    after = spark.createDataFrame([(1, "b", "b"), (1, "b", "a"), (1, "b", "q"), (1, "b", None)], "recipe int, step string, after string")
+    params = spark.createDataFrame([(1, "a", "x"), (1, "gone", "x"), (1, "b", None)], "recipe int, step string, field string")
+    recipe_inputs = spark.createDataFrame([(1, "rin")], "recipe int, field string")
+    audit = validate_graph(steps, wiring, inputs, outputs, recipe_inputs, after, params, params.limit(0))
+    assert rows(audit) == sorted(
+        [
+            (1, "a", "duplicate name", "a"), (1, "b", "after itself", "b"), (1, "b", "unknown after", "q"), (1, "b", "unknown constant", None), (1, "b", "unknown input", "y"),
+            (1, "b", "unknown input", None), (1, "b", "unknown output", "a.no"), (1, "b", "unknown step", "z"), (1, "b", "unknown step", None), (2, "b", "unknown input", "x"), (2, "b", "unknown recipe input", "rin"),
+        ],
+        key=repr,
+    )
+    # Steps are met by the references once, by whatever the rule.
+    plan = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Left") == 3, plan
