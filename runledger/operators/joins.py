@@ -39,7 +39,7 @@ def resolve_wiring(params: DataFrame, wiring: DataFrame, inputs: DataFrame, outp
         .join(sources, ["recipe", "src_kind", "src_step", "src_field"], "left")
         .select("recipe", "step", "field", "pos", "value", F.lit("wired").alias("origin"))
     )
-    constant = params.join(wiring.select("recipe", "step", "field").distinct(), ["recipe", "step", "field"], "left_anti").select(
+    constant = params.join(wiring.select("recipe", "step", "field"), ["recipe", "step", "field"], "left_anti").select(
         "recipe", "step", "field", F.lit(None).cast("int").alias("pos"), "value", F.lit("constant").alias("origin")
     )
     return wired.unionByName(constant)

@@ -9,6 +9,7 @@ from runledger.operators import aggregates as A
 from runledger.operators import graph as G
 from runledger.operators import versions as V
 from runledger.operators import windows as W
+from runledger.operators.joins import resolve_wiring
 from runledger.operators.loops import body_errors, unroll_steps
 from runledger.operators.validate import nested_resources, validate_graph
 from runledger.plans import scan
@@ -310,3 +311,18 @@ def test_references_are_judged_by_every_scope_of_a_name(spark, rows):
     # Steps are met by the references once, by whatever the rule.
     plan = audit._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Left") == 3, plan
+
+
+def test_constants_give_way_to_wires_without_a_further_pass(spark, rows):
+    params = spark.createDataFrame([(1, 1, "x", "a"), (1, 1, "y", "b"), (1, 2, "x", "c")], "recipe int, step int, field string, value string")
+    wiring = spark.createDataFrame(
+        [(1, 2, "x", 0, "input", None, "rin"), (1, 2, "x", 1, "output", "1", "out"), (1, 2, "z", None, "output", "9", "out")],
+        "recipe int, step int, field string, pos int, src_kind string, src_step string, src_field string",
+    )
+    inputs = spark.createDataFrame([(1, "rin", "i")], "recipe int, field string, value string")
+    outputs = spark.createDataFrame([(1, "1", "out", "o")], "recipe int, step string, field string, value string")
+    resolved = resolve_wiring(params, wiring, inputs, outputs)
+    assert rows(resolved) == sorted(
+        [(1, 2, "x", 0, "i", "wired"), (1, 2, "x", 1, "o", "wired"), (1, 2, "z", None, None, "wired"), (1, 1, "x", None, "a", "constant"), (1, 1, "y", None, "b", "constant")], key=repr
+    )
+    assert "Aggregate" not in resolved._jdf.queryExecution().optimizedPlan().toString()
