@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.plans.deal import dealt, tasks_for
+
 STEP = ["recipe", "step"]
 
 
@@ -135,23 +137,22 @@ def eligibility(steps: DataFrame, wiring: DataFrame, mutable_values: DataFrame,
         mutable_values: (recipe, step, field), inputs rewritten in place that are no paths.
         outputs: (recipe, step, field, is_path, parsed), what tool steps give.
     """
+    tasks = tasks_for(steps, wiring, mutable_values, outputs)
     tool = F.col("kind") == "tool"
-    own = F.array_compact(
-        F.array(
-            F.when(F.col("scattered"), F.lit("scattered")),
-            F.when(F.col("has_func"), F.lit("has a function")),
-            F.when(~tool, F.lit("not a tool")),
-            F.when(tool & F.col("venv").isNotNull(), F.lit("runs in a venv")),
-            F.when(tool & (F.col("flavour") != "binary"), F.lit("flavour")),
-        )
-    )
-    tools = steps.where(tool).select(*STEP).distinct()
-    of_step = steps.select(*STEP, F.explode(own).alias("reason"), F.lit(None).cast("string").alias("detail"))
-    mutable = mutable_values.join(tools, STEP, "left_semi").select(*STEP, F.lit("mutable value").alias("reason"), F.col("field").alias("detail"))
-    refs = wiring.where("src_kind = 'output'").join(
-        outputs.join(tools, STEP, "left_semi").select("recipe", F.col("step").alias("src_step"), F.col("field").alias("src_field"), "is_path", "parsed"),
-        ["recipe", "src_step", "src_field"],
-    )
+    own = {
+        "scattered": F.col("scattered"),
+        "has a function": F.col("has_func"),
+        "not a tool": ~tool,
+        "runs in a venv": tool & F.col("venv").isNotNull(),
+        "flavour": tool & (F.col("flavour") != "binary"),
+    }
+    of_step = steps.select(*STEP, F.explode(F.array(*[F.when(c, F.lit(r)) for r, c in own.items()])).alias("reason")).where("reason is not null")
+    tools = dealt(steps.where(tool).select(*STEP), tasks, STEP)
+    mutable = dealt(mutable_values, tasks, STEP).join(tools, STEP, "left_semi").select(*STEP, F.lit("mutable value").alias("reason"), F.col("field").alias("detail"))
     why = F.when(F.col("parsed"), F.lit("reads a parsed output")).when(~F.col("is_path"), F.lit("reads a non-path output"))
-    flows = refs.select(*STEP, why.alias("reason"), F.concat_ws(".", "src_step", "src_field").alias("detail")).where("reason is not null")
-    return of_step.unionByName(mutable).unionByName(flows).distinct()
+    given = outputs.select(*STEP, F.col("field").alias("src_field"), why.alias("reason")).where("reason is not null")
+    given = dealt(given, tasks, STEP).join(tools, STEP, "left_semi").withColumnRenamed("step", "src_step")
+    wires = dealt(wiring.where("src_kind = 'output'").select(*STEP, "src_step", "src_field"), tasks, ["recipe", "src_step"])
+    flows = wires.join(given, ["recipe", "src_step", "src_field"]).select(*STEP, "reason", F.concat_ws(".", "src_step", "src_field").alias("detail"))
+    found = of_step.withColumn("detail", F.lit(None).cast("string")).unionByName(mutable).unionByName(flows)
+    return dealt(found, tasks, STEP).distinct()

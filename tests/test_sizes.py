@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from runledger.operators import loops as L
 from runledger.operators.declared import document_errors
+from runledger.operators.validate import eligibility
+from runledger.plans import deal
 from runledger.plans.scan import RowNumber, SumBefore, ordered_scan
 from runledger.sources import writers
 from runledger.sources.readers import parse_yaml
@@ -100,3 +102,25 @@ def test_a_large_partition_is_dealt_by_its_bytes(spark, tmp_path, monkeypatch):
     files = back.groupBy("k", F.input_file_name().alias("f")).count()
     most, small = files.agg(F.max("count")).first()[0], files.where("k = 'true'").count()
     assert most < 10_000 and small == 1
+
+
+def test_rows_of_a_task_are_bounded_by_their_number(spark, rows, monkeypatch):
+    """Ten times the steps are ten times the tasks, whatever their rows compress to, and every reason is there once."""
+    monkeypatch.setattr(deal, "ROWS_OF_TASK", 500)
+    n = 2000
+    ids = spark.range(n).select(F.col("id").alias("recipe"))
+    steps = ids.select("recipe", F.explode(F.array(F.lit("a"), F.lit("a.b"), F.lit("z"), F.lit("a"))).alias("step")).select(
+        "recipe", "step", F.when(F.col("step") == "z", "recipe").otherwise("tool").alias("kind"), F.lit("binary").alias("flavour"),
+        F.lit(False).alias("has_func"), (F.col("step") == "a").alias("scattered"), F.when(F.col("step") == "a.b", "env").alias("venv"),
+    )
+    wiring = ids.select("recipe", F.lit("z").alias("step"), F.lit("in").alias("field"), F.lit("output").alias("src_kind"), F.explode(F.expr("array(('a', 'b.c'), ('a.b', 'c'), ('z', 'c'), (null, 'c'))")).alias("s"))
+    wiring = wiring.select("recipe", "step", "field", "src_kind", F.col("s.col1").alias("src_step"), F.col("s.col2").alias("src_field"))
+    values = steps.select("recipe", "step", F.lit(None).cast("string").alias("field")).where("step <> 'a.b'")
+    outputs = ids.select("recipe", F.explode(F.expr("array(('a', 'b.c', true), ('a.b', 'c', true), ('a.b', 'c', false), ('z', 'c', true))")).alias("o"))
+    outputs = outputs.select("recipe", F.col("o.col1").alias("step"), F.col("o.col2").alias("field"), F.lit(False).alias("is_path"), F.col("o.col3").alias("parsed"))
+    found = eligibility(steps, wiring, values, outputs)
+    each = [("a", "mutable value", None), ("a", "scattered", None), ("a.b", "runs in a venv", None), ("z", "not a tool", None), ("z", "reads a non-path output", "a.b.c"), ("z", "reads a parsed output", "a.b.c")]
+    assert rows(found, "recipe", "step", "reason", "detail") == sorted(((i, *r) for i in range(n) for r in each), key=repr)
+    assert found.rdd.getNumPartitions() >= 4 * n / 500
+    few = eligibility(steps.where("recipe < 9"), wiring.where("recipe < 9"), values.where("recipe < 9"), outputs.where("recipe < 9"))
+    assert few.count() == 54 and few.rdd.getNumPartitions() <= 8
