@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.plans.deal import dealt, merged, tasks_for
 from runledger.plans.lineage import cut
 from runledger.plans.paths import ancestors, normalize, parent, within
 
@@ -42,15 +43,18 @@ def deep_merge(layers: DataFrame, by: Sequence[str] = ("doc",), rank: str = "ran
         layers: (by, path, value, rank), one row per leaf; a larger rank wins.
     """
     by = list(by)
-    top = layers.groupBy(*by, "path").agg(F.max_by("value", rank).alias("value"), F.max(rank).alias("__r"))
+    # Texts and trails of ranks are kept several times over on the way.
+    tasks = tasks_for(layers, weight=8)
+    top = dealt(layers, tasks, [*by, "path"]).groupBy(*by, "path").agg(F.max_by("value", rank).alias("value"), F.max(rank).alias("__r"))
     up = top.select(*by, F.col("path").alias("leaf"), F.col("__r").alias("leaf_rank"), F.explode(_prefixes(F.col("path"))).alias("path"))
+    up = dealt(up, tasks, [*by, "path"])
     # An empty map replaces values at and above its path, but merges with the map below it.
     maps = top.where(~F.col("value").eqNullSafe(EMPTY_MAP))
-    replaced_map = up.join(maps.select(*by, "path", "__r"), [*by, "path"]).where(F.col("__r") > F.col("leaf_rank")).select(*by, F.col("leaf").alias("path"))
+    replaced_map = up.join(merged(maps.select(*by, "path", "__r"), tasks), [*by, "path"]).where(F.col("__r") > F.col("leaf_rank")).select(*by, F.col("leaf").alias("path"))
     map_above = up.groupBy(*by, "path").agg(F.max("leaf_rank").alias("__m"))
-    replaced_value = top.join(map_above, [*by, "path"]).where(F.col("__m") > F.col("__r")).select(*by, "path")
-    hidden = replaced_map.unionByName(replaced_value).distinct()
-    left = top.join(hidden, [*by, "path"], "left_anti")
+    replaced_value = top.join(merged(map_above, tasks), [*by, "path"]).where(F.col("__m") > F.col("__r")).select(*by, "path")
+    hidden = dealt(replaced_map.unionByName(replaced_value), tasks, [*by, "path"]).distinct()
+    left = top.join(merged(hidden, tasks), [*by, "path"], "left_anti")
     # An empty map with something left below it is that map. Only documents that hold one are looked at.
     empty = left.where(F.col("value") == EMPTY_MAP).select(*by, "path")
     beside = left.join(empty.select(*by).distinct(), by, "left_semi")
@@ -198,14 +202,17 @@ def named_includes(leaves: DataFrame, packages: DataFrame | None = None, doc: st
     folders = names.join(roots, "package").groupBy("dotted").agg(F.max_by(F.struct("package", "root"), F.length("package")).alias("p"))
     rest = F.translate(F.substr("dotted", F.length("p.package") + 1), ".", "/")
     folders = folders.select("dotted", F.concat("p.root", rest).alias("folder"))
-    holders = told.select("doc").distinct().select("doc", F.explode(ancestors(F.col("doc"))).alias("root")).join(roots.select("root").distinct(), "root")
+    # All documents of a package share its root, so the roots, one a package, are sent to them.
+    tasks = tasks_for(rows, weight=8)
+    holders = dealt(told.select("doc"), tasks, ["doc"]).distinct().select("doc", F.explode(ancestors(F.col("doc"))).alias("root")).join(F.broadcast(roots.select("root")), "root", "left_semi")
     holders = holders.groupBy("doc").agg(F.max_by("root", F.length("root")).alias("held_by"))
-    placed = told.join(folders, "dotted", "left").join(holders, "doc", "left")
+    placed = dealt(told.join(folders, "dotted", "left"), tasks, ["doc"]).join(merged(holders, tasks), "doc", "left")
     base = F.when(F.col("dotted").isNotNull(), F.col("folder")).otherwise(parent(F.col("doc")))
     target = normalize(F.when(F.col("dotted").isNull() & F.col("file").startswith("/"), F.col("file")).otherwise(F.concat(base, F.lit("/"), F.col("file"))))
     bound = F.coalesce("folder", "held_by")
-    known = rows.select(F.col("doc").alias("target")).distinct().withColumn("there", F.lit(True))
-    meant = cut(placed.select("doc", "at", "pos", "entry", "dotted", "folder", "file", bound.alias("bound"), target.alias("target")).join(known, "target", "left"))
+    known = dealt(rows.select(F.col("doc").alias("target")), tasks, ["target"]).distinct().withColumn("there", F.lit(True))
+    placed = placed.select("doc", "at", "pos", "entry", "dotted", "folder", "file", bound.alias("bound"), target.alias("target"))
+    meant = cut(dealt(placed, tasks, ["target"]).join(merged(known, tasks), "target", "left"))
     reason = (
         F.when(F.col("file") == "", F.lit("no file name"))
         .when(F.col("dotted").isNotNull() & F.col("folder").isNull(), F.lit("no such package"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from runledger.operators import loops as L
+from runledger.operators.config import deep_merge, named_includes
 from runledger.operators.declared import document_errors
 from runledger.operators.validate import eligibility
 from runledger.plans import deal
@@ -124,3 +125,18 @@ def test_rows_of_a_task_are_bounded_by_their_number(spark, rows, monkeypatch):
     assert found.rdd.getNumPartitions() >= 4 * n / 500
     few = eligibility(steps.where("recipe < 9"), wiring.where("recipe < 9"), values.where("recipe < 9"), outputs.where("recipe < 9"))
     assert few.count() == 54 and few.rdd.getNumPartitions() <= 8
+
+
+def test_documents_are_merged_in_tasks_of_bounded_rows(spark, rows, monkeypatch):
+    """Rows are dealt by document and path, and no exploded table is sent whole to all tasks."""
+    monkeypatch.setattr(deal, "ROWS_OF_TASK", 4000)
+    n = 3000
+    layers = spark.range(n).select(F.col("id").alias("doc"), F.explode(F.expr("array(('a', 'low', 1), ('a.b', 'high', 2), ('c.d', 'low', 1), ('c', 'high', 2))")).alias("r"))
+    shown = deep_merge(layers.select("doc", F.col("r.col1").alias("path"), F.col("r.col2").alias("value"), F.col("r.col3").alias("rank")))
+    assert rows(shown.select("doc", "path", "value")) == sorted(((i, p, "high") for i in range(n) for p in ("a.b", "c")), key=repr)
+    assert shown.rdd.getNumPartitions() >= 4 * n * 8 / 4000
+    leaves = spark.range(n).select(F.concat(F.lit("/lib/d"), F.col("id").cast("string")).alias("doc"), F.explode(F.expr("array(('_include', if(id % 2 = 0, concat('d', id + 1), '/out')), ('own', 'x'))")).alias("r"))
+    packages = spark.createDataFrame([("lib", "/lib")], "package string, root string")
+    named, problems = named_includes(leaves.select("doc", F.col("r.col1").alias("path"), F.col("r.col2").alias("value")), packages)
+    assert named.where("path = '_include'").count() == n // 2
+    assert problems.groupBy("reason").count().collect() == [("outside the package root", n // 2)]
