@@ -164,12 +164,17 @@ def _(t):
     return wired.frames()["counts"]
 
 
+#: Bytes of files a batch of a stream takes, one file at least. A batch costs a round of
+#: all state and should have work for all cores, so batches follow bytes, not files.
+BATCH_BYTES = 512 << 20
+
+
 def _stream(t, name: str, frame):
     """A table as a stream, whether it is one file or a folder of part files.
 
     The pattern matches just its name; without one a stream takes the path for a folder.
     """
-    return t.spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{t.folder}/{name}.parque[t]")
+    return t.spark.readStream.schema(frame.schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(f"{t.folder}/{name}.parque[t]")
 
 
 @query("extracted_stream", "SS1", EXTRACTED_SQL)

@@ -106,3 +106,14 @@ def test_split_lines_of_a_stream_are_in_order(spark, tmp_path, small_splits):
     take = lambda df: sorted((r.file, r.int_value) for r in df.collect())
     live = take(V.read_latest(spark, out, ["file", "field"]))
     assert live == take(extract_values(L.read_log_lines(spark, str(source)), rules, ["file"], ["line_no"])) and [v for _, v in live] == [1995, 3990, 5985]
+
+
+def test_batches_follow_bytes_not_files(spark, folder):
+    """Small part files are one batch."""
+    from runledger.catalog import live
+
+    frame = spark.read.parquet(f"{folder}/events.parquet")
+    sizes = []
+    stream = live._stream(Tables(spark, folder), "events", frame).writeStream.foreachBatch(lambda batch, _n: sizes.append(batch.count())).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    assert sizes == [frame.count()]
